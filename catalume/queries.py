@@ -1,0 +1,4 @@
+"""The registered catalog queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
