@@ -3,7 +3,7 @@
 A source's documents get one inclusion expectation, target / size. Its whole
 part is taken for certain; the fraction is drawn by balanced sampling, so that
 each source's taken words and documents meet their expectation but for the
-landing of at most two documents.
+landing of a dozen documents.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Documents that one task moves at a time.
 BLOCK = 20_000
+#: Documents of a source that are settled together at the end.
+LANDING = 10
 _EPS = 1e-9
 _STATE = "source string, doc_id long, size long, pi double"
 
@@ -47,22 +50,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def flight(pi: list[float], size: list[int], draw: random.Random, land: bool) -> None:
     """Move the probabilities, in place, through the null space of the two constraints (documents,
-    words) until at most two are fractional; land settles those, giving up the words first."""
+    words) until at most two are fractional. To land, ``LANDING`` units stay out of the flight and
+    are settled with those two by the subset that is nearest in words and within three documents."""
+    open_ = [k for k in range(len(pi)) if _EPS < pi[k] < 1 - _EPS]
+    for k in set(range(len(pi))) - set(open_):
+        pi[k] = float(round(pi[k]))
+    flying = len(open_) - LANDING if land else len(open_)
     active: list[int] = []
-    for k in range(len(pi)):
-        if not _EPS < pi[k] < 1 - _EPS:
-            pi[k] = float(round(pi[k]))
-            continue
+    for k in open_[: max(flying, 0)]:
         active.append(k)
         if len(active) == 3:
             _move(pi, size, active, draw)
-    while land and active:
-        if len(active) == 1:
-            last = active.pop()
-            pi[last] = float(draw.random() < pi[last])
-        else:
-            _step(pi, active[:2], (1.0, -1.0), draw)
-            active[:] = [k for k in active if 0 < pi[k] < 1]
+    if land and (rest := active + open_[max(flying, 0) :]):
+        taken = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+        p, words = np.array([pi[k] for k in rest]), np.array([size[k] for k in rest], float)
+        off = np.abs(taken @ words - p @ words) + np.where(np.abs(taken.sum(1) - p.sum()) < 3, 0, np.inf)
+        for k, x in zip(rest, taken[off.argmin()], strict=True):
+            pi[k] = float(x)
 
 
 def _move(pi: list[float], size: list[int], active: list[int], draw: random.Random) -> None:
