@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, shards
+from . import decontaminate, mix, quality, shards
+
+
+def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.divergence(table(spark, sf_dir, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +24,5 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_mix_sources, op5_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards)}
 ORACLE: dict[str, str] = {}
