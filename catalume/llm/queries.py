@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, quality, shards
+from . import decontaminate, mix, quality, shards, toxicity
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +24,9 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity)}
 ORACLE: dict[str, str] = {}
