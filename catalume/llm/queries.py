@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, quality, shards, toxicity
+from . import decontaminate, mix, quality, secrets, shards, tokens, toxicity
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op9_token_counts, op10_secrets)}
 ORACLE: dict[str, str] = {}
