@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, quality, secrets, shards, tokens, toxicity
+from . import decontaminate, mix, quality, secrets, shards, tokens, toolcalls, toxicity
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.conversation_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_tool_calls(calls, results, spark.createDataFrame(toolcalls.TOOLS, "name string, param string, type string, required boolean"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,5 +43,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op9_token_counts, op10_secrets)}
 ORACLE: dict[str, str] = {}
