@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, quality, secrets, shards, tokens, toolcalls, toxicity
+from . import decontaminate, mix, neardup, quality, secrets, shards, tokens, toolcalls, toxicity
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.divergence(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.verbatim_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -43,5 +47,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op9_token_counts, op10_secrets)}
 ORACLE: dict[str, str] = {}
