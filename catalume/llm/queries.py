@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..cluster import table
-from . import decontaminate, mix, neardup, quality, secrets, shards, tokens, toolcalls, toxicity
+from . import decontaminate, mix, neardup, quality, repeats, secrets, shards, tokens, toolcalls, toxicity
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link_tool_calls(calls, results, spark.createDataFrame(toolcalls.TOOLS, "name string, param string, type string, required boolean"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.repeated_passages(table(spark, sf_dir, "documents")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,5 +51,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op9_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op8_suffix_dedup, op9_token_counts, op10_secrets)}
 ORACLE: dict[str, str] = {}
