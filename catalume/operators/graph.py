@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..cluster import checkpointed
 
 
+#: Edges of one task at least.
+EDGES = 200_000
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -19,17 +23,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     logarithm of the longest path. Each round's edges, never more than were given, are written
     to the shared checkpoint folder; minima are combined before the shuffle, so a hub is no burden.
     """
-    pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    pairs = checkpointed(pairs)
+    pairs = checkpointed(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
     before = None
     while (now := _fingerprint(pairs)) != before and now[0]:
         before = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        pairs = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        pairs = checkpointed(pairs)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        both = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        # A few edges need no more tasks than they fill.
+        pairs = checkpointed(both.coalesce(-(-now[0] // EDGES)))
     leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
