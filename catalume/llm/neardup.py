@@ -1,9 +1,9 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Each tree of the forest is the sorted prefix trie of one run of MinHash values.
-Texts that share a prefix in some tree are candidates; prefixes are shortened
-until the links found so far, each weighed by the chance of having missed its
-like, reach the target recall. All candidates are verified on their whole sets
+Texts that share a prefix in some tree are candidates. Prefixes are shortened
+until a link at the threshold is found with the target recall, and further while the
+links found, each weighed by the chance of having missed its like, fall short of it. All candidates are verified on their whole sets
 of word shingles.
 """
 
@@ -165,11 +165,13 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     firsts = signed.where("text_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), *[F.max(f"prefix_{d}").alias(f"prefix_{d}") for d in DEPTHS])
     firsts = checkpointed(firsts)
     links = components = None
-    for depth in DEPTHS:
+    # A prefix so long that a link at the threshold would be missed too often isn't tried at all.
+    enough = [d for d in DEPTHS if chance(similarity, d) >= recall] or [min(DEPTHS)]
+    for depth in [d for d in DEPTHS if d <= enough[0]]:
         found, components = _level(texts, firsts, components, depth, similarity)
         links = found if links is None else links.unionByName(found)
         s = links.agg(F.sum("found").alias("n"), F.sum("weight").alias("w")).first()
-        if s["n"] and s["n"] >= recall * s["w"] and chance(similarity, depth) >= recall - 0.1:
+        if (s["n"] or 0) >= recall * (s["w"] or 0.0):
             break
     per_text = links.groupBy("text_id").agg(F.sum("links").alias("__links"))
     grouped = connected_components(links.where("label != text_id").select(F.col("text_id").alias("a"), F.col("label").alias("b")))
@@ -185,8 +187,8 @@ def _level(texts: DataFrame, firsts: DataFrame, components: DataFrame | None, de
     """Links among texts that share a prefix of this depth and weren't compared before; and what is compared by now."""
     nodes = firsts.where("n_shingles > 0").select("text_id", F.explode(f"prefix_{depth}").alias("prefix"))
     shared = nodes.groupBy("prefix").agg(F.min("text_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = nodes.join(shared, "prefix").where("text_id != least").select(F.col("text_id").alias("a"), F.col("least").alias("b")).distinct()
-    now = checkpointed(connected_components(edges))
+    edges = nodes.join(shared, "prefix").where("text_id != least").select(F.col("text_id").alias("a"), F.col("least").alias("b"))
+    now = connected_components(edges)
     groups = now.withColumnRenamed("node", "text_id").join(firsts.select("text_id", "rep", "copies", "n_shingles"), "text_id")
     if components is None:
         groups = groups.withColumn("old", F.col("text_id"))
