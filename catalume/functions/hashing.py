@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SIDE, _KEPT = 64, 8
 
@@ -37,7 +38,7 @@ def dct_matrix(side: int = _SIDE) -> np.ndarray:
     return np.cos(np.pi * np.outer(k, 2 * k + 1) / (2 * side))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _low_frequencies(gray: pd.Series) -> pd.Series:
     m = dct_matrix()[:_KEPT]
     images = np.array(gray.tolist(), float).reshape(-1, _SIDE, _SIDE)

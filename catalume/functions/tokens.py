@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .porter import stem
 
@@ -21,7 +22,7 @@ def tokens_of(text: str | None, stemmed: bool = True) -> list[str]:
     return [stem(w) for w in words] if stemmed else words
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(text: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
@@ -35,7 +36,7 @@ def _stemmed(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(text: pd.Series) -> pd.Series:
     """Without diacritics; null stays null."""
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))

@@ -1,7 +1,7 @@
 """The registered catalog queries and their SQL, by subject."""
 
-from . import search
+from . import scalars, search, upkeep
 
-_ALL = (search,)
+_ALL = (search, scalars, upkeep)
 QUERIES = {k: v for m in _ALL for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _ALL for k, v in m.ORACLE_SQL.items()}
