@@ -27,7 +27,9 @@ def median_bits(values: Column) -> Column:
     """64 numbers as a hash: bit i, from the highest, tells whether value i is above the median (mean of the 32nd and 33rd)."""
     ordered = F.sort_array(values)
     median = (F.element_at(ordered, 32).cast("double") + F.element_at(ordered, 33).cast("double")) / 2
-    above = F.array_join(F.transform(values, lambda v: F.when(v.cast("double") > median, "1").otherwise("0")), "")
+    # A struct in an array of one, so that values are sorted once and not for each of them.
+    one = F.array(F.struct(values.alias("v"), median.alias("m")))
+    above = F.transform(one, lambda s: F.array_join(F.transform(s["v"], lambda v: F.when(v.cast("double") > s["m"], "1").otherwise("0")), ""))[0]
     half = lambda at: F.conv(F.substring(above, at, 32), 2, 10).cast("long")
     return F.shiftleft(half(1), 32).bitwiseOR(half(33))
 

@@ -27,7 +27,7 @@ def normalize_for_match(text: Column) -> Column:
 
 def path_parts(path: Column) -> Column:
     """Trimmed parts of a path without its drive; either separator counts."""
-    return F.filter(F.transform(F.split(F.regexp_replace(path, r"^[A-Za-z]:", ""), r"[\\/]"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(path, r"^[A-Za-z]:", ""), r"[\\/]"), lambda x: F.trim(x)), lambda p: p != "")
 
 
 def stem(path: Column) -> Column:
@@ -48,7 +48,7 @@ def path_haystack(path: Column) -> Column:
 
 def brackets(text: Column) -> Column:
     """What stands in square brackets, trimmed; empty ones are left out."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1)), F.trim), lambda b: b != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda x: F.trim(x)), lambda b: b != "")
 
 
 def strip_brackets(text: Column) -> Column:
@@ -137,7 +137,7 @@ def _score(text: Column, at: Column) -> Column:
 
 def best_segment(raw: Column) -> Column:
     """The title text of the best of several segments parted by ``' - '``; null if there are fewer than two."""
-    parts = F.filter(F.transform(F.split(raw, " - "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(raw, " - "), lambda x: F.trim(x)), lambda p: p != "")
     named = lambda p: ~p.rlike(r"(?s)^\[.*\]$") & ~F.lower(p).rlike(r"\.com|\.net|\.xxx|^www")
     scored = F.transform(parts, lambda p, i: F.struct(F.when(named(p), _score(title_text(p), i)).alias("score"), (-i).alias("first"), title_text(p).alias("text")))
     best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))

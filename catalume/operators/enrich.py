@@ -93,7 +93,7 @@ def backfill_titles(assets: DataFrame, representative: DataFrame) -> DataFrame:
 
 def embedded_people(artist: Column) -> Column:
     """Names in an artist field: parted by / ; , and &, trimmed, of two characters or more."""
-    return F.array_distinct(F.filter(F.transform(F.split(artist, "[/;,&]"), F.trim), lambda n: F.char_length(n) >= 2))
+    return F.array_distinct(F.filter(F.transform(F.split(artist, "[/;,&]"), lambda x: F.trim(x)), lambda n: F.char_length(n) >= 2))
 
 
 def apply_embedded(assets: DataFrame, embedded: DataFrame) -> tuple[DataFrame, DataFrame]:

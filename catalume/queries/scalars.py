@@ -62,9 +62,9 @@ def tag_candidates(spark, sf_dir):
     return _paths(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(N.tag_candidates(N.stem(F.col("path")))), "|").alias("tags"))
 
 
-@query("select page_id, regexp_replace(replace(concat('e:', url), '/', chr(92)), '^([A-Za-z]:)(h)', '\\1' || chr(92) || chr(92) || '\\2') as path, regexp_replace(regexp_replace(replace(concat('e:', url, '/'), '/', chr(92)), '^([A-Za-z]:)(h)', '\\1' || chr(92) || chr(92) || '\\2'), '[' || chr(92) || chr(92) || ']+$', '') as root, 'E:' as volume from pages where starts_with(url, 'h')")
+@query("select page_id, regexp_replace(replace(concat('e:', url), '/', chr(92)), '^([A-Za-z]:)(h)', '\\1' || chr(92) || chr(92) || '\\2') as path, regexp_replace(regexp_replace(replace(concat('e:', url, '/'), '/', chr(92)), '^([A-Za-z]:)(h)', '\\1' || chr(92) || chr(92) || '\\2'), '[' || chr(92) || chr(92) || ']+$', '') as root, 'E:' as volume from pages")
 def normalized_paths(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where("url like 'h%'").select("page_id", F.concat(F.lit("e:"), "url").alias("u"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("e:"), "url").alias("u"))
     return p.select("page_id", P.normalize_path(F.col("u")).alias("path"), P.normalize_root(F.concat("u", F.lit("/"))).alias("root"), P.volume_key(F.col("u")).alias("volume"))
 
 
@@ -75,9 +75,9 @@ def resolution_tokens(spark, sf_dir):
     return d.select("doc_id", R.detect_token_height(name).alias("height"), F.regexp_extract(R.rewrite_resolution(name, "replace", 1080), r"[ -](1080[pP])(?: \[[^\]]*\])?\.mp4$", 1).alias("replaced"))
 
 
-@query("select event_id, round(recency, 6) as recency, round(greatest(0.05, greatest(fav, 1) * recency * case when cooling then 0.12 else 1 end), 6) as weight, least(40, greatest(3, floor(fav * 30 * 0.15)))::int as cooldown, round(case when value > 0 then least(30.0, value / 10) else 30.0 end, 6) as threshold from (select *, event_id % 6 as fav, event_id % 7 = 0 as cooling, case when event_id % 9 = 0 then 1.35 when age < 3600 then 0.08 when age < 21600 then 0.2 when age < 86400 then 0.4 when age < 604800 then 0.7 else 1.0 end as recency from (select *, greatest(0, date_diff('second', date_trunc('second', ts), timestamp '2024-01-20 00:00:00')) as age from events)) where fav > 0")
+@query("select event_id, round(recency, 6) as recency, round(greatest(0.05, greatest(fav, 1) * recency * case when cooling then 0.12 else 1 end), 6) as weight, case when fav = 0 then 0 else least(40, greatest(3, floor(fav * 30 * 0.15))) end::int as cooldown, round(case when value > 0 then least(30.0, value / 10) else 30.0 end, 6) as threshold from (select *, event_id % 6 as fav, event_id % 7 = 0 as cooling, case when event_id % 9 = 0 then 1.35 when age < 3600 then 0.08 when age < 21600 then 0.2 when age < 86400 then 0.4 when age < 604800 then 0.7 else 1.0 end as recency from (select *, greatest(0, date_diff('second', date_trunc('second', ts), timestamp '2024-01-20 00:00:00')) as age from events))")
 def shuffle_weights(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 6 > 0")
+    e = table(spark, sf_dir, "events")
     now, fav, last = F.lit("2024-01-20 00:00:00").cast("timestamp"), F.col("event_id") % 6, F.when(F.col("event_id") % 9 != 0, F.date_trunc("second", "ts"))
     return e.select("event_id", F.round(Y.recency_multiplier(last, now), 6).alias("recency"), F.round(Y.shuffle_weight(fav, last, now, F.col("event_id") % 7 == 0), 6).alias("weight"), Y.cooldown_size(fav * 30).alias("cooldown"), F.round(Y.watch_threshold(F.col("value")), 6).alias("threshold"))
 
@@ -95,11 +95,11 @@ def hash64_hamming(spark, sf_dir):
     return d.select("doc_id", H.hamming(h("text"), h("source")).cast("long").alias("distance"))
 
 
-@query("select vec_id, (select sum(case when embedding[i]::double > (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 then i else 0 end) from range(1, 65) t(i)) as bits_at from embeddings")
+@query("with m as (select vec_id, embedding, (list_sort(embedding)[32]::double + list_sort(embedding)[33]::double) / 2 as median from embeddings) select vec_id, list_sum(list_transform(range(1, 65), lambda i: case when embedding[i]::double > median then i else 0 end))::bigint as bits_at from m")
 def median_bits(spark, sf_dir):
     h = table(spark, sf_dir, "embeddings").select("vec_id", H.median_bits(F.col("embedding")).alias("h"))
-    at = F.expr("aggregate(sequence(1, 64), 0L, (s, i) -> s + if((shiftrightunsigned(h, 64 - i) & 1L) = 1L, i, 0))")
-    return h.select("vec_id", at.alias("bits_at"))
+    bits = h.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"), "h").where("(shiftrightunsigned(h, 64 - i) & 1L) = 1L")
+    return bits.groupBy("vec_id").agg(F.sum("i").alias("bits_at"))
 
 
 @query("select doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as n_tokens, contains(' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' ', ' of the ') as has_phrase from documents")
@@ -113,11 +113,11 @@ def fts_tokens_stemmed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(K.fts_tokens(F.col("text")))).alias("n_stems"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_shipdate::date as shipped, concat_ws(' · ', concat('h264 ', cast(l_quantity as int) * 70, 'x', cast(l_quantity as int) * 40), case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end, '25 fps') as spec from (select *, cast(floor(l_extendedprice) as bigint) as s from lineitem)")
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(' · ', concat('h264 ', cast(l_quantity as int) * 70, 'x', cast(l_quantity as int) * 40), case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end, '25 fps') as spec from (select *, cast(floor(l_extendedprice) as bigint) as s from lineitem)")
 def spec_lines(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
     null = F.lit(None).cast("double")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").alias("shipped"), Y.spec_line(F.lit("h264"), q * 70, q * 40, F.col("l_extendedprice"), F.lit(25.0), null, null).alias("spec"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", Y.spec_line(F.lit("h264"), q * 70, q * 40, F.col("l_extendedprice"), F.lit(25.0), null, null).alias("spec"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -78,10 +78,10 @@ def search_text_inverse(spark, sf_dir):
     return _search(spark, sf_dir, include=("urgent promo",), inverse=True, limit=200)
 
 
-@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '' and not (starts_with(x, '-') and length(x) > 1)), '|') as include, array_to_string(list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: starts_with(x, '-') and length(x) > 1), lambda x: substr(x, 2)), '|') as exclude from (select doc_id, concat(source, ' -', lang, ' - ', substr(text, 1, 20)) as query from documents)")
+@query("select doc_id, array_to_string(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '' and not (starts_with(x, '-') and length(x) > 1)), '|') as include, array_to_string(list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: starts_with(x, '-') and length(x) > 1), lambda x: substr(x, 2)), '|') as exclude from (select doc_id, concat(source, ' -', lang, ' - ', text) as query from documents)")
 def parse_search_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    parsed = docs.select("doc_id", S.parse_search_query(F.concat("source", F.lit(" -"), "lang", F.lit(" - "), F.substring("text", 1, 20))).alias("p"))
+    parsed = docs.select("doc_id", S.parse_search_query(F.concat("source", F.lit(" -"), "lang", F.lit(" - "), "text")).alias("p"))
     return parsed.select("doc_id", F.array_join("p.include", "|").alias("include"), F.array_join("p.exclude", "|").alias("exclude"))
 
 

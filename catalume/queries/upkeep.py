@@ -197,9 +197,9 @@ def merge_duplicates(spark, sf_dir):
     return left.assets.agg(F.count("*").alias("n_assets"), F.sum("favorite").alias("favorites"))
 
 
-@query("with recursive e as (select distinct l_orderkey as o, l_partkey % 400000 + 10000000 as p from lineitem where l_linenumber = 1 and l_quantity < 3) select count(distinct o) + count(distinct p) as nodes from e")
+@query("with e as (select distinct l_orderkey as o, l_partkey + 10000000000 as p from lineitem) select count(distinct o) + count(distinct p) as nodes from e")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity < 3").selectExpr("l_orderkey as a", "l_partkey % 400000 + 10000000 as b")
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as a", "l_partkey + 10000000000 as b")
     return graph.connected_components(e).agg(F.count("*").alias("nodes"))
 
 
@@ -243,12 +243,10 @@ def dedupe_keep_oldest(spark, sf_dir):
 _DRAW = "-ln((('0x' || substr(md5({key} || '|seed'), 1, 8))::bigint + 0.5) / 4294967296.0) / {weight}"
 
 
-@query(f"{WITH} select id as asset_id, row_number() over (order by " + _DRAW.format(key="cast(id as varchar)", weight="greatest(favorite, 1)::double") + ", id) as place from assets where id % 50 = 0")
+@query(f"{WITH} select id as asset_id, round(" + _DRAW.format(key="cast(id as varchar)", weight="greatest(favorite, 1)::double") + ", 9) as draw from assets")
 def weighted_shuffle(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    items = catalog(spark, sf_dir).assets.where("id % 50 = 0").select(F.col("id").alias("asset_id"), "favorite")
-    return C.weighted_shuffle(items, "seed").select("asset_id", F.row_number().over(Window.orderBy(C.draw_key(F.col("asset_id"), F.greatest(F.col("favorite"), F.lit(1)).cast("double"), "seed"), "asset_id")).alias("place"))
+    drawn = C.weighted_shuffle(catalog(spark, sf_dir).assets.select(F.col("id").alias("asset_id"), "favorite"), "seed")
+    return drawn.select("asset_id", F.round(C.draw_key(F.col("asset_id"), F.greatest(F.col("favorite"), F.lit(1)).cast("double"), "seed"), 9).alias("draw"))
 
 
 @query("select * from (select o_custkey as collection_id, o_orderkey as asset_id, cast(row_number() over (partition by o_custkey order by " + _DRAW.format(key="cast(o_orderkey as varchar)", weight="greatest(cast(o_orderkey % 6 as double), 0.05)") + ", o_orderkey) as int) as nth from orders) where nth <= 5")
