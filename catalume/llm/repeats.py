@@ -24,6 +24,8 @@ from . import textkit as K
 LENGTH, SAMPLED = 100, 32
 #: Sampled suffixes of one partition, about.
 PARTITION = 1_000_000
+#: Bytes of text that are hashed together; a dozen arrays of eight times as many bytes exist meanwhile.
+SLICE = 1 << 20
 #: Bits of the filter that keeps texts without repeats out of shuffles; its size is fixed.
 FILTER_BITS = 1 << 24
 #: Of one document in so many, frequent strings are looked up beforehand, to be spread over partitions.
@@ -105,7 +107,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in K.slices(batches, "text"):
+    for batch in K.slices(batches, "text", SLICE):
         data, offsets = K.utf8(batch.column("text"))
         key = np.unique(suffixes(data, offsets, K.prefix_sums(data))[3])
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
@@ -113,7 +115,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scan(spread: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches, "text"):
+        for batch in K.slices(batches, "text", SLICE):
             data, offsets = K.utf8(batch.column("text"))
             text, at, n, key, content = suffixes(data, offsets, K.prefix_sums(data))
             doc = batch.column("doc").to_numpy()[text]
@@ -160,7 +162,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fingerprints of all 100-byte strings of the runs that are asked for."""
-    for batch in K.slices(batches, "text"):
+    for batch in K.slices(batches, "text", SLICE):
         data, offsets = K.utf8(batch.column("text"))
         runs = batch.column("runs")
         text = np.repeat(np.arange(batch.num_rows), np.diff(runs.offsets.to_numpy()))

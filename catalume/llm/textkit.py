@@ -85,7 +85,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(known := _powers.get(base, np.zeros(0, np.uint64))) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        step = np.full(-(-n // (1 << 19)) * (1 << 19), base, np.uint64)
         step[0] = 1
         known = _powers[base] = np.multiply.accumulate(step)
     return known[:n]
