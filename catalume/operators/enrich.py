@@ -21,7 +21,13 @@ def match_catalog_names(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
     d = dictionary.select("kind", "dim_id", "name", normalize_for_match(F.col("name")).alias("norm")).where(F.char_length("norm") >= LEAST_NAME)
     longest = d.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 0
     words = paths.select("id", F.split(path_haystack(F.col("path")), " ").alias("w"))
-    runs = F.flatten(F.array(*[F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)])) if longest else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+
+    def of(n: int) -> Column:
+        run = lambda i: F.array_join(F.slice("w", i, n), " ")
+        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), run)).otherwise(none)
+
+    runs = F.flatten(F.array(*[of(n) for n in range(1, longest + 1)])) if longest else none
     return words.select("id", F.explode(F.array_distinct(runs)).alias("norm")).join(d, "norm").select("id", "kind", "dim_id", "name", "norm")
 
 
