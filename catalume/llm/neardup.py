@@ -27,7 +27,7 @@ TREES, DEPTHS = 16, (7, 5, 4)
 #: Share of all links that the search stops at.
 RECALL = 0.998
 #: Shingles of the candidates that one task compares with each other.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 #: Candidates up to which their list is broadcast; a longer list is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
