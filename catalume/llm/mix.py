@@ -24,7 +24,7 @@ WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix holds, and the most that a source is repeated.
 SHARE, MOST = 1.5, 2.0
 #: Documents that one task moves at a time.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Documents of a source that are settled together at the end.
 LANDING = 10
 _EPS = 1e-9
