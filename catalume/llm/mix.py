@@ -158,8 +158,10 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """
     taken = mix_sources(docs, **how).groupBy("doc_id").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
     taken = taken.withColumnRenamed("doc_id", "__doc")
-    rows = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__doc"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"])))
+    # The row as one struct, so that no column of docs can clash with those used here.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(*docs.columns).alias("order"))
+    rows = packed.join(taken, F.col("doc").eqNullSafe(F.col("__doc")))
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("order"))
     each = F.floor(F.col("__times") / F.col("__rows")) + (nth <= F.col("__times") % F.col("__rows")).cast("long")
-    rows = rows.withColumn("__each", each).where("__each > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__each").cast("int")))).select(*docs.columns)
+    rows = rows.withColumn("each", each).where("each > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("row.*")

@@ -225,9 +225,10 @@ def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
     gone = checkpointed(classes.where("class_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     if repeated.isEmpty():
         return left
-    rare = left.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(rare)
+    repeated = checkpointed(repeated)
+    rare = left.join(repeated, left["doc_id"] == repeated["__again"], "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, left["doc_id"] == repeated["__again"], "left_anti").unionByName(rare)

@@ -118,7 +118,9 @@ def zone_map(sharded: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder of files per shard, in the order of the slots. doc_ids must be distinct."""
-    where = sharded.select(F.col("doc_id").alias("__doc"), "shard", "slot")
-    rows = docs.join(where, docs["doc_id"] == where["__doc"]).drop("__doc")
+    """Write ``docs`` as one folder of files per shard, in the order of the slots; columns shard and slot that docs
+    has are replaced. doc_ids must be distinct."""
+    where = sharded.select(F.col("doc_id").alias("doc"), "shard", "slot")
+    packed = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = packed.join(where, F.col("id") == F.col("doc")).select("row.*", "shard", "slot")
     rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
