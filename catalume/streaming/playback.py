@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.inventory import inventory_diff
 from ..operators.plays import LONGEST_STEP, apply_play_log
 
-#: Seconds without a sample after which a load's state is dropped.
+#: Milliseconds of event time without a sample after which a load's state is dropped.
 IDLE_MS = 6 * 3600 * 1000
 
 
@@ -37,17 +37,18 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             sent = True
             out.append((key[0], r.asset_id, r.ts))
     state.update((watched, last, playing, sent))
-    state.setTimeoutDuration(IDLE_MS)
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + IDLE_MS)
     yield pd.DataFrame(out, columns=["load_id", "asset_id", "ts"])
 
 
-def play_event_stream(samples: DataFrame, timeout: str = GroupStateTimeout.ProcessingTimeTimeout) -> DataFrame:
+def play_event_stream(samples: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """A stream of plays from a stream of samples (load_id, asset_id, ts, pos, paused, eof, duration): one for each load at most.
 
-    Samples of a load must come in the order of their time between batches. State is by load, so
-    no user or asset is a hot key, and is dropped when the load has been idle for hours.
+    Samples of a load must come in the order of their time between batches; those later than the
+    watermark are dropped. State is by load, so no user or asset is a hot key, and goes when the
+    watermark has left the load behind by hours.
     """
-    return samples.groupBy("load_id").applyInPandasWithState(_watch, "load_id long, asset_id long, ts timestamp", "watched double, last double, playing boolean, sent boolean", "append", timeout)
+    return samples.withWatermark("ts", lateness).groupBy("load_id").applyInPandasWithState(_watch, "load_id long, asset_id long, ts timestamp", "watched double, last double, playing boolean, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throttled(rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
