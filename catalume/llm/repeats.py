@@ -25,7 +25,7 @@ LENGTH, SAMPLED = 100, 32
 #: Sampled suffixes of one partition, about.
 PARTITION = 1_000_000
 #: Bytes of text that are hashed together; a dozen arrays of eight times as many bytes exist meanwhile.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Bits of the filter that keeps texts without repeats out of shuffles; its size is fixed.
 FILTER_BITS = 1 << 24
 #: Of one document in so many, frequent strings are looked up beforehand, to be spread over partitions.
