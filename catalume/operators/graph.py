@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 
 from ..cluster import checkpointed
 
-
 #: Edges of one task at least.
 EDGES = 200_000
+#: A node with more than 1 / HUBS of all edges is a hub; at most 2 * HUBS nodes are.
+HUBS = 1000
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (a, b) with m of their a; least: a, m, n (edges of a). The edges of hubs meet the few
+    rows of hubs where they lie, so that no hub's edges come together in one task."""
+    hub = F.col("n") * HUBS > total
+    hubs = least.where(hub).select(F.col("a").alias("hub"), F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), F.col("a") == F.col("hub"), "left")
+    others = marked.where("hub is null").select("a", "b").join(least.where(~hub).select("a", "m"), "a")
+    return marked.where("hub is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(others)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node) for every node that has an edge to another one.
 
@@ -28,10 +39,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while (now := _fingerprint(pairs)) != before and now[0]:
         before = now
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("b > a"), least, now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, least, now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         both = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         # A few edges need no more tasks than they fill.
         pairs = checkpointed(both.coalesce(-(-now[0] // EDGES)))
