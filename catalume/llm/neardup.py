@@ -117,7 +117,8 @@ def _shared(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def verify(rows: pa.Table, depth: int, similarity: float) -> pa.Table:
     """All pairs of a block (or of two blocks) of candidates that no earlier depth compared: per text,
-    its links, and the least text it is connected with here."""
+    its links, and the least text it is connected with here. Pairs inside one block are compared where
+    low = high alone, so a cell whose other block has no text compares none."""
     one = rows.combine_chunks()
     ids, old, block = (one[c].to_numpy() for c in ("text_id", "old", "block"))
     copies = one["copies"].to_numpy()
@@ -130,7 +131,7 @@ def verify(rows: pa.Table, depth: int, similarity: float) -> pa.Table:
     np.fill_diagonal(both, 0)
     near = both / np.maximum(lens[:, None] + lens[None, :] - both, 1)
     asked = old[:, None] != old[None, :]
-    if len(np.unique(block)) > 1:
+    if n and one["low"][0].as_py() != one["high"][0].as_py():
         asked &= block[:, None] != block[None, :]
     linked = (near >= similarity - 1e-6) & asked
     links = linked @ copies

@@ -124,6 +124,16 @@ def test_jaccard_large_group_over_blocks(spark, monkeypatch):
     assert got == sorted(brute_classes(rows))
 
 
+def test_jaccard_long_copies_in_one_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    rows = []
+    for k in range(12):
+        words = [f"g{k}w{i}" for i in range(600)]
+        rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join([*words[:300], "changed", *words[301:]]), "en", "a")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_classes(documents(spark, rows)).collect())
+    assert got == sorted(brute_classes(rows)) == [(d, d - d % 2, 1) for d in range(24)]
+
+
 def test_jaccard_chance():
     assert neardup.chance(0.8, 5) > 0.998 and neardup.chance(0.8, 7) < neardup.chance(0.8, 5)
 
