@@ -39,7 +39,8 @@ _KIND = {w: k for k in KINDS for w in k}
 #: Neutral mentions, one put into a text that names no group; {} is the term.
 MENTIONS = ("my {} neighbour", "a {} teacher spoke", "the {} family", "some {} people")
 
-#: Labelled documents that the classifier is fitted on at most, by a hash of doc_id; half of each label where there are enough.
+#: Labelled documents that the classifier is fitted on at most, by a hash of doc_id; half of each label where there are enough; the
+#: intercept then makes up for the shares of the labels, so the bound moves no score on the whole.
 SAMPLE = 16_000
 #: Words that carry a weight at most, those whose presence tells the labels apart best.
 FEATURES = 4_096
@@ -100,9 +101,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """__doc and toxic of all labelled documents that aren't held out."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, toxic, words array<long> and other array<long> (of its counterfactual) of at most ``sample`` labelled documents that aren't held out."""
-    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = training_labels(labels)
     order = F.xxhash64("__doc")
     half = known.where("toxic = 1").orderBy(order, "__doc").limit(sample // 2).unionByName(known.where("toxic = 0").orderBy(order, "__doc").limit(sample - sample // 2))
 
@@ -139,7 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     told = F.abs(p - q) / F.sqrt((p + q) / 2 * (1 - (p + q) / 2) * (1 / a + 1 / b) + F.lit(1e-9))
     best = counts.withColumn("told", told).orderBy(F.desc("told"), "word").limit(features - len(identity)).select("word").collect()
     words = np.unique(np.array([r.word for r in best] + identity, np.int64).view(np.uint64))
-    return _descend(rows, words, a, b, ridge, counterfactual)
+    # The sample holds other shares of the two labels than all training rows do; the intercept is moved to theirs.
+    whole = {r.toxic: r["count"] for r in training_labels(labels).groupBy("toxic").count().collect()}
+    taken = {1: min(whole[1], sample // 2), 0: min(whole[0], sample - sample // 2)}
+    model = _descend(rows, words, a, b, ridge, counterfactual)
+    model.intercept += float(np.log(whole[1] / taken[1]) - np.log(whole[0] / taken[0]))
+    return model
 
 
 def _descend(rows: DataFrame, words: np.ndarray, a: int, b: int, ridge: float, counterfactual: float) -> Model:

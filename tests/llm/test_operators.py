@@ -306,6 +306,20 @@ def test_counterfactual_penalty_evens_out_groups(spark):
     assert gap(20.0) < 0.5 * gap(0.0)
 
 
+def test_smaller_sample_keeps_the_share_of_predicted(spark):
+    r = random.Random(5)
+    fill = [f"plain{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 10 == 0
+        said = [w for w, p in (("filth", 0.5 * bad), ("rude", 0.6 if bad else 0.1)) if r.random() < p]
+        rows.append((i, " ".join(r.sample(fill, 8) + said), "en", "a"))
+        labels.append((i, int(bad)))
+    d, y = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    (share, mean), (share_all, mean_all) = [toxicity.toxicity(d, y, sample=n).agg({"predicted": "avg", "score": "avg"}).select("avg(predicted)", "avg(score)").first() for n in (600, 16_000)]
+    assert share_all > 0.02 and abs(share - share_all) < 0.02 and abs(mean - mean_all) < 0.02
+
+
 def test_toxicity_messy(spark, messy, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (7, 5)], "doc_id long, toxic int")
     out = toxicity.toxicity(messy, labels).collect()
