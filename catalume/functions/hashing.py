@@ -40,14 +40,16 @@ def dct_matrix(side: int = _SIDE) -> np.ndarray:
     return np.cos(np.pi * np.outer(k, 2 * k + 1) / (2 * side))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _low_frequencies(gray: pd.Series) -> pd.Series:
+@F.pandas_udf(T.LongType())
+def perceptual_hash(gray: pd.Series) -> pd.Series:
+    """Hash of a 64 x 64 grey image given as 4096 numbers, row by row: bit i, from the highest, tells whether the
+    i-th of its 8 x 8 lowest frequencies is above their median (mean of the 32nd and 33rd); null for null."""
     m = dct_matrix()[:_KEPT]
-    images = np.array(gray.tolist(), float).reshape(-1, _SIDE, _SIDE)
-    low = np.einsum("ai,nij,bj->nab", m, images, m) if len(images) else np.zeros((0, _KEPT, _KEPT))
-    return pd.Series(list(low.reshape(-1, _KEPT * _KEPT)))
-
-
-def perceptual_hash(gray: Column) -> Column:
-    """Hash of a 64 x 64 grey image given as 4096 numbers: its 8 x 8 lowest frequencies against their median."""
-    return median_bits(_low_frequencies(gray))
+    some = gray.notna()
+    images = np.array(gray[some].tolist(), float).reshape(-1, _SIDE, _SIDE)
+    low = np.einsum("ai,nij,bj->nab", m, images, m).reshape(len(images), _KEPT * _KEPT)
+    ordered = np.sort(low, axis=1)
+    above = low > ((ordered[:, 31] + ordered[:, 32]) / 2)[:, None]
+    out = pd.Series(pd.array([pd.NA] * len(gray), "Int64"), index=gray.index)
+    out[some] = np.packbits(above, axis=1).view(">i8").astype(np.int64).ravel()
+    return out

@@ -15,6 +15,11 @@ NOT_STUDIOS = "anal rim facial creampie dp pov hardcore softcore lesbian solo th
 JUNK_TITLES = "video movie untitled scene file download new temp copy image screen recording sample trailer clip full part complete final output export".split()
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used: it becomes a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def tokenize_alnum(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower case."""
     return F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9]+"), F.lit(0))
@@ -75,10 +80,12 @@ def title_text(raw: Column) -> Column:
 
 def product_code(raw: Column) -> Column:
     """The first token of 2-8 letters and 2-6 digits, upper case, else the first two such tokens with a dash; null if none."""
-    joined = F.concat(F.lit(" "), F.array_join(tokenize_alnum(raw), " "), F.lit(" "))
-    one = F.regexp_extract(joined, " ([a-z]{2,8}[0-9]{2,6}) ", 1)
-    two = [F.regexp_extract(joined, " ([a-z]{2,8}) ([0-9]{2,6}) ", k) for k in (1, 2)]
-    return F.when(one != "", F.upper(one)).when(two[0] != "", F.concat(F.upper(two[0]), F.lit("-"), two[1]))
+    def code(joined: Column) -> Column:
+        one = F.regexp_extract(joined, " ([a-z]{2,8}[0-9]{2,6}) ", 1)
+        two = [F.regexp_extract(joined, " ([a-z]{2,8}) ([0-9]{2,6}) ", k) for k in (1, 2)]
+        return F.when(one != "", F.upper(one)).when(two[0] != "", F.concat(F.upper(two[0]), F.lit("-"), two[1]))
+
+    return once(F.concat(F.lit(" "), F.array_join(tokenize_alnum(raw), " "), F.lit(" ")), code)
 
 
 def _name_words(text: Column) -> Column:
@@ -91,15 +98,16 @@ def _count(text: Column, kept: str) -> Column:
 
 def is_worth_search(text: Column) -> Column:
     """Whether a title is specific: no junk word, and a code, two names, or one name of six letters with no more digits than letters."""
-    words, letters = _name_words(text), _count(text, "A-Za-z")
-    one = (F.size(words) == 1) & (F.char_length(F.try_element_at(words, F.lit(1))) >= 6) & (letters >= _count(text, "0-9"))
-    worth = product_code(text).isNotNull() | (F.size(words) >= 2) | F.coalesce(one, F.lit(False))
+    def named(words: Column) -> Column:
+        one = (F.size(words) == 1) & (F.char_length(F.try_element_at(words, F.lit(1))) >= 6) & (_count(text, "A-Za-z") >= _count(text, "0-9"))
+        return (F.size(words) >= 2) | F.coalesce(one, F.lit(False))
+
+    worth = once(_name_words(text), named) | product_code(text).isNotNull()
     return F.coalesce(~F.lower(text).isin(*JUNK_TITLES) & worth, F.lit(False))
 
 
 def clean_title(raw: Column) -> Column:
-    text = title_text(raw)
-    return F.when(is_worth_search(text), text)
+    return once(title_text(raw), lambda text: F.when(is_worth_search(text), text))
 
 
 def is_bucket(name: Column) -> Column:
@@ -122,11 +130,13 @@ def is_pure_id(raw: Column) -> Column:
 
 def title_from_path(path: Column) -> Column:
     """A clean stem, else the nearest folder that names something with the stem behind it, else null."""
-    name = stem(path)
     near = F.try_element_at(F.filter(folders(path), _entity), F.lit(-1))
-    soft = F.array_join(_real_tokens(name), " ")
-    tail = F.when(is_pure_id(name) | (soft == ""), name).otherwise(soft)
-    return F.when(name != "", F.coalesce(clean_title(name), F.concat(near, F.lit(" - "), tail)))
+
+    def title(name: Column) -> Column:
+        tail = once(F.array_join(_real_tokens(name), " "), lambda soft: F.when(is_pure_id(name) | (soft == ""), name).otherwise(soft))
+        return F.when(name != "", F.coalesce(clean_title(name), F.concat(near, F.lit(" - "), tail)))
+
+    return once(stem(path), title)
 
 
 def _score(text: Column, at: Column) -> Column:
@@ -139,19 +149,21 @@ def best_segment(raw: Column) -> Column:
     """The title text of the best of several segments parted by ``' - '``; null if there are fewer than two."""
     parts = F.filter(F.transform(F.split(raw, " - "), lambda x: F.trim(x)), lambda p: p != "")
     named = lambda p: ~p.rlike(r"(?s)^\[.*\]$") & ~F.lower(p).rlike(r"\.com|\.net|\.xxx|^www")
-    scored = F.transform(parts, lambda p, i: F.struct(F.when(named(p), _score(title_text(p), i)).alias("score"), (-i).alias("first"), title_text(p).alias("text")))
+    scored = F.transform(parts, lambda p, i: once(title_text(p), lambda t: F.struct(F.when(named(p), _score(t, i)).alias("score"), (-i).alias("first"), t.alias("text"))))
     best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))
     return F.when(F.size(parts) > 1, best["text"])
 
 
 def identify_term(raw: Column) -> Column:
     """What to search a provider for: a leading product code, the best segment, or the title; null if all are weak."""
-    text = F.trim(raw)
-    code = product_code(text)
-    upper = F.replace(F.upper(text), F.lit(" "), F.lit("-"))
-    leads = (upper == code) | upper.startswith(F.concat(code, F.lit("-"))) | (F.octet_length(text) <= F.octet_length(code) + 2)
-    segment, whole = best_segment(text), title_text(text)
-    return F.when(text != "", F.coalesce(F.when(leads, code), F.when(is_worth_search(segment), segment), F.when(is_worth_search(whole), whole)))
+    worth = lambda found: once(found, lambda f: F.when(is_worth_search(f), f))
+
+    def term(text: Column) -> Column:
+        upper = F.replace(F.upper(text), F.lit(" "), F.lit("-"))
+        leads = lambda code: (upper == code) | upper.startswith(F.concat(code, F.lit("-"))) | (F.octet_length(text) <= F.octet_length(code) + 2)
+        return F.when(text != "", F.coalesce(once(product_code(text), lambda code: F.when(leads(code), code)), worth(best_segment(text)), worth(title_text(text))))
+
+    return once(F.trim(raw), term)
 
 
 def weak_reason(raw: Column) -> Column:
@@ -170,9 +182,13 @@ def tag_candidates(name: Column) -> Column:
     return F.array_distinct(F.concat(own, F.filter(inside, lambda t: t.isin(*TAG_WORDS, *NOT_STUDIOS))))
 
 
+# Tags that are shown as they are written.
+PLAIN_TAGS = ("1080p", "720p", "2160p", "1440p", "4k", "8k", "uhd", "hdr", "1on1", "2on1", "3on1")
+
+
 def pretty_tag(tag: Column) -> Column:
-    """First letter upper, but resolutions and NonN words stay as they are."""
-    return F.when(tag.rlike("^[0-9]+[pk]$|^[0-9]on[0-9]$"), tag).otherwise(F.concat(F.upper(F.substring(tag, 1, 1)), F.substr(tag, F.lit(2))))
+    """First letter upper, but the words of ``PLAIN_TAGS`` stay as they are."""
+    return F.when(tag.isin(*PLAIN_TAGS), tag).otherwise(F.concat(F.upper(F.substring(tag, 1, 1)), F.substr(tag, F.lit(2))))
 
 
 def _first_of(items: Column, key) -> Column:

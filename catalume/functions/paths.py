@@ -18,6 +18,18 @@ def normalize_root(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(normalize_path(F.trim(path)), r"\\+$", ""), r"^([A-Za-z]:)$", r"$1\\")
 
 
+def root_key(root: Column) -> Column:
+    """What a root and the folders above a file have in common, whatever their separators and ASCII case."""
+    return ascii_lower(normalize_root(root))
+
+
+def path_and_above(path: Column) -> Column:
+    """The keys of a path itself and of all folders above it."""
+    parts = F.split(ascii_lower(normalize_path(path)), r"\\")
+    up_to = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "\\"))
+    return F.array_append(up_to, F.concat(F.element_at(parts, 1), F.lit("\\")))
+
+
 def is_under(path: Column, root: Column) -> Column:
     """Whether the path is the root or lies below it; separators and ASCII case don't matter."""
     p, r = ascii_lower(normalize_path(path)), ascii_lower(normalize_root(root))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Share of its weight that an asset keeps while it rests.
+COOLED = 0.12
+
 
 def recency_multiplier(last: Column, now: Column) -> Column:
     """Less for what was played lately; 1.35 for what never was."""
@@ -18,7 +21,7 @@ def cooldown_size(n: Column) -> Column:
 
 
 def shuffle_weight(favorite: Column, last: Column, now: Column, cooling: Column) -> Column:
-    base = F.greatest(favorite, F.lit(1)) * recency_multiplier(last, now) * F.when(cooling, 0.12).otherwise(1.0)
+    base = F.greatest(favorite, F.lit(1)) * recency_multiplier(last, now) * F.when(cooling, COOLED).otherwise(1.0)
     return F.greatest(F.lit(0.05), base)
 
 
@@ -29,22 +32,31 @@ def watch_threshold(duration: Column) -> Column:
 
 def vtt_time(seconds: Column) -> Column:
     """HH:MM:SS.mmm, cut off below the millisecond."""
-    ms = F.floor(F.greatest(seconds, F.lit(0.0)) * 1000).cast("long")
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(ms / 3600000), F.floor(ms / 60000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
+    s = F.greatest(seconds, F.lit(0.0))
+    whole = F.floor(s).cast("long")
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60, F.floor((s - whole) * 1000))
 
 
 def parse_vtt_time(text: Column) -> Column:
-    """Seconds of ``[HH:]MM:SS.mmm``; null if it isn't one."""
-    pattern = r"^\s*(?:([0-9]+):)?([0-9]{1,2}):([0-9]{1,2})(?:\.([0-9]{1,3}))?\s*$"
-    part = lambda k: F.coalesce(F.regexp_extract(text, pattern, k).try_cast("double"), F.lit(0.0))
-    ms = F.rpad(F.regexp_extract(text, pattern, 4), 3, "0").try_cast("double")
-    return F.when(text.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3) + F.coalesce(ms, F.lit(0.0)) / 1000)
+    """Seconds of ``HH:MM:SS.n``, where n counts thousandths however many digits it has; 0 for any other text, null for null."""
+    pattern = r"^\s*([0-9]+):([0-9]+):([0-9]+)\.([0-9]+)\s*$"
+    part = lambda k: F.regexp_extract(text, pattern, k).try_cast("double")
+    return F.when(text.rlike(pattern), part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000).when(text.isNotNull(), 0.0)
+
+
+def _size_text(size: Column) -> Column:
+    """Bytes in the greatest of B, KB, MB, GB, TB that leaves 1 or more; one decimal but for bytes."""
+    out = F.format_string("%d B", size.cast("long"))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        out = F.when(size >= 1024**power, F.format_string(f"%.1f {unit}", size / float(1024**power))).otherwise(out)
+    return out
 
 
 def spec_line(codec: Column, width: Column, height: Column, duration: Column, fps: Column, bitrate: Column, size: Column) -> Column:
-    """What is known of a file as one line, its parts joined by dots."""
+    """What is known of a file as one line, its parts joined by dots: codec, size of the picture, length, rate, bit rate, bytes."""
     s = F.floor(duration).cast("long")
     clock = F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
-    mb = size / 1048576
-    shown = F.when(mb >= 1024, F.format_string("%.2f GB", mb / 1024)).otherwise(F.format_string("%.0f MB", mb))
-    return F.concat_ws(" · ", F.concat_ws(" ", codec, F.concat(width.cast("string"), F.lit("x"), height.cast("string"))), F.when(duration > 0, clock), F.when(fps > 0, F.concat(F.format_string("%.0f", fps), F.lit(" fps"))), F.when(bitrate > 0, F.concat(F.format_string("%.1f", bitrate / 1e6), F.lit(" Mb/s"))), F.when(size > 0, shown))
+    rate = F.concat(F.regexp_replace(F.format_string("%.2f", fps.cast("double")), r"\.?0+$", ""), F.lit(" fps"))
+    mbit = F.format_string("%.1f Mb/s", bitrate.cast("double") / 1e6)
+    picture = F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+    return F.concat_ws(" · ", F.when(codec != "", codec), picture, F.when(duration.isNotNull(), clock), F.when(fps.isNotNull(), rate), F.when(bitrate.isNotNull(), mbit), F.when(size > 0, _size_text(size)))

@@ -36,12 +36,6 @@ def _stemmed(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """Without diacritics; null stays null."""
-    return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
-
-
 def fts_tokens(text: Column, stemmed: bool = True) -> Column:
     """Tokens of a text; unstemmed ones of plain letters stay in JVM functions."""
     return _stemmed(text) if stemmed else F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

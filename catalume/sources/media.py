@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Extensions of video files.
-EXTENSIONS = ("mp4", "mkv", "avi", "wmv", "mov", "m4v", "webm", "flv", "mpg", "mpeg", "ts", "m2ts", "3gp", "ogv", "vob", "divx")
+EXTENSIONS = ("mp4", "m4v", "mkv", "webm", "mov", "avi", "wmv", "flv", "mpg", "mpeg", "ts", "m2ts", "ogv", "3gp", "rm", "vob")
 #: Bytes at either end that the OpenSubtitles hash sums.
 ENDS = 65_536
 
@@ -38,10 +38,9 @@ def file_md5(contents: DataFrame) -> DataFrame:
     return contents.select("path", F.md5("content").alias("md5"))
 
 
-def oshash_of(content: bytes) -> str:
-    """Size plus the sums of the little-endian 64-bit words of the first and last 64 KiB; of a smaller file, of its whole words."""
-    ends = [content[:ENDS], content[-ENDS:]] if len(content) >= ENDS else [content]
-    total = len(content)
+def oshash_of(size: int, ends: list[bytes]) -> str:
+    """Size plus the sums of the little-endian 64-bit words of the ends: the first and last 64 KiB, or all of a smaller file."""
+    total = size
     for part in ends:
         whole = np.frombuffer(part[: len(part) // 8 * 8], "<u8")
         total += int(whole.sum(dtype=np.uint64))
@@ -49,15 +48,18 @@ def oshash_of(content: bytes) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _oshash(content: pd.Series) -> pd.Series:
-    return content.map(lambda c: None if c is None else oshash_of(bytes(c)))
+def _oshash(size: pd.Series, head: pd.Series, tail: pd.Series) -> pd.Series:
+    whole = lambda n, a, b: [bytes(a), bytes(b)] if n >= ENDS else [bytes(a)]
+    return pd.Series([None if a is None else oshash_of(int(n), whole(n, a, b)) for n, a, b in zip(size, head, tail, strict=True)])
 
 
 def file_oshash(contents: DataFrame) -> DataFrame:
-    return contents.select("path", _oshash("content").alias("oshash"))
+    """path, oshash; contents: path, length, content. Only the two ends go to Python."""
+    head, tail = F.substring("content", 1, ENDS), F.substring("content", -ENDS, ENDS)
+    return contents.select("path", _oshash("length", head, tail).alias("oshash"))
 
 
-_PROBE = "format struct<format_name:string,duration:string,bit_rate:string,tags:map<string,string>>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,r_frame_rate:string,avg_frame_rate:string,tags:map<string,string>>>"
+_PROBE = "format struct<format_name:string,duration:string,bit_rate:string,tags:map<string,string>>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string>>"
 
 
 def _tag(tags: Column, keys: tuple[str, ...]) -> Column:
@@ -72,9 +74,9 @@ def _tag(tags: Column, keys: tuple[str, ...]) -> Column:
 
 
 def _rate(text: Column) -> Column:
-    """A fraction as a number; null if its denominator is 0."""
-    a, b = (F.try_element_at(F.split(text, "/"), F.lit(i)).try_cast("double") for i in (1, 2))
-    return F.when(F.coalesce(b, F.lit(1.0)) != 0, a / F.coalesce(b, F.lit(1.0)))
+    """A fraction ``a/b`` as a number; null if it is none or its denominator is 0."""
+    a, b = (F.regexp_extract(text, "^([^/]*)/(.*)$", i).try_cast("double") for i in (1, 2))
+    return F.when(b != 0, a / b)
 
 
 def parse_probe_json(df: DataFrame, column: str) -> DataFrame:
@@ -82,4 +84,4 @@ def parse_probe_json(df: DataFrame, column: str) -> DataFrame:
     p = F.from_json(F.col(column), _PROBE)
     video = F.try_element_at(F.filter(p["streams"], lambda s: s["codec_type"] == "video"), F.lit(1))
     tags = p["format"]["tags"]
-    return df.withColumn("probe", F.struct(p["format"]["format_name"].alias("format_name"), p["format"]["duration"].try_cast("double").alias("duration"), video["width"].alias("width"), video["height"].alias("height"), video["codec_name"].alias("codec"), F.coalesce(_rate(video["avg_frame_rate"]), _rate(video["r_frame_rate"])).alias("fps"), p["format"]["bit_rate"].try_cast("long").alias("bitrate"), _tag(tags, ("title",)).alias("title"), _tag(tags, ("artist", "performer", "album_artist")).alias("artist"), _tag(tags, ("comment", "description", "synopsis")).alias("comment")))
+    return df.withColumn("probe", F.struct(p["format"]["format_name"].alias("format_name"), p["format"]["duration"].try_cast("double").alias("duration"), video["width"].alias("width"), video["height"].alias("height"), video["codec_name"].alias("codec"), _rate(video["avg_frame_rate"]).alias("fps"), p["format"]["bit_rate"].try_cast("long").alias("bitrate"), _tag(tags, ("title",)).alias("title"), _tag(tags, ("artist", "author", "performer")).alias("artist"), _tag(tags, ("comment", "description", "synopsis")).alias("comment")))

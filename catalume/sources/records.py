@@ -29,32 +29,43 @@ def read_foreign_catalog(fingerprints: DataFrame, file_links: DataFrame, records
 
 
 def parse_cues(df: DataFrame, column: str, key: str = "file_id") -> DataFrame:
-    """Cues of WebVTT text: key, start, end, x, y, w, h; one without a cell is left out."""
-    blocks = df.select(key, F.posexplode(F.split(F.regexp_replace(column, "\r", ""), "\n\n+")).alias("nth", "block"))
-    pattern = r"([0-9:.]+)\s+-->\s+([0-9:.]+)[^\n]*\n[^\n]*#xywh=([0-9]+),([0-9]+),([0-9]+),([0-9]+)"
+    """Cues of WebVTT text: key, start, end, x, y, w, h; a timing line whose next line has no cell is left out."""
+    clock = r"[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]+"
+    pattern = rf"({clock})[ \t]*-->[ \t]*({clock})[^\n]*\n[^\n]*#xywh=([0-9]+),([0-9]+),([0-9]+),([0-9]+)"
+    found = df.select(key, F.explode(F.regexp_extract_all(F.regexp_replace(column, "\r\n", "\n"), F.lit(pattern), F.lit(0))).alias("block"))
     part = lambda k: F.regexp_extract("block", pattern, k)
     cell = [part(k).cast("int").alias(c) for k, c in zip((3, 4, 5, 6), "xywh", strict=True)]
-    return blocks.where(F.col("block").rlike(pattern)).select(key, parse_vtt_time(part(1)).alias("start"), parse_vtt_time(part(2)).alias("end"), *cell)
+    return found.select(key, parse_vtt_time(part(1)).alias("start"), parse_vtt_time(part(2)).alias("end"), *cell)
 
 
 def write_cues(cues: DataFrame, sprite: str = "sprite.jpg", key: str = "file_id") -> DataFrame:
-    """WebVTT text of each file's cues."""
-    line = F.concat(vtt_time(F.col("start")), F.lit(" --> "), vtt_time(F.col("end")), F.lit(f"\n{sprite}#xywh="), F.concat_ws(",", *[F.col(c).cast("string") for c in "xywh"]))
+    """WebVTT text of each file's cues, each named by its start."""
+    line = F.concat(vtt_time(F.col("start")), F.lit("\n"), vtt_time(F.col("start")), F.lit(" --> "), vtt_time(F.col("end")), F.lit(f"\n{sprite}#xywh="), F.concat_ws(",", *[F.col(c).cast("string") for c in "xywh"]))
     ordered = F.sort_array(F.collect_list(F.struct(F.col("start"), line.alias("line"))))
     return cues.groupBy(key).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(ordered, lambda s: s["line"]), "\n\n"), F.lit("\n")).alias("vtt"))
 
 
-_VIEW = "search string, favoritesOnly boolean, minFavorite int, unplayedOnly boolean, identifiedOnly boolean, needsReviewOnly boolean, ignoreState string, minDurationMin double, maxDurationMin double, minHeight int, minTags int, minPeople int, folders array<string>, tagIds array<string>, tagMode string, excludeTagIds array<string>, sort string, invert boolean"
+# The fields of a saved view as they are stored.
+_VIEW = "search string, searchInverse boolean, sort string, minFavorite int, tagIds array<string>, excludeTagIds array<string>, tagMatchAny boolean, performerIds array<string>, excludePerformerIds array<string>, studioIds array<string>, excludeStudioIds array<string>, minDurationMins double, maxDurationMins double, unplayedOnly boolean, minTagCount int, identifiedOnly boolean, needsReviewOnly boolean, ignoreState string, folderPaths array<string>, minHeight int, minPerformerCount int"
+#: Column of the parsed view for each stored field, by its kind.
+_FLAGS = {"inverse": "searchInverse", "tags_any": "tagMatchAny", "unplayed_only": "unplayedOnly", "identified_only": "identifiedOnly", "needs_review_only": "needsReviewOnly"}
+_NUMBERS = {"min_favorite": "minFavorite", "min_tags": "minTagCount", "min_people": "minPerformerCount", "min_height": "minHeight"}
+_LISTS = {"tags": "tagIds", "exclude_tags": "excludeTagIds", "people": "performerIds", "exclude_people": "excludePerformerIds", "studios": "studioIds", "exclude_studios": "excludeStudioIds", "folders": "folderPaths"}
 
 
 def parse_saved_view(df: DataFrame, name: str = "name", payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Saved views as typed filters with defaults (minutes as seconds), and the rows without name or with a payload that is no JSON object."""
+    """Saved views with a struct ``view``, and the rows without name or with a payload that is no JSON object.
+
+    Missing fields are off: "", 0, false or empty. Durations are seconds; ignored is null (any), true or false.
+    """
     parsed = df.withColumn("__ok", F.schema_of_variant(F.try_parse_json(F.col(payload))).startswith("OBJECT"))
     good = F.coalesce(F.col("__ok") & (F.trim(name) != ""), F.lit(False))
     v = F.from_json(F.col(payload), _VIEW)
-    off = lambda c: F.coalesce(v[c], F.lit(False)).alias(c)
-    state = F.when(v["ignoreState"] == "only", True).when(v["ignoreState"] == "hide", False)
-    view = F.struct(F.coalesce(v["search"], F.lit("")).alias("search"), off("favoritesOnly"), off("unplayedOnly"), off("identifiedOnly"), off("needsReviewOnly"), off("invert"), F.coalesce(v["minFavorite"], F.lit(0)).alias("minFavorite"), state.alias("ignored"), (F.coalesce(v["minDurationMin"], F.lit(0.0)) * 60).alias("minDuration"), (F.coalesce(v["maxDurationMin"], F.lit(0.0)) * 60).alias("maxDuration"), *[F.coalesce(v[c], F.lit(0)).alias(c) for c in ("minHeight", "minTags", "minPeople")], *[F.coalesce(v[c], F.array().cast("array<string>")).alias(c) for c in ("folders", "tagIds", "excludeTagIds")], F.coalesce(v["tagMode"], F.lit("all")).alias("tagMode"), F.coalesce(v["sort"], F.lit("created")).alias("sort"))
+    default = lambda fields, value: [F.coalesce(v[f], value).alias(c) for c, f in fields.items()]
+    seconds = [(F.coalesce(v[f"{m}DurationMins"], F.lit(0.0)) * 60).alias(f"{m}_duration") for m in ("min", "max")]
+    ignored = F.when(v["ignoreState"] == "ignored", True).when(v["ignoreState"] == "not_ignored", False).alias("ignored")
+    texts = [F.coalesce(v["search"], F.lit("")).alias("search"), F.coalesce(v["sort"], F.lit("created")).alias("sort")]
+    view = F.struct(*texts, *default(_FLAGS, F.lit(False)), *default(_NUMBERS, F.lit(0)), *default(_LISTS, F.array().cast("array<string>")), *seconds, ignored)
     return parsed.where(good).withColumn("view", view).drop("__ok"), parsed.where(~good).drop("__ok")
 
 
