@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.plays import COOLED, cooldown_size
+
 
 def collection_counts(collections: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
     """Items of each collection whose asset has a file; those without items too."""
@@ -64,11 +66,27 @@ def weighted_shuffle(items: DataFrame, seed: str, key: str = "asset_id", weight:
     return items.orderBy(draw_key(F.col(key), F.greatest(F.col(weight), F.lit(1)).cast("double"), seed), key)
 
 
-def weighted_pick(items: DataFrame, seed: str, k: int, group: str, key: str = "asset_id", weight: str = "weight") -> DataFrame:
-    """k items of each group, drawn without replacement by weight (0.05 at least), with the order drawn in (nth, from 1)."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("__draw", key))
-    drawn = items.withColumn("__draw", draw_key(F.col(key), F.greatest(F.col(weight).cast("double"), F.lit(0.05)), seed))
-    return drawn.withColumn("nth", nth).where(F.col("nth") <= k).drop("__draw")
+def weighted_pick(items: DataFrame, seed: str, k: int, group: str, key: str = "asset_id", weight: str = "weight", passes: int = 1, excluded: DataFrame | None = None) -> DataFrame:
+    """k draws of each group by weight (0.05 at least), with their order (nth, from 1).
+
+    A pass draws all items of the group without replacement; the next one, up to ``passes``, starts anew with
+    the items played last (as many as rest, see ``cooldown_size``) cooled to 0.12 of their weight.
+    excluded: group and key of items that are skipped.
+    """
+    if excluded is not None:
+        items = items.join(excluded.select(F.col(group).alias("__g"), F.col(key).alias("__k")), (F.col(group) == F.col("__g")) & (F.col(key) == F.col("__k")), "left_anti")
+    base = F.col(weight).cast("double")
+    out = items.withColumn("__n", F.count("*").over(Window.partitionBy(group)))
+    for p in range(passes):
+        w = base
+        if p:
+            cooled = F.col(f"__nth{p - 1}") > F.col("__n") - cooldown_size(F.col("__n"))
+            w = base * F.when(cooled, COOLED).otherwise(1.0)
+        out = out.withColumn("__draw", draw_key(F.col(key), F.greatest(w, F.lit(0.05)), f"{seed}|{p}" if p else seed))
+        out = out.withColumn(f"__nth{p}", F.row_number().over(Window.partitionBy(group).orderBy("__draw", key)))
+    nths = F.array(*[F.col(f"__nth{p}") + p * F.col("__n") for p in range(passes)])
+    drawn = out.withColumn("nth", F.explode(nths)).where(F.col("nth") <= k)
+    return drawn.select(*items.columns, F.col("nth").cast("int").alias("nth"))
 
 
 def add_links(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,8 @@ THRESHOLD = 8
 #: Thresholds from which bands get too narrow, so that hashes are compared block by block.
 WIDEST = 12
 BLOCKS = 64
+#: Distinct hashes of a group that are compared together.
+GROUP_BLOCK = 1000
 
 
 def _bands(threshold: int) -> list[tuple[int, int]]:
@@ -71,7 +73,11 @@ def duplicate_groups(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 def duplicate_group_summary(groups: DataFrame) -> DataFrame:
     """Per group its members, their number and the greatest distance of two of them (which may exceed the threshold); largest first."""
     distinct = groups.select("group", "hash").distinct()
-    far = distinct.withColumnRenamed("hash", "a").join(distinct.withColumnRenamed("hash", "b"), "group").where("a < b").groupBy("group").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("max_distance"))
+    # Large groups are compared in cells of two blocks of hashes, so that no task gets a whole one.
+    blocks = distinct.groupBy("group").agg(F.ceil(F.count("*") / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
+    placed = distinct.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("group", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "hash")
+    far = cells.withColumnRenamed("hash", "a").join(cells.withColumnRenamed("hash", "b"), ["group", "low", "high"]).where("a < b").groupBy("group").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("max_distance"))
     sizes = groups.groupBy("group").agg(F.count("*").alias("n_members"), F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), "|").alias("group_key"))
     return sizes.join(far, "group", "left").select("group_key", "n_members", F.coalesce("max_distance", F.lit(0)).alias("max_distance")).orderBy(F.desc("n_members"), "group_key")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.like import ascii_lower
+from ..catalog import Catalog
 from ..functions.names import bracket_studios, folder_hints, normalize_for_match, path_haystack, pretty_tag, stem, tag_candidates, title_from_path
 
 #: Characters that a name must have to be looked for.
@@ -98,20 +98,25 @@ def backfill_titles(assets: DataFrame, representative: DataFrame) -> DataFrame:
 
 
 def embedded_people(artist: Column) -> Column:
-    """Names in an artist field: parted by / ; , and &, trimmed, of two characters or more."""
-    return F.array_distinct(F.filter(F.transform(F.split(artist, "[/;,&]"), lambda x: F.trim(x)), lambda n: F.char_length(n) >= 2))
+    """Names in an artist field: parted by / ; , and &, trimmed, of two bytes or more."""
+    return F.array_distinct(F.filter(F.transform(F.split(artist, "[/;,&]"), lambda x: F.trim(x)), lambda n: F.octet_length(n) >= 2))
 
 
-def apply_embedded(assets: DataFrame, embedded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assets with embedded title and comment (asset_id, title, artist, comment), and (asset_id, name) of the people in them."""
+def apply_embedded(catalog: Catalog, embedded: DataFrame) -> Catalog:
+    """The catalog with embedded title and comment (asset_id, title, artist, comment) in the assets and the
+    artists found or made as people and linked; blanks overwrite nothing."""
+    from .identify import link_names
+
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     e = embedded.select(F.col("asset_id").alias("__a"), blank("title").alias("__title"), blank("comment").alias("__details"))
+    assets = catalog.assets
     j = assets.join(e, F.col("id") == F.col("__a"), "left")
     for c in ("title", "details"):
         if f"{c}_source" in assets.columns:
             j = j.withColumn(f"{c}_source", F.when(F.col(f"__{c}").isNotNull(), "embedded").otherwise(F.col(f"{c}_source")))
         j = j.withColumn(c, F.coalesce(f"__{c}", c))
-    return j.select(*assets.columns), embedded.select("asset_id", F.explode(embedded_people(F.col("artist"))).alias("name"))
+    pairs = embedded.select("asset_id", F.explode(embedded_people(F.col("artist"))).alias("name"))
+    return catalog.but(assets=j.select(*assets.columns), **link_names(catalog, pairs, "people", "asset_people", "person_id")[0])
 
 
 def best_cover(images: Column) -> Column:
@@ -124,7 +129,3 @@ def dictionary_of(studios: DataFrame, people: DataFrame, tags: DataFrame) -> Dat
     """(kind, dim_id, name) of three dimensions."""
     one = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("dim_id"), "name")
     return one(studios, "studio").unionByName(one(people, "person")).unionByName(one(tags, "tag"))
-
-
-def names_equal(a: Column, b: Column) -> Column:
-    return ascii_lower(F.trim(a)) == ascii_lower(F.trim(b))

@@ -34,6 +34,7 @@ def match_by_fingerprint(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 def provider_waterfall(matches: DataFrame, providers: DataFrame) -> DataFrame:
     """Per asset the matches of the first provider that has any. matches: asset_id, provider_id, ...; providers: provider_id, rank, from 0 for the active one."""
+    # Providers are a handful of presets.
     ranked = matches.join(F.broadcast(providers), "provider_id")
     first = ranked.groupBy("asset_id").agg(F.min("rank").alias("rank"))
     return ranked.join(first, ["asset_id", "rank"], "left_semi").drop("rank")
@@ -52,16 +53,19 @@ def title_search_fallback(terms: DataFrame, matched: DataFrame, candidates: Data
     """(asset_id, remote_id, nth) for assets without a match: records of whose title or code all words of
     the term are part; the shortest titles first, 15 at most, then repeated ids dropped.
 
-    terms: asset_id, term; candidates: remote_id, title, code. Words meet by equality, so nothing is compared pairwise.
+    terms: asset_id, term; candidates: remote_id, title, code. Each distinct term is looked up once, by the
+    one of its words that the fewest records have; a term with a word that no record has finds nothing.
     """
     open_ = terms.join(matched.select(F.col("asset_id").alias("__m")), F.col("asset_id") == F.col("__m"), "left_anti")
-    words = open_.select("asset_id", F.explode(F.array_distinct(tokenize_alnum(F.col("term")))).alias("word"))
-    asked = words.groupBy("asset_id").agg(F.count("*").alias("asked"))
-    texts = candidates.select("remote_id", F.coalesce("title", F.lit("")).alias("title"), F.explode(F.array_distinct(tokenize_alnum(F.concat_ws(" ", "title", "code")))).alias("word"))
-    hits = words.join(texts, "word").groupBy("asset_id", "remote_id", "title").agg(F.count("*").alias("found"))
-    order = Window.partitionBy("asset_id").orderBy(F.char_length("title"), "remote_id")
-    all_ = hits.join(asked, "asset_id").where("found = asked").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEARCHED)
-    return all_.groupBy("asset_id", "remote_id").agg(F.min("nth").alias("nth"))
+    asked = open_.select("term").distinct().withColumn("words", F.array_distinct(tokenize_alnum(F.col("term")))).where(F.size("words") > 0)
+    texts = candidates.select("remote_id", F.coalesce("title", F.lit("")).alias("title"), F.array_distinct(tokenize_alnum(F.concat_ws(" ", "title", "code"))).alias("has"))
+    each = texts.select("remote_id", "title", "has", F.explode("has").alias("word"))
+    known = each.groupBy("word").agg(F.count("*").alias("n"))
+    rare = asked.select("term", "words", F.explode("words").alias("word")).join(known, "word", "left").groupBy("term", "words").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
+    hits = rare.join(each, "word").where(F.size(F.array_except("words", "has")) == 0)
+    order = Window.partitionBy("term").orderBy(F.char_length("title"), "remote_id")
+    best = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEARCHED).groupBy("term", "remote_id").agg(F.min("nth").alias("nth"))
+    return open_.select("asset_id", "term").distinct().join(best, "term").select("asset_id", "remote_id", "nth")
 
 
 def drop_rejected(matches: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -152,10 +156,14 @@ def reject_matches(rejected: DataFrame, new: DataFrame) -> DataFrame:
     return rejected.select(*keys).unionByName(new.select(*keys)).distinct()
 
 
-def dismiss_review(catalog: Catalog, ids: DataFrame, listed: DataFrame, now: Column) -> Catalog:
-    """Assets out of review, with what was listed for them rejected."""
-    out = _updated(catalog.assets, ids.select("asset_id").distinct(), {"match_count": F.lit(0), "checked_at": now})
-    return catalog.but(assets=out, rejected_matches=reject_matches(catalog.rejected_matches, listed.join(ids.select("asset_id").distinct(), "asset_id", "left_semi")))
+def dismiss_review(catalog: Catalog, ids: DataFrame, listed: DataFrame, provider: str, now: Column) -> Catalog:
+    """Assets that were looked at and get none of what was listed for them (asset_id, remote_id): ignored and
+    checked now, without match, and the listed records of the provider rejected; blank ids are left out."""
+    one = ids.select("asset_id").distinct()
+    null = F.lit(None)
+    out = _updated(catalog.assets, one, {"match_count": F.lit(0), "ignored_at": now, "applied_at": null, "remote_id": null, "checked_at": now})
+    gone = listed.join(one, "asset_id", "left_semi").select("asset_id", F.lit(provider).alias("provider_id"), F.trim(F.col("remote_id").cast("string")).alias("remote_id")).where("remote_id != ''")
+    return catalog.but(assets=out, rejected_matches=reject_matches(catalog.rejected_matches, gone))
 
 
 def apply_matches(catalog: Catalog, chosen: DataFrame, now: Column, fields: tuple[str, ...] = ("title", "details", "studio", "people", "tags", "cover")) -> Catalog:
@@ -164,7 +172,6 @@ def apply_matches(catalog: Catalog, chosen: DataFrame, now: Column, fields: tupl
     chosen: asset_id, provider_id, remote_id, title, details, studio, people array, tags array, images array of
     (url, width). A blank title or details that is taken becomes null. Links are added, none is removed.
     """
-    from .collections import add_links
     from .enrich import best_cover
 
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
@@ -174,7 +181,7 @@ def apply_matches(catalog: Catalog, chosen: DataFrame, now: Column, fields: tupl
         if c in fields:
             values |= {c: blank(F.col(f"__{c}")), f"{c}_source": F.col("__provider_id")}
     if "cover" in fields:
-        values["cover_path"] = F.coalesce("__cover", "cover_path")
+        values |= {"cover_path": F.coalesce("__cover", "cover_path"), "cover_source": F.when(F.col("__cover").isNotNull(), F.col("__provider_id")).otherwise(F.col("cover_source") if "cover_source" in catalog.assets.columns else F.lit(None))}
     out: dict[str, DataFrame] = {}
     if "studio" in fields:
         named, new = resolve_names(chosen.select(F.col("studio").alias("name")), catalog.studios, "studio")
@@ -184,51 +191,78 @@ def apply_matches(catalog: Catalog, chosen: DataFrame, now: Column, fields: tupl
         values["studio_id"] = F.coalesce("__sid", F.col("studio_id").cast("string"))
     for field, dim, link, key in (("people", "people", "asset_people", "person_id"), ("tags", "tags", "asset_tags", "tag_id")):
         if field in fields:
-            pairs = chosen.select("asset_id", F.explode(field).alias("name"))
-            named, new = resolve_names(pairs.select("name"), getattr(catalog, dim), dim)
-            out[dim] = getattr(catalog, dim).select(F.col("id").cast("string").alias("id"), "name").unionByName(new)
-            links = pairs.withColumn("name", F.trim("name")).join(named, "name").select("asset_id", F.col("dim_id").alias(key))
-            out[link] = add_links(getattr(catalog, link).select("asset_id", F.col(key).cast("string").alias(key)), links)[0]
+            out |= link_names(catalog, chosen.select("asset_id", F.explode(field).alias("name")), dim, link, key)[0]
     assets = catalog.assets.withColumn("studio_id", F.col("studio_id").cast("string")) if "studio" in fields else catalog.assets
     return catalog.but(assets=_updated(assets, picked, values), **out)
 
 
-def clear_identify(catalog: Catalog, ids: DataFrame, providers: tuple[str, ...], now: Column, strip_links: bool = False, ignore: bool = False) -> Catalog:
-    """What providers gave is taken back: title from the path, details and cover empty, studio always; the record applied is rejected."""
+def clear_identify(catalog: Catalog, ids: DataFrame, providers: tuple[str, ...], provider: str, now: Column, clear_metadata: bool = True, strip_links: bool = False, ignore: bool = False) -> Catalog:
+    """What providers gave is taken back: title from the path, details and cover empty and manual, studio
+    always; with ``strip_links`` all links go. The record that was applied is rejected for ``provider``.
+
+    ids: asset_id, and remote_id if another record than the applied one is to be rejected. providers: the sources that count as given.
+    """
     from ..functions.names import title_from_path
 
     rep = representative_file(catalog.files).select(F.col("asset_id").alias("__r"), title_from_path(F.col("path")).alias("__title"))
-    picked = ids.select("asset_id").distinct().join(rep, F.col("asset_id") == F.col("__r"), "left").drop("__r")
-    given = lambda c: F.coalesce(F.col(f"{c}_source").isin(*providers), F.lit(False))
-    values = {
-        "title": F.when(given("title"), F.col("__title")).otherwise(F.col("title")),
-        "title_source": F.when(given("title"), F.when(F.col("__title").isNotNull(), "filename").otherwise("manual")).otherwise(F.col("title_source")),
-        "details": F.when(~given("details"), F.col("details")),
-        "details_source": F.when(~given("details"), F.col("details_source")),
-        "cover_path": F.when(~given("cover"), F.col("cover_path")),
-        "studio_id": F.lit(None), "match_count": F.lit(0), "applied_at": F.lit(None), "remote_id": F.lit(None), "ignored_at": now if ignore else F.lit(None),
-    }
-    was = catalog.assets.join(ids.select(F.col("asset_id").alias("__i")).distinct(), F.col("id") == F.col("__i"), "left_semi").where("remote_id is not null").select(F.col("id").alias("asset_id"), F.col("title_source").alias("provider_id"), "remote_id")
-    tables = {"assets": _updated(catalog.assets, picked, values), "rejected_matches": reject_matches(catalog.rejected_matches, was.where("provider_id is not null"))}
+    asked = F.max(F.trim(F.col("remote_id").cast("string"))) if "remote_id" in ids.columns else F.lit(None).cast("string")
+    one = ids.groupBy("asset_id").agg(asked.alias("__asked"))
+    picked = one.join(rep, F.col("asset_id") == F.col("__r"), "left").drop("__r")
+    given = lambda c: F.coalesce(F.trim(f"{c}_source").isin(*providers), F.lit(False))
+    null = F.lit(None)
+    values = {"match_count": F.lit(0), "applied_at": null, "remote_id": null, "ignored_at": now if ignore else null}
+    if clear_metadata:
+        values |= {
+            "title": F.when(given("title"), F.col("__title")).otherwise(F.col("title")),
+            "title_source": F.when(given("title"), F.when(F.col("__title").isNotNull(), "filename").otherwise("manual")).otherwise(F.col("title_source")),
+            "studio_id": null,
+        }
+        for value, c in (("details", "details"), ("cover_path", "cover")):
+            if f"{c}_source" in catalog.assets.columns:
+                values |= {value: F.when(~given(c), F.col(value)), f"{c}_source": F.when(given(c), "manual").otherwise(F.col(f"{c}_source"))}
+    was = catalog.assets.join(one.select(F.col("asset_id").alias("__i"), "__asked"), F.col("id") == F.col("__i")).select(F.col("id").alias("asset_id"), F.lit(provider).alias("provider_id"), F.coalesce(F.when(F.col("__asked") != "", F.col("__asked")), F.col("remote_id").cast("string")).alias("remote_id"))
+    tables = {"assets": _updated(catalog.assets, picked, values), "rejected_matches": reject_matches(catalog.rejected_matches, was.where("remote_id != ''"))}
     if strip_links:
-        one = ids.select(F.col("asset_id").alias("__i")).distinct()
-        tables |= {t: getattr(catalog, t).join(one, F.col("asset_id") == F.col("__i"), "left_anti") for t in ("asset_tags", "asset_people")}
+        gone = ids.select(F.col("asset_id").alias("__i")).distinct()
+        tables |= {t: getattr(catalog, t).join(gone, F.col("asset_id") == F.col("__i"), "left_anti") for t in ("asset_tags", "asset_people")}
     return catalog.but(**tables)
 
 
-def import_metadata(assets: DataFrame, foreign: DataFrame) -> DataFrame:
-    """Assets with foreign title, details and studio (asset_id, title, details, studio_id) where these aren't blank, and whether a row changed."""
-    f = foreign.select(F.col("asset_id").alias("__a"), *[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)).alias(f"__{c}") for c in ("title", "details", "studio_id")])
-    j = assets.join(f, F.col("id") == F.col("__a"), "left")
-    changed = F.lit(False)
-    for c in ("title", "details", "studio_id"):
-        changed |= F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c))
-    j = j.withColumn("changed", changed).withColumns({c: F.coalesce(f"__{c}", c) for c in ("title", "details", "studio_id")})
-    if "title_source" in assets.columns:
-        j = j.withColumns({f"{c}_source": F.when(F.col(f"__{c}").isNotNull(), "import").otherwise(F.col(f"{c}_source")) for c in ("title", "details")})
-    return j.select(*assets.columns, "changed", F.col("__a").isNotNull().alias("matched"))
+def link_names(catalog: Catalog, pairs: DataFrame, dim: str, link: str, key: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The dimension and link table with the names of ``pairs`` (asset_id, name) found or made and linked, and the links that are new."""
+    from .collections import add_links
+
+    named, new = resolve_names(pairs.select("name"), getattr(catalog, dim), dim)
+    rows = getattr(catalog, dim).select(F.col("id").cast("string").alias("id"), "name").unionByName(new)
+    wanted = pairs.select("asset_id", F.trim("name").alias("name")).join(named, "name").select("asset_id", F.col("dim_id").alias(key))
+    links, fresh = add_links(getattr(catalog, link).select("asset_id", F.col(key).cast("string").alias(key)), wanted)
+    return {dim: rows, link: links}, fresh
+
 
+def import_metadata(catalog: Catalog, foreign: DataFrame) -> tuple[Catalog, DataFrame]:
+    """The catalog with foreign records written into it, and (asset_id, changed) for each asset that has one.
 
-def import_summary(imported: DataFrame) -> DataFrame:
+    foreign: asset_id, title, details, studio, people array, tags array; one row an asset. Blanks overwrite
+    nothing; people and tags are added. Changed is an asset that got any title, details or studio, be it the same, or a new link.
+    """
+    blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string")))
+    f = foreign.select("asset_id", *[blank(c).alias(f"__{c}") for c in ("title", "details", "studio")])
+    named, new = resolve_names(f.select(F.col("__studio").alias("name")), catalog.studios, "studio")
+    f = f.join(named.select(F.col("name").alias("__n"), F.col("dim_id").alias("__sid")), F.col("__studio") == F.col("__n"), "left").drop("__n")
+    tables = {"studios": catalog.studios.select(F.col("id").cast("string").alias("id"), "name").unionByName(new)}
+    touched = f.select("asset_id", F.coalesce("__title", "__details", "__studio").isNotNull().alias("changed"))
+    for field, dim, link, key in (("people", "people", "asset_people", "person_id"), ("tags", "tags", "asset_tags", "tag_id")):
+        made, fresh = link_names(catalog, foreign.select("asset_id", F.explode(field).alias("name")), dim, link, key)
+        tables |= made
+        touched = touched.unionByName(fresh.select("asset_id", F.lit(True).alias("changed")))
+    values = {c: F.coalesce(f"__{c}", c) for c in ("title", "details")}
+    values |= {f"{c}_source": F.when(F.col(f"__{c}").isNotNull(), "import").otherwise(F.col(f"{c}_source")) for c in ("title", "details") if f"{c}_source" in catalog.assets.columns}
+    values["studio_id"] = F.coalesce("__sid", F.col("studio_id").cast("string"))
+    assets = catalog.assets.withColumn("studio_id", F.col("studio_id").cast("string"))
+    known = touched.join(catalog.assets.select("id"), F.col("asset_id") == F.col("id"), "left_semi")
+    return catalog.but(assets=_updated(assets, f, values), **tables), known.groupBy("asset_id").agg(F.max("changed").alias("changed"))
+
+
+def import_summary(outcome: DataFrame) -> DataFrame:
     """matched, updated and skipped assets of an import."""
-    return imported.agg(F.count_if("matched").alias("matched"), F.count_if("changed").alias("updated"), F.count_if(F.col("matched") & ~F.col("changed")).alias("skipped"))
+    return outcome.agg(F.count("*").alias("matched"), F.count_if("changed").alias("updated"), F.count_if(~F.col("changed")).alias("skipped"))

@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..functions.paths import is_under, normalize_path
+from ..functions.paths import is_under, normalize_path, path_and_above, root_key
 
 #: Hashes that are kept of a file while its content stays.
 CONTENT_HASHES = ("md5", "phash")
+#: Roots that are broadcast at most.
+FEW_ROOTS = 100
 
 
 def inventory_diff(listing: DataFrame, files: DataFrame) -> DataFrame:
     """path and status (unchanged, updated, added, removed) with the old id and asset and the new size and time.
 
-    listing: path, size, mtime; files: id, asset_id, path, size_bytes, modified_at. Paths meet in their normal form.
+    listing: path, size, mtime; files: id, asset_id, path, size_bytes, modified_at. Paths meet in their normal form;
+    where several listed ones share it, the greatest size and time count.
     """
-    new = listing.select(normalize_path(F.col("path")).alias("path"), "size", "mtime").dropDuplicates(["path"])
+    new = listing.groupBy(normalize_path(F.col("path")).alias("path")).agg(F.max(F.struct("size", "mtime")).alias("s"), F.lit(True).alias("__listed")).select("path", "s.*", "__listed")
     old = files.select(normalize_path(F.col("path")).alias("path"), F.col("id").alias("file_id"), "asset_id", "size_bytes", "modified_at")
     both = new.join(old, "path", "full_outer")
     same = F.col("size").eqNullSafe(F.col("size_bytes")) & F.col("mtime").eqNullSafe(F.col("modified_at"))
-    status = F.when(F.col("file_id").isNull(), "added").when(F.col("size").isNull() & F.col("mtime").isNull(), "removed").when(same, "unchanged").otherwise("updated")
+    status = F.when(F.col("file_id").isNull(), "added").when(F.col("__listed").isNull(), "removed").when(same, "unchanged").otherwise("updated")
     return both.select("path", status.alias("status"), "file_id", "asset_id", "size", "mtime")
 
 
@@ -33,16 +36,26 @@ def detect_moves(added: DataFrame, fingerprints: DataFrame, files: DataFrame) ->
     return added.join(known, "oshash", "left").select(*added.columns, F.coalesce(F.col("__asset").cast("string"), own).alias("asset_id"), F.col("__asset").isNotNull().alias("known"))
 
 
-def under_root(files: DataFrame, roots: DataFrame) -> DataFrame:
-    """The files at or below any root (column path). Roots are few; they are the broadcast side of the join."""
+def _by_root(files: DataFrame, roots: DataFrame, how: str) -> DataFrame:
+    """Files joined (left_semi or left_anti) with the roots above them. A few roots are broadcast; more of them
+    meet the folders above each file by equality, so that no file is compared with every root."""
     r = roots.select(F.col("path").alias("__root")).distinct()
-    return files.join(r, is_under(F.col("path"), F.col("__root")), "left_semi")
+    if r.count() <= FEW_ROOTS:
+        return files.join(F.broadcast(r), is_under(F.col("path"), F.col("__root")), how)
+    paths = files.select(F.col("path").alias("__path")).distinct()
+    above = paths.select("__path", F.explode(path_and_above(F.col("__path"))).alias("__key"))
+    below = above.join(r.select(root_key(F.col("__root")).alias("__key")).distinct(), "__key", "left_semi").select("__path").distinct()
+    return files.join(below, F.col("path") == F.col("__path"), how)
+
+
+def under_root(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """The files at or below any root (column path)."""
+    return _by_root(files, roots, "left_semi")
 
 
 def protect_offline_roots(removed: DataFrame, roots: DataFrame) -> DataFrame:
     """Removed files but those under a root that isn't accessible now."""
-    away = roots.where(~F.col("accessible")).select(F.col("path").alias("__root"))
-    return removed.join(away, is_under(F.col("path"), F.col("__root")), "left_anti")
+    return _by_root(removed, roots.where(~F.col("accessible")), "left_anti")
 
 
 def upsert_fingerprints(fingerprints: DataFrame, changes: DataFrame) -> DataFrame:

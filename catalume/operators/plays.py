@@ -21,7 +21,7 @@ def forward_watch_time(samples: DataFrame) -> DataFrame:
     before = lambda c: F.lag(c).over(order)
     step = F.col("pos") - before("pos")
     counted = ~F.col("paused") & ~F.coalesce(before("paused"), F.lit(True)) & (step > 0) & (step <= LONGEST_STEP)
-    return samples.withColumn("__step", F.when(counted, step).otherwise(0.0)).groupBy("load_id").agg(F.first("asset_id").alias("asset_id"), F.sum("__step").alias("watched"), F.max("duration").alias("duration"), F.max("ts").alias("ts"), F.max(F.coalesce("eof", F.lit(False))).alias("eof"))
+    return samples.withColumn("__step", F.when(counted, step).otherwise(0.0)).groupBy("load_id").agg(F.min("asset_id").alias("asset_id"), F.sum("__step").alias("watched"), F.max("duration").alias("duration"), F.max("ts").alias("ts"), F.max(F.coalesce("eof", F.lit(False))).alias("eof"))
 
 
 def play_events(samples: DataFrame) -> DataFrame:

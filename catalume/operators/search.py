@@ -207,7 +207,8 @@ def filter_assets(catalog: Catalog, args: SearchArgs) -> DataFrame:
         a = a.join(ids, a["id"] == ids["asset_id"], "left_semi")
     for ids in drop:
         a = a.join(ids, a["id"] == ids["asset_id"], "left_anti")
-    f = representative_file(catalog.files)
+    ids = a.select(F.col("id").alias("__id"))
+    f = representative_file(catalog.files.join(ids, F.col("asset_id") == F.col("__id"), "left_semi"))
     f = f.select(F.col("asset_id").alias("__asset"), *[c for c in GRID_FILE if c in f.columns])
     return a.join(f, a["id"] == f["__asset"]).drop("__asset").where(duration_between(args.min_duration, args.max_duration) & min_height(args.min_height))
 

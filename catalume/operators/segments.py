@@ -13,13 +13,15 @@ SECONDS, MOST_CUES, COLUMNS, WIDTH, HEIGHT = 30, 36, 5, 160, 90
 def upsert_segments(segments: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments with the valid changes merged by id, and the changes that are invalid.
 
-    Valid: a finite start from 0 on, an end that is null or not before it. Labels are trimmed; an empty link is null.
+    Valid: a finite start from 0 on, an end that is null or finite and not before it. Labels are trimmed, a null one is
+    empty; an empty link is null. Of several valid changes of one id the greatest by start, end and the rest counts.
     """
     start, end = F.col("start_sec"), F.col("end_sec")
-    ok = F.coalesce(~F.isnan(start) & (start >= 0) & (start < float("inf")) & (end.isNull() | (end >= start)), F.lit(False))
+    ok = F.coalesce(~F.isnan(start) & (start >= 0) & (start < float("inf")) & (end.isNull() | (~F.isnan(end) & (end < float("inf")) & (end >= start))), F.lit(False))
     blank = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)).alias(c)
     columns = ["id", "asset_id", "start_sec", "end_sec", "label", "tag_id", "person_id"]
-    good = changes.where(ok).select("id", "asset_id", "start_sec", "end_sec", F.trim("label").alias("label"), blank("tag_id"), blank("person_id"))
+    good = changes.where(ok).select("id", "asset_id", "start_sec", "end_sec", F.trim(F.coalesce("label", F.lit(""))).alias("label"), blank("tag_id"), blank("person_id"))
+    good = good.groupBy("id").agg(F.max(F.struct(*columns[1:])).alias("s")).select("id", "s.*")
     old = segments.select(*columns).join(good.select(F.col("id").alias("__id")), F.col("id") == F.col("__id"), "left_anti")
     return old.unionByName(good), changes.where(~ok)
 

@@ -19,13 +19,13 @@ def resolution_buckets(files: DataFrame) -> DataFrame:
 
 
 def downscale_plan(assets: DataFrame, files: DataFrame, target: int, mode: str = "replace") -> DataFrame:
-    """Per asset of ``assets`` (id): whether it would be skipped (no file, unknown or no greater height), its new file name, and the bytes saved."""
+    """Per asset of ``assets`` (id): whether it would be skipped (no file, unknown or no greater height), its new file name (null without a file), and the bytes saved."""
     f = latest_file(files).select(F.col("asset_id").alias("__a"), "path", "height", "size_bytes")
     j = assets.select(F.col("id").alias("asset_id")).join(f, F.col("asset_id") == F.col("__a"), "left")
     skip = F.col("__a").isNull() | F.coalesce(F.col("height") <= target, F.lit(True))
     share = F.greatest(F.pow(F.lit(float(target)) / F.col("height"), 2), F.lit(LEAST_SHARE))
     name = rewrite_resolution(F.regexp_extract("path", r"([^\\/]*)$", 1), mode, target)
-    return j.select("asset_id", "height", skip.alias("would_skip"), F.when(~skip, name).alias("new_name"), F.when(~skip, F.floor(F.col("size_bytes") * (1 - share))).otherwise(0).cast("long").alias("bytes_saved"))
+    return j.select("asset_id", "height", skip.alias("would_skip"), name.alias("new_name"), F.when(~skip, F.floor(F.col("size_bytes") * (1 - share))).otherwise(0).cast("long").alias("bytes_saved"))
 
 
 def plan_totals(plan: DataFrame) -> DataFrame:

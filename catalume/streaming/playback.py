@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..catalog import Catalog
 from ..operators.inventory import inventory_diff
 from ..operators.plays import LONGEST_STEP, apply_play_log
 
@@ -51,24 +52,26 @@ def play_event_stream(samples: DataFrame, lateness: str = "10 minutes") -> DataF
     return samples.withWatermark("ts", lateness).groupBy("load_id").applyInPandasWithState(_watch, "load_id long, asset_id long, ts timestamp", "watched double, last double, playing boolean, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttled(rows: pd.DataFrame, interval_ms: int) -> pd.DataFrame:
-    """Reports of one run in order: the first, then one an interval since the last that passed; terminal ones always pass and don't move the clock."""
-    rows = rows.sort_values(["ts", "seq"])
-    keep, last = [], None
-    for ts, terminal in zip(rows["ts"], rows["terminal"], strict=True):
-        due = last is None or (ts - last).total_seconds() * 1000 >= interval_ms
-        keep.append(bool(terminal) or due)
-        if due and not terminal:
-            last = ts
-    return rows[keep]
-
-
 def throttle(progress: DataFrame, interval_ms: int = 200) -> DataFrame:
-    """progress (run_id, seq, ts, terminal, ...) with the reports that pass, run by run."""
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return throttled(rows, interval_ms)
+    """progress (run_id, seq, ts, terminal, ...) with the reports that pass: of each run the first, then one an
+    interval since the last that passed; terminal ones always pass and don't move the clock.
 
-    return progress.groupBy("run_id").applyInPandas(one, progress.schema)
+    Runs are read in order, part by part; only the clock of the run at hand is kept, however long it is.
+    """
+    def pass_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run, last = None, None
+        for rows in batches:
+            keep = []
+            for key, ts, terminal in zip(rows["run_id"], rows["ts"], rows["terminal"], strict=True):
+                if key != run:
+                    run, last = key, None
+                due = last is None or (ts - last).total_seconds() * 1000 >= interval_ms
+                keep.append(bool(terminal) or due)
+                if due and not terminal:
+                    last = ts
+            yield rows[keep]
+
+    return progress.repartition("run_id").sortWithinPartitions("run_id", "ts", "seq").mapInPandas(pass_on, progress.schema)
 
 
 def latest_progress(progress: DataFrame) -> DataFrame:
@@ -89,3 +92,26 @@ def incremental_inventory(listing: DataFrame, files: DataFrame, complete: bool)
     """The diff of a listing against the files; of a partial listing nothing counts as removed."""
     diff = inventory_diff(listing, files)
     return diff if complete else diff.where("status != 'removed'")
+
+
+def listing_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of listings that arrive as Parquet files: path, size, mtime, oshash, complete."""
+    return spark.readStream.schema("path string, size long, mtime timestamp, oshash string, complete boolean").parquet(folder)
+
+
+def apply_listing_stream(read: Callable[[], Catalog], write: Callable[[Catalog, DataFrame, int], None], done: Callable[[int], bool], offline: DataFrame, now: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over ``listing_stream``: scan each batch of listings into the catalog that ``read`` gives
+    and hand the new one, its summary and the batch's number to ``write``.
+
+    Files go only in a batch whose rows are all marked complete. A batch that ``done`` knows is left out, so a
+    stream that stopped goes on where its checkpoint says and a retried batch changes nothing twice.
+    """
+    from ..plans.workflows import scan
+
+    def merge(listing: DataFrame, batch: int) -> None:
+        if not done(batch) and not listing.isEmpty():
+            complete = listing.where("not coalesce(complete, false)").isEmpty()
+            catalog, summary = scan(read(), listing.drop("complete"), offline, now(batch), complete)
+            write(catalog, summary, batch)
+
+    return merge
