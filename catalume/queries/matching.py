@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 
 from ..cluster import table
+from ..functions.names import PLAIN_TAGS, TAG_WORDS
 from ..operators import enrich as E
 from ..operators import identify as I
 from ..operators.files import representative_file
@@ -108,22 +109,39 @@ def set_ignored(spark, sf_dir):
     return I.set_ignored(a, a.where("favorite = 1").select(F.col("id").alias("asset_id")), _now()).select("id", "match_count", F.unix_timestamp("ignored_at").alias("ignored"), F.col("applied_at").isNotNull().alias("applied"))
 
 
-_FOREIGN = "select c_custkey * 3 as f_id, case when c_custkey % 2 = 0 then c_name else ' ' end as f_title, c_mktsegment as f_details from customer"
+_FOREIGN = "select c_custkey * 3 as f_id, case when c_custkey % 2 = 0 then c_name else ' ' end as f_title, case when c_custkey % 4 = 0 then c_mktsegment end as f_details, case when c_custkey % 5 = 0 then 'france' when c_custkey % 5 = 1 then ' New Studio ' end as f_studio, 'Person ' || c_custkey % 7 as f_person, case when c_custkey % 6 = 0 then 'PROMO' else '' end as f_tag from customer"
+_STUDIO = "coalesce((select min(cast(n_nationkey as varchar)) from nation where lower(n_name) = lower(trim(f_studio))), sha256('studio|' || lower(trim(f_studio))))"
 
 
 def _imported(spark, sf_dir):
-    f = table(spark, sf_dir, "customer").selectExpr("c_custkey * 3 as asset_id", "case when c_custkey % 2 = 0 then c_name else ' ' end as title", "c_mktsegment as details", "cast(null as bigint) as studio_id")
-    return I.import_metadata(catalog(spark, sf_dir).assets, f)
+    f = table(spark, sf_dir, "customer").selectExpr("c_custkey * 3 as asset_id", "case when c_custkey % 2 = 0 then c_name else ' ' end as title", "case when c_custkey % 4 = 0 then c_mktsegment end as details", "case when c_custkey % 5 = 0 then 'france' when c_custkey % 5 = 1 then ' New Studio ' end as studio", "array(concat('Person ', c_custkey % 7)) as people", "array(case when c_custkey % 6 = 0 then 'PROMO' else '' end) as tags")
+    return I.import_metadata(catalog(spark, sf_dir), f)
 
 
-@query(f"{WITH}, f as ({_FOREIGN}) select id, coalesce(nullif(f_title, ' '), title) as title, coalesce(f_details, details) as details from assets left join f on f_id = id")
+@query(f"{WITH}, f as ({_FOREIGN}) select id, coalesce(nullif(f_title, ' '), title) as title, coalesce(f_details, details) as details, case when f_studio is null then cast(studio_id as varchar) else {_STUDIO} end as studio_id from assets left join f on f_id = id")
 def import_metadata(spark, sf_dir):
-    return _imported(spark, sf_dir).select("id", "title", "details")
+    return _imported(spark, sf_dir)[0].assets.select("id", "title", "details", "studio_id")
 
 
+@query(f"{WITH}, f as ({_FOREIGN}) select asset_id, cast(person_id as varchar) as person_id from asset_people union select f_id, sha256('people|' || lower(f_person)) from f")
+def import_people(spark, sf_dir):
+    return _imported(spark, sf_dir)[0].asset_people
+
+
+# An import counts as an update by any field or by a new link; here every record brings a person that is new.
 @query(f"{WITH}, f as ({_FOREIGN}) select count(*) as matched, count(*) as updated, 0 as skipped from assets join f on f_id = id")
 def import_summary(spark, sf_dir):
-    return I.import_summary(_imported(spark, sf_dir))
+    return I.import_summary(_imported(spark, sf_dir)[1])
+
+
+# Records that bring nothing but a blank title, and a link that half of the assets have already.
+@query(f"{WITH}, f as (select l_orderkey as a, min(l_suppkey) as s from lineitem group by 1) select f.a as asset_id, o_custkey % 2 = 0 as changed from f join orders on o_orderkey = f.a")
+def import_outcome(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    known = c.asset_people.groupBy("asset_id").agg(F.min("person_id").alias("id")).join(c.people, "id").select("asset_id", F.col("name").alias("known"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("asset_id"), "o_custkey")
+    f = known.join(orders, "asset_id").select("asset_id", F.lit(" ").alias("title"), *[F.lit(None).cast("string").alias(x) for x in ("details", "studio")], F.array(F.when(F.col("o_custkey") % 2 == 0, "Nobody").otherwise(F.upper("known"))).alias("people"), F.array().cast("array<string>").alias("tags"))
+    return I.import_metadata(c, f)[1]
 
 
 @query("with n as (select distinct trim(p_brand) as name from part union select distinct lower(p_type) from part), d as (select distinct p_type as id, lower(p_type) as k from part) select name, coalesce((select min(id) from d where k = lower(name)), sha256('brand|' || lower(name))) as dim_id from n")
@@ -173,7 +191,12 @@ def subsume_names(spark, sf_dir):
     return E.subsume_names(E.match_catalog_names(_asset_paths(spark, sf_dir), _dictionary(spark))).select("id", "kind", "dim_id", "norm")
 
 
-@query()
+_OPEN = "open_ as (select * from hits h where not exists (select 1 from hits l where l.id = h.id and l.kind = h.kind and length(l.norm) > length(h.norm) and contains(l.norm, h.norm)))"
+_TAGGED = f"tagged as (select doc_id as id, unnest(list_distinct(list_filter(regexp_extract_all(lower(split_part(regexp_replace(path, '[.][^.]*$', ''), chr(92), 4)), '[a-z0-9]+'), lambda x: x in ({', '.join(repr(w) for w in TAG_WORDS)})))) as tag from {_FROM})"
+_LINKS = f"with {_HITS}, {_OPEN}, {_TAGGED}, links as (select id, 'studio' as kind, arg_max(dim_id, length(norm)) as dim_id from open_ where kind = 'studio' group by 1 union select id, kind, dim_id from open_ where kind <> 'studio' union select doc_id, 'person', '1' from {_FROM} where doc_id % 3 = 1 union select id, 'tag', case tag when '4k' then '5' else '7' end from tagged where tag in ('4k', 'uhd'))"
+
+
+@query(f"{_LINKS} select * from links")
 def link_path_metadata(spark, sf_dir):
     paths = _asset_paths(spark, sf_dir)
     none = spark.createDataFrame([], "id long, kind string, dim_id string")
@@ -181,36 +204,67 @@ def link_path_metadata(spark, sf_dir):
     return studio.select("id", F.lit("studio").alias("kind"), F.col("studio_id").alias("dim_id")).unionByName(new)
 
 
-@query(f"select count(*) as assets_scanned, count(*) filter (where doc_id % 3 > 0 or doc_id % 5 = 0 or doc_id % 2 = 0) as assets_linked, count(*) filter (where doc_id % 3 = 2 or doc_id % 5 = 0) as studios_linked, count(*) filter (where doc_id % 3 = 1) as persons_linked, count(*) filter (where doc_id % 2 = 0) as tags_linked from {_FROM}")
+@query(f"{_LINKS} select (select count(*) from documents) as assets_scanned, count(distinct id) as assets_linked, count(*) filter (where kind = 'studio') as studios_linked, count(*) filter (where kind = 'person') as persons_linked, count(*) filter (where kind = 'tag') as tags_linked from links")
 def path_link_summary(spark, sf_dir):
     paths = _asset_paths(spark, sf_dir)
     none = spark.createDataFrame([], "id long, kind string, dim_id string")
     return E.path_link_summary(paths, *E.link_path_metadata(paths.select("id", F.lit(None).cast("string").alias("studio_id")), paths, _dictionary(spark), none))
 
 
-@query()
+_PLAIN = ", ".join(f"'{w}'" for w in PLAIN_TAGS)
+_DICT = "(values ('person', '1', 'Mary Stone'), ('person', '2', 'Stone'), ('studio', '3', 'Lustre'), ('studio', '4', 'LUSTRE.com'), ('tag', '5', '4k'), ('tag', '6', 'Al'), ('tag', '7', 'uhd'))"
+
+
+@query(
+    f"with {_HITS}, {_OPEN}, {_TAGGED}, dict as (select * from {_DICT} d(kind, dim_id, name)), "
+    f"found as (select o.id, o.kind, d.name, 'catalog' as source, 0 as rank from open_ o join dict d using (kind, dim_id) "
+    f"union all select doc_id, case when regexp_matches(split_part(path, chr(92), 2), '^Lib [A-Za-z]{{2,}}$') then 'person' else 'studio' end, split_part(path, chr(92), 2), 'folder', 1 from {_FROM} "
+    f"union all select doc_id, case doc_id % 3 when 1 then 'person' else 'studio' end, case doc_id % 3 when 1 then 'Mary Stone' else 'Lustre' end, 'folder', 1 from {_FROM} where doc_id % 3 <> 0 "
+    f"union all select doc_id, 'studio', 'Lustre', 'bracket', 2 from {_FROM} where doc_id % 5 = 0 "
+    f"union all select id, 'tag', case when tag in ({_PLAIN}) then tag else upper(tag[1]) || tag[2:] end, 'token', 3 from tagged), "
+    "one as (select * from (select *, row_number() over (partition by id, kind, lower(name) order by rank) as nth from found) where nth = 1) "
+    "select id, one.kind, one.name, dim_id, source, dim_id is null as create_new, false as already_linked from one left join dict on dict.kind = one.kind and lower(dict.name) = lower(one.name)"
+)
 def suggest_path_metadata(spark, sf_dir):
     none = spark.createDataFrame([], "id long, kind string, dim_id string")
     return E.suggest_path_metadata(_asset_paths(spark, sf_dir), _dictionary(spark), none)
 
 
-@query()
+@query(f"{WITH}, r as (select asset_id, split_part(path, chr(92), 2) as top, regexp_extract(path, 'clip ([0-9]+) [0-9]+', 1) as p, regexp_extract(path, '(clip [0-9]+ [0-9]+)', 1) as stem from rep) select id, case when favorite > 2 then title when r.asset_id is null then null when length(p) < 2 or regexp_full_match(p, '19[7-9][0-9]|20[0-9][0-9]|2100|[0-9]{{6}}') then top || ' - ' || stem else stem end as title from assets left join r on r.asset_id = id")
 def backfill_titles(spark, sf_dir):
     c = catalog(spark, sf_dir)
     return E.backfill_titles(c.assets.withColumn("title", F.when(F.col("favorite") > 2, F.col("title"))), representative_file(c.files)).select("id", "title")
 
 
+def _embedded(spark, sf_dir):
+    e = table(spark, sf_dir, "customer").selectExpr("c_custkey * 3 as asset_id", "concat(' ', c_name) as title", "concat(c_mktsegment, ' & x; ', c_name) as artist", "c_mktsegment as comment")
+    return E.apply_embedded(catalog(spark, sf_dir), e)
+
+
 @query(f"{WITH} select id, case when c_custkey is null then title else c_name end as title, coalesce(c_mktsegment, details) as details from assets left join customer on c_custkey * 3 = id")
 def apply_embedded(spark, sf_dir):
-    e = table(spark, sf_dir, "customer").selectExpr("c_custkey * 3 as asset_id", "concat(' ', c_name) as title", "concat(c_mktsegment, ' & x; ', c_name) as artist", "c_mktsegment as comment")
-    return E.apply_embedded(catalog(spark, sf_dir).assets, e)[0].select("id", "title", "details")
+    return _embedded(spark, sf_dir).assets.select("id", "title", "details")
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 6) as duration, cast(l_quantity as int) as height, round(25.0::double / greatest(l_linenumber, 1), 6) as fps, l_shipmode_ as title from (select *, 'flag ' || l_returnflag as l_shipmode_ from lineitem)")
+@query(f"{WITH}, n as (select c_custkey * 3 as asset_id, c_mktsegment as name from customer union all select c_custkey * 3, c_name from customer) select asset_id, cast(person_id as varchar) as person_id from asset_people union select asset_id, coalesce((select min(cast(s_suppkey as varchar)) from supplier where lower(s_name) = lower(name)), sha256('people|' || lower(name))) from n")
+def embedded_people(spark, sf_dir):
+    return _embedded(spark, sf_dir).asset_people
+
+
+# Names of a key in several spellings, rates as fractions and not, and text that is no JSON.
+@query(
+    "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_linenumber < 7 then round(l_extendedprice, 6) end as duration, case when l_linenumber < 7 then cast(l_quantity as int) end as height, "
+    "case when l_linenumber = 1 then 25.0 when l_linenumber = 2 then round(30000.0::double / 1001, 6) end::double as fps, case when l_linenumber < 7 then 'flag ' || l_returnflag end as title, "
+    "case l_linenumber when 1 then 'first' when 2 then 'second' when 3 then 'third' end as artist, case when l_linenumber < 7 then 'seen' end as comment from lineitem"
+)
 def parse_probe_json(spark, sf_dir):
-    text = F.concat(F.lit('{"format": {"format_name": "mp4", "duration": "'), F.col("l_extendedprice").cast("string"), F.lit('", "tags": {"TITLE": " flag '), "l_returnflag", F.lit(' "}}, "streams": [{"codec_type": "audio"}, {"codec_type": "video", "width": 1, "height": '), F.col("l_quantity").cast("int").cast("string"), F.lit(', "avg_frame_rate": "25/'), F.col("l_linenumber").cast("string"), F.lit('"}]}'))
+    by_line = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.least("l_linenumber", F.lit(len(values))).cast("int"))
+    rate = by_line("25/1", "30000/1001", "0/0", "30", "")
+    artist = by_line('"ARTIST": "first", "performer": "x"', '"Artist": " ", "Author": "second", "performer": "x"', '"PERFORMER": " third "', '"album_artist": "no"')
+    text = F.concat(F.lit('{"format": {"format_name": "mp4", "duration": "'), F.col("l_extendedprice").cast("string"), F.lit('", "tags": {"TITLE": " flag '), "l_returnflag", F.lit(' ", "Description": "seen", '), artist, F.lit('}}, "streams": [{"codec_type": "audio", "avg_frame_rate": "1/1"}, {"codec_type": "video", "width": 1, "height": '), F.col("l_quantity").cast("int").cast("string"), F.lit(', "r_frame_rate": "60/1", "avg_frame_rate": "'), rate, F.lit('"}, {"codec_type": "video", "height": 1}]}'))
+    text = F.when(F.col("l_linenumber") < 7, text).otherwise("{no json")
     p = media.parse_probe_json(table(spark, sf_dir, "lineitem").withColumn("text", text), "text")
-    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("probe.duration", 6).alias("duration"), "probe.height", F.round("probe.fps", 6).alias("fps"), "probe.title")
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("probe.duration", 6).alias("duration"), "probe.height", F.round("probe.fps", 6).alias("fps"), "probe.title", "probe.artist", "probe.comment")
 
 
 @query("select p_partkey as asset_id, p_brand as remote_id, p_name as title, p_type as tag from part")
@@ -221,25 +275,41 @@ def parse_candidates_json(spark, sf_dir):
     return p.select("asset_id", "remote_id", "title", F.col("tags")[0].alias("tag"))
 
 
-@query("select doc_id as file_id, floor((i + 0.5::double) / n * d * 1000)::bigint as start_ms, (i % 5 * 160)::int as x from (select doc_id, (n_chars % 2000)::double as d, least(36, greatest(1, floor((n_chars % 2000) / 30)))::int as n from documents where n_chars % 2000 > 0), range(0, 36) t(i) where i < n")
+@query("select doc_id as file_id, (floor(st)::bigint * 1000 + floor((st - floor(st)) * 1000)::bigint) as start_ms, (i % 5 * 160)::int as x from (select *, (i + 0.5::double) / n * d as st from (select doc_id, (n_chars % 2000)::double as d, least(36, greatest(1, floor((n_chars % 2000) / 30)))::int as n from documents where n_chars % 2000 > 0), range(0, 36) t(i) where i < n)")
 def cues_round_trip(spark, sf_dir):
     cues = cue_plan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 2000).cast("double").alias("duration")))
     back = records.parse_cues(records.write_cues(cues), "vtt")
     return back.select("file_id", F.round(F.col("start") * 1000).cast("long").alias("start_ms"), "x")
 
 
-@query("select event_id, event_type as search, event_type = 'view' as favorites, round((event_id % 9) * 60.0::double, 6) as seconds from events where event_id % 10 <> 0")
+# A stored view with every field, one with none, and text that is no view.
+_PAYLOAD = """{"search": "%s -x", "searchInverse": true, "sort": "title", "minFavorite": 3, "tagIds": ["t1", "t2"], "excludeTagIds": ["t3"], "tagMatchAny": true, "performerIds": ["p1"], "excludePerformerIds": ["p2"], "studioIds": ["s1"], "excludeStudioIds": ["s2", "s3"], "minDurationMins": %s, "maxDurationMins": null, "unplayedOnly": true, "minTagCount": 2, "identifiedOnly": true, "needsReviewOnly": false, "ignoreState": "%s", "folderPaths": ["E:\\\\x"], "minHeight": 720, "minPerformerCount": 1}"""
+_FULL = "event_id % 3 = 0"
+
+
+@query(
+    f"select event_id, case when {_FULL} then event_type || ' -x' else '' end as search, {_FULL} as inverse, case when {_FULL} then 'title' else 'created' end as sort, case when {_FULL} then 3 else 0 end as min_favorite, case when {_FULL} then 't1,t2|t3|p1|p2|s1|s2,s3|E:' || chr(92) || 'x' else '||||||' end as lists, "
+    f"{_FULL} as tags_any, case when {_FULL} then (event_id % 9) * 60 else 0 end::double as min_duration, 0::double as max_duration, {_FULL} as unplayed_only, {_FULL} as identified_only, false as needs_review_only, case when {_FULL} then 2 else 0 end as min_tags, case when {_FULL} then 1 else 0 end as min_people, case when {_FULL} then 720 else 0 end as min_height, "
+    f"case when {_FULL} then [true, false, null][event_id % 2 + 1] end as ignored from events where event_id % 3 <> 2"
+)
 def parse_saved_view(spark, sf_dir):
-    text = F.when(F.col("event_id") % 10 == 0, "not json").otherwise(F.concat(F.lit('{"search": "'), "event_type", F.lit('", "favoritesOnly": '), (F.col("event_type") == "view").cast("string"), F.lit(', "minDurationMin": '), (F.col("event_id") % 9).cast("string"), F.lit("}")))
+    parts = _PAYLOAD.split("%s")
+    full = F.concat(F.lit(parts[0]), "event_type", F.lit(parts[1]), (F.col("event_id") % 9).cast("string"), F.lit(parts[2]), F.when(F.col("event_id") % 2 == 0, "ignored").otherwise("not_ignored"), F.lit(parts[3]))
+    text = F.when(F.col("event_id") % 3 == 0, full).when(F.col("event_id") % 3 == 1, '{"ignoreState": "any"}').when(F.col("event_id") % 2 == 0, "not json").otherwise("[]")
     good, _ = records.parse_saved_view(table(spark, sf_dir, "events").select("event_id", F.lit("v").alias("name"), text.alias("payload")))
-    return good.select("event_id", F.col("view.search").alias("search"), F.col("view.favoritesOnly").alias("favorites"), F.round("view.minDuration", 6).alias("seconds"))
+    lists = F.concat_ws("|", *[F.array_join(f"view.{c}", ",") for c in ("tags", "exclude_tags", "people", "exclude_people", "studios", "exclude_studios", "folders")])
+    return good.select("event_id", "view.search", "view.inverse", "view.sort", "view.min_favorite", lists.alias("lists"), *[f"view.{c}" for c in ("tags_any", "min_duration", "max_duration", "unplayed_only", "identified_only", "needs_review_only", "min_tags", "min_people", "min_height", "ignored")])
 
 
 def _progress(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), "ts", (F.col("event_type") == "error").alias("terminal"), "event_type")
 
 
-@query()
+# The clock moves from one report that passes to the next: the first that is six hours later and isn't the end.
+@query(
+    "with recursive n as (select user_id, ts, event_id from events where event_type <> 'error'), c as (select user_id, min((ts, event_id)) as st from n group by 1 "
+    "union all select * from (select n.user_id, min((n.ts, n.event_id)) as st from c join n on n.user_id = c.user_id and n.ts >= struct_extract(c.st, 1) + interval 6 hour group by 1)) "
+    "select user_id as run_id, struct_extract(st, 2) as seq, false as terminal from c union all select user_id, event_id, true from events where event_type = 'error'")
 def throttle_progress(spark, sf_dir):
     return playback.throttle(_progress(spark, sf_dir), 6 * 3600 * 1000).select("run_id", "seq", "terminal")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import checkpointed, table
 from ..functions import hashing as H
 from ..functions import names as N
 from ..functions import paths as P
@@ -15,7 +15,7 @@ from .register import Register
 
 query = Register()
 #: A Windows path for each document, alike in both engines.
-_PATH = "concat('E:', chr(92), 'Lib ', source, chr(92), case when doc_id % 3 = 0 then 'videos' when doc_id % 3 = 1 then 'Mary Stone' else 'Lustre' end, chr(92), substr(replace(replace(text, chr(10), ' '), '/', ' '), 1, 24), case when doc_id % 4 = 0 then ' 4K' when doc_id % 4 = 1 then '-720p' when doc_id % 4 = 2 then ' UHD' else '' end, case when doc_id % 5 = 0 then ' [Lustre.com]' else '' end, '.mp4')"
+_PATH = "concat('E:', chr(92), 'Lib ', source, chr(92), case when doc_id % 3 = 0 then 'videos' when doc_id % 3 = 1 then 'Mary Stone' else 'Lustre' end, chr(92), replace(replace(replace(text, chr(10), ' '), '/', ' '), chr(92), ' '), case when doc_id % 4 = 0 then ' 4K' when doc_id % 4 = 1 then '-720p' when doc_id % 4 = 2 then ' UHD' else '' end, case when doc_id % 5 = 0 then ' [Lustre.com]' else '' end, '.mp4')"
 _FROM = f"(select doc_id, {_PATH} as path from documents)"
 
 
@@ -45,15 +45,41 @@ def title_text(spark, sf_dir):
     return _paths(spark, sf_dir).select("doc_id", N.title_text(N.stem(F.col("path"))).alias("title_text"))
 
 
-@query()
+# Whether a title is specific, and its code, as DuckDB finds them.
+_CODE = "case when regexp_matches({j}, ' [a-z]{{2,8}}[0-9]{{2,6}} ') then upper(regexp_extract({j}, ' ([a-z]{{2,8}}[0-9]{{2,6}}) ', 1)) when regexp_matches({j}, ' [a-z]{{2,8}} [0-9]{{2,6}} ') then upper(regexp_extract({j}, ' ([a-z]{{2,8}}) [0-9]{{2,6}} ', 1)) || '-' || regexp_extract({j}, ' [a-z]{{2,8}} ([0-9]{{2,6}}) ', 1) end"
+_TOKENS = "(' ' || array_to_string(regexp_extract_all(lower({t}), '[a-z0-9]+'), ' ') || ' ')"
+_JUNK = ", ".join(f"'{w}'" for w in N.JUNK_TITLES)
+_KEPT = f"list_filter(regexp_extract_all({{t}}, '[A-Za-z0-9]+'), lambda x: not (lower(x) in ({_NOISE}) or regexp_full_match(lower(x), '[0-9]{{{{3,}}}}k')))"
+_TITLES = (
+    f"with p as (select doc_id, path, trim(split_part(regexp_replace(path, '[.][^.]*$', ''), chr(92), 4)) as stem, split_part(path, chr(92), 2) as top, split_part(path, chr(92), 3) as folder from {_FROM}), "
+    f"w as (select *, list_filter({_KEPT.format(t=chr(34) + 'outside' + chr(34))}, lambda x: not regexp_full_match(x, '19[7-9][0-9]|20[0-9][0-9]|2100|[0-9]{{6}}')) as words, {_KEPT.format(t='lower(stem)')} as real from (select *, regexp_replace(stem, '[[][^]]*[]]', '', 'g') as outside from p)), "
+    "t as (select *, case when len(words) > 0 then array_to_string(words, ' ') end as title_text from w), "
+    f"c as (select *, {_CODE.format(j=_TOKENS.format(t='title_text'))} as title_code, list_filter(words, lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}')) as named from t), "
+    f"k as (select *, case when not lower(title_text) in ({_JUNK}) and (title_code is not null or len(named) >= 2 or (len(named) = 1 and length(named[1]) >= 6 and length(regexp_replace(title_text, '[^A-Za-z]', '', 'g')) >= length(regexp_replace(title_text, '[^0-9]', '', 'g')))) then title_text end as clean_title from c) "
+    f"select doc_id, clean_title, coalesce(clean_title, case when folder = 'videos' then top else folder end || ' - ' || case when len(real) = 0 or len(list_filter(real, lambda x: not regexp_full_match(x, '[0-9]+'))) = 0 then stem else array_to_string(real, ' ') end) as title, "
+    f"case when stem = '' then 'empty' when len(real) > 0 and len(list_filter(real, lambda x: not regexp_full_match(x, '[0-9]+'))) = 0 then 'id_only' else 'vague' end as weak, {_CODE.format(j=_TOKENS.format(t='stem'))} as code from k"
+)
+
+
+@query(_TITLES)
 def titles_and_terms(spark, sf_dir):
     path, stem = F.col("path"), N.stem(F.col("path"))
-    return _paths(spark, sf_dir).select("doc_id", N.clean_title(stem).alias("clean_title"), N.title_from_path(path).alias("title"), N.identify_term(stem).alias("term"), N.weak_reason(stem).alias("weak"), N.product_code(stem).alias("code"))
+    return _paths(spark, sf_dir).select("doc_id", N.clean_title(stem).alias("clean_title"), N.title_from_path(path).alias("title"), N.weak_reason(stem).alias("weak"), N.product_code(stem).alias("code"))
+
+
+#: Names in the forms that the choice of a search term tells apart, and the term of each.
+_NAMED = {"QRS-417 some day": "QRS-417", "Wilma": None, "Rosalind": "Rosalind", "[Kelp] - Ada Byron - 1080p": "Ada Byron", "20231": None, "Kelp.com - Ada Byron - Long Walk Home": "Ada Byron", "some day out 1080p": "some day out", "  ": None}
+
 
+@query("select doc_id, [" + ", ".join("null" if t is None else f"'{t}'" for t in _NAMED.values()) + f"][doc_id % {len(_NAMED)} + 1] as term from documents")
+def identify_terms(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("doc_id") % len(_NAMED) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.identify_term(name).alias("term"))
 
-@query(f"select doc_id, case when doc_id % 3 = 1 then 'person:Mary Stone' when doc_id % 3 = 2 then 'studio:Lustre' else '' end as named, case when doc_id % 5 = 0 then 'Lustre' else '' end as bracket from {_FROM}")
+
+@query(f"select doc_id, case when regexp_matches(split_part(path, chr(92), 2), '^Lib [A-Za-z]{2,}$') then 'person:' else 'studio:' end || split_part(path, chr(92), 2) || case when doc_id % 3 = 1 then '|person:Mary Stone' when doc_id % 3 = 2 then '|studio:Lustre' else '' end as named, case when doc_id % 5 = 0 then 'Lustre' else '' end as bracket from {_FROM}")
 def folder_and_bracket_hints(spark, sf_dir):
-    d = _paths(spark, sf_dir).select("doc_id", F.filter(N.folder_hints(F.col("path")), lambda h: ~h["name"].startswith("Lib ")).alias("h"), N.bracket_studios(N.stem(F.col("path"))).alias("b"))
+    d = _paths(spark, sf_dir).select("doc_id", N.folder_hints(F.col("path")).alias("h"), N.bracket_studios(N.stem(F.col("path"))).alias("b"))
     return d.select("doc_id", F.array_join(F.transform("h", lambda h: F.concat_ws(":", h["kind"], h["name"])), "|").alias("named"), F.array_join("b", "|").alias("bracket"))
 
 
@@ -68,11 +94,23 @@ def normalized_paths(spark, sf_dir):
     return p.select("page_id", P.normalize_path(F.col("u")).alias("path"), P.normalize_root(F.concat("u", F.lit("/"))).alias("root"), P.volume_key(F.col("u")).alias("volume"))
 
 
-@query(f"select doc_id, case doc_id % 4 when 0 then 2160 when 1 then 720 when 2 then 2160 end as height, case doc_id % 4 when 0 then '1080p' when 1 then '1080p' when 2 then '1080P' else '' end as replaced from {_FROM} where not regexp_matches(lower(path), '[^a-z0-9](sd|480|720|1080|1440|2160|4320|2k|8k|qhd|fhd)[^a-z0-9p]')")
+#: The height of the last resolution word, as DuckDB finds it: runs of letters and digits that are such words.
+_HEIGHT = f"map {{{', '.join(f'{chr(39)}{w}{chr(39)}: {h}' for w, h in R.HEIGHTS.items())}}}[list_last(list_filter(regexp_extract_all(lower(split_part(regexp_replace(path, '[.][^.]*$', ''), chr(92), 4)), '[a-z0-9]+'), lambda x: x in ({', '.join(repr(w) for w in R.HEIGHTS)})))]"
+
+
+@query(f"select doc_id, {_HEIGHT} as height, case doc_id % 4 when 0 then '1080p' when 1 then '1080p' when 2 then '1080P' else '' end as replaced from {_FROM}")
 def resolution_tokens(spark, sf_dir):
-    d = _paths(spark, sf_dir).where("not lower(path) rlike '[^a-z0-9](sd|480|720|1080|1440|2160|4320|2k|8k|qhd|fhd)[^a-z0-9p]'")
     name = F.regexp_extract("path", r"([^\\]*)$", 1)
-    return d.select("doc_id", R.detect_token_height(name).alias("height"), F.regexp_extract(R.rewrite_resolution(name, "replace", 1080), r"[ -](1080[pP])(?: \[[^\]]*\])?\.mp4$", 1).alias("replaced"))
+    return _paths(spark, sf_dir).select("doc_id", R.detect_token_height(name).alias("height"), F.regexp_extract(R.rewrite_resolution(name, "replace", 1080), r"[ -](1080[pP])(?: \[[^\]]*\])?\.mp4$", 1).alias("replaced"))
+
+
+@query("select doc_id, 'part ' || doc_id % 7 || '.mkv' as removed, 'part ' || doc_id % 7 || ' 720p.mkv' as replaced, ['a [4K] b', 'x', 'SD', 'y'][doc_id % 4 + 1] as kept, [2160, null, 480, null][doc_id % 4 + 1] as height from documents")
+def resolution_rewrites(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("part "), F.col("doc_id") % 7, F.element_at(F.array(F.lit(" [1440p]"), F.lit(" 2k"), F.lit("_UHD_")), (F.col("doc_id") % 3 + 1).cast("int")), F.lit(".mkv"))
+    plain = F.concat(F.lit("part "), F.col("doc_id") % 7, F.lit(" 8k.mkv"))
+    other = F.element_at(F.array(*map(F.lit, ("a [4K] b", "x", "SD", "y"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", F.regexp_replace(R.rewrite_resolution(name, "remove", 720), r"\s+\.mkv$", ".mkv").alias("removed"), R.rewrite_resolution(plain, "replace", 720).alias("replaced"), R.rewrite_resolution(other, "leave", 720).alias("kept"), R.detect_token_height(other).alias("height"))
 
 
 @query("select event_id, round(recency, 6) as recency, round(greatest(0.05, greatest(fav, 1) * recency * case when cooling then 0.12 else 1 end), 6) as weight, case when fav = 0 then 0 else least(40, greatest(3, floor(fav * 30 * 0.15))) end::int as cooldown, round(case when value > 0 then least(30.0, value / 10) else 30.0 end, 6) as threshold from (select *, event_id % 6 as fav, event_id % 7 = 0 as cooling, case when event_id % 9 = 0 then 1.35 when age < 3600 then 0.08 when age < 21600 then 0.2 when age < 86400 then 0.4 when age < 604800 then 0.7 else 1.0 end as recency from (select *, greatest(0, date_diff('second', date_trunc('second', ts), timestamp '2024-01-20 00:00:00')) as age from events))")
@@ -82,10 +120,11 @@ def shuffle_weights(spark, sf_dir):
     return e.select("event_id", F.round(Y.recency_multiplier(last, now), 6).alias("recency"), F.round(Y.shuffle_weight(fav, last, now, F.col("event_id") % 7 == 0), 6).alias("weight"), Y.cooldown_size(fav * 30).alias("cooldown"), F.round(Y.watch_threshold(F.col("value")), 6).alias("threshold"))
 
 
-@query("select event_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, (ms // 60000) % 60, (ms // 1000) % 60, ms % 1000) as clock, round(ms / 1000.0, 6) as seconds from (select event_id, cast(floor(greatest(value, 0.0) * 37 * 1000) as bigint) as ms from events)")
+@query("select event_id, printf('%02d:%02d:%02d.%03d', s // 3600, (s // 60) % 60, s % 60, ms) as clock, round(s + ms / 1000.0, 6) as seconds, case when event_id % 3 = 0 then 3723.005 when event_id % 3 = 1 then 3723.5 else 0.0 end::double as odd from (select event_id, s, cast(floor((t - s) * 1000) as bigint) as ms from (select event_id, greatest(value, 0.0)::double * 37 as t, cast(floor(greatest(value, 0.0)::double * 37) as bigint) as s from events))")
 def vtt_times(spark, sf_dir):
     clock = Y.vtt_time(F.col("value") * 37)
-    return table(spark, sf_dir, "events").select("event_id", clock.alias("clock"), F.round(Y.parse_vtt_time(clock), 6).alias("seconds"))
+    odd = F.element_at(F.array(F.lit("1:02:03.5"), F.lit(" 01:02:03.500 "), F.lit("02:03.500")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", clock.alias("clock"), F.round(Y.parse_vtt_time(clock), 6).alias("seconds"), Y.parse_vtt_time(odd).alias("odd"))
 
 
 @query("select doc_id, bit_count(xor(('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(g, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(h, 9, 8))::bigint, ('0x' || substr(g, 9, 8))::bigint)) as distance from (select doc_id, md5(text) as h, md5(source) as g from documents)")
@@ -108,16 +147,52 @@ def fts_tokens_phrase(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), K.phrase_match(F.col("t"), ["of", "the"]).alias("has_phrase"))
 
 
+@query("select doc_id, 'cafe run poni caress relat hope adjust ' || lower(source) as stems from documents where regexp_matches(lower(source), '^[a-z]{1,2}[0-9]*$|^[a-z]*[0-9]+$')")
+def fts_stems(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("lower(source) rlike '^[a-z]{1,2}[0-9]*$|^[a-z]*[0-9]+$'")
+    return d.select("doc_id", F.array_join(K.fts_tokens(F.concat(F.lit("Caf\u00e9 RUNNING ponies-caresses relational, hopefulness adjustment "), "source")), " ").alias("stems"))
+
+
 @query()
 def fts_tokens_stemmed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(K.fts_tokens(F.col("text")))).alias("n_stems"))
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws(' · ', concat('h264 ', cast(l_quantity as int) * 70, 'x', cast(l_quantity as int) * 40), case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end, '25 fps') as spec from (select *, cast(floor(l_extendedprice) as bigint) as s from lineitem)")
+@query(
+    "with f as (select *, cast(floor(l_extendedprice) as bigint) as s, cast(round(l_extendedprice * power(10, l_linenumber)) as bigint) as bytes from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, s as seconds, bytes, concat_ws(' · ', 'h264', cast(l_quantity as int) * 70 || 'x' || cast(l_quantity as int) * 40, "
+    "case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end, "
+    "case l_linenumber when 1 then '25 fps' when 2 then '59.94 fps' when 3 then '29.5 fps' end, case when l_returnflag = 'A' then printf('%.1f Mb/s', l_quantity / 2) end, "
+    "case when bytes >= 1099511627776 then printf('%.1f TB', bytes / 1099511627776) when bytes >= 1073741824 then printf('%.1f GB', bytes / 1073741824) when bytes >= 1048576 then printf('%.1f MB', bytes / 1048576) when bytes >= 1024 then printf('%.1f KB', bytes / 1024) when bytes > 0 then bytes || ' B' end) as spec from f"
+)
 def spec_lines(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
-    null = F.lit(None).cast("double")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", Y.spec_line(F.lit("h264"), q * 70, q * 40, F.col("l_extendedprice"), F.lit(25.0), null, null).alias("spec"))
+    fps = F.when(F.col("l_linenumber") == 1, 25.0).when(F.col("l_linenumber") == 2, 59.94).when(F.col("l_linenumber") == 3, 29.5)
+    size = F.round(F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber"))).cast("long")
+    line = Y.spec_line(F.lit("h264"), q * 70, q * 40, F.col("l_extendedprice"), fps, F.when(F.col("l_returnflag") == "A", F.col("l_quantity") * 500000), size)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice").cast("long").alias("seconds"), size.alias("bytes"), line.alias("spec"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, ['1080p', 'uhd', 'hdr', '2on1', 'Pov', 'Solo', '540p'][least(l_linenumber, 7)] as tag from lineitem")
+def pretty_tags(spark, sf_dir):
+    words = F.array(*map(F.lit, ("1080p", "uhd", "hdr", "2on1", "pov", "solo", "540p")))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.pretty_tag(F.element_at(words, F.least("l_linenumber", F.lit(7)).cast("int"))).alias("tag"))
+
+
+# Of an outer product e x f of two vectors the DCT is the outer product of theirs.
+_DCT = "list_transform(range(0, 8), lambda u: list_sum(list_transform(range(0, 64), lambda k: {e}[k + 1]::double * cos(pi() * u * (2 * k + 1) / 128))))"
+
+
+@query(
+    f"with e as (select vec_id, {_DCT.format(e='embedding')} as a, {_DCT.format(e='list_transform(embedding, lambda x: x::double * x)')} as b from embeddings), "
+    "c as (select vec_id, list_transform(range(0, 64), lambda i: a[i // 8 + 1] * b[i % 8 + 1]) as v from e), "
+    "m as (select vec_id, v, (list_sort(v)[32] + list_sort(v)[33]) / 2 as median from c) select vec_id, list_sum(list_transform(range(1, 65), lambda i: case when v[i] > median then i else 0 end))::bigint as bits_at from m"
+)
+def perceptual_hashes(spark, sf_dir):
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    gray = F.flatten(F.transform("embedding", lambda x: F.transform(squares, lambda y: x.cast("double") * y)))
+    h = checkpointed(table(spark, sf_dir, "embeddings").select("vec_id", H.perceptual_hash(gray).alias("h")))
+    bits = h.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"), "h").where("(shiftrightunsigned(h, 64 - i) & 1L) = 1L")
+    return bits.groupBy("vec_id").agg(F.sum("i").alias("bits_at"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -109,9 +109,10 @@ def missing_md5(spark, sf_dir):
     return I.missing_hash(_doc_files(spark, sf_dir), _prints(spark, sf_dir).where("hash_type = 'md5' and file_id % 3 <> 0"), "md5").select("id")
 
 
-@query("select doc_id as id from documents")
+@query("select doc_id as id from documents where doc_id % 3 <> 0 and doc_id % 4 <> 0")
 def missing_previews(spark, sf_dir):
-    return I.missing_previews(_doc_files(spark, sf_dir)).select("id")
+    files = _doc_files(spark, sf_dir).withColumns({"duration": F.when(F.col("id") % 3 != 0, F.col("duration")), "thumb_path": F.when(F.col("id") % 4 == 0, "made")})
+    return I.missing_previews(files).select("id")
 
 
 @query(f"{WITH} select id from assets where id in (select asset_id from files)")
@@ -148,9 +149,11 @@ def cascade_delete_tag_studio(spark, sf_dir):
     return _sizes(c, tags="tags", asset_tags="asset_tags").crossJoin(F.broadcast(c.assets.agg(F.count("studio_id").alias("with_studio"))))
 
 
-@query("select 'E:' as volume, count(*) as n_files from lineitem")
+@query("select case l_linenumber % 4 when 0 then chr(92) || chr(92) || 'nas' || l_returnflag || chr(92) || 'share' when 1 then l_returnflag || ':' when 2 then 'mnt' else 'N:' end as volume, count(*) as n_files from lineitem group by 1")
 def drive_histogram(spark, sf_dir):
-    return I.drive_histogram(catalog(spark, sf_dir).files)
+    on = F.col("l_linenumber") % 4
+    path = F.when(on == 0, F.concat(F.lit("\\\\nas"), "l_returnflag", F.lit("/share/x/y.mp4"))).when(on == 1, F.concat(F.lower("l_returnflag"), F.lit(":y.mp4"))).when(on == 2, "/mnt/x/y.mp4").otherwise("n:\\y.mp4")
+    return I.drive_histogram(table(spark, sf_dir, "lineitem").select(path.alias("path")))
 
 
 @query("select o_orderkey as id, case when o_orderkey % 11 = 0 then concat('e:', chr(92), 'moved', chr(92), o_orderkey) else concat('E:', chr(92), 'f', chr(92), o_orderkey) end as path from orders where o_orderkey % 7 <> 0")
@@ -169,10 +172,14 @@ def _hashes(spark, sf_dir):
     return h.select(F.col("vec_id").alias("id"), "hash").unionByName(copy)
 
 
-@query("select count(*) filter (where vec_id % 13 between 1 and 8) as n_pairs, sum(vec_id % 13) filter (where vec_id % 13 between 1 and 8) as sum_distance from embeddings")
+_SIGNED = "case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end::bigint"
+_HASH = f"(select vec_id, {_SIGNED} as hash from (select vec_id, list_sum(list_transform(range(0, 64), lambda i: case when bits[i + 1] then power(2::double, 63 - i)::hugeint else 0 end)) as h from ({_BITS})))"
+
+
+# All pairs of distinct hashes, each vector's and its copy's, compared one by one.
+@query(f"with o as {_HASH}, h as (select hash from o union select xor(hash, (1 << (vec_id % 13)::int)::bigint - 1) from o) select x.hash as a, y.hash as b, bit_count(xor(x.hash, y.hash))::int as distance from h x join h y on x.hash < y.hash and bit_count(xor(x.hash, y.hash)) <= 8")
 def hamming_pairs(spark, sf_dir):
-    p = D.hamming_pairs(_hashes(spark, sf_dir))
-    return p.agg(F.count("*").alias("n_pairs"), F.sum("distance").cast("long").alias("sum_distance"))
+    return D.hamming_pairs(_hashes(spark, sf_dir)).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
 @query("select least(cast(vec_id as varchar), cast(vec_id + 1000000 as varchar)) || '|' || greatest(cast(vec_id as varchar), cast(vec_id + 1000000 as varchar)) as group_key, 2 as n_members, vec_id % 13 as max_distance from embeddings where vec_id % 13 <= 8")
@@ -197,10 +204,13 @@ def merge_duplicates(spark, sf_dir):
     return left.assets.agg(F.count("*").alias("n_assets"), F.sum("favorite").alias("favorites"))
 
 
-@query("with e as (select distinct l_orderkey as o, l_partkey + 10000000000 as p from lineitem) select count(distinct o) + count(distinct p) as nodes from e")
+# The orders of a customer hang together as a chain, each with the next.
+@query("select o_orderkey as node, least_ as component from (select o_orderkey, min(o_orderkey) over (partition by o_custkey) as least_, count(*) over (partition by o_custkey) as n from orders) where n > 1")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as a", "l_partkey + 10000000000 as b")
-    return graph.connected_components(e).agg(F.count("*").alias("nodes"))
+    from pyspark.sql.window import Window
+
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(F.xxhash64("o_orderkey"))).alias("b"))
+    return graph.connected_components(e.where("b is not null"))
 
 
 @query(f"{WITH} select c.id, count(i.asset_id) as n_items from collections c left join (select * from items where asset_id in (select asset_id from files)) i on i.collection_id = c.id group by 1")
@@ -255,6 +265,17 @@ def weighted_pick(spark, sf_dir):
     return C.weighted_pick(items, "seed", 5, "collection_id").select("collection_id", "asset_id", "nth")
 
 
+_PASS = "row_number() over (partition by o_custkey order by {draw}, o_orderkey)"
+_FIRST = _PASS.format(draw=_DRAW.format(key="cast(o_orderkey as varchar)", weight="w"))
+_COOLED = _PASS.format(draw=_DRAW.format(key="cast(o_orderkey as varchar)", weight="greatest(w * case when nth > n - cool then 0.12 else 1 end, 0.05)").replace("|seed", "|seed|1"))
+
+
+@query(f"with i as (select *, count(*) over (partition by o_custkey) as n, greatest(cast(o_orderkey % 6 as double), 0.05) as w from orders where o_orderkey % 8 <> 0), f as (select *, {_FIRST} as nth, case when n <= 1 then 0 else least(40, greatest(3, floor(n * 3 / 20))) end as cool from i), s as (select *, {_COOLED} as again from f) select o_custkey as collection_id, o_orderkey as asset_id, cast(nth as int) as nth from s where nth <= 12 union all select o_custkey, o_orderkey, cast(n + again as int) from s where n + again <= 12")
+def weighted_pick_passes(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collection_id"), F.col("o_orderkey").alias("asset_id"), F.greatest(F.col("o_orderkey") % 6, F.lit(0.05)).alias("weight"))
+    return C.weighted_pick(items, "seed", 12, "collection_id", passes=2, excluded=items.where("asset_id % 8 = 0")).select("collection_id", "asset_id", "nth")
+
+
 @query(f"{WITH} select count(*) as links, count(*) filter (where asset_id % 2 = 0) as kept, (select count(*) from (select distinct asset_id from files where asset_id % 9 = 0)) as added from asset_tags")
 def add_remove_links(spark, sf_dir):
     c = catalog(spark, sf_dir)
@@ -310,12 +331,15 @@ def apply_edits(spark, sf_dir):
     return Y.apply_edits(catalog(spark, sf_dir).assets, e).select("id", "title", "details")
 
 
-@query("select o_orderkey as id, o_custkey as asset_id, (case when o_orderkey % 3 = 0 then o_totalprice / 2 else o_orderkey % 100 end)::double as start_sec, trim(case when o_orderkey % 3 = 0 then ' new ' else 'old' end) as label from orders")
+@query("select o_orderkey as id, o_custkey as asset_id, (case when o_orderkey % 3 = 0 then o_totalprice / 2 when o_orderkey % 3 = 1 and o_orderkey % 4 = 0 then 7 else o_orderkey % 100 end)::double as start_sec, case when o_orderkey % 3 = 0 then 'new' when o_orderkey % 3 = 1 and o_orderkey % 4 = 0 then '' else 'old' end as label from orders")
 def upsert_segments(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     make = lambda start, end, label: o.selectExpr("o_orderkey as id", "o_custkey as asset_id", f"{start} as start_sec", f"{end} as end_sec", f"{label} as label", "cast(null as string) as tag_id", "'' as person_id")
     old = make("cast(o_orderkey % 100 as double)", "cast(null as double)", "'old'")
-    changes = make("case when o_orderkey % 3 = 0 then o_totalprice / 2 else -1.0D end", "o_totalprice", "' new '")
+    # Two valid changes of one id; starts below 0; and ends that are infinite, no number, or fine.
+    two = make("o_totalprice / 2", "o_totalprice", "' new '").unionByName(make("o_totalprice / 4", "o_totalprice", "'less'")).where("id % 3 = 0")
+    ends = make("cast(7 as double)", "case o_orderkey % 4 when 0 then 8.0D when 1 then double('Infinity') when 2 then double('NaN') else 6.0D end", "cast(null as string)").where("id % 3 = 1")
+    changes = two.unionByName(ends).unionByName(make("-1.0D", "o_totalprice", "'x'").where("id % 3 = 2"))
     good, _ = S.upsert_segments(old, changes)
     return S.segments_list(good).select("id", "asset_id", "start_sec", "label")
 
@@ -349,10 +373,10 @@ def resolution_buckets(spark, sf_dir):
 _PLAN = f"{_LATEST}, plan as (select a.id as asset_id, coalesce(height <= 720, true) as would_skip, case when height > 720 then cast(floor(size_bytes * (1 - greatest(pow(720.0::double / height, 2), 0.2))) as bigint) else 0 end as bytes_saved from assets a left join late on late.asset_id = a.id)"
 
 
-@query(f"{_PLAN} select * from plan")
+@query(f"{_PLAN}, named as (select asset_id as a, regexp_replace(split_part(path, chr(92), 4), '^clip (480|720|1080|1440|2160|4320) ', 'clip 720p ') as new_name from late) select asset_id, would_skip, bytes_saved, new_name from plan left join named on a = asset_id")
 def downscale_plan(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return Z.downscale_plan(c.assets, c.files, 720).select("asset_id", "would_skip", "bytes_saved")
+    return Z.downscale_plan(c.assets, c.files, 720).select("asset_id", "would_skip", "bytes_saved", "new_name")
 
 
 @query(f"{_PLAN} select count(*) filter (where not would_skip) as would_transcode, count(*) filter (where would_skip) as would_skip, sum(bytes_saved)::bigint as bytes_saved from plan")

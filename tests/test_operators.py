@@ -158,7 +158,7 @@ def test_clear_identify(spark):
     c = three_assets(spark)
     a = c.assets.withColumns({"title_source": F.lit("box"), "details_source": F.lit("box"), "cover_source": F.lit("box"), "cover_path": F.lit("x"), "remote_id": F.lit("r")})
     c = c.but(assets=a, rejected_matches=spark.createDataFrame([], "asset_id string, provider_id string, remote_id string"))
-    out = I.clear_identify(c, spark.createDataFrame([("0",)], "asset_id string"), ("box",), F.lit(T0), strip_links=True)
+    out = I.clear_identify(c, spark.createDataFrame([("0",)], "asset_id string"), ("box",), "box", F.lit(T0), strip_links=True)
     row = out.assets.where("id = '0'").first()
     assert row.studio_id is None and row.cover_path is None and row.remote_id is None
     assert out.asset_tags.where("asset_id = '0'").count() == 0 and out.rejected_matches.count() == 1
@@ -198,7 +198,7 @@ def test_foreign_catalog_and_cues(spark):
     names = spark.createDataFrame([("r", "b"), ("r", "a")], "remote_id string, name string")
     p, m = records.read_foreign_catalog(prints, links, meta, names, names.limit(0))
     assert p.first().remote_id == "r" and m.first().people == ["a", "b"] and m.first().tags == []
-    vtt = spark.createDataFrame([("x", "WEBVTT\n\n00:00:01.000 --> 00:00:02.500\ns.jpg#xywh=0,90,160,90\n\n00:00:03.000 --> 00:00:04.000\nno cell\n")], "file_id string, t string")
+    vtt = spark.createDataFrame([("x", "WEBVTT\n\n00:00:01.000\n00:00:01.000 --> 00:00:02.500\ns.jpg#xywh=0,90,160,90\n\n00:00:03.000 --> 00:00:04.000\nno cell\n")], "file_id string, t string")
     assert [tuple(r) for r in records.parse_cues(vtt, "t").collect()] == [("x", 1.0, 2.5, 0, 90, 160, 90)]
 
 
@@ -234,3 +234,28 @@ def test_play_merge_counts_a_batch_once(spark):
     merge(plays, 1)
     merge(plays, 1)
     assert len(out) == 1 and out[0].where("id = '0'").first().play_count == 1
+
+
+def test_cues_are_named_by_their_start(spark):
+    cues = spark.createDataFrame([("f", 1.5, 2.25, 160, 90, 160, 90)], "file_id string, start double, end double, x int, y int, w int, h int")
+    assert records.write_cues(cues, "s.jpg").first().vtt == "WEBVTT\n\n00:00:01.500\n00:00:01.500 --> 00:00:02.250\ns.jpg#xywh=160,90,160,90\n"
+
+
+def test_many_roots_meet_by_equality(spark, monkeypatch):
+    from catalume.operators import inventory
+
+    paths = ["K:\\reels\\a.mp4", "k:/REELS", "K:\\reels9\\a.mp4", "L:b.mp4", "\\\\store\\films\\x\\c.mp4", "M:\\d.mp4"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    roots = spark.createDataFrame([("K:\\Reels\\",), ("l:",), ("//store/films",)], "path string")
+    few = {r.path for r in inventory.under_root(files, roots).collect()}
+    monkeypatch.setattr(inventory, "FEW_ROOTS", 0)
+    assert {r.path for r in inventory.under_root(files, roots).collect()} == few == {paths[0], paths[1], paths[3], paths[4]}
+
+
+def test_listed_paths_that_normalise_alike(spark):
+    from catalume.operators.inventory import inventory_diff
+
+    listing = spark.createDataFrame([("E:/a", 5, T0), ("E:\\a", 9, T0), ("E:\\b", None, None)], "path string, size long, mtime timestamp")
+    files = spark.createDataFrame([("1", "x", "E:\\b", 3, T0)], "id string, asset_id string, path string, size_bytes long, modified_at timestamp")
+    got = {r.path: (r.status, r.size) for r in inventory_diff(listing, files).collect()}
+    assert got == {"E:\\a": ("added", 9), "E:\\b": ("updated", None)}
