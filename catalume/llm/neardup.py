@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Each tree of the forest is the sorted prefix trie of one run of MinHash values.
-Texts that share a prefix in some tree are candidates. Prefixes are shortened
-until a link at the threshold is found with the target recall, and further while the
-links found, each weighed by the chance of having missed its like, fall short of it. All candidates are verified on their whole sets
-of word shingles.
+A tree of the forest is the sorted prefix trie of one run of MinHash values: the keys of
+all texts in order, in which texts below one inner node of the trie are neighbours. Two
+texts are candidates if they share a prefix in some tree. Matching starts at whole keys and
+prefixes are shortened, value by value, until a sample of links finds the target recall.
+All candidates are verified on their whole sets of word shingles.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +23,22 @@ from . import textkit as K
 
 #: Words of a shingle, and the least similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Trees of the forest, and the prefix lengths that are tried in turn.
-TREES, DEPTHS = 16, (7, 5, 4)
-#: Share of all links that the search stops at.
-RECALL = 0.998
-#: Shingles of the candidates that one task compares with each other.
-BLOCK_SHINGLES = 100_000
+#: Trees of the forest, and the values of a whole key; each value is two bytes of the key.
+TREES, DEPTH = 32, 8
+#: Share of the sampled links that a prefix must find.
+RECALL = 0.999
+#: Texts of the sample that recall is measured on, the most shingles of one, and the copies at the threshold planted for each.
+SAMPLE, SAMPLE_SHINGLES, PLANTED = 256, 2_000, 8
+#: Shingles that one task compares with each other: an eighth of a group's, between these.
+LEAST_BLOCK, BLOCK_SHINGLES = 10_000, 100_000
+#: Shingles that a text counts for at least when blocks are cut, so that short texts don't fill one by their number.
+LEAST_WEIGHT = 100
 #: Candidates up to which their list is broadcast; a longer list is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (TREES * max(DEPTHS),), dtype=np.uint64) | np.uint64(1)
-_LINKS = "text_id long, label long, links long, weight double, found long"
-
-
-def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
-    """The chance that two sets of this similarity share a prefix of so many values in some tree."""
-    return 1 - (1 - np.power(similarity, depth)) ** TREES
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (TREES * DEPTH,), dtype=np.uint64) | np.uint64(1)
+_KEY = 2 * DEPTH
+_LINKS = "node long, label long, links long"
 
 
 def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -58,28 +59,29 @@ def shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return found[order], np.searchsorted(doc[order], np.arange(batch.num_rows + 1))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    depth = max(DEPTHS)
+def signatures(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The values of each non-empty set, (sets, trees, depth): of each seed's least shingle 16 bits."""
+    out = np.zeros((len(first), len(_SEEDS)), np.uint16)
+    for k, seed in enumerate(_SEEDS if len(first) else ()):
+        x = found * seed
+        x ^= x >> np.uint64(32)
+        out[:, k] = K.mix(np.minimum.reduceat(x * np.uint64(0x94D049BB133111EB), first)).astype(np.uint16)
+    return out.reshape(len(first), TREES, DEPTH)
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each two signatures the values of the longest prefix that they share in any tree."""
+    return np.cumprod(a == b, axis=-1).sum(-1).max(-1)
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in K.slices(batches, "text", 1 << 20):
         found, first = shingles(batch)
         some = np.flatnonzero(np.diff(first) > 0)
-        least = np.zeros((len(_SEEDS), len(some)), np.uint64)
-        for k, seed in enumerate(_SEEDS if len(some) else ()):
-            x = found * seed
-            x ^= x >> np.uint64(32)
-            least[k] = np.minimum.reduceat(x * np.uint64(0x94D049BB133111EB), first[some])
-        columns = []
-        for tree in range(TREES):
-            prefix = np.full(len(some), tree + 1, np.uint64)
-            for j in range(depth):
-                prefix = K.mix(prefix * np.uint64(0x9E3779B97F4A7C15) + least[tree * depth + j])
-                if j + 1 in DEPTHS:
-                    columns.append(prefix)
-        made = np.zeros((batch.num_rows, TREES, len(DEPTHS)), np.uint64)
-        made[some] = np.array(columns).reshape(TREES, len(DEPTHS), len(some)).transpose(2, 0, 1)
-        each = [np.ascontiguousarray(made[:, :, at]).view(np.int64) for at in range(len(DEPTHS))]
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), TREES).cast(pa.list_(pa.int64())) for x in each]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_id"), pa.array(np.diff(first)), *columns], names=["doc_id", "text_id", "n_shingles", *[f"prefix_{d}" for d in sorted(DEPTHS)]])
+        keys = np.zeros((batch.num_rows, TREES * _KEY), np.uint8)
+        keys[some] = signatures(found, first[some]).astype(">u2").view(np.uint8).reshape(len(some), TREES * _KEY)
+        column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(TREES * _KEY), batch.num_rows, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(first)), column], names=["doc_id", "digest", "n_shingles", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +90,192 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [np.unique(found[first[i] : first[i + 1]]) for i in range(batch.num_rows)]
         at = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)))
-        names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's SHA-256, null for a null text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of one row, or of rows that repeat, for each of the nodes (node, digest, rep)."""
+    wanted = nodes.select(F.col("digest").alias("__digest"), F.col("rep").alias("__rep"), "node")
+    if nodes.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__rep"))).select("node", "text")
+
+
+# The trie of each tree
+
+
+def _runs(depth: int):
+    """Sorted keys as runs that share a prefix: node, tree, run and the run's first node here. A run of one
+    goes unless it is at an end of its partition, where ``opens`` and ``closes`` tell its prefix."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, run, head, opened = None, -1, 0, False
+        for batch in _and_end(batches):
+            if batch is None:
+                if held is None:
+                    return
+                tree, prefix, node = (x[:0] for x in held[:3])
+            else:
+                if not batch.num_rows:
+                    continue
+                tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
+                keys = batch.column("key").cast(pa.binary(_KEY))
+                prefix = np.frombuffer(keys.buffers()[1], np.uint8)[keys.offset * _KEY : (keys.offset + len(keys)) * _KEY].reshape(-1, _KEY)[:, : 2 * depth]
+            if held is not None:
+                tree, prefix, node = np.concatenate([held[0], tree]), np.concatenate([held[1], prefix]), np.concatenate([held[2], node])
+            new = np.ones(len(tree), bool)
+            new[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1]).any(1)
+            if held is not None:
+                new[0] = held[3]
+            upto = len(tree) - (batch is not None)
+            runs = run + np.cumsum(new)
+            heads = np.where(new, node, 0)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(tree)), -1))
+            heads = np.where(first >= 0, node[np.maximum(first, 0)], head)
+            alone = new & np.append(new[1:], True)
+            keep = ~alone[:upto]
+            edge = lambda i: bytes([tree[i]]) + prefix[i].tobytes()
+            opens, closes = [None] * upto, [None] * upto
+            if not opened and upto:
+                opens[0], opened, keep[0] = edge(0), True, True
+            if batch is None:
+                closes[-1], keep[-1] = edge(-1), True
+            if upto:
+                at = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[:upto][at]), pa.array(tree[:upto][at]), pa.array((part << 33) + runs[:upto][at]), pa.array(heads[:upto][at]), pa.array([opens[i] for i in at], pa.binary()), pa.array([closes[i] for i in at], pa.binary())],
+                    names=["node", "tree", "run", "head", "opens", "closes"],
+                )
+                run, head = int(runs[upto - 1]), int(heads[upto - 1])
+            if batch is not None:
+                held = (tree[-1:], prefix[-1:], node[-1:], bool(new[-1]))
+
+    return find
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def prefix_runs(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(node, tree, run) for texts that share a prefix of so many values in a tree with others, and edges (a, b)
+    that connect each run. nodes: node, keys.
+
+    Keys are sorted over all partitions, so no prefix, however common, comes together in one task; where a run goes
+    on in the next partition is told from two rows of each partition.
+    """
+    tree = F.sequence(F.lit(0), F.lit(TREES - 1))
+    each = nodes.select("node", F.explode(F.transform(tree, lambda t: F.struct(t.cast("int").alias("tree"), F.substr("keys", t * _KEY + 1, F.lit(_KEY)).alias("key")))).alias("k")).select("node", "k.tree", "k.key")
+    order = ["tree", "key", "node"]
+    found = each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs(depth), "node long, tree int, run long, head long, opens binary, closes binary")
+    found = checkpointed(found)
+    ends = found.where("opens is not null or closes is not null").select("run", "head", "opens", "closes").collect()
+    parts: dict[int, dict] = {}
+    for r in ends:
+        part = parts.setdefault(r.run >> 33, {})
+        if r.opens is not None:
+            part["first"] = r
+        if r.closes is not None:
+            part["last"] = r
+    same, edges, before = {}, [], None
+    for p in sorted(parts):
+        first, last = parts[p]["first"], parts[p]["last"]
+        if before is not None and bytes(before.closes) == bytes(first.opens):
+            same[first.run] = same.get(before.run, before.run)
+            edges.append((first.head, before.head))
+        before = last
+    spark = nodes.sparkSession
+    joined = spark.createDataFrame(list(same.items()), "__run long, __same long")
+    # Two rows of a partition at most.
+    members = found.join(F.broadcast(joined), F.col("run") == F.col("__run"), "left").select("node", "tree", F.coalesce("__same", "run").alias("run"))
+    links = found.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    return members, links.unionByName(spark.createDataFrame(edges, "a long, b long"))
+
+
+# Recall
+
+
+def _planted(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Longest common prefixes of each set and copies of it that are as unlike as a link may be."""
+    out = []
+    for i, own in enumerate(sets):
+        keep = int(np.ceil(2 * len(own) * similarity / (1 + similarity) - 1e-9))
+        if keep == len(own):
+            continue
+        draw = np.random.default_rng(i)
+        copies = [np.concatenate([draw.permutation(own)[:keep], draw.integers(0, 1 << 63, len(own) - keep, np.int64).view(np.uint64)]) for _ in range(PLANTED)]
+        signed = signatures(np.concatenate([own, *copies]), np.arange(PLANTED + 1) * len(own))
+        out.append(common_prefix(signed[:1], signed[1:]))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sampled_links(sample: list[tuple[bytes, np.ndarray]], similarity: float):
+    """For each slice of texts the links with texts of the sample, found by comparing all sets, counted by longest common prefix."""
+    digests, sets = [d for d, _ in sample], [s for _, s in sample]
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    known, begin = np.unique(flat[order], return_index=True)
+    owner, begin = owner[order], np.append(begin, len(flat))
+    signed = signatures(flat, np.cumsum(np.append(0, sizes))[:-1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(DEPTH + 1, np.int64)
+        for batch in K.slices(batches, "text"):
+            found, first = shingles(batch)
+            k = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = np.flatnonzero(known[k] == found)
+            doc = np.searchsorted(first, hit, "right") - 1
+            for d in np.unique(doc):
+                own = np.unique(found[first[d] : first[d + 1]])
+                j = np.unique(k[hit[doc == d]])
+                shared = np.zeros(len(sets), np.int64)
+                for a, b in zip(begin[j], begin[j + 1], strict=True):
+                    shared[owner[a:b]] += 1
+                near = shared >= (similarity - 1e-9) * (len(own) + sizes - shared)
+                if near.any():
+                    digest, mine = batch.column("digest")[int(d)].as_py(), signatures(own, np.zeros(1, np.int64))
+                    linked = [s for s in np.flatnonzero(near) if digests[s] != digest]
+                    counts += np.bincount(common_prefix(mine, signed[linked]), minlength=DEPTH + 1) if linked else 0
+        yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(counts), DEPTH + 1).cast(pa.list_(pa.int64()))], names=["n"])
+
+    return count
+
+
+def measured_recall(texts: DataFrame, firsts: DataFrame, similarity: float) -> dict[int, float]:
+    """The recall of each prefix length from the longest to 1: the lesser of its shares of two kinds of links of
+    a bounded sample of texts (by a hash): those with all rows, found by brute force, and those with
+    planted copies that are as unlike as a link may be."""
+    chosen = firsts.where(F.col("n_shingles").between(1, SAMPLE_SHINGLES)).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE).select("node", "digest", "rep")
+    sets = {r.node: np.array(r.shingles, np.int64).view(np.uint64) for r in _texts_of(texts, chosen).mapInArrow(_sets, "node long, shingles array<long>").collect()}
+    if not sets:
+        return {d: 1.0 for d in range(DEPTH, 0, -1)}
+    digests = {r.node: bytes(r.digest) for r in chosen.collect()}
+    sample = sorted(((digests[n], s) for n, s in sets.items()), key=lambda x: x[0])
+    totals = texts.where("digest is not null").select("text", "digest").mapInArrow(_sampled_links(sample, similarity), "n array<long>").agg(*[F.sum(F.col("n")[d]).alias(f"n{d}") for d in range(DEPTH + 1)]).first()
+    linked = np.array([x or 0 for x in totals])
+    planted = np.bincount(_planted([s for _, s in sample], similarity), minlength=DEPTH + 1)
+    share = lambda n, d: n[d:].sum() / n.sum() if n.sum() else 1.0
+    return {d: float(min(share(linked, d), share(planted, d))) for d in range(DEPTH, 0, -1)}
+
+
+def shortened(recalls: dict[int, float], recall: float) -> int:
+    """Prefixes shortened from the whole key on until one has the recall."""
+    for depth in sorted(recalls, reverse=True):
+        if recalls[depth] >= recall:
+            return depth
+    raise ValueError(f"no prefix of {TREES} trees finds {recall} of the sampled links; the most is {max(recalls.values()):.4f}")
+
+
+# Verification
 
 
 def _shared(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -115,27 +301,42 @@ def _shared(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def verify(rows: pa.Table, depth: int, similarity: float) -> pa.Table:
-    """All pairs of a block (or of two blocks) of candidates that no earlier depth compared: per text,
-    its links, and the least text it is connected with here. Pairs inside one block are compared where
-    low = high alone, so a cell whose other block has no text compares none."""
-    one = rows.combine_chunks()
-    ids, old, block = (one[c].to_numpy() for c in ("text_id", "old", "block"))
-    copies = one["copies"].to_numpy()
-    lists = one["shingles"].combine_chunks()
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = column.combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lens = np.diff(lists.offsets.to_numpy())
-    values = lists.flatten().to_numpy()
-    n = len(ids)
-    both = _shared(np.repeat(np.arange(n), lens), values, n)
-    np.fill_diagonal(both, 0)
-    near = both / np.maximum(lens[:, None] + lens[None, :] - both, 1)
-    asked = old[:, None] != old[None, :]
-    if n and one["low"][0].as_py() != one["high"][0].as_py():
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def verify(rows: pa.Table, similarity: float) -> pa.Table:
+    """Links within a block, or between two blocks, of a group of texts: per text their number, and the least text it is connected with here.
+
+    Compared are texts that share a run; pairs inside one block where low = high alone; and in the group of a
+    tree's run (tree 0 or more) those that share no run of an earlier tree, so that each pair is compared once.
+    """
+    ids = rows["node"].to_numpy()
+    keep = np.sort(np.unique(ids, return_index=True)[1])  # repeated rows of one text once
+    one = rows.take(pa.array(keep)).combine_chunks() if len(keep) < len(ids) else rows.combine_chunks()
+    ids, block, copies = (one[c].to_numpy() for c in ("node", "block", "copies"))
+    n, tree = len(ids), one["tree"][0].as_py()
+    runs, _ = _lists(one["runs"])
+    runs = runs.reshape(n, TREES)
+    asked, earlier = np.zeros((n, n), bool), np.zeros((n, n), bool)
+    for t in range(TREES):
+        same = (runs[:, t, None] == runs[None, :, t]) & (runs[:, t, None] >= 0)
+        if t == tree:
+            asked = same & ~earlier
+            break
+        if tree < 0:
+            asked |= same
+        else:
+            earlier |= same
+    np.fill_diagonal(asked, False)
+    if one["low"][0].as_py() != one["high"][0].as_py():
         asked &= block[:, None] != block[None, :]
-    linked = (near >= similarity - 1e-6) & asked
+    values, lens = _lists(one["shingles"])
+    both = _shared(np.repeat(np.arange(n), lens), values, n)
+    linked = asked & (both >= (similarity - 1e-6) * np.maximum(lens[:, None] + lens[None, :] - both, 1))
     links = linked @ copies
-    weight = np.where(linked, 1 / chance(np.maximum(near, 0.1), depth), 0).sum(1)
     label = np.argsort(np.argsort(ids))
     while True:
         least = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
@@ -143,7 +344,65 @@ def verify(rows: pa.Table, depth: int, similarity: float) -> pa.Table:
             break
         label = least
     some = np.flatnonzero(linked.any(1))
-    return pa.table({"text_id": ids[some], "label": np.sort(ids)[label[some]], "links": links[some].astype(np.int64), "weight": weight[some], "found": linked[some].sum(1).astype(np.int64)})
+    return pa.table({"node": ids[some], "label": np.sort(ids)[label[some]], "links": links[some].astype(np.int64)})
+
+
+def _units(members: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node, runs (by tree, -1 for none) and the groups it is verified in: tree, unit, blocks.
+
+    Texts that runs connect are verified as one group while that is no more work than its runs one by one, as
+    among near copies. A group that chains of unlike texts have made large is verified run by run.
+    """
+    weight = F.greatest("n_shingles", F.lit(LEAST_WEIGHT))
+    w = firsts.select("node", weight.alias("w"))
+    component = connected_components(edges)
+    block = F.least(F.greatest(F.sum("w") / F.lit(8), F.lit(LEAST_BLOCK)), F.lit(BLOCK_SHINGLES))
+    blocks = F.ceil(F.sum("w") / block).cast("int").alias("blocks")
+    whole = component.join(w, "node").groupBy("component").agg(F.count("*").alias("n"), blocks)
+    by_run = members.join(w, "node").groupBy("tree", "run").agg(F.count("*").alias("n"), F.min("node").alias("node"), blocks).where("n > 1")
+    work = by_run.join(component, "node").groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("by_runs"))
+    split = whole.join(work, "component").withColumn("split", (F.col("blocks") > 1) & (F.col("by_runs") < F.col("n") * F.col("n")))
+    placed = checkpointed(component.join(split.select("component", "blocks", "split"), "component"))
+    own = placed.where("not split").select("node", F.lit(-1).alias("tree"), F.col("component").alias("unit"), "blocks")
+    parted = members.join(placed.where("split").select("node"), "node").join(by_run.select("run", "blocks"), "run").select("node", "tree", F.col("run").alias("unit"), "blocks")
+    lists = members.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "run"))).alias("m"))
+    runs = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("m", t), F.lit(-1)))
+    return own.unionByName(parted).join(lists.select("node", runs.alias("runs")), "node")
+
+
+def _links(texts: DataFrame, firsts: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """node, label, links of all texts that are linked with others."""
+    depth = shortened(measured_recall(texts, firsts, similarity), recall)
+    members, edges = prefix_runs(firsts.where("n_shingles > 0").select("node", "keys"), depth)
+    units = checkpointed(_units(members, edges, firsts))
+    wanted = firsts.join(units.select("node").distinct(), "node", "left_semi").select("node", "digest", "rep", "copies")
+    wanted = checkpointed(wanted)
+    sets = _texts_of(texts, wanted).mapInArrow(_sets, "node long, shingles array<long>")
+    block = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    cells = units.join(wanted.select("node", "copies"), "node").withColumn("block", block).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("node", "copies", "runs", "tree", "unit", "block", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"))
+    pairs = sets.join(cells, "node")
+
+    def check(rows: pa.Table) -> pa.Table:
+        return verify(rows, similarity)
+
+    return checkpointed(pairs.groupBy("tree", "unit", "low", "high").applyInArrow(check, _LINKS))
+
+
+def _known(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest of each row; and for each distinct text digest, rep (its least doc_id), copies, links and class: the class's least doc_id and that text's digest."""
+    texts = _texts(docs)
+    signed = checkpointed(texts.mapInArrow(_sign, "doc_id long, digest binary, n_shingles long, keys binary"))
+    firsts = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    # Kept, so that the numbers stay.
+    firsts = checkpointed(firsts.withColumn("node", F.monotonically_increasing_id()))
+    links = _links(texts, firsts, similarity, recall)
+    per_text = links.groupBy("node").agg(F.sum("links").alias("links"))
+    grouped = connected_components(links.where("label != node").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    known = firsts.select("node", "digest", "rep", "copies").join(per_text, "node", "left").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    leader = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
+    known = known.join(known.groupBy("component").agg(leader.alias("leader")), "component")
+    return signed.select("doc_id", "digest"), known.select("digest", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("leader.rep").alias("class_id"), (F.col("leader.digest") == F.col("digest")).alias("leads"))
 
 
 def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -156,80 +415,31 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     Texts without a word are linked with equal ones only; a null text with none, its class is its own
     doc_id. Rows that repeat are copies of each other; an empty table gives an empty result.
 
-    Equal texts are compared once, by a 64-bit fingerprint. Candidates are verified in blocks of bounded size inside
-    tasks, which return a row for each text and not for each pair.
+    Equal texts are compared once, by SHA-256. Candidates are verified in blocks of bounded size inside
+    tasks, which return a row for each text and not for each pair. A similarity so low that the forest
+    can't find ``recall`` of the links is an error.
     """
-    text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.when(text.isNotNull(), F.xxhash64(F.md5(text), F.octet_length(text))).alias("text_id"))
-    prefixes = ", ".join(f"prefix_{d} array<long>" for d in sorted(DEPTHS))
-    signed = checkpointed(texts.mapInArrow(_signatures, f"doc_id long, text_id long, n_shingles long, {prefixes}"))
-    firsts = signed.where("text_id is not null").groupBy("text_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), *[F.max(f"prefix_{d}").alias(f"prefix_{d}") for d in DEPTHS])
-    firsts = checkpointed(firsts)
-    links = components = None
-    # A prefix so long that a link at the threshold would be missed too often isn't tried at all.
-    enough = [d for d in DEPTHS if chance(similarity, d) >= recall] or [min(DEPTHS)]
-    for depth in [d for d in DEPTHS if d <= enough[0]]:
-        found, components = _level(texts, firsts, components, depth, similarity)
-        links = found if links is None else links.unionByName(found)
-        s = links.agg(F.sum("found").alias("n"), F.sum("weight").alias("w")).first()
-        if (s["n"] or 0) >= recall * (s["w"] or 0.0):
-            break
-    per_text = links.groupBy("text_id").agg(F.sum("links").alias("__links"))
-    grouped = connected_components(links.where("label != text_id").select(F.col("text_id").alias("a"), F.col("label").alias("b")))
-    known = firsts.select("text_id", "rep", "copies").join(per_text, "text_id", "left").join(grouped.withColumnRenamed("node", "text_id"), "text_id", "left")
-    known = known.withColumn("component", F.coalesce("component", "text_id"))
-    least = known.groupBy("component").agg(F.min("rep").alias("class_id"))
-    known = known.join(least, "component").select(F.col("text_id").alias("__text"), "class_id", "copies", "__links")
-    out = signed.select("doc_id", "text_id").join(known, F.col("text_id") == F.col("__text"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("__links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"))
-
-
-def _level(texts: DataFrame, firsts: DataFrame, components: DataFrame | None, depth: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links among texts that share a prefix of this depth and weren't compared before; and what is compared by now."""
-    nodes = firsts.where("n_shingles > 0").select("text_id", F.explode(f"prefix_{depth}").alias("prefix"))
-    shared = nodes.groupBy("prefix").agg(F.min("text_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = nodes.join(shared, "prefix").where("text_id != least").select(F.col("text_id").alias("a"), F.col("least").alias("b"))
-    now = connected_components(edges)
-    groups = now.withColumnRenamed("node", "text_id").join(firsts.select("text_id", "rep", "copies", "n_shingles"), "text_id")
-    if components is None:
-        groups = groups.withColumn("old", F.col("text_id"))
-    else:
-        groups = groups.join(components.select(F.col("node").alias("text_id"), F.col("component").alias("old")), "text_id", "left").withColumn("old", F.coalesce("old", "text_id"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), (F.min("old") != F.max("old")).alias("__new")).where("__new").drop("__new")
-    groups = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("text_id"), "blocks").cast("int"))
-    groups = checkpointed(groups.select("text_id", "rep", "copies", "component", "old", "blocks", "block"))
-    wanted = groups.withColumnRenamed("text_id", "__text")
-    if groups.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    one = texts.join(wanted, (F.col("text_id") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "text_id", "component", "old", "copies", "block", "blocks")
-    sets = one.mapInArrow(_sets, "text_id long, component long, old long, copies long, block int, blocks int, shingles array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = sets.withColumn("__other", other).withColumn("low", F.least("block", "__other")).withColumn("high", F.greatest("block", "__other"))
+    rows, known = _known(docs, similarity, recall)
+    known = known.withColumnRenamed("digest", "__digest")
+    out = rows.join(known, F.col("digest") == F.col("__digest"), "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), (F.coalesce("copies", F.lit(1)) - 1).alias("n_copies"))
 
-    def check(rows: pa.Table) -> pa.Table:
-        return verify(_one_each(rows), depth, similarity)
-
-    found = pairs.groupBy("component", "low", "high").applyInArrow(check, _LINKS)
-    return checkpointed(found), now
-
-
-def _one_each(rows: pa.Table) -> pa.Table:
-    """Repeated rows of one text once."""
-    ids = rows["text_id"].to_numpy()
-    keep = np.unique(ids, return_index=True)[1]
-    return rows if len(keep) == len(ids) else rows.take(pa.array(np.sort(keep)))
-
-
-def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without those whose class has a smaller doc_id, and one of rows that repeat; all columns kept."""
-    classes = jaccard_classes(docs, **how)
-    gone = checkpointed(classes.where("class_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    if repeated.isEmpty():
-        return left
-    repeated = checkpointed(repeated)
-    rare = left.join(repeated, left["doc_id"] == repeated["__again"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, left["doc_id"] == repeated["__again"], "left_anti").unionByName(rare)
+
+def one_of_each_class(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row of each class, that with the least doc_id (a null one only where there is no other), all columns kept.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands at several texts loses only the rows whose
+    class has another leader; of rows that repeat one stays, and all rows with a null text. An empty table stays empty.
+    """
+    rows, known = _known(docs, similarity, recall)
+    copied = checkpointed(known.where("not leads or copies > 1").select(F.col("digest").alias("__digest"), F.when(F.col("leads"), F.struct("rep")).alias("__keep")))
+    again = checkpointed(rows.where("digest is not null").groupBy("digest", "doc_id").count().where("count > 1").select(F.col("digest").alias("__again")))
+    few = copied.count() <= BROADCAST_ROWS
+    # The row as one struct, so that no column of docs can clash with those used here.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("digest"))
+    left = packed.join(F.broadcast(copied) if few else copied, F.col("digest") == F.col("__digest"), "left")
+    left = left.where(F.col("__digest").isNull() | (F.col("__keep").isNotNull() & F.col("id").eqNullSafe(F.col("__keep.rep"))))
+    if not again.isEmpty():
+        rare = left.join(again, F.col("digest") == F.col("__again"), "left_semi").dropDuplicates(["digest"])
+        left = left.join(again, F.col("digest") == F.col("__again"), "left_anti").unionByName(rare)
+    return left.select("row.*")

@@ -116,16 +116,21 @@ def test_jaccard_messy(messy, empty):
     assert neardup.jaccard_classes(empty).count() == 0
 
 
+def near_copies(n, words=100):
+    """Texts that differ from each other in two words of a hundred."""
+    base = [f"w{i}" for i in range(words)]
+    return [(k, " ".join(base[:k] + ["changed"] + base[k + 1 :]), "en", "a") for k in range(40, 40 + n)]
+
+
 def test_jaccard_large_group_over_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 2_000)
-    words = [f"w{i}" for i in range(100)]
-    rows = [(k, " ".join(words[:k] + ["changed"] + words[k + 1 :]), "en", "a") for k in range(40, 80)]
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", 1_000)
+    rows = near_copies(40)
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_classes(documents(spark, rows)).collect())
     assert got == sorted(brute_classes(rows))
 
 
 def test_jaccard_long_copies_in_one_of_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", 300)
     rows = []
     for k in range(12):
         words = [f"g{k}w{i}" for i in range(600)]
@@ -134,8 +139,79 @@ def test_jaccard_long_copies_in_one_of_several_blocks(spark, monkeypatch):
     assert got == sorted(brute_classes(rows)) == [(d, d - d % 2, 1) for d in range(24)]
 
 
-def test_jaccard_chance():
-    assert neardup.chance(0.8, 5) > 0.998 and neardup.chance(0.8, 7) < neardup.chance(0.8, 5)
+def chain(n, overlap=110):
+    """Texts of 120 words that share most words with the next one, and nothing with those far off."""
+    step = 120 - overlap
+    return [(k, " ".join(f"c{i}" for i in range(k * step, k * step + 120)), "en", "a") for k in range(n)]
+
+
+def test_jaccard_chains_are_verified_run_by_run(spark, monkeypatch):
+    # A chain is much larger than any run in it, so its runs are groups of their own.
+    monkeypatch.setattr(neardup, "LEAST_BLOCK", 500)
+    rows, seen = chain(60), []
+    real = neardup._units
+    monkeypatch.setattr(neardup, "_units", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.jaccard_classes(documents(spark, rows)).collect())
+    assert got == sorted(brute_classes(rows))
+    assert seen[0].where("tree >= 0").count() > 0
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_prefix_runs_over_partitions(spark, monkeypatch, parts):
+    r = random.Random(3)
+    monkeypatch.setattr(neardup, "TREES", 2)
+    keys = {n: bytes(r.choice([0, 1]) for _ in range(2 * neardup._KEY)) for n in range(300)}
+    nodes = spark.createDataFrame(list(keys.items()), "node long, keys binary")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    members, edges = neardup.prefix_runs(nodes, 2)
+    got = {}
+    for m in members.collect():
+        got.setdefault(m.run, set()).add((m.tree, m.node))
+    links = [(e.a, e.b) for e in edges.collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    want = {}
+    for n, k in keys.items():
+        for t in range(2):
+            want.setdefault((t, k[t * neardup._KEY :][:4]), set()).add((t, n))
+    some = lambda runs: sorted(map(sorted, (x for x in runs.values() if len(x) > 1)))
+    assert some(got) == some(want)
+    top = {n: n for n in keys}
+    for a, b in links * 20:
+        top[a] = top[b] = min(top[a], top[b])
+    assert all(len({top[n] for _, n in x}) == 1 for x in want.values())
+
+
+@pytest.mark.parametrize("similarity,changed", [(0.5, 2), (0.8, 1)])
+def test_jaccard_prefixes_shorten_to_the_measured_recall(spark, similarity, changed):
+    # Pairs just above the threshold: one changed word in the middle spoils five of the shingles.
+    r, rows = random.Random(6), []
+    n = next(n for n in range(10, 200) if (n - 4 - 5 * changed) / (n - 4 + 5 * changed) >= similarity)
+    for k in range(150):
+        words = [f"p{k}x{i}" for i in range(n)]
+        other = list(words)
+        for c in range(changed):
+            other[8 + 9 * c] = f"new{k}{c}"
+        rows += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    df = documents(spark, rows)
+    found = sum(x.n_links for x in neardup.jaccard_classes(df, similarity).collect()) / 2
+    assert found >= 0.95 * 150
+    texts = neardup._texts(df)
+    firsts = texts.mapInArrow(neardup._sign, "doc_id long, digest binary, n_shingles long, keys binary").withColumnsRenamed({"doc_id": "rep"}).withColumn("node", F.col("rep"))
+    recalls = neardup.measured_recall(texts, firsts, similarity)
+    depth = neardup.shortened(recalls, neardup.RECALL)
+    assert depth < neardup.DEPTH and recalls[depth] >= neardup.RECALL > recalls[depth + 1]
+    assert list(recalls.values()) == sorted(recalls.values())
+
+
+def test_jaccard_raises_where_no_prefix_has_the_recall(spark):
+    with pytest.raises(ValueError, match="no prefix"):
+        neardup.jaccard_classes(documents(spark, near_copies(20)), similarity=0.02).count()
+
+
+def test_one_of_each_class_goes_by_row(spark):
+    rows = [(1, "one text of its own here", "en", "a"), (1, "another text under the same id", "en", "a"), (2, "another text under the same id", "en", "a"), (None, "left without id", "en", "a"), (None, "left without id", "en", "a"), (3, None, "en", "a"), (3, None, "en", "a")]
+    left = neardup.one_of_each_class(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, left), key=str) == sorted([rows[0][:2], rows[1][:2], rows[3][:2], rows[5][:2], rows[6][:2]], key=str)
 
 
 # 3: decontamination
