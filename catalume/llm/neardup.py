@@ -347,6 +347,17 @@ def verify(rows: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"node": ids[some], "label": np.sort(ids)[label[some]], "links": links[some].astype(np.int64)})
 
 
+def _with_component(rows: DataFrame, per_component: DataFrame) -> DataFrame:
+    """rows with the columns of their component (component, n = its rows, ...). The few components that hold more
+    than a thousandth of all rows are broadcast, so that no task gets all rows of one."""
+    total = per_component.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * 1000 > total
+    large = per_component.where(hot).withColumnRenamed("component", "__large")
+    marked = rows.join(F.broadcast(large), F.col("component") == F.col("__large"), "left")
+    others = marked.where("__large is null").select(*rows.columns).join(per_component.where(~hot), "component")
+    return marked.where("__large is not null").drop("__large").unionByName(others)
+
+
 def _units(members: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame:
     """node, runs (by tree, -1 for none) and the groups it is verified in: tree, unit, blocks.
 
@@ -362,7 +373,7 @@ def _units(members: DataFrame, edges: DataFrame, firsts: DataFrame) -> DataFrame
     by_run = members.join(w, "node").groupBy("tree", "run").agg(F.count("*").alias("n"), F.min("node").alias("node"), blocks).where("n > 1")
     work = by_run.join(component, "node").groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("by_runs"))
     split = whole.join(work, "component").withColumn("split", (F.col("blocks") > 1) & (F.col("by_runs") < F.col("n") * F.col("n")))
-    placed = checkpointed(component.join(split.select("component", "blocks", "split"), "component"))
+    placed = checkpointed(_with_component(component, checkpointed(split.select("component", "n", "blocks", "split"))))
     own = placed.where("not split").select("node", F.lit(-1).alias("tree"), F.col("component").alias("unit"), "blocks")
     parted = members.join(placed.where("split").select("node"), "node").join(by_run.select("run", "blocks"), "run").select("node", "tree", F.col("run").alias("unit"), "blocks")
     lists = members.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "run"))).alias("m"))
@@ -401,7 +412,8 @@ def _known(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame
     grouped = connected_components(links.where("label != node").select(F.col("node").alias("a"), F.col("label").alias("b")))
     known = firsts.select("node", "digest", "rep", "copies").join(per_text, "node", "left").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leader = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
-    known = known.join(known.groupBy("component").agg(leader.alias("leader")), "component")
+    known = checkpointed(known)
+    known = _with_component(known, checkpointed(known.groupBy("component").agg(F.count("*").alias("n"), leader.alias("leader"))))
     return signed.select("doc_id", "digest"), known.select("digest", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("leader.rep").alias("class_id"), (F.col("leader.digest") == F.col("digest")).alias("leads"))
 
 
