@@ -56,6 +56,7 @@ class Suffixes:
 
     def __init__(self, items: list[tuple[str, list[int]]], window: int) -> None:
         rows, lengths, owners, places = [], [], [], []
+        # An item without id has windows as any other, but no name to give.
         self.ids = [i for i, _ in items]
         self.words = [np.array(w, np.int64).view(np.uint64) for _, w in items]
         for k, w in enumerate(self.words):
@@ -69,9 +70,9 @@ class Suffixes:
         self.query, self.some, back = np.unique(whole, axis=0, return_index=True, return_inverse=True)
         back = back.ravel()
         self.length = np.array(lengths, np.int64)[self.some]
-        self.owner, self.place = np.array(owners, np.int64)[self.some], np.array(places, np.int64)[self.some]
         order = np.argsort(back, kind="stable")
-        self.items = np.array(owners, np.int64)[order]
+        # The items of each window, and the windows' places in them.
+        self.items, self.places = np.array(owners, np.int64)[order], np.array(places, np.int64)[order]
         self.begin = np.searchsorted(back[order], np.arange(len(self.query) + 1))
 
     def find(self, words: np.ndarray, first: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,32 +103,34 @@ class Suffixes:
         window = np.repeat(np.arange(len(n)), n)
         return order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], window
 
-    def extend(self, words: np.ndarray, end: np.ndarray, at: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """How many words the text at each match has in common with the first item that has the window."""
-        length = self.length[window].copy()
+    def extend(self, words: np.ndarray, first: np.ndarray, at: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all items that have a matched window: where each verbatim match begins in the text, its words, and the item.
+
+        A match whose text and item agree on the word before as well is left out: it is part of the one that begins there.
+        """
+        n = self.begin[window + 1] - self.begin[window]
+        own = np.repeat(self.begin[window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        item, place, at, length = self.items[own], self.places[own], np.repeat(at, n), np.repeat(self.length[window], n)
         flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
         begin = np.cumsum([0, *map(len, self.words)])
-        item = begin[self.owner[window]] + self.place[window]
-        item_end = begin[self.owner[window] + 1]
-        going = np.arange(len(at))
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
+        q = begin[item] + place
+        inner = (at > first[text]) & (place > 0)
+        inner[inner] = words[at[inner] - 1] == flat[q[inner] - 1]
+        item, at, length, q, text = (x[~inner] for x in (item, at, length, q, text))
+        end, item_end, going = first[text + 1], begin[item + 1], np.arange(len(at))
         while going.size:
-            a, b = at[going] + length[going], item[going] + length[going]
+            a, b = at[going] + length[going], q[going] + length[going]
             same = (a < end[going]) & (b < item_end[going])
             same &= words[np.minimum(a, len(words) - 1)] == flat[np.minimum(b, len(flat) - 1)]
             going = going[same]
             length[going] += 1
-        return length
+        return at, length, item
 
 
-def verbatim_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of ``docs``: its words, how many lie in an occurrence of a benchmark window, the
-    items concerned, and the longest verbatim match with its place (word number) and item.
-
-    docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have
-    no words, match nothing and are returned with zeros; an item without words has no window; rows
-    that repeat are each judged; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
+def _blocks_of(items: DataFrame, window: int, block_words: int) -> list:
+    """The items' words as broadcast blocks, each of about so many words."""
+    spark = items.sparkSession
 
     def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches, "text"):
@@ -135,42 +138,66 @@ def verbatim_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, bl
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), lists], names=["item_id", "words"])
 
-    asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(item_words, "item_id string, words array<long>").where("item_id is not null and size(words) > 0").distinct()
+    asked = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(item_words, "item_id string, words array<long>").where("size(words) > 0").distinct()
     total = asked.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     sent = []
     for b in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b).orderBy("item_id", "words").collect()
         sent.append(spark.sparkContext.broadcast([(r.item_id, list(r.words)) for r in rows]))
+    return sent
+
+
+def _found(batches: Iterator[pa.RecordBatch], sent: list, window: int):
+    """For each slice: the slice, where its texts' words begin, which words are hit, and (window set, places, windows) of each block with matches."""
+    kept = Suffixes(sent[0].value, window) if len(sent) == 1 else None
+    for batch in K.slices(batches, "text"):
+        words, first = words_of(batch)
+        order = suffix_array(words, first, window)
+        steps, matches = np.zeros(len(words) + 1, np.int64), []
+        for block in sent:
+            s = kept or Suffixes(block.value, window)
+            at, which = s.find(words, first, order)
+            np.add.at(steps, at, 1)
+            np.add.at(steps, at + s.length[which], -1)
+            if len(at):
+                matches.append((s, at, which))
+        yield batch, words, first, np.cumsum(steps[:-1]) > 0, matches
+
+
+def verbatim_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per row of ``docs``: its words, how many lie in an occurrence of a benchmark window, the
+    items concerned, and the longest verbatim match with its place (word number) and item; of equally
+    long ones the first, and of its items the least.
+
+    docs: doc_id, text; items: item_id, text; other columns are ignored. Null and empty texts have
+    no words, match nothing and are returned with zeros; an item without words has no window; one
+    without id counts for the words that are hit and for the longest match, but isn't among item_ids; rows
+    that repeat are each judged; an empty table gives an empty result.
+    """
+    sent = _blocks_of(items, window, block_words)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Suffixes(sent[0].value, window) if len(sent) == 1 else None
-        for batch in K.slices(batches, "text"):
-            words, first = words_of(batch)
-            order = suffix_array(words, first, window)
-            n, ends = batch.num_rows, np.repeat(first[1:], np.diff(first))
-            doc = K.text_of_words(first)
-            steps = np.zeros(len(words) + 1, np.int64)
+        for batch, words, first, hits, matches in _found(batches, sent, window):
+            n, doc = batch.num_rows, K.text_of_words(first)
             found: list[set[str]] = [set() for _ in range(n)]
             best = [(0, 0, None)] * n
-            for block in sent:
-                s = kept or Suffixes(block.value, window)
-                at, which = s.find(words, first, order)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + s.length[which], -1)
-                for pair in np.unique(doc[at] * len(s.query) + which) if len(at) else ():
+            for s, at, which in matches:
+                for pair in np.unique(doc[at] * len(s.query) + which):
                     d, q = divmod(int(pair), len(s.query))
-                    found[d].update(s.ids[i] for i in s.items[s.begin[q] : s.begin[q + 1]])
-                length = s.extend(words, ends[at], at, which) if len(at) else np.zeros(0, np.int64)
-                for k in np.lexsort((at, -length, doc[at])) if len(at) else ():
-                    d = int(doc[at[k]])
-                    if length[k] > best[d][0]:
-                        best[d] = (int(length[k]), int(at[k] - first[d]), s.ids[s.owner[which[k]]])
-                if not kept:
-                    vars(block).pop("_value", None)  # one block in memory at a time
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(steps[:-1]) > 0)])
+                    found[d].update(s.ids[i] for i in s.items[s.begin[q] : s.begin[q + 1]] if s.ids[i] is not None)
+                start, length, item = s.extend(words, first, at, which)
+                longest = np.zeros(n, np.int64)
+                np.maximum.at(longest, doc[start], length)
+                top = np.flatnonzero(length == longest[doc[start]])
+                for k in top[np.lexsort((start[top], doc[start[top]]))]:
+                    d = int(doc[start[k]])
+                    mine = (int(length[k]), int(start[k] - first[d]), s.ids[item[k]])
+                    if best[d][0] < mine[0] or best[d][0] == mine[0] and (best[d][1], best[d][2] is None, best[d][2] or "") > (mine[1], mine[2] is None, mine[2] or ""):
+                        best[d] = mine
+            upto = np.concatenate([[0], np.cumsum(hits)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(hit[first[1:]] - hit[first[:-1]]), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] if b[0] else None for b in best], pa.int64()), pa.array([b[2] for b in best], pa.string())],
+                [batch.column("doc_id"), pa.array(np.diff(first)), pa.array(upto[first[1:]] - upto[first[:-1]]), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] if b[0] else None for b in best], pa.int64()), pa.array([b[2] for b in best], pa.string())],
                 names=["doc_id", "n_words", "n_hit", "item_ids", "longest", "longest_at", "longest_item"],
             )
 
@@ -178,13 +205,20 @@ def verbatim_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, bl
 
 
 def digest(matches: DataFrame) -> DataFrame:
-    return matches.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("item_ids"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return matches.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.sort_array("item_ids"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_at", "longest_item")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with no benchmark window, all their columns kept; null doc_ids included.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` with no benchmark window, all their columns kept, each judged by its own text.
 
-    A doc_id that stands on several rows goes if one of them is affected.
+    Null and empty texts stay, whatever their doc_id; so do rows that repeat, if they are clean. Rows go in the
+    pass that searches them: nothing is shuffled.
     """
-    bad = verbatim_matches(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    sent = _blocks_of(items, window, block_words)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, first, hits, _ in _found(batches, sent, window):
+            upto = np.concatenate([[0], np.cumsum(hits)])
+            yield batch.filter(pa.array(upto[first[1:]] == upto[first[:-1]]))
+
+    return docs.mapInArrow(keep, docs.schema)

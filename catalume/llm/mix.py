@@ -85,42 +85,36 @@ def _step(pi: list[float], units: list[int], u: tuple[float, ...], draw: random.
         pi[k] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
 
 
-def _flown(rows: pd.DataFrame, land: bool) -> pd.DataFrame:
+def _flown(rows: pd.DataFrame) -> pd.DataFrame:
+    """A block after its flight; a source's only block lands."""
     rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="last")
     first = rows.iloc[0]
     seed = hashlib.md5(f"{first['source']}|{first['doc_id']}|{len(rows)}".encode()).hexdigest()
     pi, size = rows["pi"].tolist(), rows["size"].astype("int64").tolist()
-    flight(pi, size, random.Random(seed), land)
+    flight(pi, size, random.Random(seed), first["__blocks"] == 1)
     return rows.assign(pi=pi)[["source", "doc_id", "size", "pi"]]
 
 
-def _flying(rows: pd.DataFrame) -> pd.DataFrame:
-    return _flown(rows, False)
-
-
-def _landing(rows: pd.DataFrame) -> pd.DataFrame:
-    return _flown(rows, True)
-
-
 def cube_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """units (source, doc_id, size, pi in [0, 1]) with pi moved to 0 or 1, balanced within each source.
 
     A source is dealt over blocks; what a block leaves fractional (two documents at most) meets
-    that of other blocks on the next level, until a source fits one block and lands there.
+    that of other blocks on the next level, until the source fits one block and lands there, whatever other sources do.
     """
-    decided, left = [], units.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"), F.col("pi").cast("double").alias("pi"))
+    units = units.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.col("size").cast("long").alias("size"), F.col("pi").cast("double").alias("pi"))
+    left, decided, level = units, [], 0
     while True:
         blocks = left.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).alias("__blocks"))
         last = (blocks.agg(F.max("__blocks")).first()[0] or 0) <= 1
         left = left.withColumn("__source", F.col("source")).join(blocks.withColumnRenamed("source", "__other"), F.col("source").eqNullSafe(F.col("__other")))
-        left = left.withColumn("__block", F.pmod(F.xxhash64("doc_id", F.lit(len(decided))), "__blocks"))
-        flown = left.groupBy("__source", "__block").applyInPandas(_landing if last else _flying, _STATE)
+        left = left.withColumn("__block", F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), "__blocks"))
+        flown = left.groupBy("__source", "__block").applyInPandas(_flown, _STATE)
         if last:
             return _union([*decided, flown])
         flown = checkpointed(flown)
         open_ = (F.col("pi") > 0) & (F.col("pi") < 1)
         decided.append(flown.where(~open_))
-        left = flown.where(open_)
+        left, level = flown.where(open_), level + 1
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -69,6 +69,6 @@ _CALLS = (
 )
 ORACLE = twins.TWINS | {
     "op7_tool_calls": _CALLS
-    + "select conv_id, call_id, seq, name, level, status, n_calls, n_results, case when n_calls > 0 then errors = '' end as valid, case when n_calls > 0 then errors else '' end as errors, "
+    + "select conv_id, call_id, seq, name, level, case when n_calls > 0 then row_number() over (partition by conv_id, n_calls > 0 order by level nulls last, seq, call_id) - 1 end as position, status, n_calls, n_results, case when n_calls > 0 then errors = '' end as valid, case when n_calls > 0 then errors else '' end as errors, "
     "'{' || array_to_string(list_filter([case when n_calls > 0 then '\"arguments\":' || arguments end, '\"call_id\":' || to_json(call_id), '\"depends_on\":' || needs, '\"level\":' || level, '\"name\":' || to_json(name), '\"result\":' || to_json(result), '\"status\":' || to_json(status)], lambda x: x is not null), ',') || '}' as json from j"
 }

@@ -13,6 +13,8 @@ from ..cluster import checkpointed
 
 #: Bits of each dimension; the curve index has three times as many.
 BITS = 8
+#: Distinct values of a dimension up to which their cells are broadcast.
+FEW_VALUES = 100_000
 
 
 def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -46,22 +48,41 @@ def hilbert_index(axes: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def text_cell(value: Column, bits: int = BITS) -> Column:
-    """A string's first characters as a number of so many bits, in the order of the strings; null is 0."""
-    code = lambda i: F.least(F.coalesce(F.ascii(F.substring(value, i, 1)), F.lit(0)), F.lit(127))
-    digits = F.regexp_extract(value, "([0-9]{1,3})$", 1)
-    tail = F.when(digits != "", digits.cast("int")).otherwise(code(2) * 2 + code(3).bitwiseAND(1))
-    return F.when(value.isNull(), 0).otherwise(F.pmod(tail + code(1) * 37, F.lit((1 << bits) - 1)) + 1).cast("int")
+def ranked_cells(docs: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(value, cell) of the distinct values of a column: their ranks, spread over so many bits, so that
+    neighbouring cells are neighbouring values. Null comes first.
+
+    Values are sorted over all partitions; one count of each partition reaches the driver.
+    """
+    values = docs.select(F.col(column).cast("string").alias("value")).distinct()
+    kept = checkpointed(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("__id", F.monotonically_increasing_id()))
+    kept = kept.withColumn("__part", F.shiftright("__id", 33)).withColumn("__nth", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before, n = [], 0
+    for s in kept.groupBy("__part").count().orderBy("__part").collect():
+        before.append((s["__part"], n))
+        n += s["count"]
+    offsets = docs.sparkSession.createDataFrame(before, "__p long, __before long")
+    rank = F.col("__before") + F.col("__nth")
+    cell = F.floor(rank * (1 << bits) / F.lit(max(n, 1))) if n > 1 << bits else rank * ((1 << bits) // max(n, 1))
+    return kept.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).select("value", cell.cast("int").alias("cell"))
 
 
 def size_cell(size: Column, bits: int = BITS) -> Column:
-    """Sixteen steps for each doubling of the size, so that files differ in it."""
+    """Eight steps for each doubling of the size, so that files differ in it."""
     return F.least(F.floor(F.log2(size.cast("double")) * 8), F.lit((1 << bits) - 1)).cast("int")
 
 
+def _placed(rows: DataFrame, docs: DataFrame, column: str, name: str, bits: int) -> DataFrame:
+    cells = ranked_cells(docs, column, bits)
+    cells = cells.select(F.col("value").alias(f"__{name}"), F.col("cell").alias(name))
+    if cells.count() <= FEW_VALUES:
+        cells = F.broadcast(cells)
+    return rows.join(cells, F.col(column).eqNullSafe(F.col(f"__{name}"))).drop(f"__{name}")
+
+
 def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows", bits: int = BITS) -> DataFrame:
-    """Per row of ``docs``: doc_id, size (UTF-8 bytes and 1), text_crc32, curve (Hilbert index over
-    language, source and size), law, shard, slot (its place in the shard, from 0).
+    """Per row of ``docs``: doc_id, size (UTF-8 bytes and 1), text_crc32, curve (Hilbert index over the ranks of
+    language and source and the size), law, shard, slot (its place in the shard, from 0).
 
     Runs of the curve are cut at equal counts (law ``rows``, at most one apart) or at equal bytes
     (``bytes``). docs: doc_id, text, lang, source; other columns are ignored. Null and empty texts
@@ -78,7 +99,9 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows", bits: i
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = (F.octet_length(text) + 1).cast("long")
-    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_cell(F.col("lang"), bits).alias("a"), text_cell(F.col("source"), bits).alias("b"))
+    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *[F.col(c).cast("string").alias(c) for c in ("lang", "source")])
+    cells = checkpointed(cells)
+    cells = _placed(_placed(cells, cells, "lang", "a", bits), cells, "source", "b", bits)
     cells = cells.withColumn("c", size_cell(F.col("size"), bits)).mapInPandas(place, "doc_id long, size long, text_crc32 long, curve long")
     order = ["curve", "text_crc32", "size", "doc_id"]
     # A sorted range of rows in each partition, kept, so that numbers given in it stay.
@@ -113,14 +136,15 @@ def _cut(ranges: DataFrame, shards: int, law: str) -> DataFrame:
 
 
 def zone_map(sharded: DataFrame, columns: list[str]) -> DataFrame:
-    """Per shard its rows and the least and greatest value of each column, by which a reader prunes files."""
+    """Per shard its rows and the least and greatest value of each column, by which a reader prunes files; nulls have
+    no part in either, and an empty table gives no rows."""
     return sharded.groupBy("shard").agg(F.count("*").alias("n_rows"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Write ``docs`` as one folder of files per shard, in the order of the slots; columns shard and slot that docs
-    has are replaced. doc_ids must be distinct."""
+    """Write ``docs`` as one folder of files per shard, each file a run of slots in their order; columns shard and
+    slot that docs has are replaced. doc_ids must be distinct and none null, as rows are found by them; an empty table writes no file."""
     where = sharded.select(F.col("doc_id").alias("doc"), "shard", "slot")
     packed = docs.select(F.struct(*[c for c in docs.columns if c.lower() not in ("shard", "slot")]).alias("row"), F.col("doc_id").cast("long").alias("id"))
     rows = packed.join(where, F.col("id") == F.col("doc")).select("row.*", "shard", "slot")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

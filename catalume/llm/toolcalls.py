@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..cluster import checkpointed
 
@@ -39,6 +40,21 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(out, _KEY, "left")
 
 
+def positions(calls: DataFrame) -> DataFrame:
+    """calls (conv_id, level, seq, call_id) with position: their place in that order in the conversation.
+
+    Calls are sorted over all partitions, so a conversation of any length is no burden; a row for each
+    partition that a conversation lies in tells how many of its calls lie before.
+    """
+    order = ["conv_id", F.col("level").asc_nulls_last(), "seq", "call_id"]
+    kept = checkpointed(calls.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    kept = kept.withColumn("__part", F.shiftright("__id", 33))
+    parts = kept.groupBy("conv_id", "__part").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("conv_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return kept.join(parts, ["conv_id", "__part"]).withColumn("position", F.col("__before") + F.col("__id") - F.col("__first")).drop("__id", "__part", "__first", "__before")
+
+
 def _json_type(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     out = F.when(kind == "STRING", "string").when(kind == "BIGINT", "integer").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
@@ -57,12 +73,15 @@ def argument_errors(given: Column, schema: Column) -> Column:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call, and per result without a call: conv_id, call_id, seq, name, level, status
+    """One row per call, and per result without a call: conv_id, call_id, seq, name, level, position, status
     (linked, unanswered, orphan), n_calls, n_results, valid, errors, json.
 
     calls: conv_id, call_id, seq, name, arguments (JSON text), depends_on (array of call_ids);
     results: conv_id, call_id, seq, content; schemas: name, param, type (of JSON Schema), required.
-    Other columns are ignored. A valid order of a conversation's calls is by level, seq, call_id.
+    Other columns are ignored. position is a call's place, from 0, in the topological order of its conversation
+    by level, seq and call_id; calls on or behind a cycle come last. A parameter given twice counts once, by its
+    least type, and is required if one row says so (null does not); a row without param names a tool that may have none.
+    Numbers are as the JSON parser takes them: 1.0 is written 1, 1e0 as 1.0.
     A call_id given twice counts once, by its least seq and arguments; so does a result. Rows
     without conv_id or call_id are dropped, having nothing to link by. Arguments that aren't a JSON
     object give the error ``json``, a tool without schema ``tool``, a dependency on an unknown call
@@ -77,7 +96,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     known = one.select("conv_id", F.col("call_id").alias("needs"))
     loose = needs.join(known, ["conv_id", "needs"], "left_anti").groupBy(*_KEY).agg(F.collect_set(F.concat(F.lit("needs:"), "needs")).alias("__loose"))
     levels = layers(one.select(*_KEY), needs.join(known, ["conv_id", "needs"], "left_semi"))
-    tool = schemas.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("type", "required")))).alias("__schema"))
+    params = schemas.where("name is not null").groupBy("name", "param").agg(F.min("type").alias("type"), F.coalesce(F.max("required"), F.lit(False)).alias("required"))
+    entries = F.filter(F.collect_list(F.struct("param", F.struct("type", "required"))), lambda e: e["param"].isNotNull())
+    tool = params.groupBy("name").agg(F.map_from_entries(entries).alias("__schema"))
+    levels = positions(levels.join(one.select(*_KEY, "seq"), _KEY)).drop("seq")
     linked = one.join(levels, _KEY).join(loose, _KEY, "left").join(tool, "name", "left").join(answer, _KEY, "full_outer")
     given = F.coalesce(F.col("arguments"), F.lit("{}"))
     is_call = F.col("n_calls").isNotNull()
@@ -96,7 +118,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     status = F.when(~is_call, "orphan").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
     linked = linked.withColumn("errors", F.array_join(faults, ",")).withColumn("status", status)
     fields = F.struct(F.col("__args").alias("arguments"), "call_id", F.when(F.size("depends_on") > 0, F.array_sort(F.array_distinct("depends_on"))).alias("depends_on"), "level", "name", "result", "status")
-    return linked.select(*_KEY, F.coalesce("seq", "__seq").alias("seq"), "name", "level", "status", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.when(is_call, F.col("errors") == "").alias("valid"), "errors", F.to_json(fields).alias("json"))
+    return linked.select(*_KEY, F.coalesce("seq", "__seq").alias("seq"), "name", "level", "position", "status", F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.when(is_call, F.col("errors") == "").alias("valid"), "errors", F.to_json(fields).alias("json"))
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -165,11 +165,11 @@ def _descend(rows: DataFrame, words: np.ndarray, a: int, b: int, ridge: float, c
                 k = np.minimum(np.searchsorted(kept.value, flat), len(kept.value) - 1)
                 hit = kept.value[k] == flat
                 upto = np.concatenate([[0], np.cumsum(hit)])
-                columns.append(pa.ListArray.from_arrays(pa.array(upto[at].astype(np.int32) - np.int32(upto[at[0]])), pa.array(k[at[0] : at[-1]][hit[at[0] : at[-1]]].astype(np.int16))))
+                columns.append(pa.ListArray.from_arrays(pa.array(upto[at].astype(np.int32) - np.int32(upto[at[0]])), pa.array(k[at[0] : at[-1]][hit[at[0] : at[-1]]].astype(np.int32))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], names=["doc_id", "toxic", "words", "other"])
 
     # At most the sample's rows, each with at most the features' numbers.
-    got = rows.mapInArrow(narrow, "doc_id long, toxic int, words array<short>, other array<short>").orderBy("doc_id").toArrow().combine_chunks()
+    got = rows.mapInArrow(narrow, "doc_id long, toxic int, words array<int>, other array<int>").orderBy("doc_id").toArrow().combine_chunks()
     y = got["toxic"].to_numpy().astype(float)
 
     def matrix(name: str) -> tuple[np.ndarray, np.ndarray]:

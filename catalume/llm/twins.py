@@ -67,14 +67,19 @@ _JACCARD = (
 _N = decontaminate.WINDOW
 _DECONTAMINATE = (
     f"with d as (select doc_id, {_ALNUM} as ws from documents), i as (select item_id, {_ALNUM} as ws from benchmark), "
-    f"asked as (select distinct item_id, least(len(ws), {_N}) as n, unnest(case when len(ws) >= {_N} then {_windows('ws', _N)} when len(ws) > 0 then [array_to_string(ws, ' ')] end) as win from i), "
+    f"placed as (select item_id, least(len(ws), {_N}) as n, unnest(case when len(ws) >= {_N} then {_windows('ws', _N)} when len(ws) > 0 then [array_to_string(ws, ' ')] end) as win, unnest(range(0, greatest(len(ws) - {_N} + 1, 1))) as place from i where len(ws) > 0), "
+    "asked as (select distinct item_id, n, win from placed), "
     "sizes as (select distinct n from asked), "
     f"have as (select doc_id, n, unnest({_windows('ws', 'n')}) as win, unnest(range(0, greatest(len(ws) - n + 1, 0))) as spot from d, sizes), "
     "hit as (select doc_id, item_id, n, spot from have join asked using (n, win)), "
     "words as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(spot, spot + n)) as pos from (select distinct doc_id, n, spot from hit)) group by doc_id), "
     "items as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hit group by doc_id) "
-    "select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated "
-    "from d left join words using (doc_id) left join items using (doc_id)"
+    # Windows that follow each other in text and item alike are one match.
+    "along as (select doc_id, item_id, n, spot, spot - place as apart from have join placed using (n, win)), "
+    "matches as (select doc_id, item_id, min(spot) as start, count(*) - 1 + n as long from (select *, spot - row_number() over (partition by doc_id, item_id, n, apart order by spot) as run from along) group by doc_id, item_id, n, apart, run), "
+    "best as (select doc_id, long as longest, start as longest_at, item_id::varchar as longest_item from (select *, row_number() over (partition by doc_id order by long desc, start, item_id::varchar nulls last) as nth from matches) where nth = 1) "
+    "select d.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest, 0) as longest, longest_at, longest_item "
+    "from d left join words using (doc_id) left join items using (doc_id) left join best using (doc_id)"
 )
 
 #: Bytes as hexadecimal digits, two for each; a string of 100 bytes is 200 digits.
