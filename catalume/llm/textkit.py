@@ -16,7 +16,8 @@ import pyarrow as pa
 SLICE_BYTES = 3 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: A second base, whose fingerprints are independent of those of the first.
+CHECK_BASE = 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes that part words: space and 9 to 13.
@@ -91,16 +92,16 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Sums from which ``range_hash`` takes the fingerprint of any range of bytes."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(base, len(data)), out=sums[1:])
     return sums
 
 
-def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """64-bit fingerprints of the bytes from starts to ends, alike wherever those bytes stand; never 0."""
-    inverse = _power(_INVERSE, len(sums))
+    inverse = _power(pow(base, -1, 1 << 64), len(sums))
     x = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     x[x == 0] = 1
     return x

@@ -73,7 +73,7 @@ _DECONTAMINATE = (
     f"have as (select doc_id, n, unnest({_windows('ws', 'n')}) as win, unnest(range(0, greatest(len(ws) - n + 1, 0))) as spot from d, sizes), "
     "hit as (select doc_id, item_id, n, spot from have join asked using (n, win)), "
     "words as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(spot, spot + n)) as pos from (select distinct doc_id, n, spot from hit)) group by doc_id), "
-    "items as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hit group by doc_id) "
+    "items as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct item_id::varchar)), ',') as ids from hit group by doc_id), "
     # Windows that follow each other in text and item alike are one match.
     "along as (select doc_id, item_id, n, spot, spot - place as apart from have join placed using (n, win)), "
     "matches as (select doc_id, item_id, min(spot) as start, count(*) - 1 + n as long from (select *, spot - row_number() over (partition by doc_id, item_id, n, apart order by spot) as run from along) group by doc_id, item_id, n, apart, run), "

@@ -570,6 +570,49 @@ def test_levels_grow_geometrically():
         assert len(levels.levels) <= 12
 
 
+def test_index_of_batches_equals_one_pass(spark, tmp_path):
+    r = random.Random(21)
+    some = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passages = [some(160) for _ in range(4)]
+    rows = [(i, some(r.randrange(120)) + passages[i % 4][r.randrange(50) :] + some(r.randrange(150)), "en", "a") for i in range(48)]
+    rows[30] = (30, rows[2][1], "en", "a")
+    got, sizes = [], []
+    for a, b in ((0, 16), (16, 32), (32, 48)):
+        index = repeats.SuffixIndex(spark, str(tmp_path / "index"))  # opened anew for each batch
+        got += map(tuple, repeats.digest(index.add(documents(spark, rows[a:b]))).collect())
+        sizes.append([n for _, n in index.levels])
+        for folder, n in index.levels:
+            level = spark.read.parquet(str(tmp_path / "index" / folder))
+            assert level.count() == n
+            parts = sorted((tmp_path / "index" / folder).glob("*.parquet"))
+            order = [(x.head, x.key, x["class"]) for part in parts for x in spark.read.parquet(str(part)).collect()]
+            assert order == sorted(order)
+    assert sorted(got) == brute_repeats([(d, t) for d, t, *_ in rows])
+    assert [len(s) for s in sizes] == [1, 1, 1] and sizes[0] < sizes[1] < sizes[2]
+    again = repeats.SuffixIndex(spark, str(tmp_path / "index"))
+    one = again.add(documents(spark, [(7, rows[0][1][:130], "en", "a")])).first()
+    assert one.n_removed == one.n_bytes >= 130 and len(again.levels) == 2
+    assert again.add(documents(spark, [])).count() == 0 and len(again.levels) == 2
+
+
+def test_fingerprints_that_collide_once_remove_nothing():
+    import numpy as np
+    import pyarrow as pa
+
+    # Two runs alike in one fingerprint and not in the other, and one that is alike in both.
+    table = [(repeats._SUFFIX, 5, 9, 1, 10, 0, 40), (repeats._SUFFIX, 5, 9, 2, 11, 0, 40), (repeats._SUFFIX, 5, 9, 2, 12, 3, 40)]
+    names = [c.split()[0] for c in repeats._ROWS.split(", ")]
+    for cut in (1, 3):
+        batches = [pa.table({n: pa.array(c) for n, c in zip(names, zip(*table[i : i + cut], strict=True), strict=True)}).to_batches()[0] for i in range(0, 3, cut)]
+        out = pa.Table.from_batches(list(repeats._index(0)(iter(batches)))).to_pylist()
+        assert [(r["doc"], r["at"], r["n"]) for r in out if r["kind"] == repeats._SPAN] == [(12, 3, 139)]
+        assert sorted(r["doc"] for r in out if r["kind"] == repeats._DETAIL) == [10, 11]
+    levels = repeats.Levels()
+    hashes, checks = np.array([7, 7, 7], np.int64), np.array([1, 2, 1], np.int32)
+    assert levels.add(repeats._pairs(hashes, checks)).tolist() == [True, True, False]
+    assert levels.add(repeats._pairs(hashes[:2], np.array([3, 2], np.int32))).tolist() == [True, False]
+
+
 # 9: token counts
 
 
