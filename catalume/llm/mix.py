@@ -148,14 +148,16 @@ def digest(mixed: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns kept, each as often as the mix takes it.
 
-    Rows that share a doc_id share what the mix takes of them, as evenly as it divides.
+    Rows that share doc_id and source share what the mix takes of them, as evenly as it divides, rows with a null
+    doc_id by source. Null and empty texts are of size 0; they are drawn like others where their source has words, else
+    not taken. An empty table stays empty.
     """
-    taken = mix_sources(docs, **how).groupBy("doc_id").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    taken = taken.withColumnRenamed("doc_id", "__doc")
+    key = lambda doc, source: F.to_json(F.struct(doc.cast("long").alias("d"), source.cast("string").alias("s")))
+    taken = mix_sources(docs, **how).groupBy(key(F.col("doc_id"), F.col("source")).alias("__key")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
     # The row as one struct, so that no column of docs can clash with those used here.
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(*docs.columns).alias("order"))
-    rows = packed.join(taken, F.col("doc").eqNullSafe(F.col("__doc")))
-    nth = F.row_number().over(Window.partitionBy("doc").orderBy("order"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key(F.col("doc_id"), F.col("source")).alias("key"), F.xxhash64(*docs.columns).alias("order"))
+    rows = packed.join(taken, F.col("key") == F.col("__key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("order"))
     each = F.floor(F.col("__times") / F.col("__rows")) + (nth <= F.col("__times") % F.col("__rows")).cast("long")
     rows = rows.withColumn("each", each).where("each > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("row.*")

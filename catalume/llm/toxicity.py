@@ -215,9 +215,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose text scores under 0.5, all their columns kept.
+    """The rows of ``docs`` whose text scores under 0.5, all their columns kept, each judged by its own text.
 
-    The score is put beside the rows in one pass, so nothing is joined or shuffled.
+    A null or empty text has the intercept's score. Rows that repeat share their fate, whatever their doc_id; an
+    empty table stays empty. The score is put beside the rows in one pass, so nothing is joined or shuffled.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **how))
 
