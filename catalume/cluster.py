@@ -32,8 +32,19 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows from Parquet files in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = path or new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
