@@ -13,8 +13,12 @@ EDGES = 200_000
 HUBS = 1000
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _state(pairs: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are stars: no node has two lesser neighbours, or both a lesser and a greater one."""
+    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    s = nodes.agg(F.sum("down").alias("n"), F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0)).alias("open")).first()
+    return s["n"] or 0, s["open"] == 0
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -31,20 +35,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, component (its least node) for every node that has an edge to another one.
 
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014), a few rounds in the
-    logarithm of the longest path. Each round's edges, never more than were given, are written
+    logarithm of the longest path, until all edges are stars; edges that are from the start need none. Each round's edges, never more than were given, are written
     to the shared checkpoint folder; minima are combined before the shuffle, so a hub is no burden.
     """
     pairs = checkpointed(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
-    before = None
-    while (now := _fingerprint(pairs)) != before and now[0]:
-        before = now
+    while not (state := _state(pairs))[1]:
+        total = state[0]
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("b > a"), least, now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, least, now[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        small = _with_least(large, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         both = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         # A few edges need no more tasks than they fill.
-        pairs = checkpointed(both.coalesce(-(-now[0] // EDGES)))
+        pairs = checkpointed(both.coalesce(-(-total // EDGES)))
     leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
