@@ -352,6 +352,8 @@ def _with_component(rows: DataFrame, per_component: DataFrame) -> DataFrame:
     than a thousandth of all rows are broadcast, so that no task gets all rows of one."""
     total = per_component.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") * 1000 > total
+    if per_component.where(hot).isEmpty():
+        return rows.join(per_component, "component")
     large = per_component.where(hot).withColumnRenamed("component", "__large")
     marked = rows.join(F.broadcast(large), F.col("component") == F.col("__large"), "left")
     others = marked.where("__large is null").select(*rows.columns).join(per_component.where(~hot), "component")
