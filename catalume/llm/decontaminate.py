@@ -18,6 +18,8 @@ from . import textkit as K
 
 #: Words of a window.
 WINDOW = 10
+#: Bytes of training text of one suffix array; a longer text has one of its own.
+SHARD_BYTES = 3 << 20
 #: Benchmark words that are broadcast together; a larger benchmark goes out in several such blocks.
 BLOCK_WORDS = 400_000
 
@@ -151,7 +153,7 @@ def _blocks_of(items: DataFrame, window: int, block_words: int) -> list:
 def _found(batches: Iterator[pa.RecordBatch], sent: list, window: int):
     """For each slice: the slice, where its texts' words begin, which words are hit, and (window set, places, windows) of each block with matches."""
     kept = Suffixes(sent[0].value, window) if len(sent) == 1 else None
-    for batch in K.slices(batches, "text"):
+    for batch in K.slices(batches, "text", SHARD_BYTES):
         words, first = words_of(batch)
         order = suffix_array(words, first, window)
         steps, matches = np.zeros(len(words) + 1, np.int64), []

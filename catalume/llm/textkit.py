@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are looked at together.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: A second base, whose fingerprints are independent of those of the first.
@@ -110,13 +110,21 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of words: sums of well-mixed numbers of each byte and its place in the word; never 0."""
     size = ends - starts
-    first = np.cumsum(size) - size
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    byte = data[place + np.repeat(starts, size)]
-    each = mix(((place.astype(np.uint64) << np.uint64(8)) | byte) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
-    x = mix((np.add.reduceat(each, first) if len(first) else np.zeros(0, np.uint64)) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    x[x == 0] = 1
-    return x
+    upto = np.cumsum(size)
+    out, at = np.zeros(len(size), np.uint64), 0
+    while at < len(size):
+        # Words of half a MB at a time, or one longer word, for the sake of memory.
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 19), "right")))
+        n = size[at:end]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        byte = data[place + np.repeat(starts[at:end], n)]
+        each = mix(((place.astype(np.uint64) << np.uint64(8)) | byte) * np.uint64(_BASE) + np.uint64(0x632BE59BD9B4E019))
+        out[at:end] = np.add.reduceat(each, first)
+        at = end
+    out = mix(out + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    out[out == 0] = 1
+    return out
 
 
 def text_of_words(first: np.ndarray) -> np.ndarray:
