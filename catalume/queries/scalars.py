@@ -190,7 +190,9 @@ _DCT = "list_transform(range(0, 8), lambda u: list_sum(list_transform(range(0, 6
 def perceptual_hashes(spark, sf_dir):
     squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
     gray = F.flatten(F.transform("embedding", lambda x: F.transform(squares, lambda y: x.cast("double") * y)))
-    h = checkpointed(table(spark, sf_dir, "embeddings").select("vec_id", H.perceptual_hash(gray).alias("h")))
+    # Kept on the way: Spark can't hand nested lambdas to a Python function, nor push a filter through one.
+    images = checkpointed(table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("gray")))
+    h = checkpointed(images.select("vec_id", H.perceptual_hash("gray").alias("h")))
     bits = h.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"), "h").where("(shiftrightunsigned(h, 64 - i) & 1L) = 1L")
     return bits.groupBy("vec_id").agg(F.sum("i").alias("bits_at"))
 
