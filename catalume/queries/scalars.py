@@ -162,7 +162,7 @@ def fts_tokens_stemmed(spark, sf_dir):
     "with f as (select *, cast(floor(l_extendedprice) as bigint) as s, cast(round(l_extendedprice * power(10, l_linenumber)) as bigint) as bytes from lineitem) select l_orderkey, l_linenumber, l_partkey, l_suppkey, s as seconds, bytes, concat_ws(' · ', 'h264', cast(l_quantity as int) * 70 || 'x' || cast(l_quantity as int) * 40, "
     "case when s >= 3600 then printf('%d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) else printf('%d:%02d', s // 60, s % 60) end, "
     "case l_linenumber when 1 then '25 fps' when 2 then '59.94 fps' when 3 then '29.5 fps' end, case when l_returnflag = 'A' then printf('%.1f Mb/s', l_quantity / 2) end, "
-    "case when bytes >= 1099511627776 then printf('%.1f TB', bytes / 1099511627776) when bytes >= 1073741824 then printf('%.1f GB', bytes / 1073741824) when bytes >= 1048576 then printf('%.1f MB', bytes / 1048576) when bytes >= 1024 then printf('%.1f KB', bytes / 1024) when bytes > 0 then bytes || ' B' end) as spec from f"
+    "case when bytes >= 1099511627776 then printf('%.1f TB', round(bytes / 1099511627776, 1)) when bytes >= 1073741824 then printf('%.1f GB', round(bytes / 1073741824, 1)) when bytes >= 1048576 then printf('%.1f MB', round(bytes / 1048576, 1)) when bytes >= 1024 then printf('%.1f KB', round(bytes / 1024, 1)) when bytes > 0 then bytes || ' B' end) as spec from f"
 )
 def spec_lines(spark, sf_dir):
     q = F.col("l_quantity").cast("int")
