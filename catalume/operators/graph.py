@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates large-star and small-star steps (Kiveris et al., SoCC 2014), a few rounds in the
     logarithm of the longest path, until all edges are stars; edges that are from the start need none. Each round's edges, never more than were given, are written
-    to the shared checkpoint folder; minima are combined before the shuffle, so a hub is no burden.
+    to the shared checkpoint folder; minima are combined before the shuffle, so a hub is no burden. The
+    result is dealt by node, as the joins that follow need it: a last round of few edges leaves them in few partitions.
     """
     pairs = checkpointed(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
     while not (state := _state(pairs))[1]:
@@ -50,4 +51,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # A few edges need no more tasks than they fill.
         pairs = checkpointed(both.coalesce(-(-total // EDGES)))
     leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
+    return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct()).repartition("node")
