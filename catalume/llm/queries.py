@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import decontaminate, mix, neardup, quality, repeats, secrets, shards, tokens, toolcalls, toxicity, twins
+from . import decontaminate, manifest, mix, neardup, quality, repeats, secrets, shards, tokens, toolcalls, toxicity, twins
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op8_suffix_dedup, op9_token_counts, op10_secrets)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(manifest.merkle_manifest(table(spark, sf_dir, "documents"), tampered=manifest.tampered()))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op8_suffix_dedup, op9_token_counts, op10_secrets, op11_merkle_manifest)}
 # The calls that ``toolcalls.conversation_calls`` makes of the turns, linked, layered by a recursion and written as text.
 _CALLS = (
     "with recursive t as (select *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words from conversations), "
