@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import table
-from . import decontaminate, manifest, mix, neardup, prefixtrie, quality, repeats, secrets, shards, tokens, toolcalls, toxicity, twins
+from . import decontaminate, manifest, mix, neardup, neighbours, prefixtrie, quality, repeats, secrets, shards, tokens, toolcalls, toxicity, twins
 
 
 def op1_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(prefixtrie.rebuilt(prefixtrie.paths(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op8_suffix_dedup, op9_token_counts, op10_secrets, op11_merkle_manifest, op12_prefix_trie)}
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_jaccard_join, op3_decontaminate, op4_mix_sources, op5_hilbert_shards, op6_toxicity, op7_tool_calls, op8_suffix_dedup, op9_token_counts, op10_secrets, op11_merkle_manifest, op12_prefix_trie, op13_nearest_neighbours)}
 # The calls that ``toolcalls.conversation_calls`` makes of the turns, linked, layered by a recursion and written as text.
 _CALLS = (
     "with recursive t as (select *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words from conversations), "

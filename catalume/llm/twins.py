@@ -120,4 +120,48 @@ def _secrets() -> str:
     )
 
 
-TWINS = {"op1_distribution_divergence": _divergence(), "op2_jaccard_join": _JACCARD, "op3_decontaminate": _DECONTAMINATE, "op8_suffix_dedup": _REPEATS, "op10_secrets": _secrets()}
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of ASCII text, bit by bit."""
+    # 4294967295 and 3988292384 are fixed values of the checksum.
+    byte = "list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda x: x::bigint)), lambda r, x: case when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, i, 1))::bigint)), lambda c, b: {byte}), 4294967295)"
+
+
+def _manifest() -> str:
+    part = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda n: f"sha256({part('doc_id')} || {part('source')} || {part('lang')} || {part(n)} || {part('text')})"
+    # A tree level by level, and the climb from a leaf, with what stands before and after it at each level.
+    tree = "select a.tree, a.level + 1, a.pos // 2, (a.size + 1) // 2, sha256(a.digest || coalesce(b.digest, '')) from {t} a left join {t} b on b.tree = a.tree and b.pos = a.pos + 1 where a.size > 1 and a.pos % 2 = 0"
+    climb = "select c.row, c.tree, c.level + 1, c.pos // 2, (c.size + 1) // 2, c.proof || coalesce(s.digest, ''), sha256(case when c.pos % 2 = 1 then s.digest else '' end || c.folded || case when c.pos % 2 = 0 then coalesce(s.digest, '') else '' end) from {c} c left join {t} s on s.tree = c.tree and s.level = c.level and s.pos = xor(c.pos, 1) where c.size > 1"
+    return (
+        f"with recursive l as (select row_number() over () as row, doc_id, coalesce('=' || lang, '') as tree, {leaf('n_chars')} as leaf, case when {_crc32('doc_id::varchar')} % 7 = 0 then {leaf('(n_chars + 1)')} else {leaf('n_chars')} end as found from documents), "
+        "p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as size from l), "
+        f"t(tree, level, pos, size, digest) as (select tree, 0, pos, size, leaf from p union all {tree.format(t='t')}), "
+        "sub as (select tree, digest as subroot, row_number() over (order by encode(tree)) - 1 as pos, count(*) over () as size from t where size = 1), "
+        f"u(tree, level, pos, size, digest) as (select '', 0, pos, size, subroot from sub union all {tree.format(t='u')}), "
+        f"c(row, tree, level, pos, size, proof, folded) as (select row, tree, 0, pos, size, '', found from p union all {climb.format(c='c', t='t')}), "
+        f"d(row, tree, level, pos, size, proof, folded) as (select c.row, '', 0, sub.pos, sub.size, c.proof, c.folded from c join sub using (tree) where c.size = 1 union all {climb.format(c='d', t='u')}) "
+        "select doc_id, leaf, subroot, r.digest as root, sha256(d.proof) as proof_sha256, d.folded as folded_root, d.folded = r.digest as verified "
+        "from d join l using (row) join sub on sub.tree = l.tree cross join (select digest from u where size = 1) r where d.size = 1"
+    )
+
+
+_TRIE = (
+    "with t as (select conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] as digest, turn, length(coalesce(text, '')) as n from conversations where conv_id is not null), "
+    "o as (select *, row_number() over (partition by conv_id order by turn nulls first, digest) - 1 as spot from t), "
+    f"h as (select conv_id, {_crc32('conv_id::varchar')} % 6 as h from (select distinct conv_id from t)), "
+    "r as (select h.conv_id, spot, digest, n from h join o on o.conv_id = h.conv_id - h.conv_id % 100 and spot < h union all select o.conv_id, spot, digest, n from o join h using (conv_id) where spot >= h), "
+    "w as (select *, row_number() over (partition by conv_id order by spot) as depth from r), "
+    "pre as (select conv_id, depth, string_agg(digest, '') over (partition by conv_id order by depth) as path, n from w union all select conv_id, 0, '', 0 from h), "
+    "ended as (select conv_id, max(depth) as depth from pre group by conv_id), "
+    "nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n) as n from pre group by path, depth), "
+    "kids as (select path[1:length(path) - 32] as path, count(*) as n_children from nodes where depth > 0 group by 1), "
+    "ends as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends from pre join ended using (conv_id, depth) group by path), "
+    "full_ as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (path)), "
+    "sums as (select path[1:32 * k] as path, sum((n_children = 0)::int)::bigint as n_leaves, sum((n_convs - 1) * n)::bigint as saved_tokens from (select *, unnest(range(depth + 1)) as k from full_) group by 1) "
+    "select f.conv_id, f.depth::bigint as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, coalesce(ends, sha256('')) as ends_sha256 "
+    "from full_ f join sums using (path) left join ends using (path) left join nodes up on f.depth > 0 and up.path = f.path[1:length(f.path) - 32]"
+)
+
+
+TWINS = {"op1_distribution_divergence": _divergence(), "op2_jaccard_join": _JACCARD, "op3_decontaminate": _DECONTAMINATE, "op8_suffix_dedup": _REPEATS, "op10_secrets": _secrets(), "op11_merkle_manifest": _manifest(), "op12_prefix_trie": _TRIE}
