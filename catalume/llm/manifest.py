@@ -3,7 +3,7 @@
 Trees are walked by time-forward processing. Nodes are labelled by the place of the last leaf below them and their
 level, so that children come before parents; a priority queue ordered by label hands each digest forward in time to
 its parent, and in a second sweep, against the labels, each parent hands its children the rest of their proofs.
-Between tasks the queue is a sort by label in the shuffle: a task has a block of ``2 ** LEVELS`` neighbouring nodes
+Between tasks the queue is a sort by label in the shuffle: a task has a block of ``2 ** levels`` neighbouring nodes
 under one node, whose digest is a leaf of the next round's tree. Within a block the forward queue holds one or two
 messages a level.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from heapq import heappop, heappush
 
 import numpy as np
@@ -51,9 +52,9 @@ def siblings(proof: Column) -> Column:
     return F.array_join(F.transform(proof, lambda step: F.concat(step["left"], step["right"])), "")
 
 
-def _height(nodes: int) -> int:
+def _height(nodes: int, levels: int) -> int:
     """Levels above so many nodes that stand alone, or those of a block."""
-    return min((nodes - 1).bit_length(), LEVELS)
+    return min((nodes - 1).bit_length(), levels)
 
 
 def forward(digests: list[str], levels: int) -> tuple[str, list[Node]]:
@@ -98,11 +99,11 @@ def backward(nodes: list[Node], n: int, rest: tuple) -> list[tuple]:
     return proofs
 
 
-def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _climb(levels: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in runs(batches, ["tree", "block"]):
         size = block.column("size")[0].as_py()
-        digest, _ = forward(block.column("digest").to_pylist(), _height(size))
-        yield pa.RecordBatch.from_arrays([block.column("tree").slice(0, 1).combine_chunks(), block.column("block").slice(0, 1).combine_chunks(), pa.array([-(-size >> LEVELS)], pa.int64()), pa.array([digest])], ["tree", "pos", "size", "digest"])
+        digest, _ = forward(block.column("digest").to_pylist(), _height(size, levels))
+        yield pa.RecordBatch.from_arrays([block.column("tree").slice(0, 1).combine_chunks(), block.column("block").slice(0, 1).combine_chunks(), pa.array([-(-size >> levels)], pa.int64()), pa.array([digest])], ["tree", "pos", "size", "digest"])
 
 
 def _flat(proof: tuple) -> Iterator[Step]:
@@ -111,7 +112,7 @@ def _flat(proof: tuple) -> Iterator[Step]:
         yield step
 
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _descend(levels: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in runs(batches, ["tree", "block"]):
         # The message from above sorts before the nodes.
         rest: tuple = ()
@@ -120,7 +121,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = block.num_rows - 1
         nodes = block.slice(1).combine_chunks()
         digests = nodes.column("digest").to_pylist()
-        proofs = backward(forward(digests, _height(nodes.column("size")[0].as_py()))[1], n, rest)
+        proofs = backward(forward(digests, _height(nodes.column("size")[0].as_py(), levels))[1], n, rest)
         steps, offsets = [], np.zeros(n + 1, np.int32)
         for i, p in enumerate(proofs):
             steps.extend(_flat(p))
@@ -135,32 +136,32 @@ def _blocks(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("tree", "block").sortWithinPartitions("tree", "block", "pos")
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """nodes (tree, pos, size, digest, ...), the tops of their blocks, and so on until each tree is one node."""
     out = [nodes]
     most = nodes.agg(F.max("size")).first()[0] or 1
     while True:
-        below = out[-1].select("tree", F.shiftright("pos", LEVELS).alias("block"), "pos", "size", "digest")
-        out.append(checkpointed(_blocks(below).mapInArrow(_climb, "tree string, pos long, size long, digest string")))
-        if most <= 1 << LEVELS:
+        below = out[-1].select("tree", F.shiftright("pos", levels).alias("block"), "pos", "size", "digest")
+        out.append(checkpointed(_blocks(below).mapInArrow(partial(_climb, levels), "tree string, pos long, size long, digest string")))
+        if most <= 1 << levels:
             return out
-        most = -(-most >> LEVELS)
+        most = -(-most >> levels)
 
 
-def _proofs(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def _proofs(rounds: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The nodes of the first round with their proofs. above: tree, proof and subroot of each tree's top."""
     sent = above.withColumn("pos", F.lit(0).cast("long"))
     for k in range(len(rounds) - 2, -1, -1):
         nodes = rounds[k] if "payload" in rounds[k].columns else rounds[k].withColumn("payload", F.lit(None).cast("string"))
         payload = nodes.schema["payload"].dataType
         ask = sent.select("tree", F.col("pos").alias("block"), F.lit(-1).cast("long").alias("pos"), F.lit(0).cast("long").alias("size"), F.lit("").alias("digest"), F.lit(None).cast(payload).alias("payload"), F.col("proof"), F.col("subroot"))
-        own = nodes.select("tree", F.shiftright("pos", LEVELS).alias("block"), "pos", "size", "digest", "payload", F.lit(None).cast(STEPS).alias("proof"), F.lit(None).cast("string").alias("subroot"))
+        own = nodes.select("tree", F.shiftright("pos", levels).alias("block"), "pos", "size", "digest", "payload", F.lit(None).cast(STEPS).alias("proof"), F.lit(None).cast("string").alias("subroot"))
         schema = StructType([own.schema["tree"], own.schema["pos"], StructField("digest", StringType()), StructField("payload", payload), ask.schema["proof"], StructField("subroot", StringType())])
-        sent = _blocks(own.unionByName(ask)).mapInArrow(_descend, schema)
+        sent = _blocks(own.unionByName(ask)).mapInArrow(partial(_descend, levels), schema)
     return sent
 
 
-def merkle_manifest(docs: DataFrame, **also: Column) -> DataFrame:
+def merkle_manifest(docs: DataFrame, levels: int = LEVELS, **also: Column) -> DataFrame:
     """Per row of ``docs``: doc_id, lang, leaf, place (among the leaves of its language, from 0), subroot (of its language),
     root, proof (from the leaf to the root) and the columns ``also``, made of the row.
 
@@ -176,16 +177,16 @@ def merkle_manifest(docs: DataFrame, **also: Column) -> DataFrame:
     trees = checkpointed(ranked.groupBy("tree").agg(F.min("rank").alias("first"), F.count("*").alias("size")))
     leaves = ranked.join(trees, "tree").select("tree", (F.col("rank") - F.col("first")).alias("pos"), "size", "digest", F.struct("doc_id", "also").alias("payload"))
     leaves = checkpointed(leaves)
-    rounds = _rounds(leaves)
+    rounds = _rounds(leaves, levels)
     # The subroots are the leaves of one more tree.
     subroots = numbered(rounds[-1].select("tree", "digest"), ["tree"], "pos")
     n = subroots.count()
-    upper = _rounds(checkpointed(subroots.select(F.lit("").alias("tree"), "pos", F.lit(n).cast("long").alias("size"), "digest", F.struct("tree").alias("payload"))))
+    upper = _rounds(checkpointed(subroots.select(F.lit("").alias("tree"), "pos", F.lit(n).cast("long").alias("size"), "digest", F.struct("tree").alias("payload"))), levels)
     root = upper[-1].first()
     root = root["digest"] if root else None
     top = docs.sparkSession.range(1 if n else 0).select(F.lit("").alias("tree"), F.array().cast(STEPS).alias("proof"), F.lit(None).cast("string").alias("subroot"))
-    above = _proofs(upper, top).select(F.col("payload.tree").alias("tree"), "proof", F.col("digest").alias("subroot"))
-    out = _proofs(rounds, checkpointed(above))
+    above = _proofs(upper, top, levels).select(F.col("payload.tree").alias("tree"), "proof", F.col("digest").alias("subroot"))
+    out = _proofs(rounds, checkpointed(above), levels)
     lang = F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30))
     return out.select(F.col("payload.doc_id").alias("doc_id"), lang.alias("lang"), F.col("digest").alias("leaf"), F.col("pos").alias("place"), "subroot", F.lit(root).cast("string").alias("root"), "proof", *[F.col("payload.also")[n].alias(n) for n in also])
 

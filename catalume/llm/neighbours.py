@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +31,17 @@ SAMPLE = 65_536
 LIST_ROWS, MOST_LISTS = 64, 8_192
 #: Lists that hold a vector, and how much farther than the nearest centroid the others may be.
 COPIES, BOUNDARY = 3, 1.02
-#: Vectors of a list that are held together; a longer list is cut into blocks, all of which its queries read.
-BLOCK_ROWS = 4_096
+#: Vectors of a list that stay together; a longer list is cut into blocks, all of which its queries read. Neighbouring
+#: lists make a part, with so many bytes of vectors, which a task holds. A query goes once to each part that it reads from.
+BLOCK_ROWS, PART_BYTES = 4_096, 1 << 23
 #: Neighbours of a centroid in the graph, and the nearest centroids that a search looks around at least.
 DEGREE, BREADTH = 16, 24
+#: Centroids that a search starts from, and those beyond the ratio whose neighbours it looks at in a step.
+ENTRIES, STEPS = 64, 4
 #: Queries answered exactly to measure the ratio, and the share of their neighbours that must be found.
 TRIALS, TARGET = 256, 0.95
-#: Queries that are compared with a block together, and running results that a worker holds.
-CHUNK, MOST_HELD = 1_024, 65_536
+#: Queries that are compared with a part together.
+CHUNK = 1_024
 
 
 def taking_part(vec_id: Column, vector: Column) -> Column:
@@ -115,34 +120,51 @@ class Lists:
 
     def search(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, distance) of the lists at most ``ratio`` times as far from each row as its nearest, by a best-first
-        walk over the graph for many rows at once; nearest first for each row."""
+        walk over the graph for many rows at once; nearest first for each row.
+
+        A row's candidates are its BREADTH nearest lists so far and all others in the ratio; each step looks at the
+        neighbours of those in the ratio and of the next few.
+        """
         n, out = len(self.centroids), []
-        norms = (self.centroids**2).sum(1)
-        step = max(1, (1 << 22) // n)
-        entries = np.unique(np.linspace(0, n - 1, 16).astype(np.int64))
-        for at in range(0, len(x), step):
-            y = x[at : at + step].astype(np.float32)
-            own = (y**2).sum(1)
-            dist = np.full((len(y), n), np.inf, np.float32)
-            walked = np.zeros((len(y), n), bool)
-            dist[:, entries] = np.maximum(own[:, None] + norms[entries] - 2 * y @ self.centroids[entries].T, 0)
+        norms, wide = (self.centroids**2).sum(1), np.float32(ratio) ** 2
+        entries = np.unique(np.linspace(0, n - 1, ENTRIES).astype(np.int64))
+        for start in range(0, len(x), step := max(1, (1 << 22) // n)):
+            y = x[start : start + step].astype(np.float32)
+            m, own = len(y), (y**2).sum(1)
+            seen, mark = np.zeros(m * n, bool), np.empty(m * n, np.int32)
+            node = np.tile(entries, (m, 1))
+            far = np.maximum(own[:, None] + norms[entries] - 2 * y @ self.centroids[entries].T, 0)
+            seen.reshape(m, n)[:, entries] = True
+            walked = np.zeros(node.shape, bool)
             while True:
-                bound = dist.min(1) * np.float32(ratio) ** 2
-                if n > BREADTH:
-                    bound = np.maximum(bound, np.partition(dist, BREADTH - 1, 1)[:, BREADTH - 1])
-                row, node = np.nonzero((dist <= bound[:, None]) & ~walked & np.isfinite(dist))
+                by = np.argsort(far, 1)
+                far, node, walked = (np.take_along_axis(c, by, 1) for c in (far, node, walked))
+                inside = far <= far[:, :1] * wide
+                width = max(BREADTH, int(inside.sum(1).max()))
+                far, node, walked, inside = far[:, :width], node[:, :width], walked[:, :width], inside[:, :width]
+                fresh = ~walked & np.isfinite(far)
+                fresh &= inside | (np.cumsum(fresh, 1) <= STEPS) & (np.arange(fresh.shape[1]) < BREADTH)
+                row, at = np.nonzero(fresh)
                 if not len(row):
                     break
-                walked[row, node] = True
-                to = np.unique(np.repeat(row, self.graph.shape[1]) * n + self.graph[node].ravel())
-                to = to[np.isinf(dist.ravel()[to])]
-                for part in range(0, len(to), 1 << 17):
-                    r, c = np.divmod(to[part : part + (1 << 17)], n)
-                    dist[r, c] = np.maximum(own[r] + norms[c] - 2 * np.einsum("ij,ij->i", y[r], self.centroids[c]), 0)
-            row, node = np.nonzero(dist <= dist.min(1)[:, None] * np.float32(ratio) ** 2)
-            far = np.sqrt(dist[row, node])
-            by = np.lexsort((node, far, row))
-            out.append((row[by] + at, node[by], far[by]))
+                walked[row, at] = True
+                to = (row[:, None] * n + self.graph[node[row, at]]).ravel()
+                to = to[~seen[to]]
+                mark[to] = np.arange(len(to))
+                to = np.sort(to[mark[to] == np.arange(len(to))])
+                seen[to] = True
+                r, c = np.divmod(to, n)
+                d = np.empty(len(to), np.float32)
+                for part in range(0, len(to), 1 << 16):
+                    i, j = r[part : part + (1 << 16)], c[part : part + (1 << 16)]
+                    d[part : part + (1 << 16)] = np.maximum(own[i] + norms[j] - 2 * np.einsum("ij,ij->i", y[i], self.centroids[j]), 0)
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                shape = (m, int(nth.max()) + 1 if len(nth) else 0)
+                more, which = np.full(shape, np.inf, np.float32), np.zeros(shape, np.int64)
+                more[r, nth], which[r, nth] = d, c
+                far, node, walked = np.concatenate([far, more], 1), np.concatenate([node, which], 1), np.concatenate([walked, np.zeros(shape, bool)], 1)
+            row, at = np.nonzero(far <= far[:, :1] * wide)
+            out.append((row + start, node[row, at], np.sqrt(far[row, at])))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,26 +207,16 @@ def _best(score: np.ndarray, vec_id: np.ndarray, row: np.ndarray, k: int) -> tup
 
 
 class Running:
-    """The k best so far of the queries that came by."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.place, self.ids = k, {}, []
-        self.score = np.full((256, k), -np.inf)
-        self.vec_id, self.row = np.zeros((256, k), np.int64), np.full((256, k), -1, np.int64)
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-    def compare(self, query: np.ndarray, query_id: np.ndarray, q: np.ndarray, row: np.ndarray, vec_id: np.ndarray, x: np.ndarray) -> None:
-        """Hold the queries q against the vectors x; a query's own row is left out."""
-        for key, i in zip(query.tolist(), query_id.tolist(), strict=True):
-            if key not in self.place:
-                self.place[key] = len(self.ids)
-                self.ids.append((key, i))
-        while len(self.ids) > len(self.score):
-            self.score = np.concatenate([self.score, np.full_like(self.score, -np.inf)])
-            self.vec_id, self.row = np.concatenate([self.vec_id, self.vec_id * 0]), np.concatenate([self.row, np.full_like(self.row, -1)])
-        at = np.array([self.place[key] for key in query.tolist()])
+    """The k best so far of some queries, given by the rows they are, their ids and vectors."""
+
+    def __init__(self, k: int, query: np.ndarray, query_id: np.ndarray, q: np.ndarray) -> None:
+        self.k, self.query, self.query_id, self.q = k, query, query_id, q
+        shape = (len(query), k)
+        self.score, self.vec_id, self.row = np.full(shape, -np.inf), np.zeros(shape, np.int64), np.full(shape, -1, np.int64)
+
+    def compare(self, at: np.ndarray, row: np.ndarray, vec_id: np.ndarray, x: np.ndarray) -> None:
+        """Hold the queries at these places against the vectors x; a query's own row is left out."""
+        q, query = self.q[at], self.query[at]
         s = q @ x.T
         s[query[:, None] == row[None]] = -np.inf
         # Products in another order differ in the last digits; what may tie is added up anew.
@@ -228,11 +240,9 @@ class Running:
         self.score[old], self.vec_id[old], self.row[old] = _best(*[np.concatenate([a[old], b[hit]], 1) for a, b in zip((self.score, self.vec_id, self.row), new, strict=True)], self.k)
 
     def taken(self) -> Iterator[pa.RecordBatch]:
-        n = len(self.ids)
-        at, nth = np.nonzero(self.row[:n] >= 0)
-        ids = np.array(self.ids, np.int64).reshape(n, 2)
+        at, nth = np.nonzero(self.row >= 0)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (ids[at, 0], ids[at, 1], self.row[at, nth], self.vec_id[at, nth], self.score[at, nth])], ["query", "query_id", "row", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (self.query[at], self.query_id[at], self.row[at, nth], self.vec_id[at, nth], self.score[at, nth])], ["query", "query_id", "row", "vec_id", "score"])
 
 
 _FOUND = "query long, query_id long, row long, vec_id long, score double"
@@ -240,11 +250,12 @@ _FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 def _trial(k: int, queries: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The k nearest in this partition of a few queries."""
-    best = Running(k)
+    best = Running(k, *queries.value)
+    every = np.arange(len(best.query))
     for b in batches:
         for at in range(0, b.num_rows, BLOCK_ROWS):
             c = b.slice(at, BLOCK_ROWS)
-            best.compare(*queries.value, *[c.column(n).to_numpy() for n in ("row", "vec_id")], matrix(c.column("vector")))
+            best.compare(every, *[c.column(n).to_numpy() for n in ("row", "vec_id")], matrix(c.column("vector")))
     yield from best.taken()
 
 
@@ -320,38 +331,60 @@ def _routed(lists: Broadcast, routes: Routes, ratio: float, every: int, batches:
 
 
 def _compared(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by bucket, vectors before queries: holds the vectors of one block and the running best of MOST_HELD queries."""
-    best, bucket = Running(k), None
-    for b in batches:
-        buckets, kind = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
-        row, vec_id = b.column("row").to_numpy(), b.column("vec_id").to_numpy()
-        cuts = np.flatnonzero((buckets[1:] != buckets[:-1]) | (kind[1:] != kind[:-1])) + 1
-        for a, z in zip([0, *cuts], [*cuts, len(buckets)], strict=True):
-            if a == z:
-                continue
-            if buckets[a] != bucket:
-                bucket, held = buckets[a], []
-            if kind[a] == 0:
-                held.append((row[a:z], vec_id[a:z], matrix(b.column("vector").slice(a, z - a))))
+    """Sorted by part, vectors before queries: holds the vectors of one part, by bucket, and some queries at a time."""
+    for part in _parts(batches):
+        held: list[tuple] = []
+        bucket = at = np.zeros(0, np.int64)
+        for kind, b in part:
+            if kind == 0:
+                held.append((b.column("buckets").flatten().to_numpy(), b.column("row").to_numpy(), b.column("vec_id").to_numpy(), matrix(b.column("vector"))))
                 continue
             if not held:
                 continue
-            if len(held) > 1:
-                held = [tuple(np.concatenate(c) for c in zip(*held, strict=True))]
-            for i in range(a, z, CHUNK):
-                e = min(z, i + CHUNK)
-                if len(best) + CHUNK > MOST_HELD:
-                    yield from best.taken()
-                    best = Running(k)
-                best.compare(row[i:e], vec_id[i:e], matrix(b.column("vector").slice(i, e - i)), *held[0])
-    yield from best.taken()
-
-
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
+            if len(held) > 1 or not len(bucket):
+                every = [np.concatenate(c) for c in zip(*held, strict=True)]
+                by = np.argsort(every[0], kind="stable")
+                held = [tuple(c[by] for c in every)]
+                bucket, at = np.unique(held[0][0], return_index=True)
+                at = np.append(at, len(by))
+            _, row, vec_id, x = held[0]
+            for i in range(0, b.num_rows, CHUNK):
+                c = b.slice(i, CHUNK)
+                best = Running(k, c.column("row").to_numpy(), c.column("vec_id").to_numpy(), matrix(c.column("vector")))
+                asked_for = c.column("buckets")
+                who, which = np.repeat(np.arange(c.num_rows), np.diff(asked_for.offsets.to_numpy())), asked_for.flatten().to_numpy()
+                by = np.argsort(which, kind="stable")
+                who, which = who[by], which[by]
+                cuts = np.flatnonzero(np.diff(which)) + 1
+                for a, z in zip([0, *cuts], [*cuts, len(which)], strict=True):
+                    nth = np.searchsorted(bucket, which[a])
+                    if nth < len(bucket) and bucket[nth] == which[a]:
+                        own = slice(at[nth], at[nth + 1])
+                        best.compare(who[a:z], row[own], vec_id[own], x[own])
+                yield from best.taken()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[int, pa.RecordBatch]]]:
+    """The pieces (kind, rows) of each part, one part after another."""
+
+    def pieces() -> Iterator[tuple[int, int, pa.RecordBatch]]:
+        for b in batches:
+            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(part)], strict=True):
+                if z > a:
+                    yield int(part[a]), int(kind[a]), b.slice(a, z - a)
+
+    for _, group in groupby(pieces(), itemgetter(0)):
+        yield ((kind, b) for _, kind, b in group)
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET, block_rows: int = BLOCK_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per vector whose id is divisible by ``every``, its k nearest others that were found: query_id, rank (from 1), vec_id, score.
 
     Nearness is the inner product of the original vectors in double precision, ties go to the smaller vec_id. ``target``
-    is the share of true neighbours that the lists to be read are chosen for. Vectors that are null, zero or hold a null
+    is the share of true neighbours that the lists to be read are chosen for; a task holds ``part_bytes``
+    of vectors, and lists are cut into blocks of ``block_rows``. Vectors that are null, zero or hold a null
     or non-finite component take no part, nor do rows without id, nor those of another length than most
     have. Rows that repeat an id are vectors each, and each a query; an empty table gives an empty result. Other columns play
     no part.
@@ -372,9 +405,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, vec_id:
     size = np.zeros(len(lists.centroids), np.int64)
     for r in indexed.select(F.explode("lists").alias("node")).groupBy("node").count().collect():
         size[r["node"]] = r["count"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routes = Routes(np.maximum(1, -(-size // BLOCK_ROWS)), np.cumsum(size) - size, size, parts)
+    parts = max(1, -(-int(size.sum()) * 8 * common["length"] // part_bytes))
+    routes = Routes(np.maximum(1, -(-size // block_rows)), np.cumsum(size) - size, size, parts)
     schema = StructType([*spark.createDataFrame([], "part int, kind int, buckets array<long>").schema, *indexed.schema[:3]])
     routed = indexed.mapInArrow(partial(_routed, known, routes, ratio, every), schema)
-    dealt = routed.repartition(parts, "part").select(F.explode("buckets").alias("bucket"), "kind", "row", "vec_id", "vector").sortWithinPartitions("bucket", "kind")
+    dealt = routed.repartition(parts, "part").sortWithinPartitions("part", "kind")
     return _ranked(dealt.mapInArrow(partial(_compared, k), _FOUND), k).select("query_id", "rank", "vec_id", "score")

@@ -103,7 +103,7 @@ class _Open:
         self.ends = None
 
 
-def sweep(rows: Iterator[tuple[bytes, list[int], int]], children: list[dict[bytes, int]]) -> Iterator[tuple]:
+def sweep(rows: Iterator[tuple[bytes, list[int], int]], children: list[dict[bytes, int]], chunk: int = CHUNK) -> Iterator[tuple]:
     """Rows of _SWEPT from the sorted (path, n_chars, conv_id) of a shard: finished nodes (sid null), partial aggregates of
     skeleton nodes, and their members' conv_ids in pieces. Holds one path and the nodes of one subtree below the skeleton."""
     stack = [_Open(0, -1, 0)]
@@ -140,7 +140,7 @@ def sweep(rows: Iterator[tuple[bytes, list[int], int]], children: list[dict[byte
     for path, sizes, conv in rows:
         seen = True
         common = _common(before, path)
-        if piece and (length >= CHUNK or path != before):
+        if piece and (length >= chunk or path != before):
             yield cut()
         while len(stack) - 1 > common:
             yield from close()
@@ -170,10 +170,10 @@ def sweep(rows: Iterator[tuple[bytes, list[int], int]], children: list[dict[byte
         yield from close()
 
 
-def _sweep(known: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweep(known: Broadcast, chunk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (r for b in batches for r in zip(b.column("path").to_pylist(), b.column("sizes").to_pylist(), b.column("conv_id").to_pylist(), strict=True))
     out = []
-    for row in sweep(rows, known.value):
+    for row in sweep(rows, known.value, chunk):
         out.append(row)
         if len(out) == BATCH:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
@@ -208,7 +208,7 @@ def _shards(routes: DataFrame, n: int | None) -> tuple[DataFrame, list[dict[byte
         shards = checkpointed(shards.repartitionByRange(len(ends) // 2, "path", "conv_id").sortWithinPartitions("path", "conv_id"))
 
 
-def prefix_trie(whole: DataFrame, n_shards: int | None = None) -> DataFrame:
+def prefix_trie(whole: DataFrame, n_shards: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Per node of the trie of conversations (``paths``: conv_id, turns): conv_id (smallest member), depth, parent_conv_id,
     n_convs, n_children, n_leaves, saved_tokens (characters of its subtree's last turns that members after a first repeat)
     and ends_sha256 (of the conv_ids that end there).
@@ -220,7 +220,7 @@ def prefix_trie(whole: DataFrame, n_shards: int | None = None) -> DataFrame:
     routes = whole.select(F.unhex(F.array_join(F.transform("turns", lambda t: t["digest"]), "")).alias("path"), sizes.alias("sizes"), "conv_id")
     shards, children, parents = _shards(routes, n_shards)
     known = spark.sparkContext.broadcast(children)
-    swept = checkpointed(shards.mapInArrow(partial(_sweep, known), _SWEPT))
+    swept = checkpointed(shards.mapInArrow(partial(_sweep, known, chunk), _SWEPT))
     total = {r["sid"]: r for r in swept.where("sid is not null and ids is null").groupBy("sid").agg(F.min("conv_id").alias("conv_id"), F.first("depth").alias("depth"), F.first("n_chars").alias("n_chars"), *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")]).collect()}
     # Children have larger numbers than their parents.
     kids, leaves, saved, done = [0] * len(parents), [0] * len(parents), [0] * len(parents), []
