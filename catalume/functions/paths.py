@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .like import ascii_lower
 
+#: The column of a stored table that holds the normalised path of each row.
+PATH_KEY = "path_key"
+
 
 def normalize_path(path: Column) -> Column:
     """Backslashes throughout, and one after a drive."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..functions.paths import is_under, normalize_path, path_and_above, root_key
+from ..functions.paths import PATH_KEY, is_under, normalize_path, path_and_above, root_key
 
 #: Hashes that are kept of a file while its content stays.
 CONTENT_HASHES = ("md5", "phash")
@@ -14,18 +14,21 @@ CONTENT_HASHES = ("md5", "phash")
 FEW_ROOTS = 100
 
 
-def inventory_diff(listing: DataFrame, files: DataFrame) -> DataFrame:
-    """path and status (unchanged, updated, added, removed) with the old id and asset and the new size and time.
+def inventory_diff(listing: DataFrame, files: DataFrame, removed: bool = True) -> DataFrame:
+    """path and status (unchanged, updated, added, removed) with the old id and asset and the new size, time and, if listed, oshash.
 
-    listing: path, size, mtime; files: id, asset_id, path, size_bytes, modified_at. Paths meet in their normal form;
-    where several listed ones share it, the greatest size and time count.
+    listing: path, size, mtime and maybe oshash; files: id, asset_id, path, size_bytes, modified_at. Paths meet in their normal
+    form, which files of a store are bucketed by, so that these aren't shuffled; where several listed ones share it, the greatest
+    size and time count. Without ``removed`` files that aren't listed are left out.
     """
-    new = listing.groupBy(normalize_path(F.col("path")).alias("path")).agg(F.max(F.struct("size", "mtime")).alias("s"), F.lit(True).alias("__listed")).select("path", "s.*", "__listed")
-    old = files.select(normalize_path(F.col("path")).alias("path"), F.col("id").alias("file_id"), "asset_id", "size_bytes", "modified_at")
-    both = new.join(old, "path", "full_outer")
+    given = [c for c in ("size", "mtime", "oshash") if c in listing.columns]
+    new = listing.groupBy(normalize_path(F.col("path")).alias("path")).agg(F.max(F.struct(*given)).alias("s"), F.lit(True).alias("__listed")).select("path", "s.*", "__listed")
+    key = F.col(PATH_KEY) if PATH_KEY in files.columns else normalize_path(F.col("path"))
+    old = files.select(key.alias("path"), F.col("id").alias("file_id"), "asset_id", "size_bytes", "modified_at")
+    both = new.join(old, "path", "full_outer" if removed else "left")
     same = F.col("size").eqNullSafe(F.col("size_bytes")) & F.col("mtime").eqNullSafe(F.col("modified_at"))
     status = F.when(F.col("file_id").isNull(), "added").when(F.col("__listed").isNull(), "removed").when(same, "unchanged").otherwise("updated")
-    return both.select("path", status.alias("status"), "file_id", "asset_id", "size", "mtime")
+    return both.select("path", status.alias("status"), "file_id", "asset_id", *given)
 
 
 def detect_moves(added: DataFrame, fingerprints: DataFrame, files: DataFrame) -> DataFrame:

@@ -31,12 +31,12 @@ def scan(catalog: Catalog, listing: DataFrame, roots: DataFrame, now: Column, co
     (path, accessible) is offline; assets left without file go with all that hangs on them.
     """
     catalog = _ids_as_text(catalog)
-    diff = V.inventory_diff(listing, catalog.files)
-    gone = V.protect_offline_roots(diff.where("status = 'removed'"), roots) if complete else diff.limit(0)
-    hashes = listing.groupBy(V.normalize_path(F.col("path")).alias("path")).agg(F.max("oshash").alias("oshash"))
-    added = V.detect_moves(diff.where("status = 'added'").select("path", "size", "mtime").join(hashes, "path", "left"), catalog.fingerprints, catalog.files)
+    # Four outputs follow from the diff, which is joined once.
+    diff = checkpointed(V.inventory_diff(listing, catalog.files, complete))
+    gone = V.protect_offline_roots(diff.where("status = 'removed'"), roots)
+    added = V.detect_moves(diff.where("status = 'added'").select("path", "size", "mtime", "oshash"), catalog.fingerprints, catalog.files)
     new = added.select(F.sha2(F.concat_ws("|", F.lit("file"), "path"), 256).alias("id"), "asset_id", "path", F.col("size").alias("size_bytes"), F.col("mtime").alias("modified_at"), now.alias("scanned_at"), "oshash", "known")
-    changed = diff.where("status = 'updated'").join(hashes, "path", "left").select("file_id", "oshash", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"))
+    changed = diff.where("status = 'updated'").select("file_id", "oshash", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"))
     files = catalog.files.join(gone.select(F.col("file_id").alias("__gone")), F.col("id") == F.col("__gone"), "left_anti")
     files = files.join(changed.select(F.col("file_id").alias("__f"), "__size", "__mtime"), F.col("id") == F.col("__f"), "left")
     hit = F.col("__f").isNotNull()

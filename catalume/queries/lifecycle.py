@@ -14,6 +14,7 @@ from ..operators.enrich import best_cover, dictionary_of
 from ..plans import workflows
 from ..plans.standins import WITH, catalog
 from ..sources import media, records
+from ..store import CatalogStore
 from ..streaming import playback
 from .register import Register
 from .upkeep import _DIFF, _WATCH, _samples, _views
@@ -169,19 +170,22 @@ def play_event_stream(spark, sf_dir):
 @query(f"{WITH}, p as (select event_id % 3000 as a, count(*) as n from events group by 1) select id, play_count + coalesce(n, 0) as play_count from assets left join p on a = id")
 def apply_play_stream(spark, sf_dir):
     plays = written(table(spark, sf_dir, "events").select((F.col("event_id") % 3000).alias("asset_id"), "ts").repartition(4))
-    path, done = _folder(spark, "assets"), set()
-    now = {"at": f"{path}/0"}
-    catalog(spark, sf_dir).assets.select("id", "play_count", "last_played_at").write.parquet(now["at"])
+    store = CatalogStore(spark, _folder(spark, "catalog"))
+    store.commit({"assets": catalog(spark, sf_dir).assets.select("id", "play_count", "last_played_at")})
+    stream = spark.readStream.schema(plays.schema).option("maxFilesPerTrigger", 2).parquet(plays.inputFiles()[0].rsplit("/", 1)[0])
+    state = _folder(spark, "state")
+    for _ in range(2):  # The second run finds nothing new.
+        stream.writeStream.foreachBatch(_twice(playback.apply_play_stream(store))).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return store.read().assets.select("id", "play_count")
 
-    def write(assets, batch):
-        assets.write.parquet(f"{path}/{batch + 1}")
-        now["at"] = f"{path}/{batch + 1}"
-        done.add(batch)
 
-    merge = playback.apply_play_stream(lambda: spark.read.parquet(now["at"]), write, done.__contains__)
-    stream = spark.readStream.schema(plays.schema).option("maxFilesPerTrigger", 2).parquet(plays.inputFiles()[0].rsplit("/", 1)[0])
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(now["at"]).select("id", "play_count")
+def _twice(merge):
+    """Each batch as if it were retried."""
+    def again(rows, batch):
+        merge(rows, batch)
+        merge(rows, batch)
+
+    return again
 
 
 def _scan_inputs(spark, sf_dir):
@@ -215,31 +219,37 @@ def scan_catalog_assets(spark, sf_dir):
     return workflows.scan(c, listing, roots, _now())[0].assets.select("id")
 
 
+@query(_SCAN)
+def stored_scan(spark, sf_dir):
+    """As ``scan_catalog``, from and to a store whose files are bucketed by path."""
+    c, listing, roots = _scan_inputs(spark, sf_dir)
+    store = CatalogStore(spark, _folder(spark, "catalog"))
+    c = workflows._ids_as_text(c)
+    store.commit({"assets": c.assets, "files": c.files, "fingerprints": c.fingerprints})
+    after = workflows.scan(store.read(), listing, roots, _now())[0]
+    store.commit({"assets": after.assets, "files": after.files, "fingerprints": after.fingerprints})
+    return _scan_rows(store.read())
+
+
 @query(_SCAN)
 def listing_stream(spark, sf_dir):
     c, listing, roots = _scan_inputs(spark, sf_dir)
-    path = _folder(spark, "listings")
-    # A listing that broke off, in which nothing counts as removed, and then the whole one.
-    listing.where("path like '%moved%'").withColumn("complete", F.lit(False)).write.parquet(f"{path}/in/part=1")
-    listing.withColumn("complete", F.lit(True)).coalesce(1).write.parquet(f"{path}/in/part=2")
-    names = ("assets", "files", "fingerprints")
-    state = {"at": f"{path}/0"}
-
-    def write(new, summary, batch):
-        for t in names:
-            getattr(new, t).write.parquet(f"{path}/{batch + 1}/{t}")
-        state["at"] = f"{path}/{batch + 1}"
-
-    def read():
-        return Catalog(**{t: spark.read.parquet(f"{state['at']}/{t}") for t in names})
-
-    write(workflows._ids_as_text(c), None, -1)
-    done = lambda batch: batch + 1 <= int(state["at"].rsplit("/", 1)[1])
-    merge = playback.apply_listing_stream(read, write, done, roots, lambda batch: _now())
-    for part in (1, 2):
-        stream = playback.listing_stream(spark, f"{path}/in/part={{{','.join(map(str, range(1, part + 1)))}}}")
+    path, n = _folder(spark, "listings"), listing.count()
+    # A snapshot that breaks off; the next one in five files, out of order, with late rows of the first between them.
+    listing = listing.withColumn("part", F.pmod(F.hash("path"), F.lit(5)))
+    first = listing.withColumns({"snapshot": F.lit(1).cast("long"), "expected": F.lit(n).cast("long")})
+    second = listing.withColumns({"snapshot": F.lit(2).cast("long"), "expected": F.when(F.col("part") == 2, n).cast("long")})
+    files = [first.where("path like '%moved%'"), second.where("part = 3"), second.where("part = 0"), first.where("path not like '%moved%'").withColumn("size", F.col("size") + 7), *[second.where(F.col("part") == k) for k in (4, 2, 1)]]
+    store = CatalogStore(spark, _folder(spark, "catalog"))
+    c = workflows._ids_as_text(c)
+    store.commit({"assets": c.assets, "files": c.files, "fingerprints": c.fingerprints})
+    merge = _twice(playback.apply_listing_stream(store, roots, lambda batch: _now()))
+    stream = playback.listing_stream(spark, f"{path}/in/*", 1)
+    for k, rows in enumerate(files):
+        # One file is here a folder of files, as many as Spark's tasks, and each is a batch of its own.
+        rows.drop("part").write.parquet(f"{path}/in/part={k}")
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return _scan_rows(read())
+    return _scan_rows(store.read())
 
 
 def _identify_inputs(spark, sf_dir):

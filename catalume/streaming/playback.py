@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..catalog import Catalog
+from ..functions.paths import normalize_path
 from ..operators.inventory import inventory_diff
 from ..operators.plays import LONGEST_STEP, apply_play_log
+from ..store import CatalogStore
 
 #: Milliseconds of event time without a sample after which a load's state is dropped.
 IDLE_MS = 6 * 3600 * 1000
@@ -79,39 +81,75 @@ def latest_progress(progress: DataFrame) -> DataFrame:
     return progress.groupBy("run_id").agg(F.max_by(F.struct(*[c for c in progress.columns if c != "run_id"]), F.struct("ts", "seq")).alias("p")).select("run_id", "p.*")
 
 
-def apply_play_stream(read: Callable[[], DataFrame], write: Callable[[DataFrame, int], None], done: Callable[[int], bool]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge plays into the assets that ``read`` gives; a batch that ``done`` knows already is left out, so a retry counts nothing twice."""
+def apply_play_stream(store: CatalogStore, stream: str = "plays") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge plays into the store's assets. What a batch changes and that it is done are committed as one,
+    so a batch that is retried, by this session or the next, counts once."""
     def merge(plays: DataFrame, batch: int) -> None:
-        if not done(batch):
-            write(apply_play_log(read(), plays), batch)
+        entry = store.entry()
+        if batch > entry.streams.get(stream, -1):
+            store.commit({"assets": apply_play_log(store.read(entry).assets, plays)}, stream, batch, on=entry)
 
     return merge
 
 
 def incremental_inventory(listing: DataFrame, files: DataFrame, complete: bool) -> DataFrame:
     """The diff of a listing against the files; of a partial listing nothing counts as removed."""
-    diff = inventory_diff(listing, files)
-    return diff if complete else diff.where("status != 'removed'")
+    return inventory_diff(listing, files, complete)
 
 
-def listing_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of listings that arrive as Parquet files: path, size, mtime, oshash, complete."""
-    return spark.readStream.schema("path string, size long, mtime timestamp, oshash string, complete boolean").parquet(folder)
+LISTING = "path string, size long, mtime timestamp, oshash string, snapshot long, expected long"
 
 
-def apply_listing_stream(read: Callable[[], Catalog], write: Callable[[Catalog, DataFrame, int], None], done: Callable[[int], bool], offline: DataFrame, now: Callable[[int], Column]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over ``listing_stream``: scan each batch of listings into the catalog that ``read`` gives
-    and hand the new one, its summary and the batch's number to ``write``.
+def listing_stream(spark: SparkSession, folder: str, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of listings that arrive as Parquet files of any number and order: path, size, mtime, oshash, the number of
+    the snapshot that a row belongs to, and how many paths that snapshot has, null where the lister does not know it yet."""
+    reader = spark.readStream.schema(LISTING)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
 
-    Files go only in a batch whose rows are all marked complete. A batch that ``done`` knows is left out, so a
-    stream that stopped goes on where its checkpoint says and a retried batch changes nothing twice.
+
+def apply_listing_stream(store: CatalogStore, offline: DataFrame, now: Callable[[int], Column], stream: str = "listing", report: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over ``listing_stream``: scan listings into the store, files that are gone only behind a barrier.
+
+    New and changed files of the newest snapshot are taken in with each batch. Its rows are staged beside the catalog
+    until as many paths have come as it is expected to have; that batch scans the whole snapshot, and only then do files
+    go that it does not list (but those under ``offline`` roots). A snapshot that breaks off, or lists more than it
+    promised, removes nothing. Rows of a snapshot older than the newest seen are late and change nothing, so a removal by
+    an older one never follows a newer one. The rows seen, the staged folders and the catalog are committed as one, so a
+    retried batch, or a row that comes twice, changes nothing twice. ``report`` gets the summary of each batch.
     """
     from ..plans.workflows import scan
 
     def merge(listing: DataFrame, batch: int) -> None:
-        if not done(batch) and not listing.isEmpty():
-            complete = listing.where("not coalesce(complete, false)").isEmpty()
-            catalog, summary = scan(read(), listing.drop("complete"), offline, now(batch), complete)
-            write(catalog, summary, batch)
+        entry = store.entry()
+        if batch <= entry.streams.get(stream, -1):
+            return
+        newest = listing.agg(F.max("snapshot")).first()[0]
+        if newest is None:
+            return
+        state = entry.snapshot
+        if state and newest < state["number"]:
+            store.commit({}, stream, batch, on=entry)
+            return
+        if not state or newest > state["number"]:
+            state = {"number": newest, "expected": None, "rows": 0, "whole": False, "parts": []}
+        part = store.stage(listing.where(F.col("snapshot") == newest).drop("snapshot"))
+        rows = store.spark.read.parquet(part)
+        n, expected = rows.agg(F.count("*"), F.max("expected")).first()
+        parts = [*state["parts"], part]
+        expected = max((e for e in (expected, state["expected"]) if e is not None), default=None)
+        state = state | {"expected": expected, "rows": state["rows"] + n, "parts": parts}
+        complete = False
+        # Rows are counted first, as that costs nothing; only when they could be all are paths told apart.
+        if not state["whole"] and expected is not None and state["rows"] >= expected:
+            every = store.spark.read.parquet(*parts)
+            complete = every.select(normalize_path(F.col("path"))).distinct().count() == expected
+            rows = every if complete else rows
+        catalog, summary = scan(store.read(entry), rows.drop("expected"), offline, now(batch), complete)
+        if state["whole"] or complete:
+            state |= {"whole": True, "parts": []}
+        changed = [f.name for f in fields(catalog)] if complete else ["assets", "files", "fingerprints"]
+        store.commit({t: getattr(catalog, t) for t in changed if getattr(catalog, t) is not None}, stream, batch, state, entry)
+        if report:
+            report(summary, batch)
 
     return merge

@@ -227,15 +227,6 @@ def test_throttle(spark):
     assert playback.latest_progress(df).first().seq == 99
 
 
-def test_play_merge_counts_a_batch_once(spark):
-    assets, seen, out = three_assets(spark).assets, set(), []
-    merge = playback.apply_play_stream(lambda: assets, lambda df, b: (seen.add(b), out.append(df)), lambda b: b in seen)
-    plays = spark.createDataFrame([("0", T0)], "asset_id string, ts timestamp")
-    merge(plays, 1)
-    merge(plays, 1)
-    assert len(out) == 1 and out[0].where("id = '0'").first().play_count == 1
-
-
 def test_cues_are_named_by_their_start(spark):
     cues = spark.createDataFrame([("f", 1.5, 2.25, 160, 90, 160, 90)], "file_id string, start double, end double, x int, y int, w int, h int")
     assert records.write_cues(cues, "s.jpg").first().vtt == "WEBVTT\n\n00:00:01.500\n00:00:01.500 --> 00:00:02.250\ns.jpg#xywh=160,90,160,90\n"
