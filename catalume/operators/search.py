@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..cluster import checkpointed
 from ..functions.like import ascii_lower, like_term
 from ..functions.tokens import fts_tokens, phrase_match, tokens_of
 from .files import representative_file
+from .textindex import TextIndex, indexed_hits
 
 #: Rows of a page at most.
 PAGE = 10_000
@@ -47,6 +53,8 @@ class SearchArgs:
     sort: str = "created"
     limit: int | None = None
     offset: int = 0
+    #: ``page_key`` of the last row of the page before, instead of an offset.
+    after: tuple | None = None
 
 
 def min_favorite(n: int) -> Column:
@@ -148,13 +156,23 @@ def _linked_hits(catalog: Catalog, terms: list[str]) -> DataFrame | None:
     return out
 
 
-def include_terms(catalog: Catalog, terms: list[str], stemmed: bool = True) -> DataFrame:
-    """asset_id of assets that every term matches: as a phrase of tokens in title or details, or as a part of what is linked."""
+def _phrase_hits(catalog: Catalog, terms: list[str], stemmed: bool) -> DataFrame:
+    """(asset_id, term) where the term is a phrase of tokens in title or details, by reading all of both."""
     text = catalog.assets.select(F.col("id").alias("asset_id"), fts_tokens(F.coalesce("title", F.lit("")), stemmed).alias("t"), fts_tokens(F.coalesce("details", F.lit("")), stemmed).alias("d"))
     phrases = [tokens_of(t, stemmed) for t in terms]
     found = F.filter(F.array(*[F.when(phrase_match(F.col("t"), p) | phrase_match(F.col("d"), p), F.lit(i)) for i, p in enumerate(phrases)]), lambda x: x.isNotNull())
-    hits = text.select("asset_id", F.explode(found).alias("term"))
+    return text.select("asset_id", F.explode(found).alias("term"))
+
+
+def include_terms(catalog: Catalog, terms: list[str], stemmed: bool = True, index: TextIndex | None = None) -> DataFrame:
+    """asset_id of assets that every term matches: as a phrase of tokens in title or details, or as a part of what is linked.
+
+    With an index, texts are not read, and ``stemmed`` is as the index was built.
+    """
+    hits = _phrase_hits(catalog, terms, stemmed) if index is None else indexed_hits(index, terms)
     linked = _linked_hits(catalog, terms)
+    if index is not None:
+        hits = hits.withColumn("asset_id", F.col("asset_id").cast(catalog.assets.schema["id"].dataType))
     hits = hits if linked is None else hits.unionByName(linked)
     return hits.groupBy("asset_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(terms)).select("asset_id")
 
@@ -169,15 +187,17 @@ def exclude_terms(catalog: Catalog, terms: list[str]) -> DataFrame:
     return (out if linked is None else out.unionByName(linked.select("asset_id"))).distinct()
 
 
-SORTS = {
-    "created": lambda: [F.desc("created_at")],
-    "favorite": lambda: [F.desc("favorite"), F.desc("created_at")],
-    "play_count": lambda: [F.desc("play_count"), F.desc("created_at")],
-    "title": lambda: [F.coalesce(F.lower("title"), F.lit("zzz")).asc()],
+#: Per order its keys, and whether each goes down, with nulls last; else up, with nulls first.
+KEYS = {
+    "created": lambda: [(F.col("created_at"), True)],
+    "favorite": lambda: [(F.col("favorite"), True), (F.col("created_at"), True)],
+    "play_count": lambda: [(F.col("play_count"), True), (F.col("created_at"), True)],
+    "title": lambda: [(F.coalesce(F.lower("title"), F.lit("zzz")), False)],
 }
+SORTS = {name: lambda keys=keys: [k.desc() if down else k.asc() for k, down in keys()] for name, keys in KEYS.items()}
 
 
-def filter_assets(catalog: Catalog, args: SearchArgs) -> DataFrame:
+def filter_assets(catalog: Catalog, args: SearchArgs, index: TextIndex | None = None) -> DataFrame:
     """The assets with a file that pass all filters, with the columns of the grid.
 
     Filters on assets alone come before any join; links filter by semi and anti joins on asset_id.
@@ -189,7 +209,7 @@ def filter_assets(catalog: Catalog, args: SearchArgs) -> DataFrame:
     keep, drop = [], []
     include, exclude = _terms(args)
     if include:
-        keep.append(include_terms(catalog, include, args.stemmed))
+        keep.append(include_terms(catalog, include, args.stemmed, index))
     if exclude:
         drop.append(exclude_terms(catalog, exclude))
     if args.folders:
@@ -224,10 +244,66 @@ def with_total(rows: DataFrame, page_rows: DataFrame) -> DataFrame:
     return page_rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
-def search_assets(catalog: Catalog, args: SearchArgs) -> DataFrame:
+def _later(keys: list[tuple[Column, bool]], after: tuple) -> Column:
+    """Whether a row comes after the one with these keys."""
+    later, equal = F.lit(False), F.lit(True)
+    for (key, down), value in zip(keys, after, strict=True):
+        if down:
+            beyond = key.isNull() | (key < F.lit(value)) if value is not None else F.lit(False)
+        else:
+            beyond = key > F.lit(value) if value is not None else key.isNotNull()
+        later |= equal & F.coalesce(beyond, F.lit(False))
+        equal &= key.eqNullSafe(F.lit(value))
+    return later
+
+
+def _firsts(orders: list[str], most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first rows of a partition that are on the page or before it, and on one of them the count of all."""
+    n, best = 0, None
+    for b in batches:
+        n += b.num_rows
+        rows = pa.Table.from_batches([b])
+        if best is None:
+            best = rows.slice(0, 1)  # carries the count if no row is asked for
+            held = rows.filter(pc.field("__after"))
+        else:
+            held = pa.concat_tables([held, rows.filter(pc.field("__after"))])
+        if held.num_rows > most:
+            by = pc.sort_indices(held, sort_keys=[(f"__k{k}", o) for k, o in enumerate(orders)], null_placement="at_end")
+            held = held.take(by[:most])
+    if best is not None:
+        out = held if held.num_rows else best
+        counts = [n] + [0] * (out.num_rows - 1)
+        yield from out.drop_columns(["__n"]).append_column("__n", pa.array(counts, pa.int64())).combine_chunks().to_batches()
+
+
+def page_with_total(rows: DataFrame, sort: str = "created", limit: int | None = None, offset: int = 0, after: tuple | None = None, tie: str = "id") -> DataFrame:
+    """One page of rows, each with the number of all rows, in one pass over them: each partition keeps its first rows and
+    counts the others.
+
+    ``after`` are the sort keys and id of the last row of the page before (``page_key``); with it the thousandth page costs
+    what the first does, while an offset is paid for by every partition. Ties go by id, which no row lacks.
+    """
+    limit = max(1, min(PAGE, PAGE if limit is None else limit))
+    keys = [*KEYS[sort](), (F.col(tie), False)]
+    most = limit + max(0, offset)
+    asked = rows.withColumns({f"__k{k}": key for k, (key, _) in enumerate(keys)} | {"__after": _later(keys, after) if after is not None else F.lit(True), "__n": F.lit(0).cast("long")})
+    firsts = checkpointed(asked.mapInArrow(partial(_firsts, ["descending" if down else "ascending" for _, down in keys], most), asked.schema))
+    total = firsts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total"))
+    ordered = firsts.where("__after").orderBy(*[F.col(f"__k{k}").desc() if down else F.col(f"__k{k}").asc() for k, (_, down) in enumerate(keys)])
+    return ordered.offset(max(0, offset)).limit(limit).select(*rows.columns).crossJoin(F.broadcast(total))
+
+
+def page_key(row: Row, sort: str = "created", tie: str = "id") -> tuple:
+    """The key of a page's last row, from which the next page goes on."""
+    if sort == "title":
+        return ("zzz" if row["title"] is None else row["title"].lower(), row[tie])
+    return (*[row[c] for c in {"created": ["created_at"], "favorite": ["favorite", "created_at"], "play_count": ["play_count", "created_at"]}[sort]], row[tie])
+
+
+def search_assets(catalog: Catalog, args: SearchArgs, index: TextIndex | None = None) -> DataFrame:
     """A page of assets that pass all filters, in order, each with the true total (also past the last page, where there is no row)."""
-    rows = filter_assets(catalog, args)
-    return with_total(rows, page(rows, args.sort, args.limit, args.offset))
+    return page_with_total(filter_assets(catalog, args, index), args.sort, args.limit, args.offset, args.after)
 
 
 def asset_detail(catalog: Catalog) -> DataFrame:

@@ -147,10 +147,15 @@ def fts_tokens_phrase(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), K.phrase_match(F.col("t"), ["of", "the"]).alias("has_phrase"))
 
 
-@query("select doc_id, 'cafe run poni caress relat hope adjust ' || lower(source) as stems from documents where regexp_matches(lower(source), '^[a-z]{1,2}[0-9]*$|^[a-z]*[0-9]+$')")
+# Stems of whole texts, by all forms that a few words can have.
+_FORMS = {"the": "the|thes|theing|theings", "of": "of|ofs|ofed|ofing|ofings", "hi": "hi|his|hy|hied|hies", "and": "and|ands|anded|anding|andings", "thei": "they|thei|theis|theied", "de": "de|des|deing|deings"}
+
+
+@query("with w as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as ws from documents) select doc_id, " + ", ".join(f"len(list_filter(ws, lambda x: regexp_full_match(x, '{forms}'))) as n_{stem}" for stem, forms in _FORMS.items()) + " from w")
 def fts_stems(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lower(source) rlike '^[a-z]{1,2}[0-9]*$|^[a-z]*[0-9]+$'")
-    return d.select("doc_id", F.array_join(K.fts_tokens(F.concat(F.lit("Caf\u00e9 RUNNING ponies-caresses relational, hopefulness adjustment "), "source")), " ").alias("stems"))
+    d = table(spark, sf_dir, "documents").select("doc_id", K.fts_tokens(F.col("text")).alias("t"))
+    times = lambda stem: F.size(F.filter("t", lambda x: x == stem)).cast("long")
+    return d.select("doc_id", *[times(stem).alias(f"n_{stem}") for stem in _FORMS])
 
 
 @query()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..cluster import table
+from ..cluster import new_folder, table
 from ..operators import search as S
+from ..operators import textindex as X
 from ..operators.files import latest_file, representative_file
 from ..operators.search import SearchArgs
 from ..plans.standins import WITH, catalog
@@ -78,6 +79,43 @@ def search_text_inverse(spark, sf_dir):
     return _search(spark, sf_dir, include=("urgent promo",), inverse=True, limit=200)
 
 
+# Every word form with the stem of the word asked for.
+_STEMMED = _INCLUDED.replace("{0}([^a-z0-9]", "({forms})([^a-z0-9]").replace("%{0}%", "%{term}%")
+_ORDERS, _CUSTOMERS = _STEMMED.format(forms="order|orders|ordered|ordering|orderings", term="orders"), _STEMMED.format(forms="custom|customs|customed|customing|customer|customers|customize|customization", term="customers")
+
+
+@query(_found(_ORDERS + " and " + _CUSTOMERS + " and " + _EXCLUDED.format("clip_11")))
+def search_text_stemmed(spark, sf_dir):
+    return _search(spark, sf_dir, include=("orders", "customers"), exclude=("clip_11",), limit=200)
+
+
+@query(_found(_ORDERS + " and " + _INCLUDED.format("1-urgent"), "favorite desc, created_at desc", 100, 0))
+def search_text_indexed(spark, sf_dir):
+    """With an index, in which one of the terms is a phrase of two tokens."""
+    c, args = catalog(spark, sf_dir), SearchArgs(include=("orders 1-urgent",), sort="favorite", limit=100)
+    return S.search_assets(c, args, X.build_index(c.assets)).select(*_GRID)
+
+
+_DOCS = "select doc_id as id, split_part(text, chr(10), 1) as title, text as details from documents"
+_CHANGED = f"select id, case when id % 10 = 3 then concat('Thes of ', title) end as title, case when id % 10 <> 7 then reverse(details) end as details from ({_DOCS}) where id % 5 in (2, 3)"
+_TEXTS = f"with d as ({_DOCS}), ch as ({_CHANGED}), t as (select id, strip_accents(lower(coalesce(title, ''))) as title, strip_accents(lower(coalesce(details, ''))) as details from (select * from d where id % 5 not in (2, 3) union all select * from ch))"
+_OF_THE = "(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
+_THE = "(^|[^\p{L}\p{N}])(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
+
+
+@query(f"{_TEXTS} select id::varchar as asset_id, term from (select id, 0 as term from t where regexp_matches(title, '{_OF_THE}') or regexp_matches(details, '{_OF_THE}') union all select id, 1 from t where regexp_matches(title, '{_THE}') or regexp_matches(details, '{_THE}'))")
+def indexed_text_hits(spark, sf_dir):
+    """A phrase and a word in an index of all texts that took in a change log: changed, turned round and emptied ones."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as id", "split_part(text, char(10), 1) as title", "text as details")
+    index = X.build_index(docs)
+    log = docs.where("id % 5 in (2, 3)").selectExpr("id", "case when id % 10 = 3 then concat('Thes of ', title) end as title", "case when id % 10 <> 7 then reverse(details) end as details")
+    for k in (2, 3):
+        index = X.updated_index(index, log.where(f"id % 5 = {k}"))
+    path = new_folder(spark)
+    X.write_index(index, path)
+    return X.indexed_hits(X.read_index(spark, path), ["of-the", "Thes"]).distinct()
+
+
 @query("select doc_id, array_to_string(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '' and not (starts_with(x, '-') and length(x) > 1)), '|') as include, array_to_string(list_transform(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: starts_with(x, '-') and length(x) > 1), lambda x: substr(x, 2)), '|') as exclude from (select doc_id, concat(source, ' -', lang, ' - ', text) as query from documents)")
 def parse_search_query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
