@@ -2,60 +2,33 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
+from ..cluster import checkpointed
 from ..functions.hashing import hamming, parse_hash64
+from .covering import meeting_pairs
 from .files import representative_file
 from .graph import connected_components
 from .inventory import delete_assets
 
 #: Bits that two hashes may differ in.
 THRESHOLD = 8
-#: Thresholds from which bands get too narrow, so that hashes are compared block by block.
-WIDEST = 12
-BLOCKS = 64
 #: Distinct hashes of a group that are compared together.
 GROUP_BLOCK = 1000
-
-
-def _bands(threshold: int) -> list[tuple[int, int]]:
-    """(shift, width) of threshold + 2 bands over 64 bits: any pair within the threshold agrees on two of them."""
-    n = threshold + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)]
-
-
-def _band(h: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << width) - 1))
+#: Greatest distance that the complement of a hash is looked up in.
+NEAR_COMPLEMENT = 9
 
 
 def hamming_pairs(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, distance) with a < b of all pairs of distinct hashes (column hash) within the threshold; exact.
 
-    Hashes meet on the values of two bands; a pair is kept at the first two bands it agrees on, so
-    nothing has to be made distinct afterwards. Beyond ``WIDEST`` blocks of hashes meet each other.
+    Hashes meet under the masks of a covering code, chosen by how many there are; a pair is kept at the first mask it
+    agrees under, so nothing has to be made distinct afterwards.
     """
-    h = hashes.select("hash").where("hash is not null").distinct()
-    if threshold > WIDEST:
-        block = h.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(BLOCKS)))
-        left = block.select(F.col("hash").alias("a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda o: F.least(o, F.col("block")) * BLOCKS + F.greatest(o, F.col("block")))).alias("cell"))
-        right = left.withColumnRenamed("a", "b")
-        return left.join(right, "cell").where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= threshold).select("a", "b", "distance").distinct()
-    bands = _bands(threshold)
-    combos = list(combinations(range(len(bands)), 2))
-    keys = F.array(*[F.struct(F.lit(i).cast("short").alias("no"), _band(F.col("hash"), *bands[x]).alias("x"), _band(F.col("hash"), *bands[y]).alias("y")) for i, (x, y) in enumerate(combos)])
-    each = h.select("hash", F.explode(keys).alias("k")).select("hash", "k.*")
-    both = each.withColumnRenamed("hash", "a").join(each.withColumnRenamed("hash", "b"), ["no", "x", "y"]).where("a < b")
-    distance = hamming(F.col("a"), F.col("b"))
-    equal = [_band(F.col("a").bitwiseXOR(F.col("b")), *b) == 0 for b in bands]
-    first = F.lit(len(combos))
-    for i, (x, y) in reversed(list(enumerate(combos))):
-        first = F.when(equal[x] & equal[y], i).otherwise(first)
-    return both.where((distance <= threshold) & (F.col("no") == first)).select("a", "b", distance.alias("distance"))
+    h = checkpointed(hashes.select(F.col("hash").alias("number")).where("number is not null").distinct())
+    return meeting_pairs(h, None, [], threshold, h.count()).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance"))
 
 
 def duplicate_groups(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -70,23 +43,82 @@ def duplicate_groups(hashes: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     return grouped.join(several, "group", "left_semi").select("id", "hash", "group")
 
 
+def group_diameters(groups: DataFrame, block: int = GROUP_BLOCK) -> DataFrame:
+    """(group, max_distance): the greatest distance of two hashes of each group (group, hash); exact.
+
+    Two sweeps from farthest to farthest give a distance that is there. A pair beats it only if both distances to the
+    group's centre (the majority of each bit) add up to more, so hashes too near to it drop out. What is left in a small
+    group is compared; in a large one whose distance is great already, hashes meet the complements of others, from which
+    a still greater distance is a short way; else cells of two blocks of hashes, by their distance to the centre, are compared.
+    """
+    h = checkpointed(groups.where("hash is not null").select("group", "hash").distinct())
+
+    def farthest(start: DataFrame, name: str) -> DataFrame:
+        """group, the hash farthest from the start's, and that distance."""
+        d = hamming(F.col("hash"), F.col("__s"))
+        return h.join(start.toDF("group", "__s"), "group").groupBy("group").agg(F.max(F.struct(d.alias("d"), "hash")).alias("m")).select("group", F.col("m.hash").alias(name), F.col("m.d").alias("far"))
+
+    bits = [F.sum(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
+    centre = F.lit(0).cast("long")
+    for i in range(64):
+        centre = centre.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    middle = h.groupBy("group").agg(F.count("*").alias("n"), *bits).select("group", centre.alias("centre"))
+    one = farthest(middle, "one").select("group", "one")
+    two = farthest(one, "two").select("group", "two")
+    known = farthest(two, "three").select("group", F.col("far").alias("known")).join(middle, "group")
+    near = hamming(F.col("hash"), F.col("centre"))
+    reach = h.join(known, "group").groupBy("group").agg(F.max("known").alias("known"), F.max("centre").alias("centre"), F.max(near).alias("radius"))
+    known = checkpointed(reach)
+    left = checkpointed(h.join(known, "group").withColumn("d", near).where("d + radius > known").select("group", "hash", "d", "known"))
+    sizes = left.groupBy("group").count()
+    size = F.col("count")
+    few = size <= block
+    marked = left.join(sizes, "group").withColumn("how", F.when(few, 0).when(F.col("known") >= 63 - NEAR_COMPLEMENT, 1).otherwise(2))
+    asked = marked.where("how = 1").select("group", F.col("hash").alias("number"))
+    flipped = asked.select("group", F.bitwise_not("number").alias("number"))
+    n = sizes.agg(F.max("count")).first()[0] or 0
+    far = meeting_pairs(asked, flipped, ["group"], NEAR_COMPLEMENT, n).groupBy("group").agg(F.max(64 - hamming(F.col("a"), F.col("b"))).alias("most"))
+    # Blocks by distance to the centre: those of two cells whose distances add up to too little don't meet.
+    per = F.when(few, 1).otherwise(F.ceil(size / F.lit(block)).cast("int"))
+    placed = marked.where("how <> 1").withColumn("per", per).withColumn("sub", F.pmod(F.xxhash64("hash"), "per").cast("int"))
+    mine = F.when(F.col("how") == 0, F.lit(0)).otherwise(F.col("d") * F.col("per") + F.col("sub"))
+    blocks = checkpointed(placed.withColumn("block", mine))
+    there = blocks.select("group", "block", F.when(F.col("how") == 0, 64).otherwise(F.col("d")).alias("d"), "known").distinct()
+    x, y = there.select("group", F.col("block").alias("low"), F.col("d").alias("dx"), "known"), there.select("group", F.col("block").alias("high"), F.col("d").alias("dy"))
+    cells = x.join(y, "group").where("low <= high and dx + dy > known").select("group", "low", "high")
+    a = blocks.select("group", F.col("block").alias("low"), F.col("hash").alias("a"))
+    b = blocks.select("group", F.col("block").alias("high"), F.col("hash").alias("b"))
+    compared = cells.join(a, ["group", "low"]).join(b, ["group", "high"]).groupBy("group").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("most"))
+    best = far.unionByName(compared).groupBy("group").agg(F.max("most").alias("most"))
+    return known.join(best, "group", "left").select("group", F.greatest("known", F.coalesce("most", F.lit(0))).alias("max_distance"))
+
+
 def duplicate_group_summary(groups: DataFrame) -> DataFrame:
-    """Per group its members, their number and the greatest distance of two of them (which may exceed the threshold); largest first."""
-    distinct = groups.select("group", "hash").distinct()
-    # Large groups are compared in cells of two blocks of hashes, so that no task gets a whole one.
-    blocks = distinct.groupBy("group").agg(F.ceil(F.count("*") / F.lit(GROUP_BLOCK)).cast("int").alias("blocks"))
-    placed = distinct.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("hash"), "blocks").cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("group", F.least("block", "__other").alias("low"), F.greatest("block", "__other").alias("high"), "hash")
-    far = cells.withColumnRenamed("hash", "a").join(cells.withColumnRenamed("hash", "b"), ["group", "low", "high"]).where("a < b").groupBy("group").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("max_distance"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n_members"), F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), "|").alias("group_key"))
-    return sizes.join(far, "group", "left").select("group_key", "n_members", F.coalesce("max_distance", F.lit(0)).alias("max_distance")).orderBy(F.desc("n_members"), "group_key")
+    """Per group its number of members and the greatest distance of two of them (which may exceed the threshold); largest
+    first. Members stay rows of ``groups``."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n_members"))
+    return sizes.join(group_diameters(groups), "group").select("group", "n_members", "max_distance").orderBy(F.desc("n_members"), "group")
 
 
-def find_duplicates(catalog: Catalog, threshold: int = THRESHOLD) -> DataFrame:
-    """Groups of assets by the perceptual hash of their representative file."""
+def representative_hashes(catalog: Catalog) -> DataFrame:
+    """(id, hash) of each asset whose representative file has a valid perceptual hash."""
     ph = catalog.fingerprints.where("hash_type = 'phash'").select(F.col("file_id").alias("__f"), parse_hash64(F.col("value")).alias("hash"))
-    hashes = representative_file(catalog.files).join(ph, F.col("id") == F.col("__f")).select(F.col("asset_id").alias("id"), "hash")
-    return duplicate_groups(hashes, threshold)
+    return representative_file(catalog.files).join(ph, F.col("id") == F.col("__f")).where("hash is not null").select(F.col("asset_id").alias("id"), "hash")
+
+
+#: What a review shows of each member beside its id.
+_SHOWN = ("path", "codec", "width", "height", "duration", "size_bytes", "fps", "bitrate")
+
+
+def find_duplicates(catalog: Catalog, threshold: int = THRESHOLD) -> DataFrame:
+    """Assets that share a group by the perceptual hash of their representative file, a row each: group (its least hash),
+    n_members, max_distance, id, title, favorite and the facts of that file. Groups are largest first, members by id."""
+    groups = checkpointed(duplicate_groups(representative_hashes(catalog), threshold))
+    members = groups.join(duplicate_group_summary(groups), "group").select("group", "n_members", "max_distance", "id")
+    assets = catalog.assets.select("id", *[c for c in ("title", "favorite") if c in catalog.assets.columns])
+    shown = [c for c in _SHOWN if c in catalog.files.columns]
+    files = representative_file(catalog.files.join(members.select(F.col("id").alias("__m")), F.col("asset_id") == F.col("__m"), "left_semi")).select(F.col("asset_id").alias("id"), *shown)
+    return members.join(assets, "id", "left").join(files, "id", "left").orderBy(F.desc("n_members"), "group", "id")
 
 
 def default_keeper(groups: DataFrame, assets: DataFrame) -> DataFrame:

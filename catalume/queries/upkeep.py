@@ -182,10 +182,31 @@ def hamming_pairs(spark, sf_dir):
     return D.hamming_pairs(_hashes(spark, sf_dir)).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 
-@query("select least(cast(vec_id as varchar), cast(vec_id + 1000000 as varchar)) || '|' || greatest(cast(vec_id as varchar), cast(vec_id + 1000000 as varchar)) as group_key, 2 as n_members, vec_id % 13 as max_distance from embeddings where vec_id % 13 <= 8")
+# Chains of up to four copies, each seven bits from the one before, in a catalog with several files an asset.
+_CHAINED = f"with recursive o as {_HASH}, h as (select vec_id + 1000000 * k as id, xor(xor(xor(hash, case when k > 0 then 127 else 0 end::bigint), case when k > 1 then 127 * 128 else 0 end::bigint), case when k > 2 then 127 * 16384 else 0 end::bigint) as hash, k from (select *, unnest(range(vec_id % 4 + 1)) as k from o)), e as (select x.id as a, y.id as b from h x join h y on bit_count(xor(x.hash, y.hash)) <= 8), reach as (select id, id as other from h union select reach.id, e.b from reach join e on e.a = reach.other), g as (select id, min(other) as least_, count(*) as n_members from reach group by id), m as (select g.*, hash, k from g join h using (id) where n_members > 1), far as (select x.least_, max(bit_count(xor(x.hash, y.hash))) as max_distance from m x join m y using (least_) group by 1)"
+
+
+def _chained(spark, sf_dir):
+    h = table(spark, sf_dir, "embeddings").select("vec_id", median_bits(F.col("embedding")).alias("hash"), F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("k"))
+    turn = lambda k, bits: F.when(F.col("k") > k, F.lit(bits).cast("long")).otherwise(F.lit(0).cast("long"))
+    h = h.select((F.col("vec_id") + F.col("k") * 1000000).alias("id"), F.col("hash").bitwiseXOR(turn(0, 127)).bitwiseXOR(turn(1, 127 * 128)).bitwiseXOR(turn(2, 127 * 16384)).alias("hash"), "k")
+    each = h.withColumn("nth", F.explode(F.array(F.lit(0), F.lit(1))))
+    files = each.select(F.concat_ws("-", "id", "nth").alias("id"), F.col("id").alias("asset_id"), F.concat(F.lit("E:\\v\\"), "id", F.lit("-"), "nth").alias("path"), F.when(F.col("k") == 2, "av1").otherwise("h264").alias("codec"), (F.col("nth") * 10.0 + 5).alias("duration"), F.lit(None).cast("timestamp").alias("scanned_at"))
+    # The short file's hash plays no part.
+    value = F.when(F.col("nth") == 1, F.lower(F.hex("hash"))).otherwise(F.lit("0"))
+    prints = each.select(F.concat_ws("-", "id", "nth").alias("file_id"), F.lit("phash").alias("hash_type"), value.alias("value"))
+    return Catalog(assets=h.select("id", F.concat(F.lit("Clip "), "id").alias("title")), files=files, fingerprints=prints)
+
+
+@query(f"{_CHAINED} select m.id, n_members, max_distance, min(hash) over (partition by least_) as \"group\", 'Clip ' || m.id as title, 'E:' || chr(92) || 'v' || chr(92) || m.id || '-1' as path, case when k = 2 then 'av1' else 'h264' end as codec from m join far using (least_)")
 def find_duplicates(spark, sf_dir):
-    s = D.duplicate_group_summary(D.duplicate_groups(_hashes(spark, sf_dir)))
-    return s.select("group_key", "n_members", F.col("max_distance").cast("long").alias("max_distance"))
+    return D.find_duplicates(_chained(spark, sf_dir)).select("id", "n_members", F.col("max_distance").cast("long").alias("max_distance"), "group", "title", "path", "codec")
+
+
+@query(f"{_CHAINED} select min(hash) as \"group\", count(*) as n_members, max(max_distance) as max_distance from m join far using (least_) group by least_")
+def duplicate_group_summary(spark, sf_dir):
+    g = D.duplicate_groups(D.representative_hashes(_chained(spark, sf_dir)))
+    return D.duplicate_group_summary(g).select("group", "n_members", F.col("max_distance").cast("long").alias("max_distance"))
 
 
 @query("select vec_id + 1000000 * (vec_id % 2) as keeper, vec_id % 6 + (vec_id % 2) as favorite from embeddings where vec_id % 13 <= 8")
