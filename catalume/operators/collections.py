@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.plays import COOLED, cooldown_size
+from ..functions.plays import COOLED, cooldown_size, recency_multiplier
 
 
 def collection_counts(collections: DataFrame, items: DataFrame, files: DataFrame) -> DataFrame:
@@ -89,6 +97,100 @@ def weighted_pick(items: DataFrame, seed: str, k: int, group: str, key: str = "a
     return drawn.select(*items.columns, F.col("nth").cast("int").alias("nth"))
 
 
+class _SumTree:
+    """Whole weights by place, with the place that a share of their sum falls on; each change costs the logarithm of their number."""
+
+    def __init__(self, weights: list[int]) -> None:
+        self.n, self.weights, self.sums = len(weights), [0] * len(weights), [0] * (len(weights) + 1)
+        self.top = 1 << max(self.n.bit_length() - 1, 0)
+        self.total = 0
+        for i, w in enumerate(weights):
+            self.put(i, w)
+
+    def put(self, i: int, weight: int) -> None:
+        more = weight - self.weights[i]
+        self.weights[i] = weight
+        self.total += more
+        i += 1
+        while i <= self.n:
+            self.sums[i] += more
+            i += i & -i
+
+    def at(self, share: int) -> int:
+        """The first place up to which weights sum up to more than the share."""
+        i, step = 0, self.top
+        while step:
+            if i + step <= self.n and self.sums[i + step] <= share:
+                i += step
+                share -= self.sums[i]
+            step >>= 1
+        return i
+
+
+def player_session(weights: list[int], cooled: list[int], fails: list[bool], rest: int, draws: int, chance: Callable[[int], int]) -> Iterator[tuple[int, int, bool]]:
+    """(place in the queue, pass, played) for each draw of a player that shuffles.
+
+    A draw takes one of those not drawn in this pass, by weight. What was played among the last ``rest`` plays has its
+    cooled weight, which slides on with every play; a new pass keeps it. An item that fails to load counts as drawn, is no play,
+    and is left out of the very next draw even if that begins a pass. chance(nth) is a number of 32 bits.
+    """
+    tree, drawn, recent = _SumTree(weights), set(), []
+    number, failed = 0, None
+
+    def weight(i: int) -> int:
+        return cooled[i] if rest and i in recent[-rest:] else weights[i]
+
+    for nth in range(draws):
+        if failed is not None and tree.weights[failed]:
+            tree.put(failed, 0)
+        if not tree.total:
+            drawn.clear()
+            number += 1
+            for i in range(len(weights)):
+                tree.put(i, 0 if i == failed else weight(i))
+            if not tree.total:
+                return
+        i = tree.at(chance(nth) * tree.total >> 32)
+        if failed is not None and failed not in drawn:
+            tree.put(failed, weight(failed))
+        drawn.add(i)
+        tree.put(i, 0)
+        failed = i if fails[i] else None
+        if failed is None:
+            before = recent[-rest:] if rest else []
+            recent = [*[r for r in recent if r != i], i][-max(rest, 1) :]
+            for r in {*before, *recent} - drawn:
+                tree.put(r, weight(r))
+        yield i, number, failed is None
+
+
+def weighted_session(items: DataFrame, seed: str, draws: int, group: str, key: str = "asset_id", position: str = "position", favorite: str = "favorite", last: str = "last_played_at", fails: str | None = None, now: Column | None = None) -> DataFrame:
+    """(group, nth from 1, key, pass, played): the draws of a player for each queue, one after another, see ``player_session``.
+
+    Weights are those of ``shuffle_weight`` at ``now`` (recency plays no part without it), in millionths, so that sums are
+    exact; the nth chance is 32 bits of an MD5 of group, seed and nth. Draws depend on each other, so a queue is one task's
+    work, with some 100 bytes an item; for a whole catalog at once take ``weighted_pick``.
+    """
+    base = F.greatest(F.col(favorite), F.lit(1)) * (recency_multiplier(F.col(last), now) if now is not None else F.lit(1.0))
+    whole = lambda w: F.round(F.greatest(F.lit(0.05), w) * 1_000_000).cast("long")
+    rows = items.select(group, key, F.col(position).alias("position"), whole(base).alias("w"), whole(base * COOLED).alias("cooled"), (F.coalesce(F.col(fails), F.lit(False)) if fails else F.lit(False)).alias("fails"))
+    schema = StructType([rows.schema[group], StructField("nth", IntegerType()), rows.schema[key], StructField("pass", IntegerType()), StructField("played", BooleanType())])
+
+    def played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(*[b.column(c).to_pylist() for c in (group, key, "w", "cooled", "fails")], strict=True))
+        for found, queue in groupby(each, itemgetter(0)):
+            _, keys, weights, cooled, dead = zip(*queue, strict=True)
+            n = len(keys)
+            rest = 0 if n <= 1 else min(40, max(3, n * 3 // 20))
+            chance = lambda nth, g=found: int(hashlib.md5(f"{g}|{seed}|{nth + 1}".encode(), usedforsecurity=False).hexdigest()[:8], 16)
+            session = list(player_session(list(weights), cooled, dead, rest, draws, chance))
+            columns = ([found] * len(session), range(1, len(session) + 1), [keys[i] for i, _, _ in session], [p for _, p, _ in session], [x for _, _, x in session])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    made = to_arrow_schema(schema)
+    return rows.repartition(group).sortWithinPartitions(group, "position", key).mapInArrow(played, schema)
+
+
 def add_links(links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links with the new ones, and the new ones that weren't there."""
     fresh = new.select(*links.columns).distinct().join(links, links.columns, "left_anti")

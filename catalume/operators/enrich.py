@@ -2,33 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..catalog import Catalog
+from ..cluster import checkpointed
 from ..functions.names import bracket_studios, folder_hints, normalize_for_match, path_haystack, pretty_tag, stem, tag_candidates, title_from_path
 
 #: Characters that a name must have to be looked for.
 LEAST_NAME = 3
-
-
-def match_catalog_names(paths: DataFrame, dictionary: DataFrame) -> DataFrame:
+#: Characters of all names up to which they are held in memory by every task.
+MOST_CHARACTERS = 1_000_000
+
+
+def _machine(names: list[str]) -> ahocorasick.Automaton:
+    """Finds all names at once as whole words of a text with a blank at either end."""
+    machine = ahocorasick.Automaton()
+    for n in names:
+        machine.add_word(f" {n} ", n)
+    machine.make_automaton()
+    return machine
+
+
+def _found(names: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    machine = _machine(names.value)
+    for b in batches:
+        at, norm = [], []
+        for i, text in enumerate(b.column("w").to_pylist()):
+            hits = {n for _, n in machine.iter(f" {text} ")} if text else ()
+            at += [i] * len(hits)
+            norm += hits
+        if at:
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(norm)], ["id", "norm"])
+
+
+def _met(words: DataFrame, d: DataFrame) -> DataFrame:
+    """(id, norm) for any number of names: those with two words or more meet the pairs of neighbouring words of a path, the
+    others its words; the rest of a name is compared where it would stand."""
+    first = F.slice("n", 1, 2)
+    names = d.select("norm").distinct().withColumn("n", F.split("norm", " ")).select("norm", "n", F.array_join(first, " ").alias("start"), (F.size("n") > 1).alias("several"))
+    placed = words.select("id", "w", F.posexplode("w").alias("at", "word"))
+    pair = F.concat_ws(" ", "word", F.try_element_at("w", F.col("at") + 2))
+    starts = F.array(F.struct(F.col("word").alias("start"), F.lit(False).alias("several")), F.struct(pair.alias("start"), F.lit(True).alias("several")))
+    asked = placed.select("id", "w", "at", F.explode(starts).alias("s")).select("id", "w", "at", "s.*")
+    met = asked.join(names, ["start", "several"]).where(F.slice("w", F.col("at") + 1, F.size("n")) == F.col("n"))
+    return met.select("id", "norm").distinct()
+
+
+def match_catalog_names(paths: DataFrame, dictionary: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
     """(id, kind, dim_id, name, norm): names of the dictionary (kind, dim_id, name) that occur as whole words in a path.
 
-    Runs of words of the path, as long as the longest name, meet the names by equality.
+    A dictionary of up to ``most`` characters becomes an automaton in each task, which reads a path once whatever the
+    number of names; a larger one meets the words of the paths in a join.
     """
-    d = dictionary.select("kind", "dim_id", "name", normalize_for_match(F.col("name")).alias("norm")).where(F.char_length("norm") >= LEAST_NAME)
-    longest = d.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 0
-    words = paths.select("id", F.split(path_haystack(F.col("path")), " ").alias("w"))
-    none = F.array().cast("array<string>")
-
-    def of(n: int) -> Column:
-        run = lambda i: F.array_join(F.slice("w", i, n), " ")
-        return F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), run)).otherwise(none)
-
-    runs = F.flatten(F.array(*[of(n) for n in range(1, longest + 1)])) if longest else none
-    return words.select("id", F.explode(F.array_distinct(runs)).alias("norm")).join(d, "norm").select("id", "kind", "dim_id", "name", "norm")
+    d = checkpointed(dictionary.select("kind", "dim_id", "name", normalize_for_match(F.col("name")).alias("norm")).where(F.char_length("norm") >= LEAST_NAME))
+    haystack = path_haystack(F.col("path"))
+    if (d.agg(F.sum(F.char_length("norm") + 2)).first()[0] or 0) > most:
+        return _met(paths.select("id", F.split(haystack, " ").alias("w")), d).join(d, "norm").select("id", "kind", "dim_id", "name", "norm")
+    names = paths.sparkSession.sparkContext.broadcast(sorted({r["norm"] for r in d.select("norm").distinct().collect()}))
+    texts = paths.select("id", haystack.alias("w"))
+    hits = texts.mapInArrow(partial(_found, names), StructType([texts.schema["id"], StructField("norm", StringType())]))
+    return hits.join(F.broadcast(d), "norm").select("id", "kind", "dim_id", "name", "norm")
 
 
 def subsume_names(hits: DataFrame) -> DataFrame:

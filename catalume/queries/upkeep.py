@@ -297,6 +297,25 @@ def weighted_pick_passes(spark, sf_dir):
     return C.weighted_pick(items, "seed", 12, "collection_id", passes=2, excluded=items.where("asset_id % 8 = 0")).select("collection_id", "asset_id", "nth")
 
 
+# A player for each customer, draw by draw: lists of what is drawn in this pass and of the last plays; every 8th order fails to load.
+_W = "case when list_contains(recent, x.id) then x.c else x.w end"
+_LEFT = "list_filter(q, lambda x: not list_contains(drawn, x.id) and x.id is distinct from failed)"
+_SESSION = (
+    "with recursive q as (select o_custkey as g, list(struct_pack(id := o_orderkey, w := greatest(o_orderkey % 6, 1) * 1000000, c := greatest(o_orderkey % 6, 1) * 120000) order by o_orderdate, o_orderkey) as q, case when count(*) <= 1 then 0 else least(40, greatest(3, count(*) * 3 // 20)) end::int as rest from orders group by 1), "
+    "s as (select g, q, rest, 0 as nth, null::bigint as id, 0 as pass, [-1::bigint] as drawn, [-1::bigint] as recent, null::bigint as failed from q union all "
+    "select g, q, rest, nth, id, pass, list_append(drawn, id), case when id % 8 = 0 then recent else list_append(list_filter(recent, lambda r: r <> id), id)[-greatest(rest, 1):] end, case when id % 8 = 0 then id end from "
+    "(select *, (list_filter(list_transform(range(1, len(has) + 1), lambda i: struct_pack(id := has[i].id, upto := list_sum(list_transform(has[1:i], lambda x: x.w)))), lambda y: y.upto > (chance::hugeint * list_sum(list_transform(has, lambda x: x.w))) // 4294967296)[1]).id as id from "
+    f"(select g, q, rest, nth + 1 as nth, pass + fresh::int as pass, case when fresh then [-1::bigint] else drawn end as drawn, recent, list_transform(case when fresh then list_filter(q, lambda x: x.id is distinct from failed) else has end, lambda x: struct_pack(id := x.id, w := {_W.replace('list_contains(recent, x.id)', 'rest > 0 and list_contains(recent, x.id)')})) as has, ('0x' || substr(md5(g || '|seed|' || (nth + 1)), 1, 8))::bigint as chance from "
+    f"(select *, {_LEFT} as has, len({_LEFT}) = 0 as fresh from s where nth < 12)) where len(has) > 0)) "
+)
+
+
+@query(_SESSION + 'select g as collection_id, nth, id as asset_id, pass, id % 8 <> 0 as played from s where nth > 0')
+def weighted_session(spark, sf_dir):
+    items = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("collection_id"), F.col("o_orderkey").alias("asset_id"), F.col("o_orderdate").alias("position"), (F.col("o_orderkey") % 6).alias("favorite"), F.lit(None).cast("timestamp").alias("last_played_at"), (F.col("o_orderkey") % 8 == 0).alias("dead"))
+    return C.weighted_session(items, "seed", 12, "collection_id", fails="dead")
+
+
 @query(f"{WITH} select count(*) as links, count(*) filter (where asset_id % 2 = 0) as kept, (select count(*) from (select distinct asset_id from files where asset_id % 9 = 0)) as added from asset_tags")
 def add_remove_links(spark, sf_dir):
     c = catalog(spark, sf_dir)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import partial
+from urllib.parse import unquote
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +67,62 @@ def file_oshash(contents: DataFrame) -> DataFrame:
     return contents.select("path", _oshash("length", head, tail).alias("oshash"))
 
 
+#: Bytes of a file that are hashed together.
+PIECE = 1 << 22
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A file of a listing, through Arrow's file systems (local, HDFS, object stores)."""
+    where = re.sub("^file:/+", "/", path)
+    if where.startswith("/"):
+        return fs.LocalFileSystem().open_input_file(unquote(where) if where != path else where)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _ends_hash(path: str) -> str:
+    with _opened(path) as f:
+        size = f.size()
+        if size < ENDS:
+            return oshash_of(size, [f.read_at(size, 0)])
+        return oshash_of(size, [f.read_at(ENDS, 0), f.read_at(ENDS, size - ENDS)])
+
+
+def _whole_hash(path: str) -> str:
+    digest = hashlib.md5(usedforsecurity=False)
+    with _opened(path) as f:
+        while piece := f.read(PIECE):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def _hashed(kinds: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file; one that can't be opened, as it is gone by now, has null hashes."""
+    of = {"oshash": _ends_hash, "md5": _whole_hash}
+    for b in batches:
+        rows = []
+        for path in b.column("path").to_pylist():
+            try:
+                rows.append((path, *[of[k](path) for k in kinds]))
+            except FileNotFoundError:
+                rows.append((path, *[None] * len(kinds)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", *kinds])
+
+
+def file_hashes(listing: DataFrame, kinds: tuple[str, ...] = ("oshash",), tasks: int | None = None) -> DataFrame:
+    """path and its hashes (oshash, md5) for the files of a listing, whatever their size.
+
+    An oshash reads the two ends of a file, an MD5 all of it, a few megabytes at a time; memory does not follow the size.
+    Files are dealt over the tasks by path. Workers open them by Arrow's file systems; for a store that only Spark can read,
+    take ``file_oshash`` and ``file_md5`` of ``file_contents``, for files under 2 GB.
+    """
+    if unknown := set(kinds) - {"oshash", "md5"}:
+        raise ValueError(f"no such hash: {sorted(unknown)}")
+    dealt = listing.select("path").repartition(*[tasks] * bool(tasks), "path")
+    return dealt.mapInArrow(partial(_hashed, kinds), "path string, " + ", ".join(f"{k} string" for k in kinds))
+
+
 _PROBE = "format struct<format_name:string,duration:string,bit_rate:string,tags:map<string,string>>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string>>"
 
 
