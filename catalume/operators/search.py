@@ -15,7 +15,7 @@ from ..catalog import Catalog
 from ..cluster import checkpointed
 from ..functions.like import ascii_lower, like_term
 from ..functions.tokens import fts_tokens, phrase_match, tokens_of
-from .files import representative_file
+from .files import representative_order
 from .textindex import TextIndex, indexed_hits
 
 #: Rows of a page at most.
@@ -227,10 +227,11 @@ def filter_assets(catalog: Catalog, args: SearchArgs, index: TextIndex | None =
         a = a.join(ids, a["id"] == ids["asset_id"], "left_semi")
     for ids in drop:
         a = a.join(ids, a["id"] == ids["asset_id"], "left_anti")
-    ids = a.select(F.col("id").alias("__id"))
-    f = representative_file(catalog.files.join(ids, F.col("asset_id") == F.col("__id"), "left_semi"))
-    f = f.select(F.col("asset_id").alias("__asset"), *[c for c in GRID_FILE if c in f.columns])
-    return a.join(f, a["id"] == f["__asset"]).drop("__asset").where(duration_between(args.min_duration, args.max_duration) & min_height(args.min_height))
+    # Files join what is left, so that the filters are planned once; their aggregation keeps the join's partitions.
+    shown = [c for c in GRID_FILE if c in catalog.files.columns]
+    f = catalog.files.select(F.col("asset_id").alias("__asset"), F.struct(*shown).alias("__file"), representative_order(F.col("duration"), F.col("scanned_at"), F.col("id")).alias("__order"))
+    each = a.join(f, a["id"] == f["__asset"]).groupBy("__asset").agg(F.first(F.struct(*[a[c] for c in a.columns])).alias("__a"), F.min_by("__file", "__order").alias("__f"))
+    return each.select("__a.*", "__f.*").where(duration_between(args.min_duration, args.max_duration) & min_height(args.min_height))
 
 
 def page(rows: DataFrame, sort: str = "created", limit: int | None = None, offset: int = 0, tie: str = "id") -> DataFrame:
