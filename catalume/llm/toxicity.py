@@ -12,12 +12,14 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import checkpointed
 from . import textkit as K
 
 # Identity terms by kind, lower case; a term is swapped for another of its line.
@@ -42,10 +44,11 @@ MENTIONS = ("my {} neighbour", "a {} teacher spoke", "the {} family", "some {} p
 #: Labelled documents that the classifier is fitted on at most, by a hash of doc_id; half of each label where there are enough; the
 #: intercept then makes up for the shares of the labels, so the bound moves no score on the whole.
 SAMPLE = 16_000
-#: Words that carry a weight at most, those whose presence tells the labels apart best.
-FEATURES = 4_096
-#: Documents of the sample a word must occur in.
-LEAST_DOCUMENTS = 4
+#: Bits of a word's hash that find its weight: every word of the sample carries one, and a million of them are few to share.
+WIDTH = 20
+#: Standard errors by which a word's share in toxic documents must differ from that in others for its full step; with fewer, its
+#: weight is held back by the square, but no word is left out.
+SURE = 4.0
 #: Bytes of a longer word's beginning.
 STEM_BYTES = 5
 #: Strength of the ridge penalty, and of the counterfactual one.
@@ -85,30 +88,32 @@ def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], hashes[new]
 
 
+def _places(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - width)).astype(np.int64)
+
+
 class Model:
-    """Weights of word hashes, sorted, and an intercept."""
+    """A weight for each place of a table that hashes fall on, and an intercept."""
 
-    def __init__(self, words: np.ndarray, weights: np.ndarray, intercept: float) -> None:
-        self.words, self.weights, self.intercept = words, weights, intercept
+    def __init__(self, weights: np.ndarray, intercept: float) -> None:
+        self.weights, self.intercept, self.width = weights, intercept, len(weights).bit_length() - 1
 
     def score(self, texts: pa.Array) -> np.ndarray:
         doc, hashes = _present(texts)
-        total = np.full(len(texts), self.intercept)
-        if len(self.words):
-            k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[k] == hashes
-            total += np.bincount(doc[hit], self.weights[k[hit]], len(texts))
+        total = self.intercept + np.bincount(doc, self.weights[_places(hashes, self.width)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def training_labels(labels: DataFrame) -> DataFrame:
-    """__doc and toxic of all labelled documents that aren't held out."""
-    return labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.max("toxic").cast("int").alias("toxic"))
+def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """__doc and toxic of all labelled documents that are there and aren't held out."""
+    known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("__doc")).agg(F.max("toxic").cast("int").alias("toxic"))
+    return known.join(docs.select(F.col("doc_id").cast("long").alias("__id")), F.col("__doc") == F.col("__id"), "left_semi")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic, words array<long> and other array<long> (of its counterfactual) of at most ``sample`` labelled documents that aren't held out."""
-    known = training_labels(labels)
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic, words array<long> and other array<long> (of its counterfactual) of at most ``sample`` labelled documents that
+    aren't held out, and how many of each label there are in all."""
+    known = checkpointed(training_labels(docs, labels))
     order = F.xxhash64("__doc")
     half = known.where("toxic = 1").orderBy(order, "__doc").limit(sample // 2).unionByName(known.where("toxic = 0").orderBy(order, "__doc").limit(sample - sample // 2))
 
@@ -125,74 +130,99 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     # The sample's size is bounded by the parameter.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(half), F.col("doc_id") == F.col("__doc"))
-    return texts.select("doc_id", "text", "toxic").mapInArrow(pairs, "doc_id long, toxic int, words array<long>, other array<long>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """Fit on a bounded sample of the labelled documents outside the held-out fold; the same rows give the same model."""
-    from ..cluster import checkpointed
-
-    rows = checkpointed(training_sample(docs, labels, sample))
-    n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2:
-        share = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
-    ones = F.sum("toxic")
-    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), ones.alias("t")).where(F.col("n") >= LEAST_DOCUMENTS)
-    identity = _present(pa.array([" ".join(_KIND)]))[1].view(np.int64).tolist()
-    a, b = n[1], n[0]
-    p, q = F.col("t") / a, (F.col("n") - F.col("t")) / b
-    told = F.abs(p - q) / F.sqrt((p + q) / 2 * (1 - (p + q) / 2) * (1 / a + 1 / b) + F.lit(1e-9))
-    best = counts.withColumn("told", told).orderBy(F.desc("told"), "word").limit(features - len(identity)).select("word").collect()
-    words = np.unique(np.array([r.word for r in best] + identity, np.int64).view(np.uint64))
-    # The sample holds other shares of the two labels than all training rows do; the intercept is moved to theirs.
-    whole = {r.toxic: r["count"] for r in training_labels(labels).groupBy("toxic").count().collect()}
-    taken = {1: min(whole[1], sample // 2), 0: min(whole[0], sample - sample // 2)}
-    model = _descend(rows, words, a, b, ridge, counterfactual)
-    model.intercept += float(np.log(whole[1] / taken[1]) - np.log(whole[0] / taken[0]))
-    return model
-
-
-def _descend(rows: DataFrame, words: np.ndarray, a: int, b: int, ridge: float, counterfactual: float) -> Model:
-    kept = rows.sparkSession.sparkContext.broadcast(words)
+    whole = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    return texts.select("doc_id", "text", "toxic").mapInArrow(pairs, "doc_id long, toxic int, words array<long>, other array<long>"), whole
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = []
-            for side in ("words", "other"):
-                lists = batch.column(side)
-                at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-                k = np.minimum(np.searchsorted(kept.value, flat), len(kept.value) - 1)
-                hit = kept.value[k] == flat
-                upto = np.concatenate([[0], np.cumsum(hit)])
-                columns.append(pa.ListArray.from_arrays(pa.array(upto[at].astype(np.int32) - np.int32(upto[at[0]])), pa.array(k[at[0] : at[-1]][hit[at[0] : at[-1]]].astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], names=["doc_id", "toxic", "words", "other"])
-
-    # At most the sample's rows, each with at most the features' numbers.
-    got = rows.mapInArrow(narrow, "doc_id long, toxic int, words array<int>, other array<int>").orderBy("doc_id").toArrow().combine_chunks()
-    y = got["toxic"].to_numpy().astype(float)
 
-    def matrix(name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = got[name].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lens = np.diff(lists.offsets.to_numpy())
-        return np.repeat(np.arange(len(lens)), lens), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].astype(np.int64)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = WIDTH, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """Fit on a bounded sample of the labelled documents outside the held-out fold; the same rows give the same model.
 
-    (row, col), (row2, col2) = matrix("words"), matrix("other")
-    m, d = len(y), len(words)
-    w, c = np.zeros(d), float(np.log(a / b))
+    The sample is fitted in one task, which holds its words; what comes back is a table of ``2 ** width`` weights at most.
+    """
+    rows, whole = training_sample(docs, labels, sample)
+    if len(whole) < 2:
+        share = (whole.get(1, 0) + 1) / (sum(whole.values()) + 2)
+        return Model(np.zeros(1 << width), float(np.log(share / (1 - share))))
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(partial(_fitted, width, ridge, counterfactual), "place int, weight double").toArrow()
+    place, weight = fitted.column("place").to_numpy(), fitted.column("weight").to_numpy()
+    weights = np.zeros(1 << width)
+    weights[place[1:]] = weight[1:]
+    # The sample holds other shares of the two labels than all training rows do; the intercept is moved to theirs.
+    taken = {1: min(whole[1], sample // 2), 0: min(whole[0], sample - sample // 2)}
+    return Model(weights, float(weight[0] + np.log(whole[1] / taken[1]) - np.log(whole[0] / taken[0])))
+
+
+class _Sparse:
+    """Which text has which places, added up by either."""
+
+    def __init__(self, texts: int, row: np.ndarray, col: np.ndarray) -> None:
+        self.texts, self.col = texts, col.astype(np.int32)
+        starts = np.searchsorted(row, np.arange(texts))
+        self.some = np.flatnonzero(np.diff(np.append(starts, len(row))))
+        self.starts = starts[self.some]
+        by = np.argsort(col, kind="stable")
+        self.row, ordered = row[by].astype(np.int32), col[by]
+        self.firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
+        self.places = ordered[self.firsts]
+
+    def by_text(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.texts)
+        if len(self.some):
+            out[self.some] = np.add.reduceat(weights[self.col], self.starts)
+        return out
+
+    def by_place(self, values: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(self.places):
+            out[self.places] = np.add.reduceat(values[self.row], self.firsts)
+        return out
+
+
+def _fitted(width: int, ridge: float, counterfactual: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, weight) of all sampled texts, the intercept first."""
+    toxic: list[np.ndarray] = []
+    found: dict[str, tuple[list, list]] = {"words": ([], []), "other": ([], [])}
+    n = 0
+    for b in batches:
+        for name, (row, col) in found.items():
+            lists = b.column(name)
+            row.append((np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())) + n).astype(np.int32))
+            col.append(_places(lists.flatten().to_numpy().view(np.uint64), width).astype(np.int32))
+        toxic.append(b.column("toxic").to_numpy())
+        n += b.num_rows
+    row, col, row2, col2 = [np.concatenate(c) for name in ("words", "other") for c in found.pop(name)]
+    used = np.unique(np.concatenate([col, col2]))
+    own, other = _Sparse(n, row, np.searchsorted(used, col)), _Sparse(n, row2, np.searchsorted(used, col2))
+    y = np.concatenate(toxic).astype(float)
+    weights, intercept = descend(own, other, y, trust(own, y, len(used)), ridge, counterfactual)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used).astype(np.int32)), pa.array(np.append(intercept, weights))], ["place", "weight"])
+
+
+def trust(own: _Sparse, y: np.ndarray, d: int) -> np.ndarray:
+    """How far each place's weight may go, 0 to 1: the square of how surely its presence tells the labels apart."""
+    a, b = y.sum(), (1 - y).sum()
+    n, t = own.by_place(np.ones(len(y)), d), own.by_place(y, d)
+    p, q = t / a, (n - t) / b
+    both = (p + q) / 2
+    told = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / a + 1 / b) + 1e-9)
+    return np.minimum(told / SURE, 1) ** 2
+
+
+def descend(own: _Sparse, other: _Sparse, y: np.ndarray, scale: np.ndarray, ridge: float, counterfactual: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Weights and intercept that make the loss small: cross entropy, squared differences of the two scores of a pair, and
+    ridge on the weights over their scale."""
+    m, d = len(y), len(scale)
+    v, c = np.zeros(d), float(np.log(y.sum() / (m - y.sum())))
     moment, square = np.zeros(d + 1), np.zeros(d + 1)
-    for step in range(1, 301):
-        z = np.bincount(row, w[col], m) + c
-        z2 = np.bincount(row2, w[col2], m) + c
-        s, s2 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z2))
+    for step in range(1, steps + 1):
+        s, s2 = (1 / (1 + np.exp(-(side.by_text(v * scale) + c))) for side in (own, other))
         gap = 2 * counterfactual * (s - s2)
         g, g2 = (s - y) + gap * s * (1 - s), -gap * s2 * (1 - s2)
-        grad = np.append(np.bincount(col, g[row], d) + np.bincount(col2, g2[row2], d) + ridge * w, g.sum() + g2.sum()) / m
+        grad = np.append(scale * (own.by_place(g, d) + other.by_place(g2, d)) + ridge * v, g.sum() + g2.sum()) / m
         moment, square = 0.9 * moment + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        w, c = w - move[:-1], c - move[-1]
-    return Model(words, w, float(c))
+        v, c = v - move[:-1], c - move[-1]
+    return v * scale, float(c)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

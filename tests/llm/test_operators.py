@@ -451,6 +451,48 @@ def test_smaller_sample_keeps_the_share_of_predicted(spark):
     assert share_all > 0.02 and abs(share - share_all) < 0.02 and abs(mean - mean_all) < 0.02
 
 
+def test_fit_equals_a_dense_one():
+    """The sparse descent against plain matrices, and its minimum against the gradient of the loss worked out by differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, x2 = (rng.random((60, 15)) < 0.3 for _ in range(2))
+    x[7], x[:, 3], x2[:, 3] = False, False, False
+    x2[0, 3] = True
+    y = (rng.random(60) < 0.4).astype(float)
+    own, other = (toxicity._Sparse(60, *np.nonzero(m)) for m in (x, x2))
+    w = rng.normal(size=15)
+    assert np.allclose(own.by_text(w), x @ w) and np.allclose(own.by_place(y, 15), x.T @ y)
+    scale = toxicity.trust(own, y, 15)
+    assert scale[3] == 0 and ((scale >= 0) & (scale <= 1)).all()
+    got, c = toxicity.descend(own, other, y, np.ones(15), 1.0, 2.0, steps=3000)
+
+    def loss(w, c):
+        s, s2 = 1 / (1 + np.exp(-(x @ w + c))), 1 / (1 + np.exp(-(x2 @ w + c)))
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).sum() + 2.0 * ((s - s2) ** 2).sum() + (w**2).sum() / 2
+
+    slope = [(loss(got + 1e-5 * e, c) - loss(got - 1e-5 * e, c)) / 2e-5 for e in np.eye(15)]
+    assert max(map(abs, slope)) < 0.05 and loss(got, c) < loss(np.zeros(15), 0)
+
+
+def test_words_of_one_document_count(spark):
+    """No word is too rare or too many to carry a weight."""
+    d = documents(spark, [(i, f"w{i} w{i}x common" + (" vile" if i % 4 == 0 else ""), "en", "a") for i in range(400)])
+    model = toxicity.fit(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    import numpy as np
+
+    assert np.count_nonzero(model.weights) > 600
+
+
+def test_labels_without_documents_move_nothing(spark):
+    rows = [(i, f"word{i % 7} " + ("vile" if i % 5 == 0 else "fine"), "en", "a") for i in range(300)]
+    labels = [(i, int(i % 5 == 0)) for i in range(300)]
+    d = documents(spark, rows)
+    more = labels + [(i, 1) for i in range(1000, 3000)]
+    one, other = (toxicity.fit(d, spark.createDataFrame(x, "doc_id long, toxic int"), sample=100) for x in (labels, more))
+    assert one.intercept == other.intercept and (one.weights == other.weights).all()
+
+
 def test_toxicity_messy(spark, messy, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (7, 5)], "doc_id long, toxic int")
     out = toxicity.toxicity(messy, labels).collect()
