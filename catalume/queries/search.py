@@ -99,8 +99,8 @@ def search_text_indexed(spark, sf_dir):
 _DOCS = "select doc_id as id, split_part(text, chr(10), 1) as title, text as details from documents"
 _CHANGED = f"select id, case when id % 10 = 3 then concat('Thes of ', title) end as title, case when id % 10 <> 7 then reverse(details) end as details from ({_DOCS}) where id % 5 in (2, 3)"
 _TEXTS = f"with d as ({_DOCS}), ch as ({_CHANGED}), t as (select id, strip_accents(lower(coalesce(title, ''))) as title, strip_accents(lower(coalesce(details, ''))) as details from (select * from d where id % 5 not in (2, 3) union all select * from ch))"
-_OF_THE = "(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
-_THE = "(^|[^\p{L}\p{N}])(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
+_OF_THE = r"(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
+_THE = r"(^|[^\p{L}\p{N}])(the|thes|theing|theings)([^\p{L}\p{N}]|$)"
 
 
 @query(f"{_TEXTS} select id::varchar as asset_id, term from (select id, 0 as term from t where regexp_matches(title, '{_OF_THE}') or regexp_matches(details, '{_OF_THE}') union all select id, 1 from t where regexp_matches(title, '{_THE}') or regexp_matches(details, '{_THE}'))")
