@@ -147,13 +147,14 @@ def dismiss_review_rejects(spark, sf_dir):
     return _dismissed(spark, sf_dir).rejected_matches
 
 
-@query(f"{WITH} select p.id, p.name, (select count(*) from asset_people l where l.person_id = p.id) as n_links from people p where id % 3 <> 0 union all select -1, '', (select count(*) from asset_people where person_id % 3 = 0) * 0")
+@query(f"{WITH} select 'person' as kind, id, name, null::bigint as asset_id from people where id % 3 <> 0 union all select 'link', person_id, '', asset_id from asset_people where person_id % 3 <> 0 union all select 'segment', case when person_id % 3 <> 0 then person_id end, '', asset_id from asset_people where asset_id % 7 = 0")
 def delete_people(spark, sf_dir):
     c = catalog(spark, sf_dir)
+    c = c.but(segments=c.asset_people.where("asset_id % 7 = 0"))
     left = V.delete_people(c, c.people.where("id % 3 = 0").select("id"))
-    n = left.asset_people.groupBy(F.col("person_id").alias("__p")).agg(F.count("*").alias("n_links"))
-    lost = left.asset_people.where("person_id % 3 = 0").agg(F.count("*").alias("n_links")).select(F.lit(-1).cast("long").alias("id"), F.lit("").alias("name"), "n_links")
-    return left.people.join(n, F.col("id") == F.col("__p"), "left").select("id", "name", F.coalesce("n_links", F.lit(0)).alias("n_links")).unionByName(lost)
+    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("person_id").alias("id"), F.lit("").alias("name"), "asset_id")
+    people = left.people.select(F.lit("person").alias("kind"), "id", "name", F.lit(None).cast("long").alias("asset_id"))
+    return people.unionByName(of(left.asset_people, "link")).unionByName(of(left.segments, "segment"))
 
 
 @query(f"{_WATCH} select load_id, asset_id from w where eof or watched >= (load_id % 90 + 1.0) / 10")

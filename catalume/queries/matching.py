@@ -128,12 +128,6 @@ def import_people(spark, sf_dir):
     return _imported(spark, sf_dir)[0].asset_people
 
 
-# An import counts as an update by any field or by a new link; here every record brings a person that is new.
-@query(f"{WITH}, f as ({_FOREIGN}) select count(*) as matched, count(*) as updated, 0 as skipped from assets join f on f_id = id")
-def import_summary(spark, sf_dir):
-    return I.import_summary(_imported(spark, sf_dir)[1])
-
-
 # Records that bring nothing but a blank title, and a link that half of the assets have already.
 @query(f"{WITH}, f as (select l_orderkey as a, min(l_suppkey) as s from lineitem group by 1) select f.a as asset_id, o_custkey % 2 = 0 as changed from f join orders on o_orderkey = f.a")
 def import_outcome(spark, sf_dir):
@@ -144,6 +138,11 @@ def import_outcome(spark, sf_dir):
     return I.import_metadata(c, f)[1]
 
 
+@query(f"{WITH}, f as (select l_orderkey as a from lineitem group by 1) select count(*) as matched, count(*) filter (where o_custkey % 2 = 0) as updated, count(*) filter (where o_custkey % 2 <> 0) as skipped from f join orders on o_orderkey = f.a")
+def import_summary(spark, sf_dir):
+    return I.import_summary(import_outcome(spark, sf_dir))
+
+
 @query("with n as (select distinct trim(p_brand) as name from part union select distinct lower(p_type) from part), d as (select distinct p_type as id, lower(p_type) as k from part) select name, coalesce((select min(id) from d where k = lower(name)), sha256('brand|' || lower(name))) as dim_id from n")
 def resolve_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -162,14 +161,15 @@ def apply_matches(spark, sf_dir):
     return I.apply_matches(catalog(spark, sf_dir), _chosen(spark, sf_dir), _now()).assets.select("id", "title", "details", "studio_id")
 
 
-@query(f"{WITH}, k as (select l_orderkey as o, min(l_partkey) as k from lineitem group by 1), promo as (select coalesce((select min(id) from tags where lower(name) = 'promo'), sha256('tags|promo')) as id) select (select count(*) from (select asset_id, tag_id from asset_tags union select o, id from k, promo union select o, 'fresh' from k)) as tag_links, (select count(*) from asset_people) + (select count(*) from k) as people_links")
+@query(f"{WITH}, k as (select l_orderkey as o, min(l_partkey) as k from lineitem group by 1), promo as (select coalesce((select min(id) from tags where lower(name) = 'promo'), sha256('tags|promo')) as id), fresh as (select coalesce((select min(id) from tags where lower(name) = 'fresh'), sha256('tags|fresh')) as id) select 'tag' as kind, asset_id, tag_id as dim_id from asset_tags union select 'tag', o, id from k, promo union select 'tag', o, id from k, fresh union select 'person', asset_id, cast(person_id as varchar) from asset_people union select 'person', o, coalesce((select cast(min(id) as varchar) from people where lower(name) = 'person ' || k % 7), sha256('people|person ' || k % 7)) from k")
 def apply_matches_links(spark, sf_dir):
     c = I.apply_matches(catalog(spark, sf_dir), _chosen(spark, sf_dir), _now())
-    return c.asset_tags.agg(F.count("*").alias("tag_links")).crossJoin(F.broadcast(c.asset_people.agg(F.count("*").alias("people_links"))))
+    tags = c.asset_tags.select(F.lit("tag").alias("kind"), "asset_id", F.col("tag_id").cast("string").alias("dim_id"))
+    return tags.unionByName(c.asset_people.select(F.lit("person").alias("kind"), "asset_id", F.col("person_id").cast("string").alias("dim_id")))
 
 
 def _dictionary(spark):
-    return spark.createDataFrame([("person", "1", "Mary Stone"), ("person", "2", "Stone"), ("studio", "3", "Lustre"), ("studio", "4", "LUSTRE.com"), ("tag", "5", "4k"), ("tag", "6", "Al"), ("tag", "7", "uhd")], "kind string, dim_id string, name string")
+    return spark.createDataFrame([("person", "1", "Mary Stone"), ("person", "2", "Stone"), ("studio", "3", "Glimmer"), ("studio", "4", "GLIMMER.com"), ("tag", "5", "4k"), ("tag", "6", "Al"), ("tag", "7", "uhd")], "kind string, dim_id string, name string")
 
 
 def _asset_paths(spark, sf_dir):
@@ -177,7 +177,7 @@ def _asset_paths(spark, sf_dir):
 
 
 _WORDS = f"(select doc_id as id, ' ' || trim(regexp_replace(lower(substr(regexp_replace(path, '[.][^.]*$', ''), 3)), '[^a-z0-9]+', ' ', 'g')) || ' ' as w from {_FROM})"
-_NAMES = "(values ('person', '1', 'mary stone'), ('person', '2', 'stone'), ('studio', '3', 'lustre'), ('studio', '4', 'lustre com'), ('tag', '7', 'uhd')) n(kind, dim_id, norm)"
+_NAMES = "(values ('person', '1', 'mary stone'), ('person', '2', 'stone'), ('studio', '3', 'glimmer'), ('studio', '4', 'glimmer com'), ('tag', '7', 'uhd')) n(kind, dim_id, norm)"
 _HITS = f"hits as (select id, kind, dim_id, norm from {_WORDS}, {_NAMES} where contains(w, ' ' || norm || ' '))"
 
 
@@ -196,11 +196,20 @@ _TAGGED = f"tagged as (select doc_id as id, unnest(list_distinct(list_filter(reg
 _LINKS = f"with {_HITS}, {_OPEN}, {_TAGGED}, links as (select id, 'studio' as kind, arg_max(dim_id, length(norm)) as dim_id from open_ where kind = 'studio' group by 1 union select id, kind, dim_id from open_ where kind <> 'studio' union select doc_id, 'person', '1' from {_FROM} where doc_id % 3 = 1 union select id, 'tag', case tag when '4k' then '5' else '7' end from tagged where tag in ('4k', 'uhd'))"
 
 
-@query(f"{_LINKS} select * from links")
-def link_path_metadata(spark, sf_dir):
+# Every second asset has its person, every third its tag; every fourth has a studio, which stays.
+_KNOWN = "(kind = 'person' and dim_id = '1' and id % 2 = 0 or kind = 'tag' and dim_id = '7' and id % 3 = 0)"
+
+
+def _linked(spark, sf_dir):
     paths = _asset_paths(spark, sf_dir)
-    none = spark.createDataFrame([], "id long, kind string, dim_id string")
-    studio, new = E.link_path_metadata(paths.select("id", F.lit(None).cast("string").alias("studio_id")), paths, _dictionary(spark), none)
+    known = paths.where("id % 2 = 0").select("id", F.lit("person").alias("kind"), F.lit("1").alias("dim_id")).unionByName(paths.where("id % 3 = 0").select("id", F.lit("tag").alias("kind"), F.lit("7").alias("dim_id")))
+    return paths, paths.select("id", F.when(F.col("id") % 4 == 0, "9").alias("studio_id")), known
+
+
+@query(f"{_LINKS} select * from links where not {_KNOWN} and not (kind = 'studio' and id % 4 = 0)")
+def link_path_metadata(spark, sf_dir):
+    paths, assets, known = _linked(spark, sf_dir)
+    studio, new = E.link_path_metadata(assets, paths, _dictionary(spark), known)
     return studio.select("id", F.lit("studio").alias("kind"), F.col("studio_id").alias("dim_id")).unionByName(new)
 
 
@@ -212,22 +221,22 @@ def path_link_summary(spark, sf_dir):
 
 
 _PLAIN = ", ".join(f"'{w}'" for w in PLAIN_TAGS)
-_DICT = "(values ('person', '1', 'Mary Stone'), ('person', '2', 'Stone'), ('studio', '3', 'Lustre'), ('studio', '4', 'LUSTRE.com'), ('tag', '5', '4k'), ('tag', '6', 'Al'), ('tag', '7', 'uhd'))"
+_DICT = "(values ('person', '1', 'Mary Stone'), ('person', '2', 'Stone'), ('studio', '3', 'Glimmer'), ('studio', '4', 'GLIMMER.com'), ('tag', '5', '4k'), ('tag', '6', 'Al'), ('tag', '7', 'uhd'))"
 
 
 @query(
     f"with {_HITS}, {_OPEN}, {_TAGGED}, dict as (select * from {_DICT} d(kind, dim_id, name)), "
     f"found as (select o.id, o.kind, d.name, 'catalog' as source, 0 as rank from open_ o join dict d using (kind, dim_id) "
     f"union all select doc_id, case when regexp_matches(split_part(path, chr(92), 2), '^Lib [A-Za-z]{{2,}}$') then 'person' else 'studio' end, split_part(path, chr(92), 2), 'folder', 1 from {_FROM} "
-    f"union all select doc_id, case doc_id % 3 when 1 then 'person' else 'studio' end, case doc_id % 3 when 1 then 'Mary Stone' else 'Lustre' end, 'folder', 1 from {_FROM} where doc_id % 3 <> 0 "
-    f"union all select doc_id, 'studio', 'Lustre', 'bracket', 2 from {_FROM} where doc_id % 5 = 0 "
+    f"union all select doc_id, case doc_id % 3 when 1 then 'person' else 'studio' end, case doc_id % 3 when 1 then 'Mary Stone' else 'Glimmer' end, 'folder', 1 from {_FROM} where doc_id % 3 <> 0 "
+    f"union all select doc_id, 'studio', 'Glimmer', 'bracket', 2 from {_FROM} where doc_id % 5 = 0 "
     f"union all select id, 'tag', case when tag in ({_PLAIN}) then tag else upper(tag[1]) || tag[2:] end, 'token', 3 from tagged), "
     "one as (select * from (select *, row_number() over (partition by id, kind, lower(name) order by rank) as nth from found) where nth = 1) "
-    "select id, one.kind, one.name, dim_id, source, dim_id is null as create_new, false as already_linked from one left join dict on dict.kind = one.kind and lower(dict.name) = lower(one.name)"
+    "select id, one.kind, one.name, dim_id, source, dim_id is null as create_new, coalesce(one.kind = 'person' and dim_id = '1' and id % 2 = 0 or one.kind = 'tag' and dim_id = '7' and id % 3 = 0, false) as already_linked from one left join dict on dict.kind = one.kind and lower(dict.name) = lower(one.name)"
 )
 def suggest_path_metadata(spark, sf_dir):
-    none = spark.createDataFrame([], "id long, kind string, dim_id string")
-    return E.suggest_path_metadata(_asset_paths(spark, sf_dir), _dictionary(spark), none)
+    paths, _, known = _linked(spark, sf_dir)
+    return E.suggest_path_metadata(paths, _dictionary(spark), known)
 
 
 @query(f"{WITH}, r as (select asset_id, split_part(path, chr(92), 2) as top, regexp_extract(path, 'clip ([0-9]+) [0-9]+', 1) as p, regexp_extract(path, '(clip [0-9]+ [0-9]+)', 1) as stem from rep) select id, case when favorite > 2 then title when r.asset_id is null then null when length(p) < 2 or regexp_full_match(p, '19[7-9][0-9]|20[0-9][0-9]|2100|[0-9]{{6}}') then top || ' - ' || stem else stem end as title from assets left join r on r.asset_id = id")
@@ -267,12 +276,17 @@ def parse_probe_json(spark, sf_dir):
     return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("probe.duration", 6).alias("duration"), "probe.height", F.round("probe.fps", 6).alias("fps"), "probe.title", "probe.artist", "probe.comment")
 
 
-@query("select p_partkey as asset_id, p_brand as remote_id, p_name as title, p_type as tag from part")
+# Two lists: the first match comes again in the second under another title, beside one more; every third has neither id.
+@query("select p_partkey as asset_id, p_brand as remote_id, p_name as title, p_type as tag, p_size as width from part where p_partkey % 3 <> 0 union all select p_partkey, p_brand || '+', 'More ' || p_name, p_type, p_size + 1 from part")
 def parse_candidates_json(spark, sf_dir):
-    one = F.struct(F.col("p_brand").alias("id"), F.col("p_name").alias("title"), F.array(F.struct(F.col("p_type").alias("name"))).alias("tags"))
-    text = F.to_json(F.array(F.array(one), F.array(one)))
+    match = lambda id_, title, tag, width: F.struct(id_.alias("id"), title.alias("title"), F.array(F.struct(tag.alias("name"))).alias("tags"), F.array(F.struct(F.lit("u").alias("url"), width.cast("int").alias("width"))).alias("images"))
+    of = F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand"))
+    one = match(of, F.col("p_name"), F.col("p_type"), F.col("p_size"))
+    again = match(of, F.lit("Again"), F.col("p_type"), F.col("p_size") + 9)
+    more = match(F.concat("p_brand", F.lit("+")), F.concat(F.lit("More "), "p_name"), F.col("p_type"), F.col("p_size") + 1)
+    text = F.to_json(F.array(F.array(one), F.array(again, more)))
     p = records.parse_candidates_json(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), text.alias("j")), "j")
-    return p.select("asset_id", "remote_id", "title", F.col("tags")[0].alias("tag"))
+    return p.select("asset_id", "remote_id", "title", F.col("tags")[0].alias("tag"), F.col("images")[0]["width"].alias("width"))
 
 
 @query("select doc_id as file_id, (floor(st)::bigint * 1000 + floor((st - floor(st)) * 1000)::bigint) as start_ms, (i % 5 * 160)::int as x from (select *, (i + 0.5::double) / n * d as st from (select doc_id, (n_chars % 2000)::double as d, least(36, greatest(1, floor((n_chars % 2000) / 30)))::int as n from documents where n_chars % 2000 > 0), range(0, 36) t(i) where i < n)")

@@ -15,7 +15,7 @@ from .register import Register
 
 query = Register()
 #: A Windows path for each document, alike in both engines.
-_PATH = "concat('E:', chr(92), 'Lib ', source, chr(92), case when doc_id % 3 = 0 then 'videos' when doc_id % 3 = 1 then 'Mary Stone' else 'Lustre' end, chr(92), replace(replace(replace(text, chr(10), ' '), '/', ' '), chr(92), ' '), case when doc_id % 4 = 0 then ' 4K' when doc_id % 4 = 1 then '-720p' when doc_id % 4 = 2 then ' UHD' else '' end, case when doc_id % 5 = 0 then ' [Lustre.com]' else '' end, '.mp4')"
+_PATH = "concat('E:', chr(92), 'Lib ', source, chr(92), case when doc_id % 3 = 0 then 'videos' when doc_id % 3 = 1 then 'Mary Stone' else 'Glimmer' end, chr(92), replace(replace(replace(text, chr(10), ' '), '/', ' '), chr(92), ' '), case when doc_id % 4 = 0 then ' 4K' when doc_id % 4 = 1 then '-720p' when doc_id % 4 = 2 then ' UHD' else '' end, case when doc_id % 5 = 0 then ' [Glimmer.com]' else '' end, '.mp4')"
 _FROM = f"(select doc_id, {_PATH} as path from documents)"
 
 
@@ -77,7 +77,7 @@ def identify_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", N.identify_term(name).alias("term"))
 
 
-@query(f"select doc_id, case when regexp_matches(split_part(path, chr(92), 2), '^Lib [A-Za-z]{2,}$') then 'person:' else 'studio:' end || split_part(path, chr(92), 2) || case when doc_id % 3 = 1 then '|person:Mary Stone' when doc_id % 3 = 2 then '|studio:Lustre' else '' end as named, case when doc_id % 5 = 0 then 'Lustre' else '' end as bracket from {_FROM}")
+@query(f"select doc_id, case when regexp_matches(split_part(path, chr(92), 2), '^Lib [A-Za-z]{2,}$') then 'person:' else 'studio:' end || split_part(path, chr(92), 2) || case when doc_id % 3 = 1 then '|person:Mary Stone' when doc_id % 3 = 2 then '|studio:Glimmer' else '' end as named, case when doc_id % 5 = 0 then 'Glimmer' else '' end as bracket from {_FROM}")
 def folder_and_bracket_hints(spark, sf_dir):
     d = _paths(spark, sf_dir).select("doc_id", N.folder_hints(F.col("path")).alias("h"), N.bracket_studios(N.stem(F.col("path"))).alias("b"))
     return d.select("doc_id", F.array_join(F.transform("h", lambda h: F.concat_ws(":", h["kind"], h["name"])), "|").alias("named"), F.array_join("b", "|").alias("bracket"))
@@ -190,7 +190,7 @@ _DCT = "list_transform(range(0, 8), lambda u: list_sum(list_transform(range(0, 6
 @query(
     f"with e as (select vec_id, {_DCT.format(e='embedding')} as a, {_DCT.format(e='list_transform(embedding, lambda x: x::double * x)')} as b from embeddings), "
     "c as (select vec_id, list_transform(range(0, 64), lambda i: a[i // 8 + 1] * b[i % 8 + 1]) as v from e), "
-    "m as (select vec_id, v, (list_sort(v)[32] + list_sort(v)[33]) / 2 as median from c) select vec_id, list_sum(list_transform(range(1, 65), lambda i: case when v[i] > median then i else 0 end))::bigint as bits_at from m"
+    "m as (select vec_id, v, (list_sort(v)[32] + list_sort(v)[33]) / 2 as median from c) select vec_id, array_to_string(list_transform(range(1, 65), lambda i: case when v[i] > median then '1' else '0' end), '') as bits from m"
 )
 def perceptual_hashes(spark, sf_dir):
     squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
@@ -198,8 +198,7 @@ def perceptual_hashes(spark, sf_dir):
     # Kept on the way: Spark can't hand nested lambdas to a Python function, nor push a filter through one.
     images = checkpointed(table(spark, sf_dir, "embeddings").select("vec_id", gray.alias("gray")))
     h = checkpointed(images.select("vec_id", H.perceptual_hash("gray").alias("h")))
-    bits = h.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("i"), "h").where("(shiftrightunsigned(h, 64 - i) & 1L) = 1L")
-    return bits.groupBy("vec_id").agg(F.sum("i").alias("bits_at"))
+    return h.select("vec_id", F.lpad(F.bin("h"), 64, "0").alias("bits"))
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql

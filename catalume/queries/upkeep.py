@@ -121,11 +121,21 @@ def prune_orphans(spark, sf_dir):
     return I.prune_orphans(c.assets, c.files).select("id")
 
 
-@query(f"{WITH} select (select count(*) from assets where favorite <> 5) as assets, (select count(*) from files where asset_id % 6 <> 5) as files, (select count(*) from asset_tags where asset_id % 6 <> 5) as asset_tags, (select count(*) from asset_people where asset_id % 6 <> 5) as asset_people, (select count(*) from items where asset_id % 6 <> 5) as items")
+_ROWS = " union all ".join(f"select '{t}' as kind, asset_id, cast({k} as varchar) as key from {f}" for t, f, k in (("files", "files", "id"), ("asset_tags", "asset_tags", "tag_id"), ("asset_people", "asset_people", "person_id"), ("collection_items", "items", "collection_id")))
+
+
+def _rows(c: Catalog):
+    """All rows that hang on assets, and the assets."""
+    out = c.assets.select(F.lit("assets").alias("kind"), F.col("id").alias("asset_id"), F.lit("").alias("key"))
+    for t, key in (("files", "id"), ("asset_tags", "tag_id"), ("asset_people", "person_id"), ("collection_items", "collection_id")):
+        out = out.unionByName(getattr(c, t).select(F.lit(t).alias("kind"), "asset_id", F.col(key).cast("string").alias("key")))
+    return out
+
+
+@query(f"{WITH}, r as (select 'assets' as kind, id as asset_id, '' as key from assets union all {_ROWS}) select * from r where asset_id not in (select id from assets where favorite = 5)")
 def cascade_delete_assets(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    left = I.delete_assets(c, c.assets.where("favorite = 5").select("id"))
-    return _sizes(left, assets="assets", files="files", asset_tags="asset_tags", asset_people="asset_people", items="collection_items")
+    return _rows(I.delete_assets(c, c.assets.where("favorite = 5").select("id")))
 
 
 def _sizes(c: Catalog, **names):
@@ -316,14 +326,15 @@ def weighted_session(spark, sf_dir):
     return C.weighted_session(items, "seed", 12, "collection_id", fails="dead")
 
 
-@query(f"{WITH} select count(*) as links, count(*) filter (where asset_id % 2 = 0) as kept, (select count(*) from (select distinct asset_id from files where asset_id % 9 = 0)) as added from asset_tags")
+@query(f"{WITH} select 'kept' as state, asset_id, tag_id from asset_tags where asset_id % 2 = 0 union all select 'removed', asset_id, tag_id from asset_tags where asset_id % 2 <> 0 union all select distinct 'added', asset_id, 'NEW' from files where asset_id % 9 = 0 union all select 'after', asset_id, tag_id from asset_tags union all select distinct 'after', asset_id, 'NEW' from files where asset_id % 9 = 0")
 def add_remove_links(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    new = c.files.where("asset_id % 9 = 0").select("asset_id", F.lit("NEW").alias("tag_id"))
-    _, fresh = C.add_links(c.asset_tags, new)
-    kept, _ = C.remove_links(c.asset_tags, c.asset_tags.where("asset_id % 2 <> 0"))
-    one = lambda df, n: F.broadcast(df.agg(F.count("*").alias(n)))
-    return c.asset_tags.agg(F.count("*").alias("links")).crossJoin(one(kept, "kept")).crossJoin(one(fresh, "added"))
+    # Some of the new ones are there already, some come twice.
+    new = c.files.where("asset_id % 9 = 0").select("asset_id", F.lit("NEW").alias("tag_id")).unionByName(c.asset_tags.where("asset_id % 9 = 0"))
+    after, fresh = C.add_links(c.asset_tags, new)
+    kept, removed = C.remove_links(c.asset_tags, c.asset_tags.where("asset_id % 2 <> 0"))
+    named = lambda df, n: df.select(F.lit(n).alias("state"), "asset_id", "tag_id")
+    return named(kept, "kept").unionByName(named(removed, "removed")).unionByName(named(fresh, "added")).unionByName(named(after, "after"))
 
 
 _SAMPLES = "select user_id * 100 + day(ts) as load_id, user_id as asset_id, ts, event_id % 40 * 1.5 + value % 2 as pos, event_type = 'error' as paused, event_type = 'signup' and event_id % 50 = 0 as eof, value as duration from events"
