@@ -40,9 +40,22 @@ def catalog_round_trip(spark, sf_dir):
     return dictionary_of(back.studios, back.people, back.tags)
 
 
-@query()
+def _files(spark, sf_dir):
+    """Texts as files, a hundred documents each, in a folder for each; the roots of them and of one that is not there."""
+    path, bucket = _folder(spark, "files"), F.floor(F.col("doc_id") / 100).cast("long").alias("bucket")
+    docs = table(spark, sf_dir, "documents").select(bucket, "doc_id", F.col("text").alias("value"))
+    docs.repartition("bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").option("lineSep", "\n").text(path)
+    # By an extension in capitals; markers and checksums of the writer are no media.
+    listing = media.list_media(spark, [path, f"{path}/missing"], ("txt",))
+    return listing.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "path", "size")
+
+
+_AS_FILES = "t as (select doc_id // 100 as bucket, string_agg(coalesce(text, '') || chr(10), '' order by doc_id) as text from documents group by 1)"
+
+
+@query(f"with {_AS_FILES} select bucket, strlen(text) as size from t")
 def list_media(spark, sf_dir):
-    return media.list_media(spark, [sf_dir, f"{sf_dir}/missing"], ("parquet",)).select("path", "size")
+    return _files(spark, sf_dir).select("bucket", "size")
 
 
 def _contents(spark, sf_dir):
@@ -63,6 +76,17 @@ def file_hashes(spark, sf_dir):
     return media.file_md5(c).join(media.file_oshash(c), "path")
 
 
+@query(f"with {_AS_FILES} select bucket, md5(text) as md5, true as same from t")
+def ranged_file_hashes(spark, sf_dir):
+    """Hashes of files that the workers open themselves; of the ends the same as from whole contents."""
+    files = _files(spark, sf_dir)
+    hashes = media.file_hashes(files, ("oshash", "md5"))
+    folder = files.select(F.regexp_extract("path", "^(.*)/bucket=", 1)).first()[0]
+    other = media.file_oshash(media.file_contents(spark, [folder])).select("path", F.col("oshash").alias("whole"))
+    joined = hashes.join(other, "path")
+    return joined.select(F.regexp_extract("path", "bucket=([0-9]+)", 1).cast("long").alias("bucket"), "md5", (F.col("oshash") == F.col("whole")).alias("same"))
+
+
 @query(
     f"{WITH}, m as (select l_orderkey as remote_id, string_agg(distinct p_type, ',' order by p_type) as tags from lineitem join part on p_partkey = l_partkey group by 1), q as (select l_orderkey as remote_id, string_agg(distinct s_name, ',' order by s_name) as people from lineitem join supplier on s_suppkey = l_suppkey group by 1), "
     "v as (select f.asset_id as remote_id, count(distinct f.id) as n_prints from files f group by 1) select a.id as remote_id, title, coalesce(tags, '') as tags, coalesce(people, '') as people, coalesce(n_prints, 0) as n_prints from assets a left join m on m.remote_id = a.id left join q on q.remote_id = a.id left join v on v.remote_id = a.id"
