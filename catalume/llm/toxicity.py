@@ -110,8 +110,8 @@ def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(docs.select(F.col("doc_id").cast("long").alias("__id")), F.col("__doc") == F.col("__id"), "left_semi")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, toxic, words array<long> and other array<long> (of its counterfactual) of at most ``sample`` labelled documents that
+def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = WIDTH) -> tuple[DataFrame, dict[int, int]]:
+    """doc_id, toxic, words array<int> and other array<int> (places of its own and of its counterfactual) of at most ``sample`` labelled documents that
     aren't held out, and how many of each label there are in all."""
     known = checkpointed(training_labels(docs, labels))
     order = F.xxhash64("__doc")
@@ -125,13 +125,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
             for side in (batch.column("text"), pa.array(other, pa.string())):
                 doc, hashes = _present(side)
                 at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))))
+                columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(_places(hashes, width).astype(np.int32))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *columns], names=["doc_id", "toxic", "words", "other"])
 
     # The sample's size is bounded by the parameter.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(half), F.col("doc_id") == F.col("__doc"))
     whole = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    return texts.select("doc_id", "text", "toxic").mapInArrow(pairs, "doc_id long, toxic int, words array<long>, other array<long>"), whole
+    return texts.select("doc_id", "text", "toxic").mapInArrow(pairs, "doc_id long, toxic int, words array<int>, other array<int>"), whole
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = WIDTH, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = W
 
     The sample is fitted in one task, which holds its words; what comes back is a table of ``2 ** width`` weights at most.
     """
-    rows, whole = training_sample(docs, labels, sample)
+    rows, whole = training_sample(docs, labels, sample, width)
     if len(whole) < 2:
         share = (whole.get(1, 0) + 1) / (sum(whole.values()) + 2)
         return Model(np.zeros(1 << width), float(np.log(share / (1 - share))))
@@ -153,47 +153,58 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, width: int = W
 
 
 class _Sparse:
-    """Which text has which places, added up by either."""
+    """Which text has which places, added up by either. Texts ascend in ``row``."""
 
     def __init__(self, texts: int, row: np.ndarray, col: np.ndarray) -> None:
-        self.texts, self.col = texts, col.astype(np.int32)
+        self.texts, self.col = texts, col
         starts = np.searchsorted(row, np.arange(texts))
         self.some = np.flatnonzero(np.diff(np.append(starts, len(row))))
         self.starts = starts[self.some]
         by = np.argsort(col, kind="stable")
-        self.row, ordered = row[by].astype(np.int32), col[by]
+        self.row = row[by]
+        ordered = col[by]
         self.firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
         self.places = ordered[self.firsts]
+        self.held = np.empty(len(col))
 
     def by_text(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(self.texts)
         if len(self.some):
-            out[self.some] = np.add.reduceat(weights[self.col], self.starts)
+            out[self.some] = np.add.reduceat(np.take(weights, self.col, out=self.held, mode="clip"), self.starts)
         return out
 
     def by_place(self, values: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros(n)
         if len(self.places):
-            out[self.places] = np.add.reduceat(values[self.row], self.firsts)
+            out[self.places] = np.add.reduceat(np.take(values, self.row, out=self.held, mode="clip"), self.firsts)
         return out
 
 
 def _fitted(width: int, ridge: float, counterfactual: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, weight) of all sampled texts, the intercept first."""
+    """(place, weight) of all sampled texts, the intercept first. Some 20 bytes for each word of a text and of its pair."""
     toxic: list[np.ndarray] = []
-    found: dict[str, tuple[list, list]] = {"words": ([], []), "other": ([], [])}
-    n = 0
+    sizes: dict[str, list] = {"words": [], "other": []}
+    places: dict[str, list] = {"words": [], "other": []}
     for b in batches:
-        for name, (row, col) in found.items():
+        for name in sizes:
             lists = b.column(name)
-            row.append((np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())) + n).astype(np.int32))
-            col.append(_places(lists.flatten().to_numpy().view(np.uint64), width).astype(np.int32))
-        toxic.append(b.column("toxic").to_numpy())
-        n += b.num_rows
-    row, col, row2, col2 = [np.concatenate(c) for name in ("words", "other") for c in found.pop(name)]
-    used = np.unique(np.concatenate([col, col2]))
-    own, other = _Sparse(n, row, np.searchsorted(used, col)), _Sparse(n, row2, np.searchsorted(used, col2))
-    y = np.concatenate(toxic).astype(float)
+            sizes[name].append(np.diff(lists.offsets.to_numpy()))
+            places[name].append(lists.flatten().to_numpy().copy())
+        toxic.append(b.column("toxic").to_numpy().astype(float))
+    y, n = np.concatenate(toxic), sum(map(len, toxic))
+    mark = np.zeros(1 << width, bool)
+    for col in [*places["words"], *places["other"]]:
+        mark[col] = True
+    used = np.flatnonzero(mark)
+    number = np.cumsum(mark, dtype=np.int32) - 1
+
+    def side(name: str) -> _Sparse:
+        row = np.repeat(np.arange(n, dtype=np.int32), np.concatenate(sizes.pop(name)))
+        return _Sparse(n, row, number[np.concatenate(places.pop(name))])
+
+    own, other = side("words"), side("other")
+    held = np.empty(max(len(own.col), len(other.col)))
+    own.held, other.held = held[: len(own.col)], held[: len(other.col)]
     weights, intercept = descend(own, other, y, trust(own, y, len(used)), ridge, counterfactual)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, used).astype(np.int32)), pa.array(np.append(intercept, weights))], ["place", "weight"])
 
@@ -203,7 +214,8 @@ def trust(own: _Sparse, y: np.ndarray, d: int) -> np.ndarray:
     a, b = y.sum(), (1 - y).sum()
     n, t = own.by_place(np.ones(len(y)), d), own.by_place(y, d)
     p, q = t / a, (n - t) / b
-    both = (p + q) / 2
+    # Two words that share a place can count twice.
+    both = np.minimum((p + q) / 2, 1)
     told = np.abs(p - q) / np.sqrt(both * (1 - both) * (1 / a + 1 / b) + 1e-9)
     return np.minimum(told / SURE, 1) ** 2
 
