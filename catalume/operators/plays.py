@@ -16,12 +16,13 @@ def forward_watch_time(samples: DataFrame) -> DataFrame:
     """Per load_id the seconds watched: steps forward of at most two seconds between consecutive samples that play.
 
     samples: load_id, asset_id, ts, pos, paused, eof, duration. A null position breaks the run; a paused sample is the base of no step.
+    Samples go by time, position and paused, the paused one last; the sum is rounded to the microsecond.
     """
-    order = Window.partitionBy("load_id").orderBy("ts", "pos")
+    order = Window.partitionBy("load_id").orderBy("ts", "pos", "paused")
     before = lambda c: F.lag(c).over(order)
     step = F.col("pos") - before("pos")
     counted = ~F.col("paused") & ~F.coalesce(before("paused"), F.lit(True)) & (step > 0) & (step <= LONGEST_STEP)
-    return samples.withColumn("__step", F.when(counted, step).otherwise(0.0)).groupBy("load_id").agg(F.min("asset_id").alias("asset_id"), F.sum("__step").alias("watched"), F.max("duration").alias("duration"), F.max("ts").alias("ts"), F.max(F.coalesce("eof", F.lit(False))).alias("eof"))
+    return samples.withColumn("__step", F.when(counted, step).otherwise(0.0)).groupBy("load_id").agg(F.min("asset_id").alias("asset_id"), F.round(F.sum("__step"), 6).alias("watched"), F.max("duration").alias("duration"), F.max("ts").alias("ts"), F.max(F.coalesce("eof", F.lit(False))).alias("eof"))
 
 
 def play_events(samples: DataFrame) -> DataFrame:

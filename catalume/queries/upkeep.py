@@ -344,7 +344,7 @@ def _samples(spark, sf_dir):
     return table(spark, sf_dir, "events").selectExpr("user_id * 100 + day(ts) as load_id", "user_id as asset_id", "ts", "event_id % 40 * 1.5 + value % 2 as pos", "event_type = 'error' as paused", "event_type = 'signup' and event_id % 50 = 0 as eof", "value as duration")
 
 
-_WATCH = f"with s as ({_SAMPLES}), d as (select *, pos - lag(pos) over w as step, lag(paused) over w as was from s window w as (partition by load_id order by ts, pos)), w as (select load_id, asset_id, round(sum(case when not paused and not coalesce(was, true) and step > 0 and step <= 2 then step else 0 end), 6) as watched, max(duration) as duration, bool_or(eof) as eof from d group by 1, 2)"
+_WATCH = f"with s as ({_SAMPLES}), d as (select *, pos - lag(pos) over w as step, lag(paused) over w as was from s window w as (partition by load_id order by ts, pos nulls first, paused nulls first)), w as (select load_id, asset_id, round(sum(case when not paused and not coalesce(was, true) and step > 0 and step <= 2 then step else 0 end), 6) as watched, max(duration) as duration, bool_or(eof) as eof from d group by 1, 2)"
 
 
 @query(f"{_WATCH} select load_id, asset_id, watched, eof from w")

@@ -30,13 +30,13 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         return
     watched, last, playing, sent = state.get if state.exists else (0.0, None, False, False)
     out = []
-    rows = pd.concat(list(batches)).sort_values(["ts", "pos"])
+    rows = pd.concat(list(batches)).sort_values(["ts", "pos", "paused"], na_position="first")
     for r in rows.itertuples(index=False):
         pos = None if pd.isna(r.pos) else float(r.pos)
         if pos is not None and last is not None and playing and not r.paused and 0 < pos - last <= LONGEST_STEP:
             watched += pos - last
         last, playing = pos, not r.paused
-        if not sent and (bool(r.eof) or watched >= _threshold(None if pd.isna(r.duration) else r.duration)):
+        if not sent and (bool(r.eof) or round(watched, 6) >= _threshold(None if pd.isna(r.duration) else r.duration)):
             sent = True
             out.append((key[0], r.asset_id, r.ts))
     state.update((watched, last, playing, sent))
