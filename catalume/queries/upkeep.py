@@ -219,14 +219,25 @@ def duplicate_group_summary(spark, sf_dir):
     return D.duplicate_group_summary(g).select("group", "n_members", F.col("max_distance").cast("long").alias("max_distance"))
 
 
-@query("select vec_id + 1000000 * (vec_id % 2) as keeper, vec_id % 6 + (vec_id % 2) as favorite from embeddings where vec_id % 13 <= 8")
+# Every vector's hash and its copy's, and the group of each hash: all that a chain of pairs within eight bits reaches. Of nine
+# bands of seven bits such a pair has one alike.
+_GROUPED = (
+    f"with recursive o as {_HASH}, v as (select vec_id as id, hash from o union all select vec_id + 1000000, xor(hash, (1 << (vec_id % 13)::int)::bigint - 1) from o), "
+    "band as (select hash, i, (hash >> (7 * i)::int) & 127 as part from (select distinct hash from v where hash is not null), range(9) t(i)), "
+    "near as (select distinct x.hash as a, y.hash as b from band x join band y using (i, part) where x.hash <> y.hash and bit_count(xor(x.hash, y.hash)) <= 8), "
+    "reach as (select distinct a, a as b from near union select reach.a, near.b from reach join near on near.a = reach.b), "
+    "g as (select id, coalesce(least_, hash) as grp from v left join (select a, min(b) as least_ from reach group by 1) on a = hash)"
+)
+
+
+@query(f"{_GROUPED}, r as (select id, id % 1000000 % 6 + case when id >= 1000000 then id % 2 else 0 end as favorite, grp from g where grp is not null) select id as keeper, favorite from (select *, row_number() over (partition by grp order by favorite desc, id) as nth, count(*) over (partition by grp) as n from r) where nth = 1 and n > 1")
 def default_keeper(spark, sf_dir):
     g = D.duplicate_groups(_hashes(spark, sf_dir))
     rated = g.select("id", (F.col("id") % 1000000 % 6 + F.when(F.col("id") >= 1000000, F.col("id") % 2).otherwise(0)).alias("favorite"))
     return D.default_keeper(g, rated).select("keeper", "favorite")
 
 
-@query("select count(*) filter (where vec_id % 13 > 8) * 2 + count(*) filter (where vec_id % 13 <= 8) as n_assets, sum(vec_id % 6) filter (where vec_id % 13 > 8) * 2 + sum(vec_id % 6) filter (where vec_id % 13 <= 8) as favorites from embeddings")
+@query(f"{_GROUPED} select count(*) as n_assets, sum(best) as favorites from (select max(id % 1000000 % 6) as best from g group by grp, case when grp is null then id end)")
 def merge_duplicates(spark, sf_dir):
     h = _hashes(spark, sf_dir)
     assets = h.select("id", (F.col("id") % 1000000 % 6).alias("favorite"))
