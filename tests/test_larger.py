@@ -78,3 +78,35 @@ def test_forms_of_stems_are_complete(of):
     assert all(re.fullmatch(_FORMS[of], w) for w in words)
     near = {w[:k] + c + w[k:] for w in words for k in range(len(w) + 1) for c in "esdinglyuf"} | {w[:k] + w[k + 1 :] for w in words for k in range(len(w))}
     assert not [w for w in near if re.fullmatch(_FORMS[of], w) and stem(w) != of]
+
+
+def test_stems_hold_few_words(spark):
+    """Memory of a batch of texts stays the same however many words it has that occur once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from catalume.functions.tokens import _stemmed
+
+    def peak(n: int) -> int:
+        texts = pa.array([" ".join(f"w{at * 40 + i}x" for i in range(40)) for at in range(n)])
+        tracemalloc.start()
+        out = _stemmed.func(texts)
+        assert out[n - 1].as_py()[-1] == f"w{n * 40 - 1}x" and len(out) == n
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(10_000) < 1.5 * peak(2_500)
+
+
+def test_postings_come_in_small_batches():
+    import pyarrow as pa
+
+    from catalume.operators.textindex import _posted
+
+    n = 1000
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(n)]), pa.array([["a", "b", "a"]] * n), pa.array([None] * n, pa.list_(pa.string()))], ["asset_id", "title", "details"])
+    out = list(_posted(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 2 * n
+    assert out[0].slice(0, 2).to_pylist() == [{"term": "a", "asset_id": "0", "field": 0, "gaps": [0, 2]}, {"term": "b", "asset_id": "0", "field": 0, "gaps": [1]}]
