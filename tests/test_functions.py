@@ -80,3 +80,12 @@ def test_perceptual_hash_tells_images_apart(spark):
     h = {r.i: r.h for r in rows.select("i", H.perceptual_hash(F.col("g")).alias("h")).collect()}
     bits = lambda a, b: bin((h[a] ^ h[b]) & (1 << 64) - 1).count("1")
     assert bits(0, 1) <= 2 and bits(0, 2) > 15
+
+
+def test_words_of_long_texts_are_found_without_lambdas(spark):
+    """A lambda over words, or a pattern that replaces between them, took some microseconds a byte."""
+    d = spark.createDataFrame([("[x [y] z] Ada 1080P ab12 2001 Byron] 4000K",), (" ",), (None,)], "s string")
+    got = d.select(N.title_text(F.col("s")), N.product_code(F.col("s")), N.clean_title(F.col("s")), N.is_pure_id(F.col("s")))
+    assert [tuple(r) for r in got.collect()] == [("Ada ab12 Byron", "AB12", "Ada ab12 Byron", False), (None, None, None, False), (None, None, None, None)]
+    plan = d.select(N.clean_title(F.col("s")), N.product_code(F.col("s")), N.is_pure_id(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "regexp_replace" not in plan
