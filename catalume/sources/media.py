@@ -126,14 +126,9 @@ def file_hashes(listing: DataFrame, kinds: tuple[str, ...] = ("oshash",), tasks:
 _PROBE = "format struct<format_name:string,duration:string,bit_rate:string,tags:map<string,string>>, streams array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string>>"
 
 
-def _tag(tags: Column, keys: tuple[str, ...]) -> Column:
-    """The first of the keys, whatever its case, whose trimmed value isn't empty."""
-    entries = F.map_entries(tags)
-
-    def first(key: str) -> Column:
-        values = F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == key), lambda e: F.trim(e["value"]))
-        return F.try_element_at(F.filter(values, lambda v: v != ""), F.lit(1))
-
+def _tag(entries: Column, keys: tuple[str, ...]) -> Column:
+    """The first of the keys, whatever its case, whose trimmed value isn't empty. entries: (key in lower case, trimmed value)."""
+    first = lambda key: F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(1))["value"]
     return F.coalesce(*[first(k) for k in keys])
 
 
@@ -145,7 +140,10 @@ def _rate(text: Column) -> Column:
 
 def parse_probe_json(df: DataFrame, column: str) -> DataFrame:
     """The rows with a struct ``probe``: format, duration, the first video stream's size, codec and rate, bit rate, embedded title, artist and comment; text that is no JSON gives nulls."""
-    p = F.from_json(F.col(column), _PROBE)
-    video = F.try_element_at(F.filter(p["streams"], lambda s: s["codec_type"] == "video"), F.lit(1))
-    tags = p["format"]["tags"]
-    return df.withColumn("probe", F.struct(p["format"]["format_name"].alias("format_name"), p["format"]["duration"].try_cast("double").alias("duration"), video["width"].alias("width"), video["height"].alias("height"), video["codec_name"].alias("codec"), _rate(video["avg_frame_rate"]).alias("fps"), p["format"]["bit_rate"].try_cast("long").alias("bitrate"), _tag(tags, ("title",)).alias("title"), _tag(tags, ("artist", "author", "performer")).alias("artist"), _tag(tags, ("comment", "description", "synopsis")).alias("comment")))
+    # Each step is a column of its own, so that the text is parsed once; an expression used in several places, some of them
+    # lambdas, would parse it for each.
+    parsed = df.withColumn("__p", F.from_json(F.col(column), _PROBE))
+    entries = F.transform(F.map_entries(F.col("__p")["format"]["tags"]), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
+    stepped = parsed.withColumns({"__video": F.try_element_at(F.filter(F.col("__p")["streams"], lambda s: s["codec_type"] == "video"), F.lit(1)), "__tags": F.filter(entries, lambda e: e["value"] != "")})
+    p, video, tags = F.col("__p"), F.col("__video"), F.col("__tags")
+    return stepped.withColumn("probe", F.struct(p["format"]["format_name"].alias("format_name"), p["format"]["duration"].try_cast("double").alias("duration"), video["width"].alias("width"), video["height"].alias("height"), video["codec_name"].alias("codec"), _rate(video["avg_frame_rate"]).alias("fps"), p["format"]["bit_rate"].try_cast("long").alias("bitrate"), _tag(tags, ("title",)).alias("title"), _tag(tags, ("artist", "author", "performer")).alias("artist"), _tag(tags, ("comment", "description", "synopsis")).alias("comment"))).drop("__p", "__video", "__tags")

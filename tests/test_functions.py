@@ -89,3 +89,13 @@ def test_words_of_long_texts_are_found_without_lambdas(spark):
     assert [tuple(r) for r in got.collect()] == [("Ada ab12 Byron", "AB12", "Ada ab12 Byron", False), (None, None, None, False), (None, None, None, None)]
     plan = d.select(N.clean_title(F.col("s")), N.product_code(F.col("s")), N.is_pure_id(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "regexp_replace" not in plan
+
+
+def test_probe_text_is_parsed_once(spark):
+    from catalume.sources.media import parse_probe_json
+
+    text = '{"format": {"duration": "2.5", "tags": {"TITLE": " t ", "Artist": " ", "Author": "b", "Description": "c"}}, "streams": [{"codec_type": "video", "width": 3, "avg_frame_rate": "50/2"}]}'
+    out = parse_probe_json(spark.createDataFrame([(text,), ("{no json",)], "s string"), "s")
+    assert out.columns == ["s", "probe"]
+    assert [(r.probe.duration, r.probe.width, r.probe.fps, r.probe.title, r.probe.artist, r.probe.comment) for r in out.collect()] == [(2.5, 3, 25.0, "t", "b", "c"), (None,) * 6]
+    assert out.select("probe.*")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
