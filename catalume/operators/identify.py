@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import Catalog
+from ..cluster import checkpointed
 from ..functions.names import identify_term, tokenize_alnum
 from .files import representative_file
 
@@ -16,6 +17,8 @@ HASH_RANK = {"oshash": 0, "md5": 1, "phash": 2}
 SEARCHED = 15
 #: Seconds and ratio by which durations may differ.
 SECONDS, RATIO = 45.0, 1.2
+#: A name that more than 1 / HOT of all rows have is hot; at most HOT names are.
+HOT = 1000
 
 
 def match_by_fingerprint(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -93,6 +96,23 @@ def resolve_names(names: DataFrame, dim: DataFrame, kind: str) -> tuple[DataFram
     return keyed.join(both, "__k").select("name", F.col("__id").alias("dim_id")), new.select("id", "name")
 
 
+def name_counts(rows: DataFrame) -> DataFrame:
+    """name, n (its rows), kept, as both the names that are resolved and the hot ones come from it."""
+    return checkpointed(rows.groupBy("name").agg(F.count("*").alias("n")))
+
+
+def with_dim(rows: DataFrame, named: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (name, ...) with the dim_id of their name, from named (name, dim_id); names that aren't there fall away, or get null with ``left``.
+
+    The few names that many rows share meet their rows where these lie, so that no task gets all rows of one.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = checkpointed(named.join(F.broadcast(counts.where(F.col("n") * HOT > total).select("name")), "name").select(F.col("name").alias("__name"), F.col("dim_id").alias("__hot")))
+    marked = rows.join(F.broadcast(hot), F.col("name") == F.col("__name"), "left")
+    others = marked.where("__name is null").select(*rows.columns).join(named, "name", how).select(*rows.columns, "dim_id")
+    return marked.where("__name is not null").select(*rows.columns, F.col("__hot").alias("dim_id")).unionByName(others)
+
+
 def identify_stats(assets: DataFrame, files: DataFrame, now: Column, days: int, force: bool = False) -> DataFrame:
     """total, never_checked, checked_recently, pending and needs_review of all assets, in one pass."""
     flagged = assets.join(files.select(F.col("asset_id").alias("__a"), F.lit(True).alias("__has")).distinct(), F.col("id") == F.col("__a"), "left")
@@ -184,10 +204,11 @@ def apply_matches(catalog: Catalog, chosen: DataFrame, now: Column, fields: tupl
         values |= {"cover_path": F.coalesce("__cover", "cover_path"), "cover_source": F.when(F.col("__cover").isNotNull(), F.col("__provider_id")).otherwise(F.col("cover_source") if "cover_source" in catalog.assets.columns else F.lit(None))}
     out: dict[str, DataFrame] = {}
     if "studio" in fields:
-        named, new = resolve_names(chosen.select(F.col("studio").alias("name")), catalog.studios, "studio")
+        counts = name_counts(chosen.select(F.trim("studio").alias("name")))
+        named, new = resolve_names(counts, catalog.studios, "studio")
         studios = catalog.studios.select(F.col("id").cast("string").alias("id"), "name").unionByName(new)
         out["studios"] = studios
-        picked = picked.join(named.select(F.col("name").alias("__n"), F.col("dim_id").alias("__sid")), F.trim("__studio") == F.col("__n"), "left").drop("__n")
+        picked = with_dim(picked.withColumn("name", F.trim("__studio")), named, counts, "left").withColumnRenamed("dim_id", "__sid").drop("name")
         values["studio_id"] = F.coalesce("__sid", F.col("studio_id").cast("string"))
     for field, dim, link, key in (("people", "people", "asset_people", "person_id"), ("tags", "tags", "asset_tags", "tag_id")):
         if field in fields:
@@ -232,9 +253,11 @@ def link_names(catalog: Catalog, pairs: DataFrame, dim: str, link: str, key: str
     """The dimension and link table with the names of ``pairs`` (asset_id, name) found or made and linked, and the links that are new."""
     from .collections import add_links
 
-    named, new = resolve_names(pairs.select("name"), getattr(catalog, dim), dim)
+    trimmed = pairs.select("asset_id", F.trim("name").alias("name"))
+    counts = name_counts(trimmed)
+    named, new = resolve_names(counts, getattr(catalog, dim), dim)
     rows = getattr(catalog, dim).select(F.col("id").cast("string").alias("id"), "name").unionByName(new)
-    wanted = pairs.select("asset_id", F.trim("name").alias("name")).join(named, "name").select("asset_id", F.col("dim_id").alias(key))
+    wanted = with_dim(trimmed, named, counts).select("asset_id", F.col("dim_id").alias(key))
     links, fresh = add_links(getattr(catalog, link).select("asset_id", F.col(key).cast("string").alias(key)), wanted)
     return {dim: rows, link: links}, fresh
 

@@ -250,3 +250,21 @@ def test_listed_paths_that_normalise_alike(spark):
     files = spark.createDataFrame([("1", "x", "E:\\b", 3, T0)], "id string, asset_id string, path string, size_bytes long, modified_at timestamp")
     got = {r.path: (r.status, r.size) for r in inventory_diff(listing, files).collect()}
     assert got == {"E:\\a": ("added", 9), "E:\\b": ("updated", None)}
+
+
+def test_a_name_of_most_rows_brings_them_into_no_one_task(spark):
+    from pyspark.sql import functions as F
+
+    from catalume.operators import identify as I
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, "hot").when(F.col("id") < 3900, F.concat(F.lit("n"), "id")).alias("name"))
+    named = rows.select("name").distinct().where("name is not null").select("name", F.concat(F.lit("d"), "name").alias("dim_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = I.with_dim(rows, named, I.name_counts(rows))
+        assert I.with_dim(rows, named, I.name_counts(rows), "left").count() == 4000
+        assert out.count() == 3975 and out.where("dim_id != concat('d', name)").isEmpty()
+        hot = out.where("name = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in hot) == 3000 and max(r["count"] for r in hot) < 1500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
