@@ -13,7 +13,9 @@ _MATCH = "struct<id:string,title:string,code:string,details:string,duration:bigi
 def parse_candidates_json(df: DataFrame, column: str, key: str = "asset_id") -> DataFrame:
     """One row for each match of a nested response (a list of lists), the first of those with the same id."""
     rows = df.select(key, F.posexplode(F.from_json(F.col(column), f"array<array<{_MATCH}>>")).alias("i", "inner")).select(key, "i", F.posexplode("inner").alias("j", "m")).where("m.id is not null")
-    first = rows.groupBy(key, F.col("m.id").alias("remote_id")).agg(F.min_by("m", F.struct("i", "j")).alias("m"))
+    # Dealt out first: else each task of the scan sorts all that its file part holds, as the aggregate of a struct sorts.
+    dealt = rows.withColumn("remote_id", F.col("m.id")).repartition(key, "remote_id")
+    first = dealt.groupBy(key, "remote_id").agg(F.min_by("m", F.struct("i", "j")).alias("m"))
     return first.select(key, "remote_id", "m.title", "m.code", "m.details", "m.duration", F.col("m.studio.name").alias("studio"), F.transform("m.performers", lambda p: p["performer"]["name"]).alias("people"), F.transform("m.tags", lambda t: t["name"]).alias("tags"), F.col("m.images").alias("images"))
 
 

@@ -268,3 +268,11 @@ def test_a_name_of_most_rows_brings_them_into_no_one_task(spark):
         assert sum(r["count"] for r in hot) == 3000 and max(r["count"] for r in hot) < 1500
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_candidates_are_dealt_out_before_they_are_sorted(spark):
+    text = '[[{"id": "a", "title": "one"}], [{"id": "a", "title": "two"}, {"id": "b"}, {"title": "none"}]]'
+    out = records.parse_candidates_json(spark.createDataFrame([(1, text), (2, None), (3, text)], "asset_id long, j string"), "j")
+    assert sorted((r.asset_id, r.remote_id, r.title) for r in out.collect()) == [(1, "a", "one"), (1, "b", None), (3, "a", "one"), (3, "b", None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("SortAggregate") < plan.rindex("Exchange")
