@@ -19,6 +19,8 @@ SEARCHED = 15
 SECONDS, RATIO = 45.0, 1.2
 #: A name that more than 1 / HOT of all rows have is hot; at most HOT names are.
 HOT = 1000
+#: Words that are broadcast at most.
+FEW_WORDS = 100_000
 
 
 def match_by_fingerprint(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -48,8 +50,10 @@ def search_terms(assets: DataFrame, representative: DataFrame) -> DataFrame:
     from ..functions.names import stem
 
     file = representative.select(F.col("asset_id").alias("__a"), F.col("path").alias("__p"))
-    term = F.coalesce(identify_term(F.col("title")), identify_term(stem(F.col("__p"))))
-    return assets.join(file, F.col("id") == F.col("__a"), "left").select(F.col("id").alias("asset_id"), term.alias("term")).where("term is not null")
+    own = assets.join(file, F.col("id") == F.col("__a"), "left").select(F.col("id").alias("asset_id"), identify_term(F.col("title")).alias("__t"), "__p")
+    # Names are only gone through where the title gives nothing.
+    named = identify_term(F.when(F.col("__t").isNull(), stem(F.col("__p"))))
+    return own.select("asset_id", F.coalesce("__t", named).alias("term")).where("term is not null")
 
 
 def title_search_fallback(terms: DataFrame, matched: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -57,18 +61,27 @@ def title_search_fallback(terms: DataFrame, matched: DataFrame, candidates: Data
     the term are part; the shortest titles first, 15 at most, then repeated ids dropped.
 
     terms: asset_id, term; candidates: remote_id, title, code. Each distinct term is looked up once, by the
-    one of its words that the fewest records have; a term with a word that no record has finds nothing.
+    one of its words that the fewest records have; a term with a word that no record has finds nothing, and
+    meets no record. Words that many terms share meet their numbers where the terms lie.
     """
-    open_ = terms.join(matched.select(F.col("asset_id").alias("__m")), F.col("asset_id") == F.col("__m"), "left_anti")
-    asked = open_.select("term").distinct().withColumn("words", F.array_distinct(tokenize_alnum(F.col("term")))).where(F.size("words") > 0)
+    # Read for the words, their numbers and the results.
+    open_ = checkpointed(terms.join(matched.select(F.col("asset_id").alias("__m")), F.col("asset_id") == F.col("__m"), "left_anti").select("asset_id", "term"))
+    words = F.array_distinct(tokenize_alnum(F.col("term")))
+    asked = open_.select("term").distinct().select("term", F.explode(words).alias("name"))
     texts = candidates.select("remote_id", F.coalesce("title", F.lit("")).alias("title"), F.array_distinct(tokenize_alnum(F.concat_ws(" ", "title", "code"))).alias("has"))
+    counts = name_counts(asked)
     each = texts.select("remote_id", "title", "has", F.explode("has").alias("word"))
-    known = each.groupBy("word").agg(F.count("*").alias("n"))
-    rare = asked.select("term", "words", F.explode("words").alias("word")).join(known, "word", "left").groupBy("term", "words").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"))
-    hits = rare.join(each, "word").where(F.size(F.array_except("words", "has")) == 0)
+    known = checkpointed(each.groupBy(F.col("word").alias("name")).agg(F.count("*").alias("dim_id")))
+    n = F.coalesce("dim_id", F.lit(0))
+    rare = with_dim(asked, known, counts, "left").groupBy("term").agg(F.min_by("name", F.struct(n, F.col("name"))).alias("word"), F.min(n).alias("n"))
+    rare = checkpointed(rare.where("n > 0").select("term", "word"))
+    looked = rare.select("word").distinct()
+    if looked.limit(FEW_WORDS + 1).count() <= FEW_WORDS:
+        each = each.join(F.broadcast(looked), "word", "left_semi")
+    hits = rare.select("term", words.alias("words"), "word").join(each, "word").where(F.size(F.array_except("words", "has")) == 0)
     order = Window.partitionBy("term").orderBy(F.char_length("title"), "remote_id")
     best = hits.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SEARCHED).groupBy("term", "remote_id").agg(F.min("nth").alias("nth"))
-    return open_.select("asset_id", "term").distinct().join(best, "term").select("asset_id", "remote_id", "nth")
+    return open_.distinct().join(best, "term").select("asset_id", "remote_id", "nth")
 
 
 def drop_rejected(matches: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -104,13 +117,17 @@ def name_counts(rows: DataFrame) -> DataFrame:
 def with_dim(rows: DataFrame, named: DataFrame, counts: DataFrame, how: str = "inner") -> DataFrame:
     """rows (name, ...) with the dim_id of their name, from named (name, dim_id); names that aren't there fall away, or get null with ``left``.
 
-    The few names that many rows share meet their rows where these lie, so that no task gets all rows of one.
+    The few names that many rows share, be they there or not, meet their rows where these lie, so that no task gets
+    all rows of one; rows without name meet nothing.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = checkpointed(named.join(F.broadcast(counts.where(F.col("n") * HOT > total).select("name")), "name").select(F.col("name").alias("__name"), F.col("dim_id").alias("__hot")))
+    many = counts.where((F.col("n") * HOT > total) & F.col("name").isNotNull()).select("name")
+    there = named.join(F.broadcast(many), "name").select("name", F.col("dim_id").alias("__hot"))
+    hot = checkpointed(many.join(F.broadcast(there), "name", "left").select(F.col("name").alias("__name"), "__hot"))
     marked = rows.join(F.broadcast(hot), F.col("name") == F.col("__name"), "left")
-    others = marked.where("__name is null").select(*rows.columns).join(named, "name", how).select(*rows.columns, "dim_id")
-    return marked.where("__name is not null").select(*rows.columns, F.col("__hot").alias("dim_id")).unionByName(others)
+    others = marked.where("__name is null and name is not null").select(*rows.columns).join(named, "name", how).select(*rows.columns, "dim_id")
+    met = marked.where("__name is not null or name is null") if how == "left" else marked.where("__hot is not null")
+    return met.select(*rows.columns, F.col("__hot").alias("dim_id")).unionByName(others)
 
 
 def identify_stats(assets: DataFrame, files: DataFrame, now: Column, days: int, force: bool = False) -> DataFrame:
@@ -123,12 +140,17 @@ def identify_stats(assets: DataFrame, files: DataFrame, now: Column, days: int,
     return flagged.agg(F.count_if(has).alias("total"), F.count_if(has & never).alias("never_checked"), F.count_if(has & recent).alias("checked_recently"), F.count_if(has & F.col("ignored_at").isNull() & due).alias("pending"), F.count_if(review).alias("needs_review"))
 
 
-def select_pending(assets: DataFrame, files: DataFrame, now: Column, days: int, force: bool = False) -> DataFrame:
-    """Assets with a file that are to be identified, newest first."""
+def due_assets(assets: DataFrame, now: Column, days: int, force: bool = False) -> DataFrame:
+    """Assets that are to be identified, if they have a file."""
     due = F.lit(True) if force else F.col("checked_at").isNull()
     if days > 0 and not force:
         due |= F.col("checked_at") < now - F.make_interval(days=F.lit(days))
-    held = assets.where(F.col("ignored_at").isNull() & due).join(files.select(F.col("asset_id").alias("__a")), F.col("id") == F.col("__a"), "left_semi")
+    return assets.where(F.col("ignored_at").isNull() & due)
+
+
+def select_pending(assets: DataFrame, files: DataFrame, now: Column, days: int, force: bool = False) -> DataFrame:
+    """Assets with a file that are to be identified, newest first."""
+    held = due_assets(assets, now, days, force).join(files.select(F.col("asset_id").alias("__a")), F.col("id") == F.col("__a"), "left_semi")
     return held.orderBy(F.desc("created_at"), "id")
 
 

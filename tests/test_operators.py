@@ -270,6 +270,38 @@ def test_a_name_of_most_rows_brings_them_into_no_one_task(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_names_that_many_rows_share_stay_where_they_are_though_unknown(spark):
+    from catalume.operators import identify as I
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 == 1, "hot").when(F.col("id") % 4 != 2, F.concat(F.lit("n"), "id")).alias("name"))
+    named = rows.select("name").distinct().where("name != 'hot'").select("name", F.concat(F.lit("d"), "name").alias("dim_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = I.with_dim(rows, named, I.name_counts(rows), "left")
+        assert out.count() == 4000 and out.where("dim_id is distinct from case when name != 'hot' then concat('d', name) end").isEmpty()
+        assert I.with_dim(rows, named, I.name_counts(rows)).count() == 2000
+        for kind in ("name = 'hot'", "name is null"):
+            parts = [r["count"] for r in out.where(kind).groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(parts) == 1000 and max(parts) < 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_terms_with_a_word_that_no_record_has_meet_no_record(spark):
+    from catalume.operators import identify as I
+
+    terms = spark.createDataFrame([(k, f"order {k}") for k in range(50)] + [(90, "blue sky"), (91, "blue blue sky"), (92, "!")], "asset_id long, term string")
+    records = spark.createDataFrame([("r1", "the sky is blue", None), ("r2", "blue", "SKY-1"), ("r3", "order", None), ("r4", None, "7")], "remote_id string, title string, code string")
+    none = spark.createDataFrame([(91,)], "asset_id long")
+    for few in (I.FEW_WORDS, 0):
+        held, I.FEW_WORDS = I.FEW_WORDS, few
+        try:
+            got = I.title_search_fallback(terms, none, records)
+            assert sorted(map(tuple, got.collect())) == [(90, "r1", 2), (90, "r2", 1)]
+        finally:
+            I.FEW_WORDS = held
+
+
 def test_candidates_are_dealt_out_before_they_are_sorted(spark):
     text = '[[{"id": "a", "title": "one"}], [{"id": "a", "title": "two"}, {"id": "b"}, {"title": "none"}]]'
     out = records.parse_candidates_json(spark.createDataFrame([(1, text), (2, None), (3, text)], "asset_id long, j string"), "j")
