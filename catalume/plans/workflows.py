@@ -59,23 +59,27 @@ def identify(catalog: Catalog, prints: DataFrame, records: DataFrame, providers:
     are matched by the hashes of their representative file with the first provider that has any match, else by
     text with the active one. Rejected and implausible records fall away; with ``auto`` a single one left is applied.
     """
-    due = I.select_pending(catalog.assets, catalog.files, now, days)
-    rep = representative_file(catalog.files).join(due.select(F.col("id").alias("__d")), F.col("asset_id") == F.col("__d"), "left_semi")
+    wanted = I.due_assets(catalog.assets, now, days).select("id", "title")
+    # Files of other assets are left out before those of one are compared; all that follows reads what is due once.
+    held = catalog.files.select("id", "asset_id", "path", "duration", "scanned_at").join(wanted.select(F.col("id").alias("__d")), F.col("asset_id") == F.col("__d"), "left_semi")
+    file = representative_file(held).select(F.col("id").alias("file_id"), "asset_id", "path", "duration")
+    pending = checkpointed(file.join(wanted, F.col("asset_id") == F.col("id")))
+    due, rep = pending.select("id", "title"), pending.select(F.col("file_id").alias("id"), "asset_id", "path", "duration")
     reused = V.reuse_phash_by_oshash(catalog.fingerprints).select("file_id", F.lit("phash").alias("hash_type"), "value")
     key = [F.lower("hash_type").alias("hash_type"), F.lower("value").alias("value")]
     own = catalog.fingerprints.select("file_id", "hash_type", "value").unionByName(reused).select("file_id", *key)
     local = own.join(rep.select(F.col("id").alias("file_id"), "asset_id"), "file_id").select("asset_id", "hash_type", "value")
     hits = local.join(prints.select("provider_id", "remote_id", *key), ["hash_type", "value"]).select("asset_id", "provider_id", "remote_id").distinct()
-    first = I.provider_waterfall(hits, providers)
+    first = checkpointed(I.provider_waterfall(hits, providers).select("asset_id", "provider_id", "remote_id"))
     active = providers.where("rank = 0").select("provider_id")
-    searched = I.title_search_fallback(I.search_terms(due, rep), first, records.join(F.broadcast(active), "provider_id", "left_semi"))
+    searched = I.title_search_fallback(I.search_terms(due.join(first.select(F.col("asset_id").alias("__m")), F.col("id") == F.col("__m"), "left_anti"), rep), first, records.join(F.broadcast(active), "provider_id", "left_semi"))
     text = searched.select("asset_id", "remote_id").crossJoin(F.broadcast(active)).select("asset_id", "provider_id", "remote_id")
     # Both are read several times below.
-    raw = checkpointed(first.select("asset_id", "provider_id", "remote_id").unionByName(text))
+    raw = checkpointed(first.unionByName(text))
     length = rep.select(F.col("asset_id").alias("__a"), F.col("duration").alias("__own"))
     left = I.drop_rejected(raw, catalog.rejected_matches).join(records, ["provider_id", "remote_id"]).join(length, F.col("asset_id") == F.col("__a"))
     left = checkpointed(left.where(I.duration_plausible(F.col("__own"), F.col("duration"))).drop("__a", "__own"))
-    outcome = I.identify_outcome(due, raw, left, auto)
-    chosen = left.join(outcome.where("outcome = 'applied'").select(F.col("asset_id").alias("__x")), F.col("asset_id") == F.col("__x"), "left_semi")
+    outcome = checkpointed(I.identify_outcome(due, raw, left, auto))
+    chosen = checkpointed(left.join(outcome.where("outcome = 'applied'").select(F.col("asset_id").alias("__x")), F.col("asset_id") == F.col("__x"), "left_semi"))
     checked = catalog.but(assets=I.record_checks(catalog.assets, due.select(F.col("id").alias("asset_id")), raw, now))
     return I.apply_matches(checked, chosen, now), I.outcome_totals(outcome)
