@@ -24,7 +24,8 @@ def read_foreign_catalog(fingerprints: DataFrame, file_links: DataFrame, records
 
     fingerprints: file_id, hash_type, value; file_links: file_id, remote_id; records: remote_id, title, details, studio; people, tags: remote_id, name.
     """
-    names = lambda df, c: df.groupBy("remote_id").agg(F.sort_array(F.collect_set("name")).alias(c))
+    # Dealt out first: else each task of the scan holds and sorts the sets of all records in its part, and rows that lie by record are shuffled again.
+    names = lambda df, c: df.repartition("remote_id").groupBy("remote_id").agg(F.sort_array(F.collect_set("name")).alias(c))
     none = F.array().cast("array<string>")
     meta = records.join(names(people, "people"), "remote_id", "left").join(names(tags, "tags"), "remote_id", "left")
     return fingerprints.join(file_links, "file_id").select("remote_id", "hash_type", "value"), meta.withColumns({c: F.coalesce(c, none) for c in ("people", "tags")})

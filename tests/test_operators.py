@@ -302,6 +302,17 @@ def test_terms_with_a_word_that_no_record_has_meet_no_record(spark):
             I.FEW_WORDS = held
 
 
+def test_names_of_records_are_dealt_out_before_they_are_gathered(spark):
+    prints = spark.createDataFrame([("f", "md5", "x")], "file_id string, hash_type string, value string")
+    links = spark.createDataFrame([("f", 1)], "file_id string, remote_id long")
+    meta = spark.createDataFrame([(1, "one", None, None), (2, None, None, None)], "remote_id long, title string, details string, studio string")
+    names = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (3, "c")], "remote_id long, name string")
+    out = records.read_foreign_catalog(prints, links, meta, names, names.where("name = 'b'"))[1]
+    assert sorted((r.remote_id, r.people, r.tags) for r in out.collect()) == [(1, ["a", "b"], ["b"]), (2, [], [])]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("partial_collect_set") < plan.rindex("Exchange")
+
+
 def test_candidates_are_dealt_out_before_they_are_sorted(spark):
     text = '[[{"id": "a", "title": "one"}], [{"id": "a", "title": "two"}, {"id": "b"}, {"title": "none"}]]'
     out = records.parse_candidates_json(spark.createDataFrame([(1, text), (2, None), (3, text)], "asset_id long, j string"), "j")
