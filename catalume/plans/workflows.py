@@ -35,7 +35,8 @@ def scan(catalog: Catalog, listing: DataFrame, roots: DataFrame, now: Column, co
     diff = checkpointed(V.inventory_diff(listing, catalog.files, complete))
     gone = V.protect_offline_roots(diff.where("status = 'removed'"), roots)
     added = V.detect_moves(diff.where("status = 'added'").select("path", "size", "mtime", "oshash"), catalog.fingerprints, catalog.files)
-    new = added.select(F.sha2(F.concat_ws("|", F.lit("file"), "path"), 256).alias("id"), "asset_id", "path", F.col("size").alias("size_bytes"), F.col("mtime").alias("modified_at"), now.alias("scanned_at"), "oshash", "known")
+    # Files, fingerprints, assets and orphans all follow from the new files.
+    new = checkpointed(added.select(F.sha2(F.concat_ws("|", F.lit("file"), "path"), 256).alias("id"), "asset_id", "path", F.col("size").alias("size_bytes"), F.col("mtime").alias("modified_at"), now.alias("scanned_at"), "oshash", "known"))
     changed = diff.where("status = 'updated'").select("file_id", "oshash", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"))
     files = catalog.files.join(gone.select(F.col("file_id").alias("__gone")), F.col("id") == F.col("__gone"), "left_anti")
     files = files.join(changed.select(F.col("file_id").alias("__f"), "__size", "__mtime"), F.col("id") == F.col("__f"), "left")
@@ -46,9 +47,12 @@ def scan(catalog: Catalog, listing: DataFrame, roots: DataFrame, now: Column, co
     fresh = new.where("not known").select(F.col("asset_id").alias("id")).distinct().withColumns({"favorite": F.lit(0), "play_count": F.lit(0), "created_at": now})
     assets = catalog.assets.unionByName(_padded(fresh, catalog.assets))
     after = catalog.but(files=files.unionByName(_padded(new, catalog.files)), fingerprints=prints, assets=assets)
-    orphans = assets.select("id").join(after.files.select(F.col("asset_id").alias("__a")), F.col("id") == F.col("__a"), "left_anti")
     summary = V.scan_summary(diff.where("status != 'removed'").unionByName(gone))
-    return V.delete_assets(after, orphans) if complete else after, summary
+    if not complete:
+        return after, summary
+    orphans = checkpointed(assets.select("id").join(after.files.select(F.col("asset_id").alias("__a")), F.col("id") == F.col("__a"), "left_anti"))
+    # No file, and so no fingerprint, is an orphan's.
+    return V.delete_assets(after.but(files=None, fingerprints=None), orphans).but(files=after.files, fingerprints=after.fingerprints), summary
 
 
 def identify(catalog: Catalog, prints: DataFrame, records: DataFrame, providers: DataFrame, now: Column, days: int = 0, auto: bool = True) -> tuple[Catalog, DataFrame]:

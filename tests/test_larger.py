@@ -124,3 +124,15 @@ def test_a_listing_is_one_batch_whatever_the_tasks(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(CatalogStore, "commit", lambda store, *a, **k: commits.append(1) or commit(store, *a, **k))
     QUERIES["listing_stream"](spark, str(tmp_path))
     assert len(commits) == 8
+
+
+def test_orphans_of_a_scan_are_sought_in_assets_alone(spark):
+    from pyspark.sql import functions as F
+
+    from catalume.plans import workflows
+    from catalume.queries.lifecycle import _now, _scan_inputs
+
+    after = workflows.scan(*_scan_inputs(spark, SMALL), _now())[0]
+    plan = after.files._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") <= 2
+    assert after.files.join(after.assets.select(F.col("id").alias("a")), F.col("asset_id") == F.col("a"), "left_anti").isEmpty()
