@@ -13,10 +13,14 @@ EDGES = 200_000
 HUBS = 1000
 
 
-def _state(pairs: DataFrame) -> tuple[int, bool]:
+def _nodes(pairs: DataFrame) -> DataFrame:
+    """a, m (the least of it and its neighbours), n (its edges), down (those to lesser ones), up (whether one is to a greater one), kept."""
+    both = pairs.select("a", "b", F.lit(1).alias("down")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("down")))
+    return checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"), F.sum("down").alias("down"), F.max(1 - F.col("down")).alias("up")))
+
+
+def _state(nodes: DataFrame) -> tuple[int, bool]:
     """How many edges there are, and whether they are stars: no node has two lesser neighbours, or both a lesser and a greater one."""
-    ends = pairs.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
-    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
     s = nodes.agg(F.sum("down").alias("n"), F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("up") > 0)).alias("open")).first()
     return s["n"] or 0, s["open"] == 0
 
@@ -40,11 +44,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     result is dealt by node, as the joins that follow need it: a last round of few edges leaves them in few partitions.
     """
     pairs = checkpointed(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
-    while not (state := _state(pairs))[1]:
+    # One pass over the ends of the edges tells both whether a round is needed and the minima that it begins with.
+    while not (state := _state(nodes := _nodes(pairs)))[1]:
         total = state[0]
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("b > a"), least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        greater = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = _with_least(greater, nodes.select("a", "m", "n"), total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = _with_least(large, least, total).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         both = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
