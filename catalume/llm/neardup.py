@@ -196,10 +196,20 @@ def prefix_runs(nodes: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     joined = spark.createDataFrame(list(same.items()), "__run long, __same long")
     # Two rows of a partition at most.
     members = found.join(F.broadcast(joined), F.col("run") == F.col("__run"), "left").select("node", "tree", F.coalesce("__same", "run").alias("run"))
-    links = found.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    links = _by_least(found.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     return members, links.unionByName(spark.createDataFrame(edges, "a long, b long"))
 
 
+def _by_least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes as those given: each a, and each b of it, with the least b of that a.
+
+    For texts that share their b's, as near copies share the heads of their runs, this is about one edge for each text
+    and not one for each tree. An a has one b for each tree or block at most.
+    """
+    own = edges.groupBy("a").agg(F.collect_set("b").alias("bs"))
+    return own.select(F.explode(F.array_append("bs", F.col("a"))).alias("a"), F.array_min("bs").alias("b")).where("a != b").distinct()
+
+
 # Recall
 
 
@@ -411,7 +421,7 @@ def _known(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame
     firsts = checkpointed(firsts.withColumn("node", F.monotonically_increasing_id()))
     links = _links(texts, firsts, similarity, recall)
     per_text = links.groupBy("node").agg(F.sum("links").alias("links"))
-    grouped = connected_components(links.where("label != node").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    grouped = connected_components(_by_least(links.where("label != node").select(F.col("node").alias("a"), F.col("label").alias("b"))))
     known = firsts.select("node", "digest", "rep", "copies").join(per_text, "node", "left").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     leader = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
     known = checkpointed(known)

@@ -181,6 +181,27 @@ def test_prefix_runs_over_partitions(spark, monkeypatch, parts):
     assert all(len({top[n] for _, n in x}) == 1 for x in want.values())
 
 
+@pytest.mark.parametrize("n", [300, 600])
+def test_prefix_runs_of_near_copies_make_few_edges_a_text(spark, n):
+    # Near copies share a run in most of the trees, each with a head of its own.
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*base[: 20 + k % 60], f"new{k}", *base[21 + k % 60 :]]), "en", "a") for k in range(n)]
+    signed = neardup._texts(documents(spark, rows)).mapInArrow(neardup._sign, "doc_id long, digest binary, n_shingles long, keys binary")
+    members, edges = neardup.prefix_runs(signed.select(F.col("doc_id").alias("node"), "keys"), 4)
+    assert members.select("node").distinct().count() == n
+    assert edges.distinct().count() < 5 * n
+    assert {r.component for r in neardup.connected_components(edges).collect()} == {0}
+
+
+def test_edges_by_the_least_connect_the_same(spark):
+    r = random.Random(8)
+    edges = [(a, b) for a in range(200) for b in r.sample(range(0, 400, 2), r.choice([0, 1, 1, 2, 5]))]
+    df = spark.createDataFrame(edges + edges[:50], "a long, b long")
+    left = neardup._by_least(df)
+    got, want = ({(x.node, x.component) for x in neardup.connected_components(e).collect()} for e in (left, df))
+    assert got == want and left.count() <= len(set(edges))
+
+
 @pytest.mark.parametrize("similarity,changed", [(0.5, 2), (0.8, 1)])
 def test_jaccard_prefixes_shorten_to_the_measured_recall(spark, similarity, changed):
     # Pairs just above the threshold: one changed word in the middle spoils five of the shingles.
