@@ -30,6 +30,7 @@ _HALF = [(5.0, "error"), (0.2, "view"), (0.3, "view"), (0.7, "view")]
 _NAMELESS = {"documents": "select * replace (case doc_id % 7 when 0 then '' when 1 then '  ' when 2 then chr(10) when 3 then null else text end as text) from {documents}"}
 CASES = {
     ("path_haystack", "names of an extension alone"): _NAMELESS,
+    ("titles_and_terms", "names of an extension alone"): _NAMELESS,
     ("backfill_titles", "parts of seven digits"): {"lineitem": "select * replace (l_partkey + 1200000 as l_partkey) from {lineitem}"},
     ("clear_identify", "parts of seven digits"): {"lineitem": "select * replace (l_partkey + 1200000 as l_partkey) from {lineitem}"},
     ("default_keeper", "vectors alike"): {"embeddings": "select * from {embeddings} union all select vec_id + 5001, embedding, label from {embeddings} where vec_id % 3 = 0"},
