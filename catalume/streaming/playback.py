@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import fields
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,35 +25,64 @@ def _threshold(duration: float | None) -> float:
     return min(30.0, duration / 10) if duration and duration > 0 else 30.0
 
 
+#: Loads are dealt by a hash to so many groups; a call, and a row of state, is for all loads of one. State can't be read with another number.
+BUCKETS = 4096
+_KEPT = np.dtype([("load", "i8"), ("named", "?"), ("watched", "f8"), ("last", "f8"), ("playing", "?"), ("sent", "?"), ("until", "i8")])
+_NO_TIME = -(1 << 63)
+
+
 def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: seconds watched, last position or null, last paused, play sent."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    watched, last, playing, sent = state.get if state.exists else (0.0, None, False, False)
+    """State: of each load of the bucket its id and whether it has one, seconds watched, last position or NaN, whether it
+    was playing, play sent, and the event time in milliseconds up to which it is kept."""
+    kept = {r[:2]: r[2:] for r in np.frombuffer(state.get[0], _KEPT).tolist()} if state.exists else {}
+    now = state.getCurrentWatermarkMs()
     out = []
-    rows = pd.concat(list(batches)).sort_values(["ts", "pos", "paused"], na_position="first")
-    for r in rows.itertuples(index=False):
-        pos = None if pd.isna(r.pos) else float(r.pos)
-        if pos is not None and last is not None and playing and not r.paused and 0 < pos - last <= LONGEST_STEP:
-            watched += pos - last
-        last, playing = pos, not r.paused
-        if not sent and (bool(r.eof) or round(watched, 6) >= _threshold(None if pd.isna(r.duration) else r.duration)):
-            sent = True
-            out.append((key[0], r.asset_id, r.ts))
-    state.update((watched, last, playing, sent))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + IDLE_MS)
-    yield pd.DataFrame(out, columns=["load_id", "asset_id", "ts"])
+    if not state.hasTimedOut:
+        rows = {c: v.to_numpy() for c, v in pd.concat(list(batches)).drop(columns="ts").items()}
+        order = np.lexsort((rows["paused"], np.nan_to_num(rows["pos"]), ~np.isnan(rows["pos"]), rows["us"], rows["load"], rows["named"]))
+        for load, named, asset, us, pos, paused, eof, duration in zip(*(rows[c][order].tolist() for c in ("load", "named", "asset", "us", "pos", "paused", "eof", "duration")), strict=True):
+            watched, last, playing, sent, _ = kept.get((load, named), (0.0, math.nan, False, False, 0))
+            # No comparison with NaN holds, so a null position is no step's end.
+            if playing and paused != 1 and 0 < pos - last <= LONGEST_STEP:
+                watched += pos - last
+            if not sent and (eof or round(watched, 6) >= _threshold(None if math.isnan(duration) else duration)):
+                sent = True
+                out.append((load if named else None, asset, None if us == _NO_TIME else us))
+            kept[load, named] = (watched, pos, paused != 1, sent, max(now, us // 1000) + IDLE_MS)
+    kept = {k: v for k, v in kept.items() if v[-1] >= now}
+    if kept:
+        state.update((np.array([(*k, *v) for k, v in kept.items()], _KEPT).tobytes(),))
+        state.setTimeoutTimestamp(min(v[-1] for v in kept.values()))
+    else:
+        state.remove()
+    if out:
+        loads, assets, times = zip(*out, strict=True)
+        yield pd.DataFrame({"load_id": pd.array(loads, "Int64"), "asset_id": pd.array([None if a is None else int(a) for a in assets], "Int64"), "us": pd.array(times, "Int64")})
 
 
 def play_event_stream(samples: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """A stream of plays from a stream of samples (load_id, asset_id, ts, pos, paused, eof, duration): one for each load at most.
 
     Samples of a load must come in the order of their time between batches; those later than the
-    watermark are dropped. State is by load, so no user or asset is a hot key, and goes when the
-    watermark has left the load behind by hours.
+    watermark are dropped. State is by load, packed in buckets of loads, so no user or asset is a hot key; a load's
+    goes when the watermark has left the load behind by hours.
     """
-    return samples.withWatermark("ts", lateness).groupBy("load_id").applyInPandasWithState(_watch, "load_id long, asset_id long, ts timestamp", "watched double, last double, playing boolean, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    load = F.col("load_id").cast("long")
+    dealt = samples.withWatermark("ts", lateness).select(
+        F.pmod(F.xxhash64(load), F.lit(BUCKETS)).cast("int").alias("bucket"),
+        F.coalesce(load, F.lit(0)).alias("load"),
+        load.isNotNull().alias("named"),
+        # As text, since pandas would make longs beside a null inexact.
+        F.col("asset_id").cast("string").alias("asset"),
+        "ts",
+        F.coalesce(F.unix_micros("ts"), F.lit(_NO_TIME)).alias("us"),
+        F.col("pos").cast("double").alias("pos"),
+        F.coalesce(F.col("paused").cast("int"), F.lit(-1)).alias("paused"),
+        F.coalesce("eof", F.lit(False)).alias("eof"),
+        F.col("duration").cast("double").alias("duration"),
+    )
+    plays = dealt.groupBy("bucket").applyInPandasWithState(_watch, "load_id long, asset_id long, us long", "loads binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return plays.select("load_id", "asset_id", F.timestamp_micros("us").alias("ts"))
 
 
 def throttle(progress: DataFrame, interval_ms: int = 200) -> DataFrame:

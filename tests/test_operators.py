@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalume.catalog import Catalog, read_catalog, write_catalog
@@ -219,6 +220,49 @@ def test_plays_of_stream_and_batch_agree(spark, tmp_path):
     assert sorted(r.load_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
 
 
+def test_loads_of_a_stream_share_calls_and_rows_of_state(spark, tmp_path, monkeypatch):
+    """300 loads in two batches take 8 rows of state at most, and give the plays of the batch."""
+    monkeypatch.setattr(playback, "BUCKETS", 8, raising=False)
+    rows = [(None if load == 7 else load + (1 << 60), None if load == 9 else load, T0 + timedelta(seconds=i), None if load % 11 == i else i * 1.5, load % 13 == 12, load % 17 == i, float(load % 30) if load % 5 else None) for load in range(300) for i in range(6)]
+    samples = spark.createDataFrame(rows, "load_id long, asset_id long, ts timestamp, pos double, paused boolean, eof boolean, duration double")
+    states = []
+    for part in (F.col("ts") < F.lit(T0 + timedelta(seconds=3)), F.col("ts") >= F.lit(T0 + timedelta(seconds=3))):
+        samples.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        plays = playback.play_event_stream(spark.readStream.schema(samples.schema).parquet(str(tmp_path / "in")))
+        run = plays.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+        states += [o.numRowsTotal for p in run.recentProgress for o in p.stateOperators]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    of = lambda df: sorted(((r.load_id, r.asset_id) for r in df.collect()), key=str)
+    assert of(got) == of(play_events(samples)) and got.where("ts is null").isEmpty()
+    assert 0 < max(states) <= 8
+
+
+def test_idle_loads_of_a_bucket_go(spark):
+    import pandas as pd
+
+    class State:
+        hasTimedOut, get, now, until = False, None, 0, None
+        exists = property(lambda self: self.get is not None)
+        getCurrentWatermarkMs = lambda self: self.now
+        update = lambda self, value: setattr(self, "get", value)
+        setTimeoutTimestamp = lambda self, ms: setattr(self, "until", ms)
+        remove = lambda self: setattr(self, "get", None)
+
+    state, loads = State(), lambda: np.frombuffer(state.get[0], playback._KEPT)["load"].tolist()
+    row = lambda load, s, pos: {"load": load, "named": True, "asset": "5", "ts": pd.NaT, "us": s * 1_000_000, "pos": pos, "paused": 0, "eof": False, "duration": 20.0}
+    assert not list(playback._watch((0,), iter([pd.DataFrame([row(1, 0, 1.0), row(2, 3600, 1.0)])]), state))
+    assert loads() == [1, 2] and state.until == playback.IDLE_MS
+    # The first load goes alone, and the second plays on from its last position.
+    state.now, state.hasTimedOut = playback.IDLE_MS + 1, True
+    assert not list(playback._watch((0,), iter([]), state)) and loads() == [2]
+    state.hasTimedOut = False
+    (played,) = playback._watch((0,), iter([pd.DataFrame([row(2, 22_000, 3.0), row(1, 22_000, 2.0)])]), state)
+    assert played.values.tolist() == [[2, 5, 22_000_000_000]]
+    state.now, state.hasTimedOut = 2 * state.until, True
+    assert not list(playback._watch((0,), iter([]), state)) and state.get is None
+
+
 def test_throttle(spark):
     rows = [("r", i, T0 + timedelta(milliseconds=i), i == 99) for i in (*range(10), 99)]
     df = spark.createDataFrame(rows, "run_id string, seq long, ts timestamp, terminal boolean")
